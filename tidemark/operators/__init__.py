@@ -12,6 +12,7 @@ from tidemark.operators.keys import (
 )
 from tidemark.operators.merge import concat_evolving, union_history, upsert
 from tidemark.operators.quality import (
+    preview,
     quality_counts,
     require_columns,
     require_nonblank,
@@ -44,6 +45,7 @@ __all__ = [
     "latest_by",
     "lookup_dim",
     "normalize_columns",
+    "preview",
     "quality_counts",
     "require_columns",
     "require_nonblank",

@@ -58,3 +58,8 @@ def quality_counts(df: DataFrame, nonblank: Sequence[str], keys: Sequence[str])
         total(F.col("n") - 1, valid).alias("duplicate_rows"),
         total(F.lit(1), valid).alias("output_rows"),
     )
+
+
+def preview(df: DataFrame, rows: int = 10) -> DataFrame:
+    """A few rows for the eye. Spark stops reading once it has them."""
+    return df.limit(rows)

@@ -36,6 +36,17 @@ def merge_reference(existing: DataFrame, incoming: DataFrame, order: Sequence[st
     return require_unique_columns(upsert(stored, incoming, REFERENCE_KEYS, known).drop(POS))
 
 
+def _same_types(existing: DataFrame, incoming: DataFrame) -> bool:
+    stored = {f.name: f.dataType for f in existing.schema}
+    return all(stored.get(f.name, f.dataType) == f.dataType for f in incoming.schema)
+
+
+def _regions_in_normal_form(existing: DataFrame) -> bool:
+    region = F.col("region")
+    odd = region.isNull() | (region != F.lower(strip(region.cast("string"))))
+    return existing.filter(odd).isEmpty()
+
+
 def upsert_reference(
     spark: SparkSession,
     paths: str | Sequence[str],
@@ -44,10 +55,11 @@ def upsert_reference(
 ) -> DataFrame:
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
-    All files are merged in one job. Only the regions they touch are rewritten, unless stored
-    region values are not in normal form, in which case the whole dataset is. The merged rows are
-    written to the shared folder before the target is replaced, since a job must not overwrite
-    what it is reading.
+    All files are merged in one job. Only the regions they touch are rewritten. The whole dataset
+    is when stored regions are not in normal form, or when a column changes its type (files of
+    untouched regions would keep the old one). The merged rows are written to the shared folder
+    before the target is replaced, since a job must not overwrite what it is reading; after a
+    failure they are still there.
 
     The report has one row per file: key, region, incoming rows, rows its keys have in the new
     dimension's region, and the error of an unusable file.
@@ -63,14 +75,11 @@ def upsert_reference(
 
     incoming = stage(reference_items(documents, stamp), f"{work}/incoming")
     existing = read_or_empty(spark, target, REFERENCE)
-    stored_regions = existing.select("region").distinct()
-    tidy = stored_regions.filter(
-        F.col("region").isNull() | (F.col("region") != F.lower(strip(F.col("region"))))
-    ).isEmpty()
-    if tidy:
+    by_region = _same_types(existing, incoming) and _regions_in_normal_form(existing)
+    if by_region:
         existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
     merged = stage(merge_reference(existing, incoming), f"{work}/merged")
-    (write_partitions if tidy else replace_dataset)(merged, target, REFERENCE_PARTITIONS)
+    (write_partitions if by_region else replace_dataset)(merged, target, REFERENCE_PARTITIONS)
 
     sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
     final = stage(

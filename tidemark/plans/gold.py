@@ -8,7 +8,9 @@ one row (or k rows), and no join sees the fact table.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -173,10 +175,16 @@ def silver_to_gold(
         "category_region": category_region(latest, dim, pairs),
         "video_rankings": video_rankings(latest, dim, categories, k),
     }
-    for name, result in results.items():
+
+    def publish(name: str) -> None:
         by = GOLD[name][1]
         keys = pairs.select(*[F.col(c).cast("string") for c in by]).distinct()
-        staged = stage(result, f"{work}/{name}")
-        replace_affected(staged, keys, tables[name], by)
+        replace_affected(stage(results[name], f"{work}/{name}"), keys, tables[name], by)
+
+    # The four reports are independent: submitted together, small ones fill the gaps that the
+    # last tasks of large ones leave.
+    with ThreadPoolExecutor(len(results)) as pool:
+        for done in [pool.submit(inheritable_thread_target(spark)(publish), n) for n in results]:
+            done.result()
     drop_scratch(spark, work)
     return True

@@ -18,6 +18,10 @@ def local_session(cores: int | str = "*", app: str = "tidemark", **conf: str) ->
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.shuffle.partitions", "8")
+        # Tables with many small partitions are bound by file creation on a local disk: skip the
+        # checksum files, and let small writes keep several tasks.
+        .config("spark.hadoop.fs.file.impl", "org.apache.hadoop.fs.RawLocalFileSystem")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -67,6 +71,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that match a path pattern."""
+    fs, target = _filesystem(spark, pattern)
+    return [status.getPath().toString() for status in fs.globStatus(target) or []]
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a path made by :func:`scratch`; anything else is refused."""
     if not path.startswith(f"{shared_dir(spark)}/tidemark/"):

@@ -5,6 +5,7 @@ from tidemark.sinks.catalog import (
     create_csv_table,
     create_table,
     register_tables,
+    register_views,
     repair_table,
 )
 from tidemark.sinks.landing import land_envelopes, land_reference, with_metadata
@@ -19,6 +20,7 @@ __all__ = [
     "land_envelopes",
     "land_reference",
     "register_tables",
+    "register_views",
     "repair_table",
     "replace_affected",
     "replace_dataset",

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+from tidemark.operators.keys import Batch, batch_slice
 from tidemark.operators.merge import union_history
 from tidemark.schemas import (
     ALL_STATS,
@@ -76,6 +77,13 @@ def create_all_stats_view(
     )
 
 
+def register_views(stats: DataFrame, reference: DataFrame, batch: Batch) -> None:
+    """Temporary views for SQL: the facts, the dimension, and the rows of one batch."""
+    stats.createOrReplaceTempView("video_statistics")
+    reference.createOrReplaceTempView("clean_reference_data")
+    batch_slice(stats, batch).createOrReplaceTempView("new_batch")
+
+
 def register_tables(spark: SparkSession, layout, prefix: str = "") -> dict[str, str]:
     """Create and repair every table of a :class:`tidemark.plans.layout.Layout`.
 

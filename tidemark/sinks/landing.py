@@ -60,10 +60,11 @@ def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str], mode:
     for level in levels:
         rows = rows.withColumn(level, parts[level])
     # One file per row: the write is bound by file creation, so it is spread over all cores
-    # instead of following the (small) size of the rows.
+    # instead of following the (small) size of the rows. The hash of the content also spreads
+    # a region or run that has most of the documents.
     cores = rows.sparkSession.sparkContext.defaultParallelism
     (
-        rows.repartition(cores, "region", *levels)
+        rows.repartition(cores, "region", *levels, F.xxhash64("items"))
         .write.mode(mode)
         .option("maxRecordsPerFile", 1)
         .partitionBy("region", *levels)

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tidemark.functions.paths import batch_date_from_path, batch_hour_from_path
-from tidemark.operators.keys import Batch, latest_batch
+from tidemark.operators.keys import Batch, as_batch
+from tidemark.session import glob_paths
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
-# Fixed layout of a landed snapshot file.
-BATCH_FILE = r"/region=[^/]+/date=\d{4}-\d{2}-\d{2}/hour=\d{2}/.+\.json$"
+# Fixed layout of the snapshot folders.
+_BATCH_FOLDERS = "region=*/date=*/hour=*"
+_BATCH_FOLDER = re.compile(r"/region=[^/]+/date=(\d{4}-\d{2}-\d{2})/hour=(\d{2})$")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
@@ -26,20 +28,23 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataF
     )
 
 
-def batches_of(files: DataFrame) -> DataFrame:
-    """Distinct batches among file paths that follow the snapshot layout."""
-    path = F.col("path")
-    return (
-        files.filter(path.rlike(BATCH_FILE))
-        .select(
-            batch_date_from_path(path).alias("ingestion_date"),
-            batch_hour_from_path(path).alias("ingestion_hour"),
-        )
-        .dropna()
-        .distinct()
-    )
+def batch_glob(root: str, batch: Batch | None) -> str:
+    """Only the folders of one batch; without a batch the whole root."""
+    if batch is None:
+        return root
+    return f"{root.rstrip('/')}/region=*/date={batch.date.isoformat()}/hour={batch.hour:02d}"
+
 
+def discover_latest_batch(spark: SparkSession, root: str, pattern: str = "*.json") -> Batch:
+    """The newest landed batch that holds a file; fails when there is none.
 
-def discover_latest_batch(spark: SparkSession, root: str) -> Batch:
-    """The newest landed batch; fails when there is none."""
-    return latest_batch(batches_of(list_files(spark, root)))
+    Only folders are listed (regions times hours, however many files they hold), and files only
+    in the newest of them.
+    """
+    folders = glob_paths(spark, f"{root.rstrip('/')}/{_BATCH_FOLDERS}")
+    matches = filter(None, map(_BATCH_FOLDER.search, folders))
+    for date, hour in sorted({m.groups() for m in matches}, reverse=True):
+        batch = as_batch(date, hour)
+        if not list_files(spark, batch_glob(root, batch), pattern).isEmpty():
+            return batch
+    raise ValueError(f"no valid batch found below {root}")

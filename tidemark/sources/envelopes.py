@@ -10,13 +10,7 @@ from tidemark.functions.paths import scanned_file
 from tidemark.operators.keys import Batch
 from tidemark.operators.reshape import explode_items
 from tidemark.schemas import CORRUPT, ENVELOPE
-
-
-def batch_glob(root: str, batch: Batch | None) -> str:
-    """Only the folders of one batch are listed; without a batch the whole root."""
-    if batch is None:
-        return root
-    return f"{root.rstrip('/')}/region=*/date={batch.date.isoformat()}/hour={batch.hour:02d}"
+from tidemark.sources.discovery import batch_glob
 
 
 def _reader(spark: SparkSession, pattern: str):

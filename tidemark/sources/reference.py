@@ -41,7 +41,11 @@ def read_reference(
     )
     if schema is not None:
         reader = reader.schema(schema)
-    df = reader.json(paths if isinstance(paths, str) else list(paths))
+    files = paths if isinstance(paths, str) else list(paths)
+    df = reader.json(files)
+    if df.columns == [CORRUPT]:
+        # Spark does not let a scan return nothing but unreadable text.
+        df = reader.schema(T.StructType().add("id", "string").add(CORRUPT, "string")).json(files)
     return df.select("*", scanned_file().alias(FILE))
 
 

@@ -295,7 +295,8 @@ ORACLE: dict[str, str] = {
                  title, CAST(row_number() OVER (PARTITION BY region, run_id ORDER BY event_id) - 1 AS INTEGER) AS _pos
           FROM raw""",
     "discover_batch": _with(ITEMS)
-    + """ SELECT CAST(ingestion_date AS VARCHAR) AS ingestion_date, ingestion_hour FROM raw
+    + """ SELECT CAST(ingestion_date AS VARCHAR) AS ingestion_date, ingestion_hour,
+                 (SELECT count(DISTINCT (region, chunk)) FROM raw) AS files FROM raw
           ORDER BY raw.ingestion_date DESC, ingestion_hour DESC LIMIT 1""",
     "silver_json": _with(ITEMS) + f" SELECT {SILVER_COLUMNS} FROM silver",
     "silver_json_schemaless": _with(ITEMS) + f" SELECT {SILVER_COLUMNS} FROM silver",
@@ -353,6 +354,12 @@ ORACLE: dict[str, str] = {
     + """ SELECT region, CAST(ingestion_date AS VARCHAR) AS ingestion_date, count(*) AS n,
                  CAST(sum(views) AS BIGINT) AS views, CAST(0 AS INTEGER) AS rows_before_repair
           FROM stats GROUP BY 1, 2""",
+    "sql_over_views": _GOLD
+    + """ SELECT s.region, count(*) AS fact_rows, count(b.event_id) AS batch_rows,
+                 count(DISTINCT r.snippet_title) AS names
+          FROM stats s LEFT JOIN batch b ON b.event_id = s.event_id
+          LEFT JOIN reference r ON r.region = s.region AND r.id = CAST(s.category_id AS VARCHAR)
+          GROUP BY s.region""",
     "full_run": _with(
         ITEMS.replace("silver AS (", "stats AS ("),
         """

@@ -28,7 +28,6 @@ from tidemark.schemas import (
     SILVER_STATS,
 )
 from tidemark.session import scratch
-from tidemark.sources.discovery import batches_of
 from tidemark.sources.reference import POS
 from tidemark.streaming import stream_reference
 from workload import adapter
@@ -421,8 +420,14 @@ def envelope_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def discover_batch(spark: SparkSession, sf: str) -> DataFrame:
-    """The newest landed batch from file paths alone."""
-    return plain(ops.latest_batch_df(batches_of(sources.list_files(spark, _land(spark, sf)))))
+    """The newest landed batch from paths alone, and the number of landed files."""
+    root = _land(spark, sf)
+    batch = sources.discover_latest_batch(spark, root)
+    return sources.list_files(spark, root).agg(
+        F.lit(batch.date.isoformat()).alias("ingestion_date"),
+        F.lit(batch.hour).alias("ingestion_hour"),
+        F.count(F.lit(1)).alias("files"),
+    )
 
 
 @query
@@ -658,6 +663,21 @@ def external_table(spark: SparkSession, sf: str) -> DataFrame:
     return plain(out.withColumn("rows_before_repair", F.lit(before)))
 
 
+@query
+def sql_over_views(spark: SparkSession, sf: str) -> DataFrame:
+    """Plain SQL over the registered views."""
+    stats = adapter.stats(spark, sf)
+    sinks.register_views(stats, _reference(spark, sf), ops.latest_batch(stats))
+    return spark.sql("""
+        SELECT s.region, count(*) AS fact_rows, count(b.event_id) AS batch_rows,
+               count(DISTINCT r.snippet_title) AS names
+        FROM video_statistics s
+        LEFT JOIN new_batch b ON b.event_id = s.event_id
+        LEFT JOIN clean_reference_data r
+          ON r.region = s.region AND r.id = CAST(s.category_id AS STRING)
+        GROUP BY s.region""")
+
+
 # --- The whole run ------------------------------------------------------------------------
 
 
