@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import strip, utc_iso
@@ -51,7 +51,7 @@ def upsert_reference(
     spark: SparkSession,
     paths: str | Sequence[str],
     target: str,
-    ingestion_timestamp: Column | None = None,
+    ingestion_timestamp: str | None = None,
 ) -> DataFrame:
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
@@ -64,7 +64,7 @@ def upsert_reference(
     The report has one row per file: key, region, incoming rows, rows its keys have in the new
     dimension's region, and the error of an unusable file.
     """
-    stamp = utc_iso(F.current_timestamp()) if ingestion_timestamp is None else ingestion_timestamp
+    stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
     documents = read_reference(spark, paths)
     report = reference_status(documents)
     work = scratch(spark)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from tidemark.functions.casts import CSV_INSTANT, to_bool, to_day, to_instant, t
 from tidemark.functions.paths import batch_date_from_path, batch_hour_from_path, region_from_path
 from tidemark.functions.text import is_blank
 from tidemark.operators.keys import Batch
-from tidemark.operators.quality import require_nonblank
+from tidemark.operators.quality import quality_counts, require_nonblank
 from tidemark.operators.ranking import dedupe
 from tidemark.operators.reshape import conform, explode_items, extract_json
 from tidemark.schemas import (
@@ -142,8 +144,15 @@ def _watch(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return watched, seen
 
 
-def _metrics(before: Observation, after: Observation) -> dict[str, int]:
-    counts = {**before.get, **after.get}
+def _metrics(
+    before: Observation, after: Observation, rows: DataFrame, keys: Sequence[str]
+) -> dict[str, int]:
+    """Counts of a finished run."""
+    try:
+        counts = {**before.get, **after.get}
+    except Py4JJavaError:
+        # Spark drops the counters from the plan of a run that leaves no row: count it directly.
+        return quality_counts(rows, ["video_id", "region"], keys).first().asDict()
     left = counts["input_rows"] - counts["blank_video_id"] - counts["blank_region"]
     return {**counts, "duplicate_rows": left - counts["output_rows"]}
 
@@ -162,10 +171,11 @@ def bronze_json_to_silver(
     after a lost executor they may include rows of repeated tasks. For exact counts use
     :func:`tidemark.operators.quality_counts`.
     """
-    rows, before = _watch(envelopes_to_rows(read_envelopes(spark, raw, batch), batch), "bronze")
-    silver, after = _counted(silver_from_envelopes(rows), "silver")
+    rows = envelopes_to_rows(read_envelopes(spark, raw, batch), batch)
+    watched, before = _watch(rows, "bronze")
+    silver, after = _counted(silver_from_envelopes(watched), "silver")
     write_partitions(silver, target, SILVER_STATS_PARTITIONS)
-    return _metrics(before, after)
+    return _metrics(before, after, rows, JSON_KEYS)
 
 
 def bronze_csv_to_silver(
@@ -177,7 +187,8 @@ def bronze_csv_to_silver(
     those directly in a region folder included.
     """
     path = raw if day is None else f"{raw.rstrip('/')}/region=*/date={day.isoformat()}"
-    rows, before = _watch(csv_to_rows(read_flat_csv(spark, path)), "bronze_csv")
-    silver, after = _counted(silver_from_csv(rows), "silver_csv")
+    rows = csv_to_rows(read_flat_csv(spark, path))
+    watched, before = _watch(rows, "bronze_csv")
+    silver, after = _counted(silver_from_csv(watched), "silver_csv")
     (replace_dataset if replace_all else write_partitions)(silver, target, SILVER_HISTORY_PARTITIONS)
-    return _metrics(before, after)
+    return _metrics(before, after, rows, CSV_KEYS)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.dimension import upsert_reference
@@ -15,7 +15,7 @@ def stream_reference(
     target: str,
     checkpoint: str,
     *,
-    ingestion_timestamp: Column | None = None,
+    ingestion_timestamp: str | None = None,
     files_per_batch: int = 1000,
     pattern: str = "*.json",
     report: str | None = None,

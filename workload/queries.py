@@ -565,7 +565,7 @@ def reference_job(spark: SparkSession, sf: str) -> DataFrame:
     target = scratch(spark)
     for name in ("supplier", "customer"):
         raw = _land_reference(spark, sf, name, scratch(spark))
-        plans.upsert_reference(spark, raw, target, F.lit(_STAMP))
+        plans.upsert_reference(spark, raw, target, _STAMP)
     return sources.read_reference_table(spark, target).select(*_DIM_COLUMNS)
 
 
@@ -573,7 +573,7 @@ def reference_job(spark: SparkSession, sf: str) -> DataFrame:
 def reference_report(spark: SparkSession, sf: str) -> DataFrame:
     """Rows found per file, and dimension rows of its region afterwards."""
     raw = _land_reference(spark, sf, "customer", scratch(spark))
-    report = plans.upsert_reference(spark, raw, scratch(spark), F.lit(_STAMP))
+    report = plans.upsert_reference(spark, raw, scratch(spark), _STAMP)
     run = F.regexp_extract("key", r"/run=([^/]+)/", 1)
     return report.select(run.alias("run_id"), "region", "incoming_rows", "final_rows", "error")
 
@@ -595,7 +595,7 @@ def stream_upsert(spark: SparkSession, sf: str) -> DataFrame:
     for name in ("supplier", "customer"):
         _land_reference(spark, sf, name, f"{raw}/{name}")
         stream_reference(
-            spark, raw, target, checkpoint, ingestion_timestamp=F.lit(_STAMP)
+            spark, raw, target, checkpoint, ingestion_timestamp=_STAMP
         ).awaitTermination()
     return sources.read_reference_table(spark, target).select(*_DIM_COLUMNS)
 
@@ -712,6 +712,6 @@ def full_run(spark: SparkSession, sf: str) -> DataFrame:
     )
     plans.bronze_json_to_silver(spark, layout.raw_stats, layout.stats, None)
     _land_reference(spark, sf, "customer", layout.raw_reference)
-    plans.upsert_reference(spark, layout.raw_reference, layout.reference, F.lit(_STAMP))
+    plans.upsert_reference(spark, layout.raw_reference, layout.reference, _STAMP)
     plans.run_latest(spark, layout, prefix=_name("run") + "_")
     return _long_form(spark, layout)
