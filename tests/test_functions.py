@@ -27,6 +27,16 @@ def test_numbers_are_trimmed_and_bad_ones_are_null(spark):
     for bad in ("1.5", "1e3", "", "x", None):
         assert one(spark, to_long(F.lit(bad).cast("string"))) is None
     assert one(spark, to_int(F.lit("9999999999"))) is None
+    assert [one(spark, to_long(F.lit(v))) for v in ("+5", "-5", "\t7\n", "--5")] == [5, -5, 7, None]
+
+
+def test_the_shape_check_never_changes_a_cast(spark):
+    pieces = ["", " ", "\t", "+", "-", "1", "007", "1.", ".5", "1e3", "x", "tRue", "N", "0", "1L", "\u0661", "2147483648", "9223372036854775808"]
+    texts = [a + b for a in pieces for b in pieces]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for kind, cast in (("int", to_int), ("bigint", to_long), ("boolean", to_bool)):
+        pairs = df.select("t", cast(F.col("t")).alias("a"), F.trim("t").try_cast(kind).alias("b"))
+        assert pairs.filter("NOT (a <=> b)").collect() == []
 
 
 def test_flags(spark):

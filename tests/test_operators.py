@@ -144,6 +144,12 @@ def test_extract_json(spark, rows):
     assert rows(out) == [(1, 5, '["m","o"]'), (2, None, None), (3, None, None)]
 
 
+def test_extract_json_mixes_paths(spark):
+    df = spark.createDataFrame([('{"a":{"b":1,"c":[5,6]},"d":"x"}',)], "j string")
+    fields = {"a": ("$.a", "string"), "b": ("$.a.b", "int"), "second": ("$.a.c[1]", "bigint"), "d": ("$.d", "string"), "no": ("$.d.e", "string")}
+    assert tuple(ops.extract_json(df, "j", fields).first()) == ('{"b":1,"c":[5,6]}', 1, 6, "x", None)
+
+
 def test_conform_adds_casts_and_orders(spark):
     out = ops.conform(spark.createDataFrame([("5", "v")], "views string, video_id string"), ALL_STATS)
     assert out.columns == ALL_STATS.names

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.casts import safe_cast
+
 
 def explode_items(df: DataFrame, items: str = "items", alias: str = "item", position: str = "_pos") -> DataFrame:
     """One row per array element with its position; an empty or NULL array gives no row."""
@@ -16,16 +18,39 @@ def explode_items(df: DataFrame, items: str = "items", alias: str = "item", posi
     return df.select(*kept, F.posexplode(items).alias(position, alias))
 
 
+_PLAIN_PATH = re.compile(r"^\$(\.[A-Za-z0-9_-]+)+$")
+
+
+def _path_schema(paths: Sequence[tuple[str, ...]]) -> T.StructType:
+    """Objects along the paths, with text at their ends."""
+    out = T.StructType()
+    for head in dict.fromkeys(path[0] for path in paths):
+        tails = [path[1:] for path in paths if path[0] == head and len(path) > 1]
+        out.add(head, _path_schema(tails) if tails else T.StringType())
+    return out
+
+
 def extract_json(df: DataFrame, column: str, fields: Mapping[str, tuple[str, str]], *keep: str) -> DataFrame:
     """Extract ``{name: (json path, type)}`` from JSON text; absent or unreadable gives NULL.
 
-    For sources with an unknown schema. With a known one, read through it and access the fields
-    directly, which parses each document once instead of once per path.
+    Objects and arrays come as JSON text. All plain paths (``$.a.b``) are read in one parse of the
+    document; a path with subscripts, or one that leads to another path's object, costs one more.
     """
+    plain = {name: tuple(path[2:].split(".")) for name, (path, _) in fields.items() if _PLAIN_PATH.match(path)}
+    inner = {parts[:n] for parts in plain.values() for n in range(1, len(parts))}
+    plain = {name: parts for name, parts in plain.items() if parts not in inner}
+
+    parsed = "__parsed"
+    if plain:
+        schema = _path_schema(list(plain.values()))
+        df = df.select(*keep, column, F.from_json(column, schema).alias(parsed))
     out: list[Column] = []
     for name, (path, kind) in fields.items():
-        value = F.get_json_object(F.col(column), path)
-        out.append((value if kind == "string" else F.trim(value).try_cast(kind)).alias(name))
+        if name in plain:
+            value = F.col(".".join([parsed, *(f"`{part}`" for part in plain[name])]))
+        else:
+            value = F.get_json_object(F.col(column), path)
+        out.append((value if kind == "string" else safe_cast(value, kind)).alias(name))
     return df.select(*keep, *out)
 
 

@@ -32,8 +32,9 @@ def _padded(value: Column | str, width: int = 20) -> Column:
     return F.lpad(F.col(value).cast("string") if isinstance(value, str) else value, width, "0")
 
 
-def _k() -> Column:
-    return F.get_json_object("props", "$.k").cast("bigint")
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    events = table(spark, sf, "events").withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
+    return _with_region(spark, sf, events.drop("props"), "event_id")
 
 
 def _category() -> Column:
@@ -43,15 +44,15 @@ def _category() -> Column:
 
 def stats(spark: SparkSession, sf: str) -> DataFrame:
     """Snapshots: one per event. A video changes category now and then."""
-    rows = _with_region(spark, sf, table(spark, sf, "events"), "event_id")
+    rows = _events(spark, sf)
     user = F.col("user_id").cast("string")
     return rows.select(
         F.concat(F.lit("v"), user).alias("video_id"),
         F.concat_ws(" ", F.lit("title"), user, F.col("event_id").cast("string")).alias("title"),
         _category().alias("category_id"),
         F.floor(F.col("value") * 100).cast("bigint").alias("views"),
-        F.when(F.col("event_type") != "signup", _k()).alias("likes"),
-        (_k() % 7).alias("comment_count"),
+        F.when(F.col("event_type") != "signup", F.col("k")).alias("likes"),
+        (F.col("k") % 7).alias("comment_count"),
         "region",
         F.to_date("ts").alias("ingestion_date"),
         F.hour("ts").alias("ingestion_hour"),
@@ -62,7 +63,7 @@ def stats(spark: SparkSession, sf: str) -> DataFrame:
 
 def raw_items(spark: SparkSession, sf: str) -> DataFrame:
     """Fetched items before grouping, as text; ``chunk`` is the run that fetched them."""
-    rows = _with_region(spark, sf, table(spark, sf, "events"), "event_id")
+    rows = _events(spark, sf)
     event, user = F.col("event_id"), F.col("user_id").cast("string")
     video = F.concat(F.lit("v"), user)
     return rows.select(
@@ -87,7 +88,7 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
                 .alias("publishedAt"),
                 F.when(
                     F.col("event_type") != "signup",
-                    F.array(F.concat(F.lit("k"), _k().cast("string")), F.col("event_type")),
+                    F.array(F.concat(F.lit("k"), F.col("k").cast("string")), F.col("event_type")),
                 ).alias("tags"),
                 F.when(event % 2 == 0, F.concat(F.lit("about "), video)).alias("description"),
                 F.struct(
@@ -99,9 +100,9 @@ def raw_items(spark: SparkSession, sf: str) -> DataFrame:
                 F.when(event % 41 == 0, F.lit("1.5"))
                 .otherwise(F.floor(F.col("value") * 100).cast("string"))
                 .alias("viewCount"),
-                F.when(F.col("event_type") != "signup", _k().cast("string")).alias("likeCount"),
+                F.when(F.col("event_type") != "signup", F.col("k").cast("string")).alias("likeCount"),
                 F.when(event % 3 == 0, F.lit(" 7 ")).alias("dislikeCount"),
-                (_k() % 7).cast("string").alias("commentCount"),
+                (F.col("k") % 7).cast("string").alias("commentCount"),
             ).alias("statistics"),
         ).alias("item"),
     )
