@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     one machine only.
     """
     sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root:
         return root.rstrip("/")
     if not sc.master.startswith("local"):
