@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 from tidemark import operators as ops
 from tidemark import plans, sinks, sources
 from tidemark.operators.keys import Batch
-from tidemark.plans.layout import Layout
-from tidemark.schemas import ALL_STATS, GOLD, SILVER_STATS, SILVER_STATS_PARTITIONS
+from tidemark.layout import Layout
+from tidemark.schemas import (
+    ALL_STATS,
+    GOLD,
+    SILVER_HISTORY,
+    SILVER_HISTORY_PARTITIONS,
+    SILVER_STATS,
+    SILVER_STATS_PARTITIONS,
+)
 
 D1, D2 = dt.date(2024, 1, 1), dt.date(2024, 1, 2)
 SCHEMA = (
@@ -178,7 +185,6 @@ def test_view_over_history_and_current_facts(spark, tmp_path):
     layout = Layout(str(tmp_path))
     write_stats(spark, layout, [("a", "us", 1, 5, 0, 0, D1, 1, "f")])
     history = stats_frame(spark, [("a", "us", 2, 9, 0, 0, None, None, "h"), ("h", "us", 2, 1, 0, 0, None, None, "h")])
-    from tidemark.schemas import SILVER_HISTORY, SILVER_HISTORY_PARTITIONS
     sinks.replace_dataset(ops.conform(history, SILVER_HISTORY), layout.history, SILVER_HISTORY_PARTITIONS)
     names = sinks.register_tables(spark, layout, "view_")
     for temporary, view in ((True, "view_temp"), (False, "view_all")):
@@ -208,3 +214,5 @@ def test_run_latest_end_to_end_is_idempotent(spark, tmp_path):
     assert results[0]["category_engagement"] == [("One", 30, None, None, None, "1")]
     assert results[0]["video_rankings"] == [("a", "T", "One", "us", 20, 1, "1")]
     assert spark.table(outcome["tables"]["all_stats"]).count() == 2
+    assert spark.table(outcome["tables"]["reference"]).count() == 1
+    assert spark.table(outcome["tables"]["video_rankings"]).first().video_id == "a"

@@ -1,5 +1,6 @@
 """Composite jobs: layer to layer."""
 
+from tidemark.layout import Layout
 from tidemark.plans.dimension import merge_reference, upsert_reference
 from tidemark.plans.gold import (
     category_engagement,
@@ -10,7 +11,6 @@ from tidemark.plans.gold import (
     video_rankings,
 )
 from tidemark.plans.jobs import run_latest
-from tidemark.plans.layout import Layout
 from tidemark.plans.silver import (
     bronze_csv_to_silver,
     bronze_json_to_silver,

@@ -26,11 +26,14 @@ def _standard_keys(df: DataFrame) -> DataFrame:
     )
 
 
-def merge_reference(existing: DataFrame, incoming: DataFrame, order: Sequence[str] = ("source_file", POS)) -> DataFrame:
-    """The dimension after an upsert of tagged incoming rows on ``(region, id)``.
+# The newer run wins; within one run the last file, and in it the last position.
+NEWEST = ("ingestion_timestamp", "source_file", POS)
 
-    Within the incoming rows the last file wins, and in it the last position.
-    """
+
+def merge_reference(
+    existing: DataFrame, incoming: DataFrame, order: Sequence[str] = NEWEST
+) -> DataFrame:
+    """The dimension after an upsert of tagged incoming rows on ``(region, id)``."""
     stored = _standard_keys(normalize_columns(existing))
     known = [c for c in order if c in incoming.columns]
     return require_unique_columns(upsert(stored, incoming, REFERENCE_KEYS, known).drop(POS))
@@ -95,7 +98,9 @@ def upsert_reference(
     return final
 
 
-def replace_regions(df: DataFrame, target: str, key: Sequence[str] = ("id",), order: Sequence[str] = ("source_file", POS)) -> None:
+def replace_regions(
+    df: DataFrame, target: str, key: Sequence[str] = ("id",), order: Sequence[str] = NEWEST
+) -> None:
     """Older form of the dimension load: the last row per id and region replaces the region."""
     known = [c for c in order if c in df.columns]
     write_partitions(keep_last(df, ["region", *key], known).drop(POS), target, REFERENCE_PARTITIONS)

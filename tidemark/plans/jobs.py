@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from tidemark.layout import Layout
 from tidemark.operators.keys import Batch
 from tidemark.plans.gold import silver_to_gold
-from tidemark.plans.layout import Layout
 from tidemark.plans.silver import bronze_json_to_silver
 from tidemark.sinks.catalog import create_all_stats_view, register_tables
 from tidemark.sources.discovery import discover_latest_batch

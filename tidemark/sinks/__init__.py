@@ -4,6 +4,7 @@ from tidemark.sinks.catalog import (
     create_all_stats_view,
     create_csv_table,
     create_table,
+    register_evolving,
     register_tables,
     register_views,
     repair_table,
@@ -19,6 +20,7 @@ __all__ = [
     "envelope_report",
     "land_envelopes",
     "land_reference",
+    "register_evolving",
     "register_tables",
     "register_views",
     "repair_table",

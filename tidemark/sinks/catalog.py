@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from tidemark.operators.keys import Batch, batch_slice
 from tidemark.operators.merge import union_history
+from tidemark.layout import Layout
 from tidemark.schemas import (
     ALL_STATS,
     BRONZE_CSV,
@@ -84,20 +85,43 @@ def register_views(stats: DataFrame, reference: DataFrame, batch: Batch) -> None
     batch_slice(stats, batch).createOrReplaceTempView("new_batch")
 
 
-def register_tables(spark: SparkSession, layout, prefix: str = "") -> dict[str, str]:
-    """Create and repair every table of a :class:`tidemark.plans.layout.Layout`.
+def register_evolving(spark: SparkSession, name: str, location: str) -> None:
+    """Register a dataset whose columns evolve, under the columns its files have now.
 
-    Returns the table name per layer table.
+    Only the definition is replaced; the files belong to the location.
+    """
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    spark.sql(
+        f"CREATE TABLE {name} USING parquet OPTIONS (mergeSchema 'true') LOCATION '{location}'"
+    )
+    repair_table(spark, name)
+
+
+# Table name per stored dataset.
+TABLE_NAMES = {
+    "stats": "video_statistics_v2",
+    "history": "video_statistics",
+    "reference": "silver_reference_data",
+    **{name: f"gold_{name}" for name in GOLD},
+}
+
+
+def register_tables(spark: SparkSession, layout: Layout, prefix: str = "") -> dict[str, str]:
+    """Create and repair the table of every dataset below a layout.
+
+    Returns the table name per dataset, each with ``prefix``. The dimension is registered once it
+    exists, since its columns come from its files.
     """
     tables = {
         "stats": (SILVER_STATS, SILVER_STATS_PARTITIONS, layout.stats),
         "history": (SILVER_HISTORY, SILVER_HISTORY_PARTITIONS, layout.history),
         **{name: (*GOLD[name], layout.gold(name)) for name in GOLD},
     }
-    names = {}
+    names = {key: prefix + name for key, name in TABLE_NAMES.items()}
     for key, (schema, by, location) in tables.items():
-        names[key] = prefix + (f"gold_{key}" if key in GOLD else f"silver_{key}")
         create_table(spark, names[key], schema, location, by)
         if path_exists(spark, location):
             repair_table(spark, names[key])
+    if path_exists(spark, layout.reference):
+        register_evolving(spark, names["reference"], layout.reference)
     return names

@@ -251,6 +251,24 @@ ORACLE: dict[str, str] = {
             ORDER BY CASE WHEN event_id % 2 = 1 THEN ingestion_date END DESC NULLS LAST,
                      CASE WHEN event_id % 2 = 1 THEN ingestion_hour END DESC NULLS LAST,
                      event_id DESC) = 1""",
+    "performance_over_history": _with(
+        STATS.replace("latest AS (", "latest_stats AS ("),
+        FLAT,
+        REFERENCE,
+        """
+latest AS (
+  SELECT * FROM (
+    SELECT video_id, region, title, category_id, views, likes, comment_count,
+           CAST(NULL AS DATE) AS trending_date, ingestion_date, ingestion_hour FROM stats
+    UNION ALL
+    SELECT video_id, region, title, category_id, views, likes, comment_count, trending_date, NULL, NULL FROM flat)
+  QUALIFY row_number() OVER (
+    PARTITION BY video_id, region
+    ORDER BY ingestion_date DESC NULLS LAST, ingestion_hour DESC NULLS LAST,
+             trending_date DESC NULLS LAST, title DESC) = 1
+)""",
+    )
+    + _performance(""),
     "json_extract_cast": _with(ITEMS)
     + """ SELECT event_id, raw_id AS video_id, category_id, tags, thumbnail_link AS url, views, dislikes,
                  CAST(NULL AS BIGINT) AS absent FROM raw""",
@@ -344,6 +362,11 @@ ORACLE: dict[str, str] = {
     + """ SELECT region, CAST(category_id AS VARCHAR) AS category_id, count(*) AS n FROM stats
           WHERE (category_id < 10 AND category_id <> 3) OR (category_id >= 10 AND ingestion_date < DATE '2024-01-16')
           GROUP BY region, category_id""",
+    "evolving_table": _with(REFERENCE)
+    + """ SELECT region, id, snippet_title, balance, pos FROM reference WHERE region IN ('asia', 'europe')
+          UNION ALL
+          SELECT region, id, snippet_title, NULL, pos FROM supplier_ref WHERE region NOT IN ('asia', 'europe')
+          QUALIFY row_number() OVER (PARTITION BY region, id ORDER BY pos DESC) = 1""",
     "overwrite_modes": _with(STATS)
     + """ , counts AS (SELECT region, CAST(category_id AS VARCHAR) AS category_id, count(*) AS n
                        FROM stats GROUP BY region, category_id)

@@ -47,8 +47,9 @@ def plain(df: DataFrame) -> DataFrame:
     def text(field: T.StructField):
         if isinstance(field.dataType, T.DateType):
             return F.col(field.name).cast("string").alias(field.name)
-        if isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType)):
-            return F.date_format(field.name, "yyyy-MM-dd HH:mm:ss").alias(field.name)
+        if isinstance(field.dataType, T.TimestampType):
+            utc = F.to_utc_timestamp(field.name, F.current_timezone())
+            return F.date_format(utc, "yyyy-MM-dd HH:mm:ss").alias(field.name)
         return F.col(field.name)
 
     return df.select(*[text(f) for f in df.schema])
@@ -259,6 +260,14 @@ def latest_over_history(spark: SparkSession, sf: str) -> DataFrame:
     return plans.latest_snapshots(both)
 
 
+@query
+def performance_over_history(spark: SparkSession, sf: str) -> DataFrame:
+    """Category performance over flat history and current facts together."""
+    history = plans.csv_to_rows(_with_file(adapter.flat_text(spark, sf)))
+    both = ops.union_history(history, adapter.stats(spark, sf))
+    return plans.category_performance(plans.latest_snapshots(both), _dim(spark, sf))
+
+
 # --- Reshaping and casts ------------------------------------------------------------------
 
 
@@ -632,6 +641,19 @@ def incremental_replace(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(_COUNT_SCHEMA).parquet(path)
 
 
+@query
+def evolving_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered dimension shows columns that only newer files have."""
+    target, name = scratch(spark), _name("dim")
+    old = adapter.reference_rows(spark, sf, "supplier").drop("balance")
+    sinks.write_partitions(ops.keep_last(old, ["region", "id"], ["pos"]), target, ["region"])
+    sinks.register_evolving(spark, name, target)
+    new = _reference(spark, sf).filter("region in ('asia', 'europe')")
+    sinks.write_partitions(new, target, ["region"])
+    sinks.register_evolving(spark, name, target)
+    return spark.table(name).select("region", "id", "snippet_title", "balance", "pos")
+
+
 @query
 def overwrite_modes(spark: SparkSession, sf: str) -> DataFrame:
     """Dynamic overwrite leaves other partitions alone, static overwrite does not."""
