@@ -92,6 +92,19 @@ def test_stored_regions_of_another_form_are_merged(spark, raw, target):
     assert titles == {("us", "1"): "New", ("us", "2"): "Kept"}
 
 
+def test_stored_names_of_another_form_are_merged(spark, raw, target):
+    old = spark.createDataFrame(
+        [("1", "Old", "k1", "us"), ("2", "Kept", "k2", "in")],
+        "id string, snippet_title string, `_source_file` string, region string",
+    )
+    old.write.partitionBy("region").parquet(target)
+    put(raw, "us", [category("1", "New")])
+    plans.upsert_reference(spark, str(raw), target, STAMP)
+    rows = table(spark, target)
+    assert {k: v["snippet_title"] for k, v in rows.items()} == {("us", "1"): "New", ("in", "2"): "Kept"}
+    assert rows["in", "2"]["source_file"] == "k2" and "_source_file" not in rows["in", "2"]
+
+
 def test_bare_objects_and_unknown_region(spark, raw, target):
     put(raw, "us", [category("1", "A")])
     put(raw, None, document={"id": "9", "snippet": {"title": "Bare"}})

@@ -115,5 +115,9 @@ def lookup_dim(facts: DataFrame, dim: DataFrame, key: str = "category_id") -> Da
 
 def keys_missing_from(facts: DataFrame, dim: DataFrame, key: str = "category_id") -> DataFrame:
     """Fact rows per key which has no dimension row (they never reach an inner-joined report)."""
-    counts = facts.dropna(subset=[key]).groupBy(F.col(key).cast("string").alias(key)).agg(F.count(F.lit(1)).alias("fact_rows"))
+    counts = (
+        facts.dropna(subset=[key])
+        .groupBy(F.col(key).cast("string").alias(key))
+        .agg(F.count(F.lit(1)).alias("fact_rows"))
+    )
     return counts.join(dim.select(key), key, "left_anti")

@@ -25,7 +25,9 @@ def concat_evolving(first: DataFrame, second: DataFrame) -> DataFrame:
             return df
         return df.select(
             *[
-                as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name) if f.name in differing else F.col(f"`{f.name}`")
+                as_text(F.col(f"`{f.name}`"), f.dataType).alias(f.name)
+                if f.name in differing
+                else F.col(f"`{f.name}`")
                 for f in df.schema
             ]
         )

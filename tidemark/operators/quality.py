@@ -46,7 +46,8 @@ def quality_counts(df: DataFrame, nonblank: Sequence[str], keys: Sequence[str])
     failed = F.lit(None).cast("string")
     for column in reversed(list(nonblank)):
         failed = F.when(is_blank(F.col(column)), F.lit(column)).otherwise(failed)
-    per_key = df.withColumn("__failed", failed).groupBy("__failed", *keys).agg(F.count(F.lit(1)).alias("n"))
+    tagged = df.withColumn("__failed", failed)
+    per_key = tagged.groupBy("__failed", *keys).agg(F.count(F.lit(1)).alias("n"))
 
     def total(value: Column, when: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, value)), F.lit(0)).cast("bigint")

@@ -20,7 +20,9 @@ _RANK = "__rank"
 _SPLIT = "__split"
 
 
-def _rank_at_most(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str) -> DataFrame:
+def _rank_at_most(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str
+) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 
@@ -63,7 +65,12 @@ def dedupe(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFram
     return top_k(df, keys, [F.col(c).asc_nulls_last() for c in order])
 
 
-def canonical_dim(reference: DataFrame, key: str = "id", name: str = "snippet_title", order: Sequence[str] = ("region",)) -> DataFrame:
+def canonical_dim(
+    reference: DataFrame,
+    key: str = "id",
+    name: str = "snippet_title",
+    order: Sequence[str] = ("region",),
+) -> DataFrame:
     """One ``(category_id, category_name)`` row per key: the name of the lowest ``order`` row.
 
     Two columns and the order travel, so a plain minimum per key does it: it combines on the map

@@ -12,7 +12,9 @@ from pyspark.sql import types as T
 from tidemark.functions.casts import safe_cast
 
 
-def explode_items(df: DataFrame, items: str = "items", alias: str = "item", position: str = "_pos") -> DataFrame:
+def explode_items(
+    df: DataFrame, items: str = "items", alias: str = "item", position: str = "_pos"
+) -> DataFrame:
     """One row per array element with its position; an empty or NULL array gives no row."""
     kept = [c for c in df.columns if c != items]
     return df.select(*kept, F.posexplode(items).alias(position, alias))
@@ -30,13 +32,19 @@ def _path_schema(paths: Sequence[tuple[str, ...]]) -> T.StructType:
     return out
 
 
-def extract_json(df: DataFrame, column: str, fields: Mapping[str, tuple[str, str]], *keep: str) -> DataFrame:
+def extract_json(
+    df: DataFrame, column: str, fields: Mapping[str, tuple[str, str]], *keep: str
+) -> DataFrame:
     """Extract ``{name: (json path, type)}`` from JSON text; absent or unreadable gives NULL.
 
     Objects and arrays come as JSON text. All plain paths (``$.a.b``) are read in one parse of the
     document; a path with subscripts, or one that leads to another path's object, costs one more.
     """
-    plain = {name: tuple(path[2:].split(".")) for name, (path, _) in fields.items() if _PLAIN_PATH.match(path)}
+    plain = {
+        name: tuple(path[2:].split("."))
+        for name, (path, _) in fields.items()
+        if _PLAIN_PATH.match(path)
+    }
     inner = {parts[:n] for parts in plain.values() for n in range(1, len(parts))}
     plain = {name: parts for name, parts in plain.items() if parts not in inner}
 
@@ -112,7 +120,9 @@ def normalize_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     def merged(positions: list[int]) -> Column:
         same = len({types[i].simpleString() for i in positions}) == 1
         cols = [F.col(f"c{i}") for i in positions]
-        return F.coalesce(*(cols if same else [as_text(c, types[i]) for c, i in zip(cols, positions)]))
+        if not same:
+            cols = [as_text(c, types[i]) for c, i in zip(cols, positions)]
+        return F.coalesce(*cols)
 
     ordered = sorted(groups.items(), key=lambda item: len(item[1]) > 1)
     return positional.select(

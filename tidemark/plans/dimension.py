@@ -39,12 +39,14 @@ def merge_reference(
     return require_unique_columns(upsert(stored, incoming, REFERENCE_KEYS, known).drop(POS))
 
 
-def _same_types(existing: DataFrame, incoming: DataFrame) -> bool:
+def _files_can_stay(existing: DataFrame, incoming: DataFrame) -> bool:
+    """Whether files of untouched regions agree with the merged rows: same column names and types,
+    and regions in normal form."""
     stored = {f.name: f.dataType for f in existing.schema}
-    return all(stored.get(f.name, f.dataType) == f.dataType for f in incoming.schema)
-
-
-def _regions_in_normal_form(existing: DataFrame) -> bool:
+    if normalize_columns(existing).columns != existing.columns:
+        return False
+    if any(stored.get(f.name, f.dataType) != f.dataType for f in incoming.schema):
+        return False
     region = F.col("region")
     odd = region.isNull() | (region != F.lower(strip(region.cast("string"))))
     return existing.filter(odd).isEmpty()
@@ -59,8 +61,8 @@ def upsert_reference(
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
     All files are merged in one job. Only the regions they touch are rewritten. The whole dataset
-    is when stored regions are not in normal form, or when a column changes its type (files of
-    untouched regions would keep the old one). The merged rows are written to the shared folder
+    is when stored names or regions are not in normal form, or when a column changes its type
+    (files of untouched regions would keep the old one). Merged rows are written to the shared folder
     before the target is replaced, since a job must not overwrite what it is reading; after a
     failure they are still there.
 
@@ -74,11 +76,11 @@ def upsert_reference(
     report = stage(report, f"{work}/report")
     usable = report.filter(F.col("error").isNull())
     if usable.isEmpty():
-        return report.withColumn("final_rows", F.lit(0).cast("bigint"))
+        return report.select(*report.columns[:-1], F.lit(0).cast("bigint").alias("final_rows"), "error")
 
     incoming = stage(reference_items(documents, stamp), f"{work}/incoming")
     existing = read_or_empty(spark, target, REFERENCE)
-    by_region = _same_types(existing, incoming) and _regions_in_normal_form(existing)
+    by_region = _files_can_stay(existing, incoming)
     if by_region:
         existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
     merged = stage(merge_reference(existing, incoming), f"{work}/merged")

@@ -120,7 +120,7 @@ def fetched(spark: SparkSession, sf: str) -> DataFrame:
     )
     items = F.transform(
         F.array_sort(F.collect_list("item")),
-        lambda item: F.struct(item["id"].alias("id"), item["snippet"].alias("snippet"), item["statistics"].alias("statistics")),
+        lambda item: F.struct(*[item[c].alias(c) for c in ("id", "snippet", "statistics")]),
     )
     return (
         raw_items(spark, sf)

@@ -341,13 +341,14 @@ def safe_cast_numbers(spark: SparkSession, sf: str) -> DataFrame:
     """Padded whole numbers parse; fractions, exponents and blanks give NULL."""
     lines = adapter.table(spark, sf, "lineitem")
     padded = F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" "))
+    number = F.col("l_linenumber").cast("string")
     return lines.groupBy("l_returnflag").agg(
         F.sum(to_long(padded)).alias("keys"),
-        F.sum(to_int(F.col("l_linenumber").cast("string"))).alias("lines"),
-        F.count(to_long(F.concat(F.col("l_linenumber").cast("string"), F.lit("e3")))).alias("exponents"),
-        F.count(to_int(F.concat(F.col("l_linenumber").cast("string"), F.lit(".5")))).alias("fractions"),
+        F.sum(to_int(number)).alias("lines"),
+        F.count(to_long(F.concat(number, F.lit("e3")))).alias("exponents"),
+        F.count(to_int(F.concat(number, F.lit(".5")))).alias("fractions"),
         F.count(to_int(F.lit(""))).alias("blanks"),
-        F.count(to_int(F.concat(F.lit("9999999"), F.lpad(F.col("l_linenumber").cast("string"), 4, "0")))).alias("overflows"),
+        F.count(to_int(F.concat(F.lit("9999999"), F.lpad(number, 4, "0")))).alias("overflows"),
     )
 
 
@@ -703,6 +704,10 @@ def sql_over_views(spark: SparkSession, sf: str) -> DataFrame:
 # --- The whole run ------------------------------------------------------------------------
 
 
+def _column_or_null(df: DataFrame, name: str, kind: str):
+    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+
+
 def _long_form(spark: SparkSession, layout: plans.Layout) -> DataFrame:
     """The four Gold tables as one: table, key columns and total views (or rank and views)."""
     frames = []
@@ -714,8 +719,8 @@ def _long_form(spark: SparkSession, layout: plans.Layout) -> DataFrame:
                 F.lit(name).alias("report"),
                 "category_id",
                 "category_name",
-                (F.col("region") if "region" in df.columns else F.lit(None).cast("string")).alias("region"),
-                (F.col("video_rank") if "video_rank" in df.columns else F.lit(None).cast("bigint")).alias("video_rank"),
+                _column_or_null(df, "region", "string"),
+                _column_or_null(df, "video_rank", "bigint"),
                 F.col(value).alias("views"),
             )
         )
