@@ -90,6 +90,33 @@ def test_a_hot_partition_is_written_by_several_tasks(spark, tmp_path):
             spark.conf.set(key, value)
 
 
+def shuffled_rows(spark, df):
+    """Rows written to shuffles while ``df`` runs."""
+    sc = spark.sparkContext
+
+    def written():
+        none = sc._gateway.new_array(sc._gateway.jvm.double, 0)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, spark._jvm.java.util.ArrayList())
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    df.write.format("noop").mode("overwrite").save()
+    # Stage totals arrive through a listener.
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(rows for stage, rows in written().items() if stage not in before)
+
+
+def test_a_hot_key_crosses_the_shuffle_as_a_few_rows(spark):
+    """A third of 30,000 rows in one key: each of 8 map tasks forwards k rows per key."""
+    df = spark.range(30000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 10).alias("key"), "id"
+    )
+    keys, tasks = 10, 8
+    assert 0 < shuffled_rows(spark, ops.latest_by(df, ["key"], ["id"])) <= keys * tasks
+    assert 0 < shuffled_rows(spark, ops.top_k(df, ["key"], [F.col("id").desc()], 3)) <= 3 * keys * tasks
+    assert 0 < shuffled_rows(spark, ops.quality_counts(df.selectExpr("cast(key as string) k"), ["k"], ["k"])) <= 2 * keys * tasks
+
+
 def test_entry(spark):
     df = entry_module.entry(spark)
     assert df.columns[-1] == "category_id" and df.count() == 3
