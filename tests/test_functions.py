@@ -67,6 +67,7 @@ def test_instants_do_not_depend_on_the_session_zone(spark):
 def test_instants_of_another_format_are_null(spark):
     assert one(spark, to_instant(F.lit("2026-08-13T17:42:06Z"), CSV_INSTANT)) is None
     assert one(spark, to_instant(F.lit("13/08/2026"))) is None
+    assert one(spark, to_instant(F.lit(" 2026-08-13T17:42:06Z"))) is None
 
 
 def test_rate_is_null_for_zero_and_rounds_half_up(spark):

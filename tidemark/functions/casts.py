@@ -53,5 +53,5 @@ def to_day(value: Column, fmt: str = CSV_DAY) -> Column:
 
 
 def to_instant(value: Column, fmt: str = JSON_INSTANT) -> Column:
-    text = F.trim(value)
-    return _shaped(text, _SHAPES.get(fmt), F.try_to_timestamp(text, F.lit(fmt)))
+    """Padding is not accepted here; trim the text first where its source pads it."""
+    return _shaped(value, _SHAPES.get(fmt), F.try_to_timestamp(value, F.lit(fmt)))

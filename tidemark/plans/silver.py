@@ -107,7 +107,7 @@ def csv_to_rows(flat: DataFrame) -> DataFrame:
         "channel_title",
         to_day(F.col("trending_date")).alias("trending_date"),
         to_int(F.col("category_id")).alias("category_id"),
-        to_instant(F.col("publish_time"), CSV_INSTANT).alias("publish_time"),
+        to_instant(F.trim("publish_time"), CSV_INSTANT).alias("publish_time"),
         "tags",
         *[to_long(F.col(c)).alias(c) for c in ("views", "likes", "dislikes", "comment_count")],
         "thumbnail_link",
