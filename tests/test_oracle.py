@@ -5,9 +5,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-import __spark_entry__ as entry_module
-
-QUERIES, SQL = entry_module.queries(), entry_module.oracle_sql()
+from workload.oracle import ORACLE as SQL
+from workload.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
