@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
+from tidemark.llm.mixing import mix_sources, taken_words
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,3 +29,79 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of near-duplicate documents on shingles of four words."""
     return near_duplicates(table(spark, sf, "documents"), width=4)
+
+
+@query
+def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents mixed to the sources' target weights: words taken of each."""
+    return taken_words(mix_sources(table(spark, sf, "documents")))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that three documents or more share, dropped from all but the last of them."""
+    kept = drop_shared_lines(table(spark, sf, "documents"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLE["op9_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
+), each AS (
+  SELECT doc_id, unnest(range(1, len(l) + 1)) AS pos, unnest(l) AS line FROM lines
+), keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM each
+), shared AS (
+  SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
+  GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+  SELECT doc_id, pos, line, keeper IS NOT NULL AND keeper != doc_id AS dropped FROM keyed LEFT JOIN shared USING (k)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+ORACLE["op6_mix_sources"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size FROM documents
+), totals AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS s,
+    row_number() OVER (ORDER BY source IS NULL, source) - 1 AS src
+  FROM sized GROUP BY source
+), weighed AS (
+  SELECT *, CASE src % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, 2.0::DOUBLE * s AS cap FROM totals
+), levelled AS (
+  SELECT *, (1.5::DOUBLE * sum(s) OVER () - coalesce(sum(cap) OVER ahead, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER ahead, 0)) AS level,
+    row_number() OVER (ORDER BY s / w, src) AS nth
+  FROM weighed WINDOW ahead AS (ORDER BY s / w, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), first AS (
+  SELECT arg_min(level, nth) AS level, min(nth) AS nth FROM levelled WHERE cap >= level * w
+), targets AS (
+  SELECT source, src, s, CASE WHEN l.nth < f.nth THEN cap ELSE f.level * w END AS target FROM levelled l, first f
+), plan AS (
+  SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal, (s + 1023) // 1024 AS blocks FROM targets
+), split AS (
+  SELECT *, CASE WHEN s = 0 THEN 0 ELSE goal // s END AS whole,
+    CASE WHEN s = 0 THEN 0 ELSE goal % s END AS rest FROM plan
+), placed AS (
+  SELECT d.*, src, s, target, blocks, whole, rest, coalesce(sum(size) OVER (
+    PARTITION BY src ORDER BY md5(doc_id::VARCHAR), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
+  FROM sized d JOIN split p ON d.source IS NOT DISTINCT FROM p.source
+), pieces AS (
+  SELECT *, unnest(range(off // 1024, (off + size - 1) // 1024 + 1)) AS block FROM placed WHERE size > 0
+), mapped AS (
+  SELECT *, CASE WHEN block = blocks - 1 THEN block
+    ELSE (block * (CASE WHEN (blocks - 1) % 1000003 != 0 THEN 1000003 ELSE 1000033 END) + 7919 * (src + 1)) % (blocks - 1) END AS nth,
+    greatest(off, block * 1024) AS a, least(off + size, (block + 1) * 1024) AS z
+  FROM pieces
+), words AS (
+  SELECT src, off, sum(whole * (z - a) + CASE WHEN nth < rest // 1024 THEN z - a
+    WHEN nth = rest // 1024 THEN greatest(0, least(z - a, rest % 1024 - (a - block * 1024))) ELSE 0 END) AS taken
+  FROM mapped GROUP BY src, off
+)
+SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
+  CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END::BIGINT AS taken
+FROM placed LEFT JOIN words ON placed.src = words.src AND placed.off = words.off AND placed.size > 0
+"""
