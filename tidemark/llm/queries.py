@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import round_trip
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
@@ -37,6 +39,12 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return taken_words(mix_sources(table(spark, sf, "documents")))
 
 
+@query
+def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts encoded with the byte-level BPE of 50,257 tokens, and decoded."""
+    return round_trip(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Lines that three documents or more share, dropped from all but the last of them."""
