@@ -12,6 +12,7 @@ from tidemark.llm.bpe import round_trip
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
+from tidemark.llm.quality import score_quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -27,6 +28,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored for quality."""
+    return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of near-duplicate documents on shingles of four words."""
