@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import round_trip
+from tidemark.llm.html import extract_text
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
@@ -40,6 +41,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), width=4)
 
 
+@query
+def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of all pages."""
+    return extract_text(table(spark, sf, "pages"))
+
+
 @query
 def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     """All documents mixed to the sources' target weights: words taken of each."""
