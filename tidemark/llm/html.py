@@ -74,6 +74,20 @@ LABELLED = [
     (6, 1.00, 70, 0.00, 30, 0.00, 1, 0, 0, 1),
     (2, 1.00, 1, 0.00, 2, 1.00, 1, 0, 0, 1),
     (200, 0.01, 3, 1.00, 3, 1.00, 1, 0, 0, 1),
+    (2, 0.00, 1, 0.00, 30, 0.00, 1, 0, 1, 1),
+    (5, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1),
+    (4, 0.00, 2, 1.00, 9, 0.00, 1, 0, 1, 1),
+    (7, 0.20, 5, 0.00, 6, 1.00, 1, 0, 0, 1),
+    (8, 0.00, 8, 0.00, 4, 0.00, 1, 0, 0, 1),
+    (6, 0.00, 60, 0.00, 0, 0.00, 1, 0, 0, 1),
+    (1, 1.00, 3, 0.00, 3, 0.00, 1, 0, 0, 1),
+    (5, 0.80, 40, 0.10, 7, 0.00, 1, 0, 0, 1),
+    (9, 0.90, 2, 0.00, 90, 0.00, 1, 0, 0, 1),
+    (30, 0.70, 30, 0.00, 8, 1.00, 1, 0, 0, 1),
+    (3, 0.00, 70, 0.00, 12, 0.00, 1, 0, 0, 1),
+    (4, 0.00, 10, 0.00, 1, 1.00, 1, 0, 0, 1),
+    (2, 0.00, 0, 0.00, 2, 1.00, 1, 0, 0, 1),
+    (20, 0.00, 1, 1.00, 0, 0.00, 1, 0, 0, 1),
     # regions aside, in an article or not
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0),
     (2, 1.00, 0, 0.00, 2, 1.00, 0, 1, 0, 0),
@@ -108,7 +122,7 @@ LABELLED = [
     (14, 1.00, 2, 0.00, 20, 0.00, 0, 0, 0, 0),
     (30, 0.80, 60, 0.00, 60, 0.00, 0, 0, 0, 0),
     (2, 1.00, 60, 0.00, 60, 0.00, 0, 0, 0, 0),
-    (1, 1, 1.00, 2, 1.00, 0, 0, 0, 0),
+    (1, 1.00, 1, 1.00, 2, 1.00, 0, 0, 0, 0),
     (3, 1.00, 0, 0.00, 1, 1.00, 0, 0, 0, 0),
     (2, 0.00, 1, 1.00, 3, 1.00, 0, 0, 0, 0),
     (5, 0.60, 70, 0.00, 4, 0.80, 0, 0, 0, 0),
