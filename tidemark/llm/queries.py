@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.bpe import round_trip
+from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.html import extract_text
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
@@ -66,6 +67,12 @@ def op9_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """Groups of vectors with a cosine of 0.95 or more."""
+    return near_vectors(table(spark, sf, "embeddings"))
+
+
 ORACLE["op9_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
