@@ -27,6 +27,7 @@ seed, same mix. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -73,46 +74,62 @@ def source_targets(sized: DataFrame, share: float = 1.5, weights: tuple[int, ...
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once for each row."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _hypergeometric(total: Column, marked: Column, drawn: Column, uniform: Column) -> Column:
     """How many of ``marked`` among ``total`` are in a draw of ``drawn``: inverse of the distribution.
 
     Walks up from eight deviations below the mode to eight above, weights by their ratios.
     """
-    total, marked, drawn = (c.cast("double") for c in (total, marked, drawn))
-    low = F.greatest(F.lit(0.0), drawn - (total - marked))
-    high = F.least(marked, drawn)
-    mode = F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("double")
-    deviation = F.sqrt(drawn * (marked / total) * (1 - marked / total) * (total - drawn) / F.greatest(total - 1, F.lit(1.0)))
-    reach = F.ceil(8 * deviation) + 8
-    start = F.greatest(low, mode - reach)
-    stop = F.least(high, mode + reach)
-
-    def ratio(x: Column) -> Column:
-        return (marked - x) * (drawn - x) / ((x + 1) * (total - marked - drawn + x + 1))
-
-    steps = F.when(stop > start, F.sequence(start.cast("long"), stop.cast("long") - 1)).otherwise(
-        F.array().cast("array<long>")
-    )
-
-    def grow(s: Column, x: Column) -> Column:
-        w = s["w"] * ratio(x.cast("double"))
-        return F.struct(w.alias("w"), (s["sum"] + w).alias("sum"))
-
-    mass = F.aggregate(
-        steps, F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum")), grow, lambda s: s["sum"]
-    )
-    goal = uniform * mass
 
-    def walk(s: Column, x: Column) -> Column:
-        w = s["w"] * ratio(x.cast("double"))
+    def bounds(v: Column) -> Column:
+        n, k, d = v["n"], v["k"], v["d"]
+        mode = F.floor((d + 1) * (k + 1) / (n + 2)).cast("double")
+        deviation = F.sqrt(d * (k / n) * (1 - k / n) * (n - d) / F.greatest(n - 1, F.lit(1.0)))
+        reach = F.ceil(8 * deviation) + 8
         return F.struct(
-            w.alias("w"),
-            (s["sum"] + w).alias("sum"),
-            F.when(s["sum"] < goal, x + 1).otherwise(s["at"]).alias("at"),
+            n.alias("n"),
+            k.alias("k"),
+            d.alias("d"),
+            v["u"].alias("u"),
+            F.greatest(F.lit(0.0), d - (n - k), mode - reach).cast("long").alias("start"),
+            F.least(k, d, mode + reach).cast("long").alias("stop"),
         )
 
-    begun = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), start.cast("long").alias("at"))
-    found = F.aggregate(steps, begun, walk, lambda s: s["at"])
+    def draw(v: Column) -> Column:
+        steps = F.when(v["stop"] > v["start"], F.sequence(v["start"], v["stop"] - 1)).otherwise(
+            F.array().cast("array<long>")
+        )
+        begun = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"))
+
+        def grow(s: Column, x: Column) -> Column:
+            w = s["w"] * ((v["k"] - x) * (v["d"] - x) / ((x + 1) * (v["n"] - v["k"] - v["d"] + x + 1)))
+            return _let(w, lambda w: F.struct(w.alias("w"), (s["sum"] + w).alias("sum")))
+
+        def walk(goal: Column) -> Column:
+            def step(s: Column, x: Column) -> Column:
+                grown = grow(s, x)
+                return _let(
+                    grown,
+                    lambda g: F.struct(
+                        g["w"].alias("w"),
+                        g["sum"].alias("sum"),
+                        F.when(s["sum"] < goal, x + 1).otherwise(s["at"]).alias("at"),
+                    ),
+                )
+
+            first = F.struct(F.lit(1.0).alias("w"), F.lit(1.0).alias("sum"), v["start"].alias("at"))
+            return F.aggregate(steps, first, step, lambda s: s["at"])
+
+        return _let(F.aggregate(steps, begun, grow, lambda s: s["sum"]) * v["u"], walk)
+
+    given = F.struct(
+        total.cast("double").alias("n"), marked.cast("double").alias("k"), drawn.cast("double").alias("d"), uniform.alias("u")
+    )
+    found = _let(given, lambda v: _let(bounds(v), draw))
     return F.when(total > 0, found).otherwise(F.lit(0)).cast("long")
 
 
@@ -132,12 +149,15 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = 1) -> DataFrame:
 
     def take(s: Column, q: Column) -> Column:
         n = q["until"] - q["begin"]
-        x = _hypergeometric(s["total"], n, s["left"], _uniform(F.lit(seed), s["salt"], q["src"]))
-        return F.struct(
-            (s["total"] - n).alias("total"),
-            (s["left"] - x).alias("left"),
-            s["salt"].alias("salt"),
-            F.concat(s["cuts"], F.array(q["begin"] + x)).alias("cuts"),
+        drawn = _hypergeometric(s["total"], n, s["left"], _uniform(F.lit(seed), s["salt"], q["src"]))
+        return _let(
+            drawn,
+            lambda x: F.struct(
+                (s["total"] - n).alias("total"),
+                (s["left"] - x).alias("left"),
+                s["salt"].alias("salt"),
+                F.concat(s["cuts"], F.array(q["begin"] + x)).alias("cuts"),
+            ),
         )
 
     for level in range(levels):
@@ -155,7 +175,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int = 1) -> DataFrame:
             (F.col("node") * 2 + F.col("side")).alias("node"), "quota"
         )
         if level % 4 == 3:  # short plans, and enough tasks for the levels below
-            nodes = stage(nodes.repartition(min(2 ** (level + 1), 512), "node"), f"{root}/{level}")
+            nodes = stage(nodes.repartition("node"), f"{root}/{level}")
     return nodes.select(F.col("node").alias("shard"), F.explode("quota").alias("q")).select(
         "shard", "q.src", "q.begin", "q.until"
     )
@@ -244,7 +264,7 @@ def mix_sources(
         .withColumn("n_words", F.least(F.col("n"), F.col("limit") - (F.col("from") - F.col("block") * b)))
         .filter("n_words > 0")
     )
-    drawn = pieces.join(shard_of, ["src", "draw"]).select(
+    drawn = pieces.join(shard_of.hint("merge"), ["src", "draw"]).select(
         "doc_id",
         "src",
         "offset",
