@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.bpe import round_trip
 from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.html import extract_text
+from tidemark.llm.kmtree import nearest
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
@@ -36,6 +37,12 @@ def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
     return score_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
 
 
+@query
+def op2_nearest_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 nearest of each vector whose id is divisible by 20, by inner product."""
+    return nearest(table(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 @query
 def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """Groups of near-duplicate documents on shingles of four words."""
