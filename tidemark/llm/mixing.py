@@ -293,43 +293,37 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
 
     Only documents at the edges of the blocks of the last pass are cut.
     """
-    ranges = (
-        mix.drawn.groupBy("doc_id", "src", "offset", "copy")
+    key = [
+        F.xxhash64("doc_id", "source", "_words").alias("_k1"),
+        F.xxhash64(F.lit(5), "doc_id", "source", "_words").alias("_k2"),
+    ]
+    copies = (
+        mix.drawn.groupBy("src", "offset", "copy")
         .agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_ranges"), F.sum("n_words").alias("_n"))
-        .join(mix.sizes.select("src", "offset", "size", "source"), ["src", "offset"])
-        .filter("size > 0")
+        .join(mix.sizes.filter("size > 0").withColumnRenamed("size", "_words"), ["src", "offset"])
+        .select(*key, "offset", F.struct("_ranges", "_n").alias("_copy"))
     )
     # Rows that share doc_id, source and size can take each other's place.
-    same = Window.partitionBy("_doc", "_source", "_size").orderBy("offset")
-    wanted = ranges.select(
-        F.col("doc_id").alias("_doc"),
-        F.col("source").alias("_source"),
-        F.col("size").alias("_size"),
-        "offset",
-        "copy",
-        "_ranges",
-        "_n",
-    ).withColumn("_k", F.dense_rank().over(same))
+    row = F.dense_rank().over(Window.partitionBy("_k1", "_k2").orderBy("offset"))
+    wanted = (
+        copies.withColumn("_row", row)
+        .groupBy("_k1", "_k2")
+        .agg(F.collect_list(F.struct("_row", "_copy")).alias("_copies"))
+    )
+    met = (
+        documents.withColumn("_words", word_count(F.col("text")))
+        .select("*", *key)
+        .join(wanted, ["_k1", "_k2"])
+        .withColumn("_row", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy("_k1")))
+        .withColumn("_mine", F.explode(F.filter("_copies", lambda c: c["_row"] == F.col("_row"))))
+    )
     tokens = F.split(F.col("text"), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])")
-    cut = F.aggregate(
-        "_ranges",
-        F.lit(""),
-        lambda s, r: F.concat(
-            s,
-            F.array_join(
-                F.slice(tokens, (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")), ""
-            ),
-        ),
+    slices = F.transform(
+        F.col("_mine")["_copy"]["_ranges"],
+        lambda r: F.array_join(F.slice(F.col("_tokens"), (r["first_word"] + 1).cast("int"), r["n_words"].cast("int")), ""),
     )
-    numbered = documents.withColumn("_words", word_count(F.col("text")))
-    copies = Window.partitionBy("doc_id", "source", "_words").orderBy("doc_id")
-    numbered = numbered.withColumn("_row", F.row_number().over(copies))
-    met = numbered.join(
-        wanted,
-        F.col("doc_id").eqNullSafe(F.col("_doc"))
-        & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.col("_words") == F.col("_size"))
-        & (F.col("_row") == F.col("_k")),
+    whole = F.col("_mine")["_copy"]["_n"] == F.col("_words")
+    cut = met.withColumn("_whole", whole).withColumn("_tokens", F.when(~whole, tokens))
+    return cut.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(slices, ""))).select(
+        *documents.columns
     )
-    text = F.when(F.col("_n") == F.col("_size"), F.col("text")).otherwise(cut)
-    return met.withColumn("text", text).select(*documents.columns)

@@ -281,3 +281,19 @@ def score_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )
+
+
+def keep_quality(documents: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``documents`` that the classifier does not reject; texts are not shuffled."""
+    stats = stage(document_statistics(documents), f"{scratch(documents.sparkSession)}/stats")
+    scorer = fit(stats, labels.select("doc_id", F.col("quality").alias("y")))
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, where = text_bytes(batch.column(at))
+            for first, past, part, starts in chunks(raw, where):
+                kept = scorer(statistics(part, starts)) >= threshold
+                yield batch.slice(first, past - first).filter(pa.array(kept))
+
+    return documents.mapInArrow(run, documents.schema)
