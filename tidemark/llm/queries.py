@@ -13,6 +13,7 @@ from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.html import extract_text
 from tidemark.llm.kmtree import nearest
 from tidemark.llm.lines import drop_shared_lines
+from tidemark.llm.lm import score_documents
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
 from tidemark.llm.quality import score_quality
@@ -61,6 +62,15 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return taken_words(mix_sources(table(spark, sf, "documents")))
 
 
+@query
+def op7_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored by stupid backoff on the counts of all documents."""
+    scored = score_documents(table(spark, sf, "documents"))
+    return scored.select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log")
+    )
+
+
 @query
 def op8_bpe(spark: SparkSession, sf: str) -> DataFrame:
     """All texts encoded with the byte-level BPE of 50,257 tokens, and decoded."""
@@ -141,3 +151,22 @@ SELECT doc_id, size::BIGINT AS size, s AS source_size, target,
   CASE WHEN size = 0 THEN 0 ELSE coalesce(taken, 0) END::BIGINT AS taken
 FROM placed LEFT JOIN words ON placed.src = words.src AND placed.off = words.off AND placed.size > 0
 """
+
+ORACLE["op7_lm_scoring"] = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), words AS (
+  SELECT r, unnest(list_concat([''], w[:-2])) AS a, unnest(w) AS b FROM split WHERE len(w) > 0
+), singles AS (SELECT b AS w, count(*) AS n FROM words GROUP BY b
+), known AS (SELECT w, n FROM singles UNION ALL SELECT '', count(*) FROM split WHERE len(w) > 0
+), pairs AS (SELECT a, b, count(*) AS n FROM words GROUP BY a, b
+), valued AS (
+  SELECT p.a, p.b, CASE WHEN p.n >= 2 THEN ln(p.n) - ln(x.n)
+    ELSE ln(0.4) + ln(y.n) - ln((SELECT sum(n) FROM singles)) END AS v
+  FROM pairs p JOIN known x ON p.a = x.w JOIN known y ON p.b = y.w
+), summed AS (SELECT r, sum(v) AS s FROM words JOIN valued USING (a, b) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 4) AS log_score,
+  round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0.0 END, 6) AS mean_log
+FROM split LEFT JOIN summed USING (r)
+"""
