@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.trees import classify, grow
+
 #: HTML element names by their role.
 UNSEEN = set("script style noscript template svg math iframe object canvas head title select option textarea button".split())
 RAW = set("script style noscript template svg math iframe object canvas title select textarea".split())
@@ -135,35 +137,11 @@ LABELLED = [
 ]
 
 
-def grow(rows: np.ndarray, labels: np.ndarray) -> tuple:
-    """A decision tree by Gini impurity until every leaf is pure: (field, threshold, low, high) or a label."""
-    if len(np.unique(labels)) == 1:
-        return (int(labels[0]),)
-    best = None
-    for field in range(rows.shape[1]):
-        values = np.unique(rows[:, field])
-        for threshold in (values[1:] + values[:-1]) / 2:
-            low = rows[:, field] <= threshold
-            impurity = sum(len(s) * s.mean() * (1 - s.mean()) for s in (labels[low], labels[~low]))
-            if best is None or impurity < best[0] - 1e-12:
-                best = (impurity, field, float(threshold))
-    if best is None:  # equal rows with different labels
-        return (int(labels.mean() >= 0.5),)
-    low = rows[:, best[1]] <= best[2]
-    return (best[1], best[2], grow(rows[low], labels[low]), grow(rows[~low], labels[~low]))
-
-
 def trained(table: list[tuple] | None = None) -> tuple:
     rows = np.array(table or LABELLED, dtype=float)
     return grow(rows[:, :-1], rows[:, -1])
 
 
-def classify(tree: tuple, row: tuple) -> int:
-    while len(tree) > 1:
-        tree = tree[2] if row[tree[0]] <= tree[1] else tree[3]
-    return tree[0]
-
-
 class Block:
     __slots__ = ("parts", "linked", "article", "aside", "heading")
 

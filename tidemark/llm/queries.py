@@ -17,6 +17,7 @@ from tidemark.llm.lm import score_documents
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
 from tidemark.llm.quality import score_quality
+from tidemark.llm.secrets import scan_secrets
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,6 +51,12 @@ def op3_minhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"), width=4)
 
 
+@query
+def op4_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Candidates for secrets in all documents, and which of them are secrets."""
+    return scan_secrets(table(spark, sf, "documents"))
+
+
 @query
 def op5_html_extraction(spark: SparkSession, sf: str) -> DataFrame:
     """Main text of all pages."""
