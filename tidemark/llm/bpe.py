@@ -23,7 +23,9 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +35,14 @@ from pyspark.sql import functions as F
 
 #: Fixed by the format: how a text is cut into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: The same for texts of ASCII alone, whose letters, digits and white space are these.
+ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-Za-z0-9]+|[ \t\n\r\f\v]+(?![^ \t\n\r\f\v])|[ \t\n\r\f\v]+"
 #: Longest alternative of fixed text: a piece that starts nearer to the end than this can still change.
 CONTRACTION = 3
 WINDOW = 1 << 16
-REMEMBERED = 250_000
+REMEMBERED = 400_000
+#: Bytes at the beginning of a piece whose tokens are remembered.
+START = 6
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -84,19 +90,25 @@ class Transducer:
         self.rank = vocabulary.rank
         self.ids = {t: i for i, t in vocabulary.tokens.items() if i not in vocabulary.special.values()}
         self.lookahead = max(map(len, self.ids))
+        #: Lengths of the tokens that end with given bytes (four, or three or two where the token is
+        #: shorter), longest first; single bytes are always tokens.
         ends: dict[bytes, set[int]] = {}
         for token in self.ids:
-            if len(token) > 1:
-                ends.setdefault(token[-2:], set()).add(len(token))
-            if len(token) > 2:
-                ends.setdefault(token[-3:], {2} if token[-2:] in self.ids else set()).add(len(token))
-        #: Lengths of the tokens that end with two or three given bytes, longest first.
-        self.lengths = {end: sorted(found, reverse=True) for end, found in ends.items()}
+            ends.setdefault(token[-4:], set()).add(len(token))
+        for end in list(ends):
+            if len(end) > 2:
+                ends[end] |= {n for n in (2, 3) if end[-n:] in self.ids}
+        self.lengths = {end: sorted(found - {1}, reverse=True) for end, found in ends.items()}
         self.made = {a + b: (k, a, b) for (a, b), k in self.rank.items()}
         if len(self.made) < len(self.rank):
             raise ValueError("two merges make the same token")
+        #: Ranks of merges by their left and then their right part.
+        self.merges: dict[bytes, dict[bytes, int]] = {}
+        for (a, b), k in self.rank.items():
+            self.merges.setdefault(a, {})[b] = k
         self.spines: tuple[dict, dict] = ({}, {})
         self.fits: dict[tuple[bytes, bytes], bool] = {}
+        self.starts: dict[bytes, list[bytes]] = {}
 
     def _fit(self, a: bytes, b: bytes) -> bool:
         """Whether the merges of a's and b's bytes together end with these two tokens.
@@ -107,13 +119,15 @@ class Transducer:
         """
         if len(self.fits) > REMEMBERED:
             self.fits.clear()
-        rank, right = self.rank, self._ends(b, False)
         fits = True
-        for x, until_x in self._ends(a, True) if a else ():
-            for y, until_y in right:
-                crossing = rank.get((x, y))
-                if crossing is not None and crossing < until_x and crossing <= until_y:
-                    fits = False
+        left, right = self.spines[1].get(a) or self._ends(a, True), self.spines[0].get(b) or self._ends(b, False)
+        for x, until_x in left if a else ():
+            merges = self.merges.get(x)
+            if merges:
+                for y, until_y in right:
+                    crossing = merges.get(y)
+                    if crossing is not None and crossing < until_x and crossing <= until_y:
+                        fits = False
         self.fits[a, b] = fits
         return fits
 
@@ -131,26 +145,51 @@ class Transducer:
             self.spines[right][token] = known
         return known
 
+    def _advance(self, data: bytes, last: list[bytes], begin: bytes) -> None:
+        """Adds to ``last`` the token that ends at each byte of ``data`` that is new.
+
+        ``begin`` is the token before ``data``.
+        """
+        ids, lengths, fit, fits = self.ids, self.lengths, self._fit, self.fits
+        for end in range(len(last), len(data) + 1):
+            found = data[end - 1 : end]
+            for size in (
+                lengths.get(data[end - 4 : end] if end > 3 else data[:end])
+                or lengths.get(data[end - 3 : end] if end > 2 else data[:end])
+                or lengths.get(data[end - 2 : end] if end > 1 else b"")
+                or ()
+            ):
+                if size <= end:
+                    token = data[end - size : end]
+                    if token in ids:
+                        pair = (last[end - size] or begin, token)
+                        known = fits.get(pair)
+                        if fit(*pair) if known is None else known:
+                            found = token
+                            break
+            last.append(found)
+
+    def whole(self, data: bytes) -> list[int]:
+        """Ids of a piece that is too short for anything to leave before its end."""
+        last = [b""]
+        if len(data) > START:  # pieces often begin alike
+            known = self.starts.get(data[:START])
+            if known is None:
+                self._advance(data[:START], last, b"")
+                if len(self.starts) > REMEMBERED:
+                    self.starts.clear()
+                self.starts[data[:START]] = last.copy()
+            else:
+                last = known.copy()
+        self._advance(data, last, b"")
+        return self._path(last, len(data))
+
     def run(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
         """Ids of one piece given in blocks; each list is stable."""
         data, last, begin = b"", [b""], b""  # last[i]: the token that ends at byte i of data
-        ids, lengths, fit, fits = self.ids, self.lengths, self._fit, self.fits
         for block in blocks:
-            n = len(data)
             data += block
-            for end in range(n + 1, len(data) + 1):
-                found = data[end - 1 : end]
-                sizes = lengths.get(data[end - 3 : end]) if end > 2 else None
-                for size in sizes or lengths.get(data[end - 2 : end], ()) if end > 1 else ():
-                    if size <= end:
-                        token = data[end - size : end]
-                        if token in ids:
-                            before = last[end - size] or begin
-                            known = fits.get((before, token))
-                            if fit(before, token) if known is None else known:
-                                found = token
-                                break
-                last.append(found)
+            self._advance(data, last, begin)
             if len(data) > 4 * self.lookahead:
                 stable = self._meet(last)
                 if stable:
@@ -186,21 +225,23 @@ class Encoder:
         self.transducer = Transducer(vocabulary)
         self.special = vocabulary.special
         self.cut = regex.compile("|".join(map(regex.escape, vocabulary.special))) if vocabulary.special else None
-        self.pattern = regex.compile(PATTERN)
+        self.pattern, self.ascii = regex.compile(PATTERN), re.compile(ASCII_PATTERN)
         self.seen: dict[str, list[int]] = {}
         self.older: dict[str, list[int]] = {}
 
     def _piece(self, piece: str) -> list[int]:
         ids = self.older.get(piece)
         if ids is None:
-            data = piece.encode()
-            size = 2 * self.transducer.lookahead
-            blocks = (data[i : i + size] for i in range(0, len(data), size))
-            ids = [i for run in self.transducer.run(blocks) for i in run]
+            data, size = piece.encode(), 2 * self.transducer.lookahead
+            if len(data) <= 2 * size:
+                ids = self.transducer.whole(data)
+            else:
+                blocks = (data[i : i + size] for i in range(0, len(data), size))
+                ids = [i for run in self.transducer.run(blocks) for i in run]
         if len(piece) <= 64:
             if len(self.seen) >= REMEMBERED:
                 self.older, self.seen = self.seen, {}
-            self.seen[piece] = ids
+            self.seen[piece] = ids = tuple(ids)
         return ids
 
     def _plain(self, text: str) -> Iterator[list[int]]:
@@ -208,22 +249,22 @@ class Encoder:
         rest, at = "", 0
         while at < len(text) or rest:
             window, at = rest + text[at : at + WINDOW], at + WINDOW
+            pattern = self.ascii if window.isascii() else self.pattern
             if at >= len(text):
-                pieces, rest = self.pattern.findall(window), ""
+                pieces, rest = pattern.findall(window), ""
             else:
                 pieces, done = [], 0
-                for m in self.pattern.finditer(window):
+                for m in pattern.finditer(window):
                     if m.end() == len(window) or m.start() + CONTRACTION > len(window):
                         break
                     pieces.append(m[0])
                     done = m.end()
                 rest = window[done:]
-            out: list[int] = []
-            seen, extend = self.seen, out.extend
-            for piece in pieces:
-                known = seen.get(piece)
-                extend(known if known is not None else self._piece(piece))
-            yield out
+            found = list(map(self.seen.get, pieces))
+            if None in found:
+                fresh = {p: self._piece(p) for p in {p for p, f in zip(pieces, found, strict=True) if f is None}}
+                found = [fresh[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
+            yield list(chain.from_iterable(found))
 
     def runs(self, text: str) -> Iterator[list[int]]:
         done = 0
@@ -261,7 +302,19 @@ class Decoder:
 
 def _loaded(documents: DataFrame, tokenizer: str):
     made = Vocabulary.read(tokenizer)
-    return documents.sparkSession.sparkContext.broadcast((made.tokens, made.rank, made.special))
+    return documents.sparkSession.sparkContext.broadcast({"parts": (made.tokens, made.rank, made.special)})
+
+
+def _encoder(shared) -> Encoder:
+    """One encoder for all tasks of a worker process, so that it remembers pieces of earlier tasks."""
+    held = shared.value
+    if "encoder" not in held:
+        held["encoder"] = Encoder(Vocabulary(*held["parts"]))
+    return held["encoder"]
+
+
+def _decoder(shared) -> Decoder:
+    return Decoder(Vocabulary(*shared.value["parts"]))
 
 
 def _with(batch: pa.RecordBatch, drop: set[str], **columns: pa.Array) -> pa.RecordBatch:
@@ -281,7 +334,7 @@ def encode(documents: DataFrame, tokenizer: str) -> DataFrame:
     shared = _loaded(documents, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(Vocabulary(*shared.value))
+        encoder = _encoder(shared)
         for batch in batches:
             for part in _slices(batch):
                 ids = [np.array(encoder.encode(t), dtype=np.int32) for t in part.column("text").to_pylist()]
@@ -297,7 +350,7 @@ def decode(encoded: DataFrame, tokenizer: str) -> DataFrame:
     shared = _loaded(encoded, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(Vocabulary(*shared.value))
+        decoder = _decoder(shared)
         for batch in batches:
             for part in _slices(batch):
                 texts = [decoder.decode(ids or []) for ids in part.column("ids").to_pylist()]
@@ -319,7 +372,7 @@ def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     shared = _loaded(documents, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, decoder = Encoder(Vocabulary(*shared.value)), Decoder(Vocabulary(*shared.value))
+        encoder, decoder = _encoder(shared), _decoder(shared)
         names = [str(i) for i in range(len(decoder.bytes))]
         for batch in batches:
             for part in _slices(batch):
