@@ -45,7 +45,7 @@ def test_flattened_tagged_rows(spark, raw, target):
     assert row["snippet_title"] == "Film" and row["snippet_channelid"] == "c"
     assert row["ingestion_timestamp"] == "2026-08-15T00:00:00+00:00"
     assert row["source_file"].endswith("region=US/date=2026-08-15/a.json")
-    assert [tuple(r)[1:] for r in report.collect()] == [("us", 2, 2, None)]
+    assert [tuple(r)[1:] for r in report.collect()] == [("us", 2, 2, 2, 2, None)]
 
 
 def test_last_position_and_last_file_win(spark, raw, target):
@@ -121,15 +121,37 @@ def test_unusable_files_are_reported_and_the_rest_is_loaded(spark, raw, target):
     put(raw, "kr", [{"snippet": {"title": "x"}}])
     report = plans.upsert_reference(spark, str(raw), target, STAMP)
     assert sorted(tuple(r)[1:] for r in report.collect()) == [
-        ("fr", 0, 0, "unreadable document"),
-        ("in", 0, 0, "no items"),
-        ("jp", 1, 0, "missing required column snippet_title"),
-        ("kr", 1, 0, "missing required column id"),
-        ("us", 2, 1, None),
+        ("fr", 0, 0, 0, 1, "unreadable document"),
+        ("in", 0, 0, 0, 1, "no items"),
+        ("jp", 1, 0, 0, 1, "missing required column snippet_title"),
+        ("kr", 1, 0, 0, 1, "missing required column id"),
+        ("us", 2, 1, 1, 1, None),
     ]
     assert set(table(spark, target)) == {("us", "1")}
 
 
+@pytest.mark.parametrize(
+    "document",
+    [
+        '{"items": "text"}',
+        '{"items": ["text"]}',
+        '{"items": [{"id": "7", "snippet": "text"}]}',
+        '{"items": [{"id"',
+        "[1, 2]",
+        '{"items": {"id": "7"}}',
+    ],
+)
+def test_a_damaged_file_changes_nothing_for_the_others(spark, raw, target, document):
+    put(raw, "us", [category("1", "A", level=1), category("2", "B")])
+    put(raw, "in", [category("1", "I", level="high"), "text", {"id": "3", "snippet": "text"}])
+    put(raw, "fr", document=document)
+    report = {r.region: r.error for r in plans.upsert_reference(spark, str(raw), target, STAMP).collect()}
+    assert report["us"] is None and report["in"] is None and report["fr"] is not None
+    rows = table(spark, target)
+    assert set(rows) == {("us", "1"), ("us", "2"), ("in", "1")}
+    assert rows["us", "1"]["snippet_level"] == "1" and rows["in", "1"]["snippet_level"] == "high"
+
+
 @pytest.mark.parametrize("document", ['{"items": [{"id"', '{"items": []}', '{"a": 1}'])
 def test_a_set_without_a_usable_file_leaves_the_target_alone(spark, raw, target, document):
     put(raw, "us", document=document)

@@ -57,47 +57,47 @@ def upsert_reference(
     paths: str | Sequence[str],
     target: str,
     ingestion_timestamp: str | None = None,
+    report: str | None = None,
 ) -> DataFrame:
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
-    All files are merged in one job. Only the regions they touch are rewritten. The whole dataset
-    is when stored names or regions are not in normal form, or when a column changes its type
-    (files of untouched regions would keep the old one). Merged rows are written to the shared folder
-    before the target is replaced, since a job must not overwrite what it is reading; after a
-    failure they are still there.
+    Files are read and judged once, each by itself. All usable ones are merged in one job. Only the
+    regions they touch are rewritten. The whole dataset is when stored names or regions are not in
+    normal form, or when a column changes its type (files of untouched regions would keep the old one).
+    Merged rows are written to the shared folder before the target is replaced, since a job must not
+    overwrite what it is reading; after a failure they are still there.
 
-    The report has one row per file: key, region, incoming rows, rows its keys have in the new
-    dimension's region, and the error of an unusable file.
+    The report, written to ``report`` (a folder of its own without it), has a row per file: key, region,
+    elements found (``incoming_rows``), rows of its distinct ids (``distinct_rows``), rows of its region
+    in the new dimension (``final_rows``), rows of the whole dimension (``dimension_rows``), and the error
+    of an unusable file.
     """
     stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
-    documents = read_reference(spark, paths)
-    report = reference_status(documents)
     work = scratch(spark)
-    report = stage(report, f"{work}/report")
-    usable = report.filter(F.col("error").isNull())
-    if usable.isEmpty():
-        return report.select(*report.columns[:-1], F.lit(0).cast("bigint").alias("final_rows"), "error")
-
-    incoming = stage(reference_items(documents, stamp), f"{work}/incoming")
-    existing = read_or_empty(spark, target, REFERENCE)
-    by_region = _files_can_stay(existing, incoming)
-    if by_region:
-        existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
-    merged = stage(merge_reference(existing, incoming), f"{work}/merged")
-    (write_partitions if by_region else replace_dataset)(merged, target, REFERENCE_PARTITIONS)
-
-    sizes = merged.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
-    final = stage(
-        report.join(sizes, "region", "left")
-        .withColumn(
-            "final_rows",
-            F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))).otherwise(0).cast("bigint"),
-        )
-        .select("key", "region", "incoming_rows", "final_rows", "error"),
-        f"{scratch(spark)}/report",
+    documents = stage(read_reference(spark, paths), f"{work}/documents")
+    status = reference_status(documents)
+    usable = status.filter(F.col("error").isNull())
+    changed = not usable.isEmpty()
+    if changed:
+        incoming = reference_items(documents, stamp)
+        existing = read_or_empty(spark, target, REFERENCE)
+        by_region = _files_can_stay(existing, incoming)
+        if by_region:
+            existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
+        merged = stage(merge_reference(existing, incoming), f"{work}/merged")
+        (write_partitions if by_region else replace_dataset)(merged, target, REFERENCE_PARTITIONS)
+    sizes = read_or_empty(spark, target, REFERENCE).groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
+    total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("dimension_rows"))
+    final = F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))).otherwise(0).cast("bigint")
+    outcome = stage(
+        status.join(sizes, "region", "left")
+        .crossJoin(total)  # one row
+        .withColumn("final_rows", final)
+        .select("key", "region", "incoming_rows", "distinct_rows", "final_rows", "dimension_rows", "error"),
+        report or f"{scratch(spark)}/report",
     )
     drop_scratch(spark, work)
-    return final
+    return outcome
 
 
 def replace_regions(

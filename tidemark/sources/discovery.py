@@ -12,8 +12,8 @@ from tidemark.session import glob_paths
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
 # Fixed layout of the snapshot folders.
-_BATCH_FOLDERS = "region=*/date=*/hour=*"
-_BATCH_FOLDER = re.compile(r"/region=[^/]+/date=(\d{4}-\d{2}-\d{2})/hour=(\d{2})$")
+_DATE_FOLDER = re.compile(r"/region=[^/]+/date=(\d{4}-\d{2}-\d{2})$")
+_HOUR_FOLDER = re.compile(r"/hour=(\d{2})$")
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
@@ -38,13 +38,17 @@ def batch_glob(root: str, batch: Batch | None) -> str:
 def discover_latest_batch(spark: SparkSession, root: str, pattern: str = "*.json") -> Batch:
     """The newest landed batch that holds a file; fails when there is none.
 
-    Only folders are listed (regions times hours, however many files they hold), and files only
-    in the newest of them.
+    Only date folders are listed for all history, hour folders for the newest date alone (going back
+    only while a date holds no file), and files only in the newest of them.
     """
-    folders = glob_paths(spark, f"{root.rstrip('/')}/{_BATCH_FOLDERS}")
-    matches = filter(None, map(_BATCH_FOLDER.search, folders))
-    for date, hour in sorted({m.groups() for m in matches}, reverse=True):
-        batch = as_batch(date, hour)
-        if not list_files(spark, batch_glob(root, batch), pattern).isEmpty():
-            return batch
+    base = f"{root.rstrip('/')}/region=*"
+
+    def newest(folders: list[str], pattern: re.Pattern) -> list[str]:
+        return sorted({m[1] for m in map(pattern.search, folders) if m}, reverse=True)
+
+    for date in newest(glob_paths(spark, f"{base}/date=*"), _DATE_FOLDER):
+        for hour in newest(glob_paths(spark, f"{base}/date={date}/hour=*"), _HOUR_FOLDER):
+            batch = as_batch(date, hour)
+            if not list_files(spark, batch_glob(root, batch), pattern).isEmpty():
+                return batch
     raise ValueError(f"no valid batch found below {root}")

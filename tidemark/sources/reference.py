@@ -2,143 +2,108 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.functions.paths import region_from_path, scanned_file
-from tidemark.functions.text import strip
-from tidemark.operators.merge import concat_evolving
+from tidemark.functions.paths import region_from_path
+from tidemark.functions.text import is_blank, strip
 from tidemark.operators.quality import require_columns
 from tidemark.operators.reshape import flatten_structs, normalize_columns
-from tidemark.schemas import CORRUPT, REFERENCE_REQUIRED
+from tidemark.schemas import REFERENCE_REQUIRED
+from tidemark.sources.documents import is_object, read_texts, unreadable, with_elements
 
 FILE = "__file"
 POS = "__pos"
 
-# Where each required column sits in a document.
-_REQUIRED_PATHS = {"id": ("id",), "snippet_title": ("snippet", "title")}
+# Where each required column sits in an element.
+_REQUIRED_PATHS = {"id": "$.id", "snippet_title": "$.snippet.title"}
 
 
-def read_reference(
-    spark: SparkSession,
-    paths: str | Sequence[str],
-    *,
-    schema: T.StructType | None = None,
-    pattern: str = "*.json",
-) -> DataFrame:
-    """One row per file with its path; the schema is inferred over all files unless given.
-
-    Unreadable documents keep their text in ``_corrupt_record``.
-    """
-    reader = (
-        spark.read.option("multiLine", True)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .option("columnNameOfCorruptRecord", CORRUPT)
-    )
-    if schema is not None:
-        reader = reader.schema(schema)
-    files = paths if isinstance(paths, str) else list(paths)
-    df = reader.json(files)
-    if df.columns == [CORRUPT]:
-        # Spark does not let a scan return nothing but unreadable text.
-        df = reader.schema(T.StructType().add("id", "string").add(CORRUPT, "string")).json(files)
-    return df.select("*", scanned_file().alias(FILE))
-
-
-def _item_type(df: DataFrame) -> T.DataType | None:
-    """Element type of the ``items`` list, or None when the documents hold no such list."""
-    if "items" in df.columns and isinstance(df.schema["items"].dataType, T.ArrayType):
-        return df.schema["items"].dataType.elementType
-    return None
-
-
-def _has(kind: T.DataType | None, path: Sequence[str]) -> bool:
-    for part in path:
-        if not isinstance(kind, T.StructType) or part not in kind.names:
-            return False
-        kind = kind[part].dataType
-    return True
-
-
-def _reach(value: Column, path: Sequence[str]) -> Column:
-    for part in path:
-        value = value.getField(part)
-    return value
+def _region(path: Column) -> Column:
+    return F.lower(strip(region_from_path(path, "unknown")))
 
 
-def _any_item_has(path: Sequence[str]) -> Column:
-    return F.exists("items", lambda item: _reach(item, path).isNotNull())
+def _usable(element: Column) -> Column:
+    """An object whose snippet, if it has one, is an object too."""
+    snippet = F.get_json_object(element, "$.snippet")
+    return is_object(element) & (snippet.isNull() | is_object(snippet))
 
 
-def _item_count(df: DataFrame) -> Column:
-    if _item_type(df) is None:
-        return F.lit(1)
-    return F.when(F.col("items").isNotNull(), F.size("items")).otherwise(1)
+def _any_has(path: str) -> Column:
+    return F.exists("items", lambda e: F.get_json_object(e["element"], path).isNotNull())
 
 
-def _error(df: DataFrame) -> Column:
-    """Why the document of this row is unusable; NULL when it is usable.
+def read_reference(
+    spark: SparkSession, paths: str | Sequence[str], *, pattern: str = "*.json"
+) -> DataFrame:
+    """One row per file: its path, the elements found, the usable ones with their positions, and why
+    the file is unusable (NULL when it is usable).
 
-    A document is judged inside its own row, so its rows never have to meet in one task.
+    A document is judged inside its own row and before any common schema exists, so that no file can
+    change the verdict on another. Elements that are no objects, and those whose snippet is none, are
+    left out; the others of their file stay.
     """
-    element = _item_type(df)
+    files = with_elements(read_texts(spark, paths, FILE, pattern=pattern), T.StructType())
+    every = F.coalesce("elements", F.array("text"))
+    numbered = F.transform(every, lambda e, i: F.struct(i.alias(POS), e.alias("element")))
+    rows = files.select(
+        FILE,
+        unreadable().alias("unreadable"),
+        F.size(every).cast("bigint").alias("found"),
+        F.filter(numbered, lambda e: _usable(e["element"])).alias("items"),
+    )
     reason = F.lit(None).cast("string")
     for name, path in reversed(_REQUIRED_PATHS.items()):
-        found = F.col(".".join(path)).isNotNull() if _has(df.schema, path) else F.lit(False)
-        if element is not None:
-            listed = _any_item_has(path) if _has(element, path) else F.lit(False)
-            found = F.when(F.col("items").isNotNull(), listed).otherwise(found)
-        reason = F.when(~found, F.lit(f"missing required column {name}")).otherwise(reason)
-    reason = F.when(_item_count(df) == 0, F.lit("no items")).otherwise(reason)
-    if CORRUPT in df.columns:
-        reason = F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable document")).otherwise(reason)
-    return reason
-
-
-def _region(path: Column) -> Column:
-    return F.lower(strip(region_from_path(path, "unknown")))
+        has = _any_has(path)
+        reason = F.when(~has, F.lit(f"missing required column {name}")).otherwise(reason)
+    reason = F.when(F.col("found") == 0, F.lit("no items")).otherwise(reason)
+    reason = F.when(F.col("unreadable"), F.lit("unreadable document")).otherwise(reason)
+    return rows.withColumn("error", reason).drop("unreadable")
 
 
 def reference_status(df: DataFrame) -> DataFrame:
-    """One row per file: key, region, items found, and the error or NULL."""
-    error = _error(df)
-    path = F.col(FILE)
-    unreadable = F.col(CORRUPT).isNotNull() if CORRUPT in df.columns else F.lit(False)
+    """One row per file: key, region, elements found, rows its distinct ids make, and the error or NULL."""
+    ids = F.transform("items", lambda e: strip(F.get_json_object(e["element"], "$.id")))
+    distinct = F.size(F.array_distinct(F.filter(ids, lambda i: ~is_blank(i))))
+    unusable = F.col("error").isNotNull()
     return df.select(
-        path.alias("key"),
-        _region(path).alias("region"),
-        F.when(unreadable, 0).otherwise(_item_count(df)).cast("bigint").alias("incoming_rows"),
-        error.alias("error"),
+        F.col(FILE).alias("key"),
+        _region(F.col(FILE)).alias("region"),
+        F.when(F.col("error") == "unreadable document", 0).otherwise(F.col("found")).cast("bigint").alias("incoming_rows"),
+        F.when(unusable, 0).otherwise(distinct).cast("bigint").alias("distinct_rows"),
+        "error",
     )
 
 
-def _flat(df: DataFrame) -> DataFrame:
-    keep = (FILE, POS)
-    return normalize_columns(flatten_structs(df.select(*keep, "item.*"), keep=keep), keep=keep)
+def _common_type(elements: DataFrame) -> str | None:
+    """The type that holds every element, as DDL: fields of differing kinds become text."""
+    found = elements.agg(F.expr("schema_of_variant_agg(try_parse_json(element))")).first()[0]
+    if found is None or not found.startswith("OBJECT<"):
+        return None
+    kinds = {r"OBJECT<>": "STRING", r"OBJECT<": "STRUCT<", r"(?:VARIANT|VOID)\b": "STRING", r"DECIMAL\(\d+,\s*\d+\)": "DOUBLE"}
+    for variant, kind in kinds.items():
+        found = re.sub(rf"(^|: |<){variant}", rf"\g<1>{kind}", found)
+    return found
 
 
 def reference_items(df: DataFrame, ingestion_timestamp: Column) -> DataFrame:
-    """Flattened, normalised and tagged rows of every usable file.
+    """Flattened, normalised and tagged rows of every usable file; fails when there is none.
 
     Source columns are normalised once and the tags keep fixed names. ``__pos`` holds the position
     inside the file; with ``source_file`` it orders the rows of one key.
     """
-    usable = df.filter(_error(df).isNull())
-    element = _item_type(df)
-    frames = []
-    if isinstance(element, T.StructType):
-        frames.append(_flat(usable.select(FILE, F.posexplode("items").alias(POS, "item"))))
-    roots = [c for c in df.columns if c not in {FILE, CORRUPT} and (c != "items" or element is None)]
-    if "id" in roots:
-        bare = usable if element is None else usable.filter(F.col("items").isNull())
-        frames.append(_flat(bare.select(FILE, F.lit(0).alias(POS), F.struct(*roots).alias("item"))))
-    if not frames:
+    usable = df.filter(F.col("error").isNull()).select(FILE, F.explode("items").alias("item"))
+    elements = usable.select(FILE, f"item.{POS}", "item.element")
+    kind = _common_type(elements)
+    if kind is None:
         raise ValueError("no readable document holds items or an id")
-    rows = frames[0] if len(frames) == 1 else concat_evolving(*frames)
+    keep = (FILE, POS)
+    parsed = elements.select(*keep, F.from_json("element", kind).alias("item"))
+    rows = normalize_columns(flatten_structs(parsed.select(*keep, "item.*"), keep=keep), keep=keep)
     require_columns(rows, REFERENCE_REQUIRED)
     path = F.col(FILE)
     return (

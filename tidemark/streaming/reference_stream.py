@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.dimension import upsert_reference
+from tidemark.session import drop_scratch, scratch
 from tidemark.sources.discovery import FILE_COLUMNS
 
 
@@ -40,9 +41,11 @@ def stream_reference(
     def merge(batch: DataFrame, _: int) -> None:
         files = [row.path for row in batch.toLocalIterator()]
         if files:
-            outcome = upsert_reference(spark, files, target, ingestion_timestamp)
+            work = scratch(spark)
+            outcome = upsert_reference(spark, files, target, ingestion_timestamp, f"{work}/report")
             if report:
                 outcome.write.mode("append").parquet(report)
+            drop_scratch(spark, work)
 
     return (
         paths.writeStream.foreachBatch(merge)
