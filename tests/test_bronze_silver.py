@@ -73,7 +73,37 @@ def test_blank_ids_go_and_duplicates_keep_the_first(spark, raw, tmp_path):
     put(raw, [item("a", title="first"), item("a", title="second"), item(""), item(" "), item(None)])
     silver, metrics = load(spark, raw, tmp_path)
     assert [(r.video_id, r.title) for r in silver.collect()] == [("a", "first")]
-    assert metrics == {"input_rows": 5, "blank_video_id": 3, "blank_region": 0, "duplicate_rows": 1, "output_rows": 1}
+    counts = {"input_rows": 5, "blank_video_id": 3, "blank_region": 0, "duplicate_rows": 1, "output_rows": 1}
+    assert metrics == {"files": 1, "unreadable_files": 0, "rejected_items": 0, **counts}
+
+
+def test_good_items_of_damaged_files_stay_and_the_rest_is_kept_apart(spark, raw, tmp_path):
+    put(raw, [item("a"), "text", item("b")], name="1.json")
+    put(raw, None, name="2.json", text='{"items": "text"}')
+    put(raw, None, name="3.json", text='{"items": [{"id"')
+    put(raw, [{"id": "c", "statistics": "none", "snippet": {"title": 7}}], name="4.json")
+    aside = str(tmp_path / "aside")
+    for _ in range(2):
+        counts = plans.bronze_json_to_silver(spark, str(raw), str(tmp_path / "silver"), BATCH, aside)
+    assert (counts["files"], counts["unreadable_files"], counts["rejected_items"], counts["output_rows"]) == (4, 2, 1, 3)
+    stored = sources.read_stats(spark, str(tmp_path / "silver")).collect()
+    assert {(r.video_id, r.title if r.video_id == "c" else None, r.views is None) for r in stored} >= {("c", "7", True)}
+    assert {r.video_id for r in stored} == {"a", "b", "c"}
+    rows = spark.read.parquet(aside).collect()
+    assert sorted((r.reason, r.content) for r in rows) == [
+        ("item is no object", "text"),
+        ("unreadable document", '{"items": "text"}'),
+        ("unreadable document", '{"items": [{"id"'),
+    ]
+    report = sinks.envelope_report(sources.read_envelopes(spark, str(raw), keep_corrupt=True)).collect()
+    assert sum(r.final_rows for r in report) == 3 and sum(r.incoming_rows for r in report) == 4
+
+
+def test_duplicates_go_without_a_second_shuffle(spark, raw):
+    put(raw, [item("a"), item("a")])
+    rows = plans.envelopes_to_rows(plans.silver.first_per_video(sources.read_envelopes(spark, str(raw), BATCH)), BATCH)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Window" not in plan and rows.count() == 1
 
 
 def test_two_files_of_one_hour_stay_apart_and_the_later_is_latest(spark, raw, tmp_path):

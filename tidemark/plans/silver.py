@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from py4j.protocol import Py4JJavaError
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.casts import CSV_INSTANT, to_bool, to_day, to_instant, to_int, to_long
@@ -17,13 +17,14 @@ from tidemark.operators.quality import quality_counts, require_nonblank
 from tidemark.operators.ranking import dedupe
 from tidemark.operators.reshape import conform, explode_items, extract_json
 from tidemark.schemas import (
+    CORRUPT,
     SILVER_HISTORY,
     SILVER_HISTORY_PARTITIONS,
     SILVER_STATS,
     SILVER_STATS_PARTITIONS,
 )
 from tidemark.sinks.partitions import replace_dataset, write_partitions
-from tidemark.sources.envelopes import read_envelopes
+from tidemark.sources.envelopes import REJECTED, read_envelopes
 from tidemark.sources.flat_csv import read_flat_csv
 
 POSITION = "_pos"
@@ -59,6 +60,23 @@ def _tag(rows: DataFrame, batch: Batch | None) -> DataFrame:
     )
 
 
+def first_per_video(envelopes: DataFrame) -> DataFrame:
+    """Envelopes without later items of a video that the same document lists before.
+
+    A document is one row, so its duplicates go without a shuffle. Items without an id stay.
+    """
+    numbered = F.transform(
+        "items", lambda item, i: F.struct(F.trim(item["id"]).alias("id"), i.alias("pos"), item.alias("item"))
+    )
+    listed = envelopes.withColumn("__listed", F.array_sort(numbered))
+    first = F.filter(
+        "__listed",
+        lambda x, i: is_blank(x["id"]) | (i == 0) | ~x["id"].eqNullSafe(F.get("__listed", i - 1)["id"]),
+    )
+    kept = F.array_sort(F.transform(first, lambda x: F.struct(x["pos"], x["item"])))
+    return listed.withColumn("items", F.transform(kept, lambda x: x["item"])).drop("__listed")
+
+
 def envelopes_to_rows(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
     """Explode and shape envelopes: one typed row per item, nothing dropped yet."""
     item = explode_items(envelopes.select("items", "_source_file"), position=POSITION)
@@ -144,17 +162,15 @@ def _watch(rows: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return watched, seen
 
 
-def _metrics(
-    before: Observation, after: Observation, rows: DataFrame, keys: Sequence[str]
-) -> dict[str, int]:
-    """Counts of a finished run."""
+def _observed(seen: Sequence[Observation], direct: Callable[[], DataFrame]) -> dict[str, int]:
+    """Counters of a finished run; ``direct`` counts again where the run left no row, since Spark then
+    drops them from its plan. Any other failure is one."""
     try:
-        counts = {**before.get, **after.get}
-    except Py4JJavaError:
-        # Spark drops the counters from the plan of a run that leaves no row: count it directly.
-        return quality_counts(rows, ["video_id", "region"], keys).first().asDict()
-    left = counts["input_rows"] - counts["blank_video_id"] - counts["blank_region"]
-    return {**counts, "duplicate_rows": left - counts["output_rows"]}
+        return {name: n for s in seen for name, n in s.get.items()}
+    except Py4JJavaError as error:
+        if "java.lang.AssertionError" not in error.java_exception.toString():
+            raise
+        return direct().first().asDict()
 
 
 def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
@@ -162,33 +178,79 @@ def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("output_rows")), seen
 
 
+def _document_counts(envelopes: DataFrame) -> list[Column]:
+    """Aggregates over documents that count a run."""
+    ids = F.transform(F.coalesce("items", F.array().cast(envelopes.schema["items"].dataType)), lambda i: F.trim(i["id"]))
+    named = F.filter(ids, lambda i: ~is_blank(i))
+    region = ~is_blank(region_from_path(F.col("_source_file")))
+    distinct = F.when(region, F.size(F.array_distinct(named))).otherwise(0)
+
+    def total(value: Column) -> Column:
+        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+
+    return [
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col(CORRUPT).isNotNull()).alias("unreadable_files"),
+        total(F.size(REJECTED)).alias("rejected_items"),
+        total(F.size(ids)).alias("input_rows"),
+        total(F.size(ids) - F.size(named)).alias("blank_video_id"),
+        total(F.when(region, 0).otherwise(F.size(named))).alias("blank_region"),
+        total(F.when(region, F.size(named) - distinct).otherwise(0)).alias("duplicate_rows"),
+        total(distinct).alias("output_rows"),
+    ]
+
+
+def quarantined(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
+    """One row per unreadable document and per rejected item: its file, why, and its text."""
+    whole = F.filter(
+        F.array(F.struct(F.lit("unreadable document").alias("reason"), F.col(CORRUPT).alias("content"))),
+        lambda x: x["content"].isNotNull(),
+    )
+    items = F.transform(REJECTED, lambda text: F.struct(F.lit("item is no object").alias("reason"), text.alias("content")))
+    rows = envelopes.select("_source_file", F.explode(F.concat(whole, items)).alias("x"))
+    return _tag(rows.select("_source_file", "x.reason", "x.content"), batch)
+
+
 def bronze_json_to_silver(
-    spark: SparkSession, raw: str, target: str, batch: Batch | None
+    spark: SparkSession, raw: str, target: str, batch: Batch | None, quarantine: str | None = None
 ) -> dict[str, int]:
     """Load one batch of envelopes (every batch for None) into the partitioned fact table.
 
     The sources are read once: the counts are taken while the write runs. They describe the run;
-    after a lost executor they may include rows of repeated tasks. For exact counts use
-    :func:`tidemark.operators.quality_counts`.
+    after a lost executor they may include documents of repeated tasks. For exact counts use
+    :func:`tidemark.operators.quality_counts`. What could not be read is counted, and with
+    ``quarantine`` written there, replacing what an earlier run of the batch left.
     """
-    rows = envelopes_to_rows(read_envelopes(spark, raw, batch), batch)
-    watched, before = _watch(rows, "bronze")
-    silver, after = _counted(silver_from_envelopes(watched), "silver")
+    envelopes = read_envelopes(spark, raw, batch, keep_corrupt=True)
+    seen, counted = Observation("documents"), _document_counts(envelopes)
+    rows = envelopes_to_rows(first_per_video(envelopes.observe(seen, *counted)), batch)
+    silver = conform(require_nonblank(rows, "video_id", "region"), SILVER_STATS)
     write_partitions(silver, target, SILVER_STATS_PARTITIONS)
-    return _metrics(before, after, rows, JSON_KEYS)
+    counts = _observed([seen], lambda: envelopes.agg(*counted))
+    if quarantine and counts["unreadable_files"] + counts["rejected_items"]:
+        write_partitions(quarantined(envelopes, batch), quarantine, SILVER_STATS_PARTITIONS)
+    return counts
 
 
 def bronze_csv_to_silver(
-    spark: SparkSession, raw: str, target: str, day: dt.date | None = None, replace_all: bool = True
+    spark: SparkSession,
+    raw: str,
+    target: str,
+    day: dt.date | None = None,
+    replace_all: bool = True,
+    multi_line: bool = True,
 ) -> dict[str, int]:
     """Load CSV files into the history table: the whole dataset, or only the regions present.
 
     ``day`` reads the files of one ``date=`` folder; without it every file below ``raw`` counts,
-    those directly in a region folder included.
+    those directly in a region folder included. Without line breaks inside quotes pass
+    ``multi_line=False``: large files are then split over tasks.
     """
     path = raw if day is None else f"{raw.rstrip('/')}/region=*/date={day.isoformat()}"
-    rows = csv_to_rows(read_flat_csv(spark, path))
+    rows = csv_to_rows(read_flat_csv(spark, path, multi_line=multi_line))
     watched, before = _watch(rows, "bronze_csv")
     silver, after = _counted(silver_from_csv(watched), "silver_csv")
     (replace_dataset if replace_all else write_partitions)(silver, target, SILVER_HISTORY_PARTITIONS)
-    return _metrics(before, after, rows, CSV_KEYS)
+    counts = _observed([before, after], lambda: quality_counts(rows, ["video_id", "region"], CSV_KEYS))
+    left = counts["input_rows"] - counts["blank_video_id"] - counts["blank_region"]
+    return {**counts, "duplicate_rows": left - counts["output_rows"]}

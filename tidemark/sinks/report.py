@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.paths import region_from_path
 from tidemark.functions.text import is_blank
 from tidemark.schemas import CORRUPT
+from tidemark.sources.envelopes import REJECTED
 
 
 def envelope_report(envelopes: DataFrame) -> DataFrame:
@@ -19,17 +20,19 @@ def envelope_report(envelopes: DataFrame) -> DataFrame:
     path = F.col("_source_file")
     ids = F.transform("items", lambda item: F.trim(item["id"]))
     kept = F.size(F.array_distinct(F.filter(ids, lambda value: ~is_blank(value))))
-    found = F.size("items")
+    found = F.size("items") + F.size(REJECTED)
     empty = F.coalesce(found, F.lit(0)) <= 0
     error = (
         F.when(F.col(CORRUPT).isNotNull(), F.lit("unreadable document"))
         .when(empty, F.lit("no items"))
+        .when(F.size("items") == 0, F.lit("no readable items"))
     )
+    stored = error.isNull() & ~is_blank(region_from_path(path))
     return envelopes.select(
         path.alias("key"),
         region_from_path(path, "unknown").alias("region"),
-        F.when(error.isNull(), found).otherwise(0).cast("bigint").alias("incoming_rows"),
-        F.when(error.isNull(), kept).otherwise(0).cast("bigint").alias("final_rows"),
+        F.when(F.col(CORRUPT).isNull() & ~empty, found).otherwise(0).cast("bigint").alias("incoming_rows"),
+        F.when(stored, kept).otherwise(0).cast("bigint").alias("final_rows"),
         error.alias("error"),
     )
 
