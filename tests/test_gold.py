@@ -119,8 +119,14 @@ def test_incremental_refresh_equals_a_full_recompute_on_touched_keys(spark, tmp_
     layout, data = Layout(str(tmp_path)), make_history(1)
     for hour in range(4):
         write_stats(spark, layout, [r for r in data if r[7] == hour])
-        names, touched = refresh(spark, layout, "inc_", Batch(D1, hour), narrow_history=hour % 2 == 1)
-        assert touched
+        names, counts = refresh(spark, layout, "inc_", Batch(D1, hour))
+        new = [r for r in data if r[7] == hour]
+        assert counts == {
+            "new_rows": len(new),
+            "affected_categories": len({r[2] for r in new}),
+            "affected_pairs": len({(r[1], r[2]) for r in new}),
+            "facts_without_name": sum(r[2] == 9 for r in new),
+        }
     stats, dim = sources.read_stats(spark, layout.stats), dim_frame(spark)
     latest = plans.latest_snapshots(stats)
     batch = {(r[1], r[2]) for r in data if r[7] == 3}
@@ -150,8 +156,8 @@ def test_a_repeated_batch_changes_nothing(spark, tmp_path):
 def test_a_batch_that_touches_nothing_stops_early(spark, tmp_path):
     layout = Layout(str(tmp_path))
     write_stats(spark, layout, make_history(3, hours=1))
-    _, touched = refresh(spark, layout, "none_", Batch(D2, 7))
-    assert not touched
+    _, counts = refresh(spark, layout, "none_", Batch(D2, 7))
+    assert set(counts.values()) == {0}
 
 
 def test_emptied_partitions_disappear_and_untouched_ones_stay(spark, tmp_path):

@@ -115,10 +115,10 @@ def test_restricted_history_gives_the_same_latest_rows(spark, rows):
     assert len(rows(wrong)) == 2
 
 
-def test_restrict_to_with_salts_keeps_every_row_once(spark, rows):
+def test_restrict_to_keeps_every_row_once(spark, rows):
     df = spark.range(200).select((F.col("id") % 3).alias("k"), "id")
     keys = spark.createDataFrame([(0,), (2,), (2,)], "k long")
-    assert rows(ops.restrict_to(df, keys, ["k"], salts=8)) == rows(df.filter("k <> 1"))
+    assert rows(ops.restrict_to(df, keys, ["k"])) == rows(df.filter("k <> 1"))
 
 
 def test_lookup_drops_unknown_keys_and_accepts_text_ids(spark, rows):

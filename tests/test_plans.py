@@ -4,6 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_module
+from workload.oracle import ORACLE
+from workload.queries import QUERIES
 from tidemark import operators as ops
 from tidemark import plans, sinks, sources
 from tidemark.operators.keys import as_batch
@@ -123,4 +125,4 @@ def test_entry(spark):
 
 
 def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)

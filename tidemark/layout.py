@@ -28,6 +28,10 @@ class Layout:
     def stats(self) -> str:
         return self._at("silver", "video_statistics_v2")
 
+    @property
+    def quarantine(self) -> str:
+        return self._at("bronze", "quarantine")
+
     @property
     def history(self) -> str:
         return self._at("silver", "video_statistics")

@@ -71,21 +71,12 @@ def affected_keys(
     return out.dropna(subset=keys).distinct()
 
 
-def restrict_to(df: DataFrame, keys: DataFrame, on: Sequence[str], salts: int = 1) -> DataFrame:
+def restrict_to(df: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``df`` whose key occurs in ``keys`` (a semi-join, never multiplies rows).
 
-    With ``salts`` each key is repeated that many times and the rows of a key are spread over the
-    copies, so that a hot key is split even where a later step needs the join's partitioning.
+    A key that holds much of ``df`` is split by Spark's skew handling.
     """
-    on = list(on)
-    keys = keys.select(*on)
-    if salts == 1:
-        return df.join(keys, on, "left_semi")
-    salt = "__salt"
-    spread = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns if c not in on]), F.lit(salts))
-    numbers = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
-    copies = keys.withColumn(salt, F.explode(numbers))
-    return df.withColumn(salt, spread).join(copies, [*on, salt], "left_semi").drop(salt)
+    return df.join(keys.select(*on), list(on), "left_semi")
 
 
 def restrict_history(
@@ -93,7 +84,6 @@ def restrict_history(
     affected: DataFrame,
     on: Sequence[str] = ("category_id",),
     entity: Sequence[str] = ("video_id", "region"),
-    salts: int = 16,
 ) -> DataFrame:
     """Full history of every entity that was ever in an affected key.
 
@@ -101,7 +91,7 @@ def restrict_history(
     rows of entities that moved, and an older row would pass for the latest.
     """
     entities = restrict_to(stats.select(*entity, *on).distinct(), affected, on)
-    return restrict_to(stats, entities.select(*entity).distinct(), entity, salts)
+    return restrict_to(stats, entities.select(*entity).distinct(), entity)
 
 
 def lookup_dim(facts: DataFrame, dim: DataFrame, key: str = "category_id") -> DataFrame:

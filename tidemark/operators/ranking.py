@@ -1,8 +1,9 @@
 """Top-k per group, and the one-row-per-key operators built on it.
 
 Every operator here is ``row_number`` plus a filter on it. Spark turns that shape into a group
-limit on both sides of the shuffle: each map task forwards at most k rows per key, so a key that
-holds a third of the input still sends only a few rows to its reducer.
+limit on both sides of the shuffle (up to the k that ``spark.sql.optimizer.windowGroupLimitThreshold``
+allows): each map task forwards at most k rows per key, so a key that holds a third of the input still
+sends only a few rows to its reducer.
 """
 
 from __future__ import annotations
@@ -12,12 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Above this k Spark stops pushing the limit below the shuffle
-# (spark.sql.optimizer.windowGroupLimitThreshold), so groups are split explicitly.
-_PUSHED_LIMIT = 1000
-_SPLITS = 64
 _RANK = "__rank"
-_SPLIT = "__split"
 
 
 def _rank_at_most(
@@ -38,11 +34,6 @@ def top_k(
 
     ``order`` should be total within a group, otherwise ties fall as Spark finds them.
     """
-    if k > _PUSHED_LIMIT:
-        # The best k of a group are among the best k of its splits.
-        split = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), F.lit(_SPLITS))
-        df = _rank_at_most(df.withColumn(_SPLIT, split), [*keys, _SPLIT], order, k, _RANK)
-        df = df.drop(_SPLIT, _RANK)
     out = _rank_at_most(df, keys, order, k, rank or _RANK)
     return out.withColumn(rank, F.col(rank).cast("bigint")) if rank else out.drop(_RANK)
 
@@ -73,8 +64,7 @@ def canonical_dim(
 ) -> DataFrame:
     """One ``(category_id, category_name)`` row per key: the name of the lowest ``order`` row.
 
-    Two columns and the order travel, so a plain minimum per key does it: it combines on the map
-    side and needs no sort of the group.
+    Two columns and the order travel, and a minimum per key combines on the map side.
     """
     first = F.min_by(F.col(name), F.struct(*order, F.coalesce(F.col(name), F.lit(""))))
     return (

@@ -19,8 +19,8 @@ from tidemark.operators.keys import (
     Batch,
     affected_keys,
     batch_slice,
+    keys_missing_from,
     lookup_dim,
-    restrict_history,
     restrict_to,
 )
 from tidemark.operators.ranking import canonical_dim, latest_by, top_k
@@ -144,14 +144,13 @@ def silver_to_gold(
     *,
     k: int = 3,
     include_previous: bool = False,
-    narrow_history: bool = False,
-) -> bool:
-    """Recompute what ``batch`` touches in the four Gold tables; False when it touches nothing.
+) -> dict[str, int]:
+    """Recompute what ``batch`` touches in the four Gold tables; returns the counts of the run: new rows,
+    affected categories and pairs of region and category (0 when it touches nothing and stops), and the
+    batch's facts whose category has no dimension row and so reaches no report.
 
     ``tables`` maps each report to a catalog table (see ``register_tables``).
     ``include_previous`` also refreshes categories that the batch's videos have left.
-    ``narrow_history`` first cuts history to videos seen in an affected category; it pays off when
-    a batch touches few categories.
 
     History is scanned twice: once for the sums over all snapshots and once for the latest
     snapshots, which three reports share through a written copy.
@@ -162,13 +161,21 @@ def silver_to_gold(
     pairs = affected_keys(batch_slice(stats, batch), ["region", "category_id"], history)
     pairs = stage(pairs, f"{work}/pairs")
     categories = pairs.select("category_id").distinct()
-    if categories.isEmpty():
+    dim = stage(canonical_dim(reference), f"{work}/dim")
+    new = batch_slice(stats, batch)
+    counts = (
+        new.agg(F.count(F.lit(1)).alias("new_rows"))
+        .crossJoin(categories.agg(F.count(F.lit(1)).alias("affected_categories")))  # single rows
+        .crossJoin(pairs.agg(F.count(F.lit(1)).alias("affected_pairs")))
+        .crossJoin(keys_missing_from(new, dim).agg(F.coalesce(F.sum("fact_rows"), F.lit(0)).alias("facts_without_name")))
+        .first()
+        .asDict()
+    )
+    if not counts["affected_categories"]:
         drop_scratch(spark, work)
-        return False
+        return counts
 
-    facts = restrict_history(stats, categories) if narrow_history else stats
-    latest = stage(latest_snapshots(facts), f"{work}/latest")
-    dim = stage(canonical_dim(reference), f"{work}/dim")
+    latest = stage(latest_snapshots(stats), f"{work}/latest")
     results = {
         "category_engagement": category_engagement(stats, dim, categories),
         "category_performance": category_performance(latest, dim, categories),
@@ -187,4 +194,4 @@ def silver_to_gold(
         for done in [pool.submit(inheritable_thread_target(spark)(publish), n) for n in results]:
             done.result()
     drop_scratch(spark, work)
-    return True
+    return counts

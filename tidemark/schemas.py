@@ -117,7 +117,7 @@ SILVER_HISTORY_PARTITIONS = ["region"]
 
 # Columns of the view over history and current facts, in order.
 ALL_STATS = _columns(
-    **_STATS, region="string", ingestion_date="date", ingestion_hour="integer"
+    **_STATS, _source_file="string", region="string", ingestion_date="date", ingestion_hour="integer"
 )
 
 # Only the fixed part: reference data may carry any further flattened column.

@@ -77,6 +77,12 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(target) or []]
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder and what it holds, if it exists."""
+    fs, target = _filesystem(spark, path)
+    fs.delete(target, True)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     """Remove a path made by :func:`scratch`; anything else is refused."""
     if not path.startswith(f"{shared_dir(spark)}/tidemark/"):

@@ -39,10 +39,13 @@ def create_table(
 
 
 def create_csv_table(
-    spark: SparkSession, name: str, location: str, schema: T.StructType = BRONZE_CSV
+    spark: SparkSession, name: str, location: str, schema: T.StructType = BRONZE_CSV, multi_line: bool = True
 ) -> None:
-    """Register an external delimited-text table with a skipped header."""
-    options = {**CSV_DIALECT, "multiLine": "true", "recursiveFileLookup": "true"}
+    """Register an external delimited-text table with a skipped header.
+
+    Without line breaks inside quotes pass ``multi_line=False``: large files are then split over tasks.
+    """
+    options = {**CSV_DIALECT, "multiLine": str(multi_line).lower(), "recursiveFileLookup": "true"}
     listed = ", ".join(
         "'{}' = '{}'".format(k, v.replace("\\", "\\\\")) for k, v in options.items()
     )
@@ -88,12 +91,21 @@ def register_views(stats: DataFrame, reference: DataFrame, batch: Batch) -> None
 def register_evolving(spark: SparkSession, name: str, location: str) -> None:
     """Register a dataset whose columns evolve, under the columns its files have now.
 
-    Only the definition is replaced; the files belong to the location.
+    A table that exists only gains its new columns, so readers never miss it; it is defined anew when a
+    column has another type or is gone.
     """
+    now = spark.read.option("mergeSchema", True).parquet(location)
+    if spark.catalog.tableExists(name):
+        known = {f.name: f.dataType for f in spark.table(name).schema}
+        found = {f.name: f.dataType for f in now.schema}
+        if all(found.get(c) == kind for c, kind in known.items()):
+            new = T.StructType([f for f in now.schema if f.name not in known])
+            if new:
+                spark.sql(f"ALTER TABLE {name} ADD COLUMNS ({_ddl(new)})")
+            repair_table(spark, name)
+            return
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    spark.sql(
-        f"CREATE TABLE {name} USING parquet OPTIONS (mergeSchema 'true') LOCATION '{location}'"
-    )
+    spark.sql(f"CREATE TABLE {name} USING parquet OPTIONS (mergeSchema 'true') LOCATION '{location}'")
     repair_table(spark, name)
 
 
@@ -106,9 +118,12 @@ TABLE_NAMES = {
 }
 
 
-def register_tables(spark: SparkSession, layout: Layout, prefix: str = "") -> dict[str, str]:
+def register_tables(
+    spark: SparkSession, layout: Layout, prefix: str = "", repair: bool = True
+) -> dict[str, str]:
     """Create and repair the table of every dataset below a layout.
 
+    Without ``repair`` only new tables look for their partitions; jobs add those they write themselves.
     Returns the table name per dataset, each with ``prefix``. The dimension is registered once it
     exists, since its columns come from its files.
     """
@@ -119,8 +134,9 @@ def register_tables(spark: SparkSession, layout: Layout, prefix: str = "") -> di
     }
     names = {key: prefix + name for key, name in TABLE_NAMES.items()}
     for key, (schema, by, location) in tables.items():
+        known = spark.catalog.tableExists(names[key])
         create_table(spark, names[key], schema, location, by)
-        if path_exists(spark, location):
+        if path_exists(spark, location) and (repair or not known):
             repair_table(spark, names[key])
     if path_exists(spark, layout.reference):
         register_evolving(spark, names["reference"], layout.reference)

@@ -51,7 +51,7 @@ def _allowed(df: DataFrame, regions: Sequence[str] | None) -> DataFrame:
     return df.filter(F.col("region").isin([r.strip().lower() for r in regions]))
 
 
-def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str], mode: str) -> None:
+def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str]) -> None:
     parts = {
         "date": _utc(run, "yyyy-MM-dd"),
         "hour": _utc(run, "HH"),
@@ -59,13 +59,11 @@ def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str], mode:
     }
     for level in levels:
         rows = rows.withColumn(level, parts[level])
-    # One file per row: the write is bound by file creation, so it is spread over all cores
-    # instead of following the (small) size of the rows. The hash of the content also spreads
-    # a region or run that has most of the documents.
-    cores = rows.sparkSession.sparkContext.defaultParallelism
+    # One file per row. The hash of the content spreads a region or run that has most of the documents.
     (
-        rows.repartition(cores, "region", *levels, F.xxhash64("items"))
-        .write.mode(mode)
+        rows.repartition("region", *levels, F.xxhash64("items"))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", 1)
         .partitionBy("region", *levels)
         .json(root)
@@ -80,15 +78,15 @@ def land_envelopes(
     *,
     run_id: Column | None = None,
     regions: Sequence[str] | None = None,
-    mode: str = "append",
 ) -> None:
     """Write one document per input row below ``region=/date=/hour=/run=``.
 
     Input rows hold ``region``, ``items`` and any further envelope fields. The run folder makes a
-    later run of the same hour sort after an earlier one by path.
+    later run of the same hour sort after an earlier one by path. Landing a run again replaces its own
+    folders and touches no others, so a retry is harmless: pass all documents of a run together.
     """
     rows = _allowed(with_metadata(df, run, source, run_id), regions)
-    _land(rows, root, _instant(run), ["date", "hour", "run"], mode)
+    _land(rows, root, _instant(run), ["date", "hour", "run"])
 
 
 def land_reference(
@@ -99,8 +97,8 @@ def land_reference(
     *,
     run_id: Column | None = None,
     regions: Sequence[str] | None = None,
-    mode: str = "append",
 ) -> None:
-    """Write one reference document per input row below ``region=/date=/run=``."""
+    """Write one reference document per input row below ``region=/date=/run=``; a run landed again
+    replaces its own folders."""
     rows = _allowed(with_metadata(df, run, source, run_id, count_items=False), regions)
-    _land(rows, root, _instant(run), ["date", "run"], mode)
+    _land(rows, root, _instant(run), ["date", "run"])

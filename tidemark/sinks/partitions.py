@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import restrict_to
+from tidemark.session import delete_folder
+
+PARTITIONS_PER_STATEMENT = 500
 
 
 def _write(df: DataFrame, path: str, by: Sequence[str], mode: str) -> None:
@@ -35,36 +40,50 @@ def replace_dataset(df: DataFrame, path: str, by: Sequence[str]) -> None:
     _write(df, path, by, "static")
 
 
+def add_partitions(spark: SparkSession, table: str, by: Sequence[str], values: Sequence[Sequence]) -> None:
+    """Make partitions known to the catalog, so many to a statement; known ones are left alone."""
+    for first in range(0, len(values), PARTITIONS_PER_STATEMENT):
+        specs = " ".join(f"PARTITION ({_spec(by, v)})" for v in values[first : first + PARTITIONS_PER_STATEMENT])
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
+
+
+def drop_partitions(spark: SparkSession, table: str, by: Sequence[str], values: Sequence[Sequence]) -> None:
+    for first in range(0, len(values), PARTITIONS_PER_STATEMENT):
+        specs = ", ".join(f"PARTITION ({_spec(by, v)})" for v in values[first : first + PARTITIONS_PER_STATEMENT])
+        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS {specs}")
+
+
 def replace_affected(df: DataFrame, affected: DataFrame, table: str, by: Sequence[str]) -> None:
     """Replace the affected partitions of a catalog table by ``df``.
 
-    Partitions with output are swapped by a dynamic overwrite. Affected partitions without output
-    are emptied after it, so readers never meet a gap and a failure loses nothing. ``df`` is read
-    twice: pass a small or staged frame. Only values of emptied partitions reach the driver, one
-    at a time, and each costs a metadata operation there.
+    Partitions with output are swapped by a dynamic overwrite and added to the catalog. Affected
+    partitions without output leave the catalog after it and lose their files then, so readers never meet
+    a gap and a failure loses nothing. ``df`` is read twice: pass a small or staged frame. Only values of
+    written and of emptied partitions reach the driver; other partitions cost nothing.
     """
     spark = df.sparkSession
     by = list(by)
     columns = spark.table(table).columns
     location = spark.sql(f"DESCRIBE FORMATTED {table}").filter("col_name = 'Location'").first().data_type
     write_partitions(df.select(*columns), location, by)
-    spark.sql(f"MSCK REPAIR TABLE {table}")
-
-    stored = spark.table(table).select(*by).distinct()
-    emptied = restrict_to(stored, affected, by).join(df.select(*by).distinct(), by, "left_anti")
-    data = [c for c in columns if c not in by]
-    for row in emptied.toLocalIterator():
-        spec = ", ".join(f"{c} = {_literal(row[c])}" for c in by)
-        nulls = ", ".join(
-            f"CAST(NULL AS {f.dataType.simpleString()}) AS {f.name}"
-            for f in spark.table(table).schema
-            if f.name in data
-        )
-        spark.sql(f"INSERT OVERWRITE TABLE {table} PARTITION ({spec}) SELECT {nulls} WHERE false")
-        spark.sql(f"ALTER TABLE {table} DROP IF EXISTS PARTITION ({spec})")
+    written = [tuple(r) for r in df.select(*[F.col(c).cast("string") for c in by]).distinct().toLocalIterator()]
+    add_partitions(spark, table, by, written)
+    spark.catalog.refreshTable(table)
+
+    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+    stored = spark.table(table).select(*by, folder)
+    emptied = restrict_to(stored, affected, by).join(df.select(*by).distinct(), by, "left_anti").distinct()
+    gone = emptied.collect()
+    drop_partitions(spark, table, by, sorted({tuple(str(r[c]) for c in by) for r in gone}))
+    for path in {r.folder for r in gone}:
+        delete_folder(spark, unquote(path))  # file paths come as URIs
     spark.catalog.refreshTable(table)
 
 
+def _spec(by: Sequence[str], values: Sequence) -> str:
+    return ", ".join(f"{c} = {_literal(v)}" for c, v in zip(by, values, strict=True))
+
+
 def _literal(value: object) -> str:
     text = str(value).replace("\\", "\\\\").replace("'", "\\'")
     return f"'{text}'"
