@@ -28,7 +28,7 @@ _POWERS: dict[int, np.ndarray] = {}
 
 def _powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64."""
-    if len(_POWERS.get(base, ())) < n:
+    if base not in _POWERS or len(_POWERS[base]) < n:
         steps = np.full(max(n, CHUNK), base, dtype=np.uint64)
         steps[0] = 1
         made = np.multiply.accumulate(steps)
