@@ -9,8 +9,8 @@ at the very threshold, so that a pair is missed with probability 1e-5 at most.
 
 1. Equal vectors become one class, with a count.
 2. Bucket keys alone are counted; only vectors in shared buckets travel on, with their keys.
-3. A bucket is split by hash into blocks of bounded size, and a pair of blocks is a task's work: one
-   matrix product finds candidates, exact cosines confirm them. A pair counts in one of the buckets
+3. Small buckets are packed together; a large one is split by hash into blocks of bounded size, and a
+   pair of blocks is a group. Products find candidates, exact cosines confirm them. A pair counts in one of the buckets
    that it shares, that of the least key. A task returns a count for each vector and a spanning forest, never the pairs.
 4. Counts are added up; connected components over the forests give the groups.
 
@@ -141,9 +141,32 @@ def _labels(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         label = new
 
 
+def _same_bucket(bucket: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of rows with one bucket, rows being in the order of their buckets."""
+    rows = np.arange(len(bucket))
+    for k in range(1, len(bucket)):
+        rows = rows[rows + k < len(bucket)]
+        rows = rows[bucket[rows] == bucket[rows + k]]
+        if not len(rows):
+            return
+        yield rows, rows + k
+
+
+def _across(unit: np.ndarray, block: np.ndarray, low: int, high: int, least: float) -> Iterator[tuple]:
+    """Pairs of one bucket's rows across two blocks, or inside one, that are near enough."""
+    left, right = np.flatnonzero(block == low), np.flatnonzero(block == high)
+    for first in range(0, len(left), 512):
+        rows = left[first : first + 512]
+        i, j = np.nonzero(unit[rows] @ unit[right].T >= least)
+        i, j = rows[i], right[j]
+        yield (i[i < j], j[i < j]) if low == high else (i, j)
+
+
 def _verify(width: int, tables: int, cosine: float):
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        bucket, low, high = (k.as_py() for k in key)
+        _, low, high = (k.as_py() for k in key)
+        table = table.sort_by("bucket")
+        bucket = table["bucket"].to_numpy()
         x = matrix(table["embedding"], width)
         node, copies = table["node"].to_numpy(), table["copies"].to_numpy()
         keys = table["keys"].combine_chunks().flatten().to_numpy().reshape(len(x), tables, -1)
@@ -151,15 +174,12 @@ def _verify(width: int, tables: int, cosine: float):
         x = x / np.exp2(np.floor(np.log2(np.abs(x).max(axis=1))))[:, None]  # exact, and squares stay in range
         norm = np.sqrt(products(x, x))
         unit = x / norm[:, None]
-        left = np.flatnonzero(block == low)
-        right = np.flatnonzero(block == high)
         links, ends_x, ends_y = np.zeros(len(x), dtype=np.int64), [], []
-        for first in range(0, len(left), 512):
-            rows = left[first : first + 512]
-            i, j = np.nonzero(unit[rows] @ unit[right].T >= cosine - 1e-9)
-            i, j = rows[i], right[j]
-            if low == high:
-                i, j = i[i < j], j[i < j]
+        found = _same_bucket(bucket) if low < 0 else _across(unit, block, low, high, cosine - 1e-9)
+        for i, j in found:
+            if low < 0:
+                near = np.einsum("ij,ij->i", unit[i], unit[j]) >= cosine - 1e-9
+                i, j = i[near], j[near]
             for part in range(0, len(i), 65536):
                 a, b = i[part : part + 65536], j[part : part + 65536]
                 near = products(x[a], x[b]) / (norm[a] * norm[b]) >= cosine
@@ -170,7 +190,7 @@ def _verify(width: int, tables: int, cosine: float):
                     for p in range(keys.shape[2]):
                         shared = (keys[a, t, p][:, None] == keys[b, t]).any(axis=1)
                         np.minimum(where, keys[a, t, p], out=where, where=shared)
-                here = where == bucket
+                here = where == bucket[a]
                 a, b = a[here], b[here]
                 np.add.at(links, a, copies[b])
                 np.add.at(links, b, copies[a])
@@ -180,9 +200,13 @@ def _verify(width: int, tables: int, cosine: float):
                 ends_y.append(label[tied])
         tied = np.concatenate([*ends_x, np.zeros(0, np.int64)]).astype(np.int64)
         to = np.concatenate([*ends_y, np.zeros(0, np.int64)]).astype(np.int64)
-        label = _labels(len(x), tied, to)
-        some = np.flatnonzero(links > 0)
-        return pa.table({"node": node[some], "root": node[label[some]], "links": links[some]})
+        # A vector has a row for each of its buckets here; they are one node.
+        names, at = np.unique(node, return_inverse=True)
+        label = _labels(len(names), at[tied], at[to])
+        total = np.zeros(len(names), dtype=np.int64)
+        np.add.at(total, at, links)
+        some = np.flatnonzero(total > 0)
+        return pa.table({"node": names[some], "root": names[label[some]], "links": total[some]})
 
     return run
 
@@ -225,17 +249,23 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
         entries.groupBy("bucket")
         .agg(F.count("*").alias("n"))
         .filter("n > 1")
-        .select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+        .select("bucket", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     )
-    met = entries.join(shared, "bucket")
+    # Buckets of one block are dealt to packs of about two blocks' rows; larger ones go by themselves.
+    shared = stage(shared, f"{root}/shared")
+    small = shared.filter("blocks = 1").agg(F.sum("n")).first()[0] or 0
+    pack = F.pmod(F.xxhash64(F.lit(2), "bucket"), F.lit(max(1, small // (2 * BLOCK))))
+    met = entries.join(shared.drop("n"), "bucket")
     travelling = (
         met.join(hashed, "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("alone", F.col("blocks") > 1)
         .select(
+            F.when(F.col("alone"), F.col("bucket")).otherwise(pack).alias("grp"),
+            F.when(F.col("alone"), F.least("block", "other")).otherwise(F.lit(-1)).alias("low"),
+            F.when(F.col("alone"), F.greatest("block", "other")).otherwise(F.lit(-1)).alias("high"),
             "bucket",
-            F.least("block", "other").alias("low"),
-            F.greatest("block", "other").alias("high"),
             "block",
             "node",
             "copies",
@@ -244,7 +274,7 @@ def near_vectors(embeddings: DataFrame, cosine: float = 0.95) -> DataFrame:
         )
     )
     links = stage(
-        travelling.groupBy("bucket", "low", "high").applyInArrow(
+        travelling.groupBy("grp", "low", "high").applyInArrow(
             _verify(made.width, made.tables, cosine), "node long, root long, links long"
         ),
         f"{root}/links",
