@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.vectors import dimension, matrix, products, real, usable
 from tidemark.session import scratch, stage
 
-SAMPLE, LEAF_ROWS, BRANCHES = 16_384, 1_024, 8
+SAMPLE, LEAF_ROWS, BRANCHES = 16_384, 4_096, 8
 CALIBRATION, RECALL = 256, 0.95
 BLOCK = 4_096
 
