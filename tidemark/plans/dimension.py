@@ -58,6 +58,7 @@ def upsert_reference(
     target: str,
     ingestion_timestamp: str | None = None,
     report: str | None = None,
+    pattern: str = "*.json",
 ) -> DataFrame:
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
@@ -74,7 +75,7 @@ def upsert_reference(
     """
     stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
     work = scratch(spark)
-    documents = stage(read_reference(spark, paths), f"{work}/documents")
+    documents = stage(read_reference(spark, paths, pattern=pattern), f"{work}/documents")
     status = reference_status(documents)
     usable = status.filter(F.col("error").isNull())
     changed = not usable.isEmpty()

@@ -212,7 +212,8 @@ def quarantined(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
 
 
 def bronze_json_to_silver(
-    spark: SparkSession, raw: str, target: str, batch: Batch | None, quarantine: str | None = None
+    spark: SparkSession, raw: str, target: str, batch: Batch | None, quarantine: str | None = None,
+    pattern: str = "*.json",
 ) -> dict[str, int]:
     """Load one batch of envelopes (every batch for None) into the partitioned fact table.
 
@@ -221,7 +222,7 @@ def bronze_json_to_silver(
     :func:`tidemark.operators.quality_counts`. What could not be read is counted, and with
     ``quarantine`` written there, replacing what an earlier run of the batch left.
     """
-    envelopes = read_envelopes(spark, raw, batch, keep_corrupt=True)
+    envelopes = read_envelopes(spark, raw, batch, keep_corrupt=True, pattern=pattern)
     seen, counted = Observation("documents"), _document_counts(envelopes)
     rows = envelopes_to_rows(first_per_video(envelopes.observe(seen, *counted)), batch)
     silver = conform(require_nonblank(rows, "video_id", "region"), SILVER_STATS)

@@ -42,7 +42,7 @@ def stream_reference(
         files = [row.path for row in batch.toLocalIterator()]
         if files:
             work = scratch(spark)
-            outcome = upsert_reference(spark, files, target, ingestion_timestamp, f"{work}/report")
+            outcome = upsert_reference(spark, files, target, ingestion_timestamp, f"{work}/report", pattern)
             if report:
                 outcome.write.mode("append").parquet(report)
             drop_scratch(spark, work)

@@ -199,6 +199,8 @@ _DIMENSION = """
     SELECT region, id, snippet_title, CAST(balance AS VARCHAR), pos, 0 FROM supplier_ref)
   QUALIFY row_number() OVER (PARTITION BY region, id ORDER BY newer DESC, pos DESC) = 1"""
 
+_STAMPED = "'2024-01-01T00:00:00.000000+00:00'"
+
 ORACLE: dict[str, str] = {
     "category_engagement": _GOLD
     + _engagement("stats", "WHERE category_id IN (SELECT category_id FROM affected)"),
@@ -317,6 +319,37 @@ latest AS (
                  (SELECT count(DISTINCT (region, chunk)) FROM raw) AS files FROM raw
           ORDER BY raw.ingestion_date DESC, ingestion_hour DESC LIMIT 1""",
     "silver_json": _with(ITEMS) + f" SELECT {SILVER_COLUMNS} FROM silver",
+    "silver_json_damaged": _with(ITEMS) + f" SELECT {SILVER_COLUMNS} FROM silver WHERE chunk % 7 <> 6",
+    "silver_quarantine": _with(ITEMS)
+    + """ SELECT region, CASE WHEN chunk % 7 = 6 THEN 'unreadable document' ELSE 'item is no object' END AS reason,
+                 count(DISTINCT chunk) AS n FROM raw WHERE chunk % 7 = 6 OR chunk % 3 = 1 GROUP BY 1, 2""",
+    "silver_run_counts": _with(ITEMS)
+    + """ , good AS (SELECT * FROM raw WHERE chunk % 7 <> 6),
+          kept AS (SELECT DISTINCT trim(raw_id), region, run_id FROM good WHERE trim(raw_id) <> '')
+          SELECT (SELECT count(*) FROM events) AS events,
+                 (SELECT count(DISTINCT (region, chunk)) FROM raw) AS files,
+                 (SELECT count(DISTINCT (region, chunk)) FROM raw WHERE chunk % 7 = 6) AS unreadable_files,
+                 (SELECT count(DISTINCT (region, chunk)) FROM good WHERE chunk % 3 = 1) AS rejected_items,
+                 count(*) AS input_rows,
+                 count(*) FILTER (WHERE trim(raw_id) = '') AS blank_video_id, 0::BIGINT AS blank_region,
+                 count(*) FILTER (WHERE trim(raw_id) <> '') - (SELECT count(*) FROM kept) AS duplicate_rows,
+                 (SELECT count(*) FROM kept) AS output_rows
+          FROM good""",
+    "landing_twice": _with(ITEMS)
+    + " SELECT region, count(DISTINCT chunk) AS envelopes, count(*) AS items FROM raw GROUP BY region",
+    "all_stats_view": _with(STATS) + " SELECT * FROM latest",
+    "guards": """
+        SELECT (SELECT count(*) FROM orders) AS orders, guard, says,
+               CAST(least(10, (SELECT count(*) FROM orders)) AS INTEGER) AS sampled
+        FROM (VALUES ('columns', 'missing required columns: [''absent'']'), ('columns_present', 'ok'),
+                     ('rows', 'orders is empty'), ('rows_present', 'ok'),
+                     ('unique_columns', 'duplicate columns: [''o_orderkey'']'), ('unique_columns_present', 'ok')) t(guard, says)""",
+    "gold_counts": _GOLD
+    + """ SELECT (SELECT count(*) FROM stats) AS facts, count(*) AS new_rows,
+                 (SELECT count(*) FROM affected) AS affected_categories, (SELECT count(*) FROM pairs) AS affected_pairs,
+                 count(*) FILTER (WHERE category_id IS NOT NULL AND CAST(category_id AS VARCHAR) NOT IN (
+                   SELECT category_id FROM dim WHERE category_id < '2')) AS facts_without_name
+          FROM batch""",
     "silver_json_schemaless": _with(ITEMS) + f" SELECT {SILVER_COLUMNS} FROM silver",
     "silver_batch_json": _with(ITEMS)
     + """ SELECT video_id, region, CAST(ingestion_date AS VARCHAR) AS ingestion_date, ingestion_hour, views
@@ -349,10 +382,26 @@ latest AS (
     "stream_upsert": _with(REFERENCE) + _DIMENSION,
     "reference_report": _with(REFERENCE)
     + """ SELECT '20240101_000000_' || lpad(CAST(pos // 250 AS VARCHAR), 12, '0') AS run_id, region,
-                 count(*) AS incoming_rows,
+                 count(*) AS incoming_rows, count(DISTINCT id) AS distinct_rows,
                  (SELECT count(DISTINCT id) FROM customer_ref r WHERE r.region = customer_ref.region) AS final_rows,
+                 (SELECT count(*) FROM reference) AS dimension_rows,
                  CAST(NULL AS VARCHAR) AS error
           FROM customer_ref GROUP BY pos // 250, region""",
+    "reference_job_damaged": _with(REFERENCE)
+    + " SELECT region, id, snippet_title, CAST(balance AS VARCHAR) AS snippet_channelid, "
+    + f"{_STAMPED} AS ingestion_timestamp FROM reference UNION ALL SELECT 'damaged', 's' || s_suppkey, 'half', '1', {_STAMPED} "
+    + "FROM supplier WHERE s_suppkey % 5 = 4",
+    "stream_upsert_damaged": _with(REFERENCE)
+    + _DIMENSION
+    + f" UNION ALL SELECT 'damaged', 's' || s_suppkey, 'half', '1', {_STAMPED} FROM supplier WHERE s_suppkey % 5 = 4",
+    "reference_report_damaged": _with(REFERENCE)
+    + """ SELECT error, count(*) AS files, CAST(sum(n) AS BIGINT) AS found, CAST(sum(d) AS BIGINT) AS rows FROM (
+            SELECT CAST(NULL AS VARCHAR) AS error, count(*) AS n, count(DISTINCT id) AS d
+            FROM customer_ref GROUP BY pos // 250, region
+            UNION ALL SELECT CASE s_suppkey % 5 WHEN 3 THEN 'unreadable document' WHEN 4 THEN NULL
+                      ELSE 'missing required column id' END,
+                    CASE s_suppkey % 5 WHEN 3 THEN 0 WHEN 4 THEN 2 ELSE 1 END, CASE s_suppkey % 5 WHEN 4 THEN 1 ELSE 0 END
+            FROM supplier) GROUP BY error""",
     "reference_region_replace": _with(REFERENCE)
     + """ SELECT region, id, snippet_title FROM (
             SELECT * FROM customer_ref WHERE region IN ('asia', 'europe')

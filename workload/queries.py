@@ -208,7 +208,7 @@ def keep_last_reference(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def top_videos_per_region(spark: SparkSession, sf: str) -> DataFrame:
-    """The 1,500 most viewed snapshots per region: beyond the pushed limit, so split first."""
+    """The 1,500 most viewed snapshots per region."""
     stats = adapter.stats(spark, sf).select("region", "event_id", "views")
     order = [F.col("views").desc_nulls_last(), F.col("event_id").asc()]
     return ops.top_k(stats, ["region"], order, 1500, "view_rank")
@@ -448,6 +448,69 @@ def silver_json(spark: SparkSession, sf: str) -> DataFrame:
     return plain(sources.read_stats(spark, target).drop("_source_file"))
 
 
+def _half_good(spark: SparkSession, sf: str) -> str:
+    """Landed envelopes, one in three with a text element before its items and one in seven cut off."""
+    root = scratch(spark)
+    envelope = F.to_json(F.struct("kind", "etag", "items"))
+    chunk = F.col("chunk")
+    text = (
+        F.when(chunk % 7 == 6, F.expr("left(envelope, length(envelope) - 2)"))
+        .when(chunk % 3 == 1, F.regexp_replace("envelope", r'"items":\[', '"items":["text",'))
+        .otherwise(F.col("envelope"))
+    )
+    (
+        adapter.fetched(spark, sf)
+        .withColumn("envelope", envelope)
+        .select(
+            "region",
+            F.date_format("run", "yyyy-MM-dd").alias("date"),
+            F.date_format("run", "HH").alias("hour"),
+            F.col("run_id").alias("run"),
+            text.alias("text"),
+        )
+        .write.option("maxRecordsPerFile", 1)
+        .partitionBy("region", "date", "hour", "run")
+        .text(root)
+    )
+    return root
+
+
+@query
+def silver_json_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """All good items of damaged files are stored."""
+    target = scratch(spark)
+    plans.bronze_json_to_silver(spark, _half_good(spark, sf), target, None, pattern=_ANY)
+    return plain(sources.read_stats(spark, target).drop("_source_file"))
+
+
+@query
+def silver_quarantine(spark: SparkSession, sf: str) -> DataFrame:
+    """What could not be read, by region and reason."""
+    aside = scratch(spark)
+    plans.bronze_json_to_silver(spark, _half_good(spark, sf), scratch(spark), None, aside, _ANY)
+    return spark.read.parquet(aside).groupBy("region", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def silver_run_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that the Silver job returns for damaged files."""
+    counts = plans.bronze_json_to_silver(spark, _half_good(spark, sf), scratch(spark), None, pattern=_ANY)
+    events = adapter.table(spark, sf, "events").agg(F.count(F.lit(1)).alias("events"))
+    return events.select("events", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()])
+
+
+@query
+def landing_twice(spark: SparkSession, sf: str) -> DataFrame:
+    """The same runs landed twice, the second time only one region of them: nothing doubles or is lost."""
+    root = _land(spark, sf)
+    again = adapter.fetched(spark, sf).filter("region = 'asia'")
+    sinks.land_envelopes(again, root, F.col("run"), adapter.SOURCE, run_id=F.col("run_id"))
+    landed = sources.read_envelopes(spark, root)
+    return landed.groupBy(F.col("_pipeline_metadata.region").alias("region")).agg(
+        F.count(F.lit(1)).alias("envelopes"), F.sum(F.size("items")).alias("items")
+    )
+
+
 @query
 def silver_json_schemaless(spark: SparkSession, sf: str) -> DataFrame:
     """The same rows through JSON text and paths, without a declared schema."""
@@ -585,7 +648,63 @@ def reference_report(spark: SparkSession, sf: str) -> DataFrame:
     raw = _land_reference(spark, sf, "customer", scratch(spark))
     report = plans.upsert_reference(spark, raw, scratch(spark), _STAMP)
     run = F.regexp_extract("key", r"/run=([^/]+)/", 1)
-    return report.select(run.alias("run_id"), "region", "incoming_rows", "final_rows", "error")
+    return report.select(
+        run.alias("run_id"), "region", "incoming_rows", "distinct_rows", "final_rows", "dimension_rows", "error"
+    )
+
+
+def _texts(rows: DataFrame, root: str) -> None:
+    """One file per row of (region, text), whatever the text is."""
+    rows.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("region").text(root)
+
+
+_ANY = "part-*"
+
+
+def _damaged_reference(spark: SparkSession, sf: str, root: str) -> None:
+    """A file per supplier: text for the list, a text element, a text snippet, broken JSON, a half-good list."""
+    key = F.col("s_suppkey").cast("string")
+    text = (
+        F.when(F.col("s_suppkey") % 5 == 0, F.lit('{"items": "text"}'))
+        .when(F.col("s_suppkey") % 5 == 1, F.lit('{"items": ["text"]}'))
+        .when(F.col("s_suppkey") % 5 == 2, F.concat(F.lit('{"items": [{"id": "'), key, F.lit('", "snippet": "text"}]}')))
+        .when(F.col("s_suppkey") % 5 == 3, F.concat(F.lit('{"items": [{"id": "'), key))
+        .otherwise(F.concat(F.lit('{"items": ["text", {"id": "s'), key, F.lit('", "snippet": {"title": "half", "channelId": 1}}]}')))
+    )
+    _texts(adapter.table(spark, sf, "supplier").select(F.lit("damaged").alias("region"), text.alias("text")), root)
+
+
+@query
+def reference_job_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Good files beside damaged ones: the upsert of all that is good."""
+    raw, target = _land_reference(spark, sf, "customer", scratch(spark)), scratch(spark)
+    _damaged_reference(spark, sf, raw)
+    plans.upsert_reference(spark, raw, target, _STAMP, pattern=_ANY)
+    return sources.read_reference_table(spark, target).select(*_DIM_COLUMNS)
+
+
+@query
+def reference_report_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Outcomes of good and damaged files: files, elements found and rows by error."""
+    raw = _land_reference(spark, sf, "customer", scratch(spark))
+    _damaged_reference(spark, sf, raw)
+    report = plans.upsert_reference(spark, raw, scratch(spark), _STAMP, pattern=_ANY)
+    return report.groupBy("error").agg(
+        F.count(F.lit(1)).alias("files"), F.sum("incoming_rows").alias("found"), F.sum("distinct_rows").alias("rows")
+    )
+
+
+@query
+def stream_upsert_damaged(spark: SparkSession, sf: str) -> DataFrame:
+    """Damaged files arrive together with good ones; none of the good is lost."""
+    target, checkpoint, raw = scratch(spark), scratch(spark), scratch(spark)
+    for name in ("supplier", "customer"):
+        _land_reference(spark, sf, name, f"{raw}/{name}")
+        _damaged_reference(spark, sf, f"{raw}/damaged_{name}")
+        stream_reference(
+            spark, raw, target, checkpoint, ingestion_timestamp=_STAMP, pattern=_ANY
+        ).awaitTermination()
+    return sources.read_reference_table(spark, target).select(*_DIM_COLUMNS)
 
 
 @query
@@ -686,6 +805,68 @@ def external_table(spark: SparkSession, sf: str) -> DataFrame:
     return plain(out.withColumn("rows_before_repair", F.lit(before)))
 
 
+@query
+def all_stats_view(spark: SparkSession, sf: str) -> DataFrame:
+    """The stored view over history and current facts; two files of an hour keep their order in it."""
+    stats = adapter.stats(spark, sf)
+    current, path, old = _name("stats"), scratch(spark), scratch(spark)
+    sinks.write_partitions(ops.conform(stats, SILVER_STATS), path, ["region", "ingestion_date"])
+    sinks.create_table(spark, current, SILVER_STATS, path, ["region", "ingestion_date"])
+    sinks.repair_table(spark, current)
+    history = _name("history")
+    flat = plans.silver_from_csv(plans.csv_to_rows(_with_file(adapter.flat_text(spark, sf))))
+    sinks.replace_dataset(flat, old, ["region"])
+    sinks.create_table(spark, history, SILVER_HISTORY, old, ["region"])
+    sinks.repair_table(spark, history)
+    view = _name("view")
+    sinks.create_all_stats_view(spark, view, history, current)
+    latest = plans.latest_snapshots(spark.table(view))
+    return latest.filter("video_id like 'v%'")
+
+
+@query
+def guards(spark: SparkSession, sf: str) -> DataFrame:
+    """Assertions over the tables: which of them stop a run, and what they say."""
+    orders = adapter.table(spark, sf, "orders")
+    twice = orders.select("o_orderkey", F.col("o_custkey").alias("o_orderkey"))
+    checks = {
+        "columns": lambda: ops.require_columns(orders, ["o_orderkey", "absent"]),
+        "columns_present": lambda: ops.require_columns(orders, ["o_orderkey"]),
+        "rows": lambda: ops.require_rows(orders.filter("o_orderkey < 0"), "orders"),
+        "rows_present": lambda: ops.require_rows(orders, "orders"),
+        "unique_columns": lambda: ops.require_unique_columns(twice),
+        "unique_columns_present": lambda: ops.require_unique_columns(orders),
+    }
+    seen = []
+    for name, check in checks.items():
+        try:
+            check()
+            seen.append((name, "ok"))
+        except ValueError as error:
+            seen.append((name, str(error).split(";")[0]))
+    shown = orders.agg(F.count(F.lit(1)).alias("orders"))
+    outcome = F.explode(F.array(*[F.struct(F.lit(n).alias("guard"), F.lit(m).alias("says")) for n, m in seen]))
+    sample = ops.preview(orders, 10).count()
+    return shown.select("orders", outcome.alias("x")).select(
+        "orders", F.col("x.guard").alias("guard"), F.col("x.says").alias("says"), F.lit(sample).alias("sampled")
+    )
+
+
+@query
+def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """The counts that a Gold run returns for the newest batch."""
+    layout = plans.Layout(scratch(spark))
+    stats = ops.conform(adapter.stats(spark, sf), SILVER_STATS)
+    sinks.write_partitions(stats, layout.stats, ["region", "ingestion_date", "ingestion_hour"])
+    names = sinks.register_tables(spark, layout, _name("counts") + "_")
+    stored = spark.table(names["stats"])
+    some = _reference(spark, sf).filter("id < '2'")
+    counts = plans.silver_to_gold(stored, some, ops.latest_batch(stored), names)
+    return stored.agg(F.count(F.lit(1)).alias("facts")).select(
+        "facts", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
+    )
+
+
 @query
 def sql_over_views(spark: SparkSession, sf: str) -> DataFrame:
     """Plain SQL over the registered views."""
