@@ -6,11 +6,11 @@ corpus, else log(``backoff`` * c(word) / N). A document's score is the sum; coun
 
 1. Words are counted: per batch in each task, then by key in Spark.
 2. Every word with its predecessor is an instance. Instances are exploded to partitions by a hash of
-   the pair, in packed arrays: per batch and partition, two indexes into a list of word hashes. A pair of
+   the pair, in packed arrays: per batch and partition, two indexes into a list of word hashes, compressed. A pair of
    two words that are both very common is dealt by its batch as well, so that no partition gathers it;
    such pairs are counted beforehand by key, like words.
-3. A partition asks for the counts of its words (a join by key), counts its pairs, scores its instances
-   and returns a partial sum for each document of each batch; partial sums meet by batch.
+3. A partition asks for the counts of its words (a join by buckets of keys, packed like the instances),
+   counts its pairs, scores its instances and returns a partial sum for each document of each batch; partial sums meet by batch.
 
 Word and pair identities are hashes of 64 bits. Partitions number one for ``PARTITION_WORDS`` words.
 
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import Words, chunks, mix, text_bytes
 from tidemark.session import scratch, stage
 
-PARTITION_WORDS = 3_000_000
+PARTITION_WORDS = 1_200_000
 #: Words of a packed batch, and how much of a partition a word must fill to be very common.
-BATCH_WORDS = 2_500_000
+BATCH_WORDS = 1_500_000
 COMMON = 1 / 16
 #: The start mark's key.
 START = np.uint64(0xA0761D6478BD642F)
@@ -48,15 +49,15 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 class _Batch:
     """Texts of a batch: ids, words of each, and each word's key and predecessor's key."""
 
-    def __init__(self, ids: list[pa.Array], words: list[Words]):
+    def __init__(self, ids: list[pa.Array], words: list[tuple[np.ndarray, np.ndarray]]):
         self.ids = pa.concat_arrays(ids)
-        self.counts = np.concatenate([np.diff(w.of) for w in words])
-        self.key = np.concatenate([w.hash for w in words])
+        self.counts = np.concatenate([np.diff(of) for of, _ in words])
+        self.key = np.concatenate([hashes for _, hashes in words])
         self.before = np.empty_like(self.key)
         self.before[1:] = self.key[:-1]
         starts = np.cumsum(self.counts) - self.counts
         self.before[starts[self.counts > 0]] = START
-        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.text = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
@@ -65,9 +66,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
         ids, words, total = [], [], 0
         for first, past, part, starts in chunks(raw, where):
             found = Words(part, starts)
-            found.low = None
             ids.append(batch.column(0).slice(first, past - first))
-            words.append(found)
+            words.append((found.of, found.hash))
             total += len(found.hash)
             if total >= BATCH_WORDS:
                 yield _Batch(ids, words)
@@ -106,6 +106,18 @@ def _count_common(common: np.ndarray):
     return run
 
 
+def _squeeze(values: np.ndarray) -> bytes:
+    """Compressed, all first bytes together, all second bytes, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
+
+
+def _spread(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
+
+
 def _pack(common: np.ndarray, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in enumerate(_batches(batches)):
@@ -121,16 +133,23 @@ def _pack(common: np.ndarray, parts: int):
                 own = order[edges[p] : edges[p + 1]]
                 if not len(own) and p != home:
                     continue
-                listed, index = np.unique(np.concatenate([b.before[own], b.key[own]]), return_inverse=True)
-                small = np.uint16 if len(listed) <= 1 << 16 else np.uint32
+                listed, index, often = np.unique(
+                    np.concatenate([b.before[own], b.key[own]]), return_inverse=True, return_counts=True
+                )
+                # Frequent words first, so that most indexes are small; keys as steps from one to the next.
+                rank = np.lexsort((listed, -often))
+                listed, place = listed[rank], np.empty(len(rank), dtype=np.uint32)
+                place[rank] = np.arange(len(rank))
+                index = place[index]
+                steps = np.diff(listed, prepend=np.uint64(0))
                 held = np.bincount(b.text[own], minlength=len(b.counts)).astype(np.uint32)
                 yield pa.record_batch(
                     [
                         pa.array([p], pa.int32()),
                         pa.array([batch], pa.int64()),
-                        pa.array([listed.tobytes()], pa.binary()),
-                        pa.array([index.astype(small).tobytes()], pa.binary()),
-                        pa.array([held.tobytes()], pa.binary()),
+                        pa.array([_squeeze(steps)], pa.binary()),
+                        pa.array([_squeeze(index)], pa.binary()),
+                        pa.array([_squeeze(held)], pa.binary()),
                         pa.array([b.ids.to_pylist() if p == home else None], pa.list_(pa.int64())),
                         pa.array([b.counts.tolist() if p == home else None], pa.list_(pa.int64())),
                     ],
@@ -147,43 +166,71 @@ def _unpack(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.n
     """(row, words listed, first index, second index, instances of each text)."""
     columns = [table[c].combine_chunks() for c in ("listed", "pairs", "held")]
     for k in range(len(table)):
-        listed = np.frombuffer(columns[0][k].as_buffer(), dtype=np.uint64)
-        held = np.frombuffer(columns[2][k].as_buffer(), dtype=np.uint32)
-        n = int(held.sum())
-        data = columns[1][k].as_buffer()
-        index = np.frombuffer(data, dtype=np.uint16 if n == 0 or data.size == 4 * n else np.uint32)
-        yield k, listed, index[:n], index[n:], held
+        listed, index, held = (
+            _spread(c[k].as_buffer(), kind) for c, kind in zip(columns, (np.uint64, np.uint32, np.uint32), strict=True)
+        )
+        n = len(index) // 2
+        yield k, np.cumsum(listed, dtype=np.uint64), index[:n], index[n:], held
+
 
+def _needed(table: pa.Table, common: np.ndarray) -> np.ndarray:
+    """The keys, in order, whose counts a partition needs."""
+    seen = []
+    for _, listed, first, second, _ in _unpack(table):
+        seen.append(listed)
+        hot = _among(common, listed)
+        both = hot[first] & hot[second]
+        seen.append(np.unique(pair_key(listed[first[both]], listed[second[both]])))
+    return np.unique(np.concatenate(seen))
 
-def _asked(common: np.ndarray):
-    """The keys whose counts a partition needs."""
+
+def _asked(common: np.ndarray, buckets: int):
+    """A row for each bucket of keys that a partition needs."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        seen = []
-        for _, listed, first, second, _ in _unpack(table):
-            seen.append(listed)
-            hot = _among(common, listed)
-            both = hot[first] & hot[second]
-            seen.append(np.unique(pair_key(listed[first[both]], listed[second[both]])))
-        keys = np.unique(np.concatenate(seen)).view(np.int64)
-        return pa.table({"part": pa.array(np.full(len(keys), key[0].as_py(), dtype=np.int32)), "key": keys})
+        keys = _needed(table, common)
+        bucket = (keys & np.uint64(buckets - 1)).astype(np.int32)
+        rows = np.unique(bucket)
+        packed = [_squeeze(np.diff(keys[bucket == b], prepend=np.uint64(0))) for b in rows]
+        return pa.table(
+            {
+                "bucket": rows,
+                "part": np.full(len(rows), key[0].as_py(), dtype=np.int32),
+                "keys": pa.array(packed, pa.binary()),
+            }
+        )
 
     return run
 
 
-def _score(common: np.ndarray, total: int, backoff: float, min_count: int):
-    def run(packed: pa.Table, counts: pa.Table) -> pa.Table:
-        keys = counts["key"].to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, n = keys[order], counts["n"].to_numpy()[order]
+def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
+    """For each request of a bucket the counts of its keys, in their order."""
+    known = counts["key"].to_numpy().view(np.uint64)
+    order = np.argsort(known)
+    known, n = known[order], counts["n"].to_numpy()[order]
+    answers = []
+    for request in asked["keys"].combine_chunks():
+        keys = np.cumsum(_spread(request.as_buffer(), np.uint64), dtype=np.uint64)
+        answers.append(_squeeze(n[np.searchsorted(known, keys)]))
+    return pa.table({"part": asked["part"], "bucket": asked["bucket"], "counts": pa.array(answers, pa.binary())})
+
+
+def _score(common: np.ndarray, buckets: int, total: int, backoff: float, min_count: int):
+    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
+        keys = _needed(packed, common)
+        bucket, n = keys & np.uint64(buckets - 1), np.zeros(len(keys), dtype=np.int64)
+        for b, counts in zip(answers["bucket"].to_pylist(), answers["counts"].combine_chunks(), strict=True):
+            n[bucket == b] = _spread(counts.as_buffer(), np.int64)
         hot = _among(common, keys)
         log_n = np.log(n)
-        rows = list(_unpack(packed))
-        place = [np.searchsorted(keys, listed) for _, listed, _, _, _ in rows]
-        x = np.concatenate([at[first] for at, (_, _, first, _, _) in zip(place, rows, strict=True)])
-        y = np.concatenate([at[second] for at, (_, _, _, second, _) in zip(place, rows, strict=True)])
+        codes, texts = [], []
+        for _, listed, first, second, held in _unpack(packed):
+            place = np.searchsorted(keys, listed)
+            codes.append(place[first] * len(keys) + place[second])
+            texts.append(held)
+        code = np.concatenate(codes)
+        del codes
         # Each pair's number of instances; pairs of very common words have theirs from the join.
-        code = x * len(keys) + y
         order = np.argsort(code, kind="stable")
         ordered = code[order]
         new = np.ones(len(code), dtype=bool)
@@ -198,12 +245,13 @@ def _score(common: np.ndarray, total: int, backoff: float, min_count: int):
         )
         each = np.empty(len(code))
         each[order] = np.repeat(value, np.diff(np.append(starts, len(code))))
+        del order, ordered, new
         sums, at = [], 0
-        for _, _, first, _, held in rows:
-            part = np.concatenate([[0.0], np.cumsum(each[at : at + len(first)])])
+        for held in texts:
             ends = np.cumsum(held, dtype=np.int64)
+            part = np.concatenate([[0.0], np.cumsum(each[at : at + int(held.sum())])])
             sums.append((part[ends] - part[ends - held]).tobytes())
-            at += len(first)
+            at += int(held.sum())
         return pa.table(
             {
                 "batch": packed["batch"],
@@ -247,13 +295,18 @@ def score_documents(
     pairs = sums(texts.mapInArrow(_count_common(common), counted))
     counts = stage(words.unionByName(pairs), f"{root}/counts")
     packed = texts.mapInArrow(_pack(common, parts), PACKED)
-    asked = packed.groupBy("part").applyInArrow(_asked(common), "part int, key long")
-    answers = asked.join(counts, "key").select("part", "key", "n")
+    buckets = 1 << max(0, math.ceil(math.log2(2 * parts)))
+    asked = packed.groupBy("part").applyInArrow(_asked(common, buckets), "bucket int, part int, keys binary")
+    answers = (
+        asked.groupBy("bucket")
+        .cogroup(counts.withColumn("bucket", F.col("key").bitwiseAND(buckets - 1).cast("int")).groupBy("bucket"))
+        .applyInArrow(_answer, "part int, bucket int, counts binary")
+    )
     partial = (
         packed.groupBy("part")
         .cogroup(answers.groupBy("part"))
         .applyInArrow(
-            _score(common, total, backoff, min_count),
+            _score(common, buckets, total, backoff, min_count),
             "batch long, part int, sums binary, ids array<long>, words array<long>",
         )
     )
