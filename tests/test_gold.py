@@ -144,6 +144,57 @@ def test_incremental_refresh_equals_a_full_recompute_on_touched_keys(spark, tmp_
         assert sorted(tuple(r) for r in stored.collect() if pick(r)) == sorted(tuple(r) for r in expected.collect() if pick(r))
 
 
+def test_runs_with_state_equal_a_full_recompute(spark, tmp_path):
+    """New batches, one late, one repeated with other content, one repeated empty, and a moved video."""
+    layout, state = Layout(str(tmp_path)), str(tmp_path / "state")
+    loads = [(hour, [r for r in make_history(7, hours=6) if r[7] == hour]) for hour in (0, 1, 3, 4)]
+    loads.append((2, [r for r in make_history(8, hours=6) if r[7] == 2]))  # late
+    loads.append((4, [("v1", "us", 2, 500, 1, 1, D1, 4, "again"), ("v9", "in", 1, 3, 1, 1, D1, 4, "again")]))
+    loads.append((5, [("v1", "us", 1, 900, 1, 1, D1, 5, "moved")]))
+    loads.append((5, [("v0", "us", 2, 1, 1, 1, D1, 5, "instead")]))
+    loads.append((4, loads[5][1]))
+    dim = dim_frame(spark)
+    for step, (hour, data) in enumerate(loads):
+        write_stats(spark, layout, data)
+        for gone in set(p.name for p in (tmp_path / "silver" / "video_statistics_v2").iterdir() if p.is_dir()) - {f"region={r[1]}" for r in data}:
+            folder = tmp_path / "silver" / "video_statistics_v2" / gone / f"ingestion_date={D1}" / f"ingestion_hour={hour}"
+            if folder.exists():  # the whole batch is replaced
+                for file in folder.iterdir():
+                    file.unlink()
+                folder.rmdir()
+        names = sinks.register_tables(spark, layout, "state_")
+        reference = spark.createDataFrame(REFERENCE, "id string, region string, snippet_title string")
+        plans.silver_to_gold(spark.table(names["stats"]), reference, Batch(D1, hour), names, state=state, include_previous=True)
+        stats = sources.read_stats(spark, layout.stats)
+        latest = plans.latest_snapshots(stats)
+        full = {
+            "category_engagement": plans.category_engagement(stats, dim),
+            "category_performance": plans.category_performance(latest, dim),
+            "category_region": plans.category_region(latest, dim),
+            "video_rankings": plans.video_rankings(latest, dim),
+        }
+        for name, expected in full.items():
+            assert gold(spark, layout, name) == sorted(tuple(r) for r in expected.collect()), (step, name)
+
+
+def test_a_new_batch_does_not_read_all_facts(spark, tmp_path, monkeypatch):
+    """With state, facts are only read through the filter on the batch."""
+    layout, state = Layout(str(tmp_path)), str(tmp_path / "state")
+    write_stats(spark, layout, [r for r in make_history(1) if r[7] < 2])
+    names = sinks.register_tables(spark, layout, "part_")
+    reference = spark.createDataFrame(REFERENCE, "id string, region string, snippet_title string")
+    plans.silver_to_gold(spark.table(names["stats"]), reference, Batch(D1, 1), names, state=state)
+    for folder in (tmp_path / "silver" / "video_statistics_v2").glob("region=*/*/ingestion_hour=[01]"):
+        for file in folder.glob("*.parquet"):
+            file.write_bytes(b"unreadable")
+        for file in folder.glob(".*.crc"):
+            file.unlink()
+    write_stats(spark, layout, [r for r in make_history(1) if r[7] == 2])
+    sinks.register_tables(spark, layout, "part_")
+    counts = plans.silver_to_gold(spark.table(names["stats"]), reference, Batch(D1, 2), names, state=state)
+    assert counts["new_rows"] == 6
+
+
 def test_a_repeated_batch_changes_nothing(spark, tmp_path):
     layout = Layout(str(tmp_path))
     write_stats(spark, layout, make_history(2, hours=2))

@@ -40,5 +40,9 @@ class Layout:
     def reference(self) -> str:
         return self._at("silver", "reference_data")
 
+    @property
+    def gold_state(self) -> str:
+        return self._at("gold_state")
+
     def gold(self, table: str) -> str:
         return self._at("gold", table)
