@@ -199,6 +199,18 @@ _DIMENSION = """
     SELECT region, id, snippet_title, CAST(balance AS VARCHAR), pos, 0 FROM supplier_ref)
   QUALIFY row_number() OVER (PARTITION BY region, id ORDER BY newer DESC, pos DESC) = 1"""
 
+_LONG = """SELECT 'category_engagement' AS report, category_id, category_name, CAST(NULL AS VARCHAR) AS region,
+       CAST(NULL AS BIGINT) AS video_rank, CAST(NULL AS VARCHAR) AS video_id, CAST(NULL AS VARCHAR) AS title,
+       CAST(NULL AS BIGINT) AS views, CAST(NULL AS BIGINT) AS video_count, total_views, total_likes, total_comments,
+       CAST(engagement_rate AS DOUBLE) AS engagement_rate, CAST(NULL AS DOUBLE) AS avg_views,
+       CAST(NULL AS DOUBLE) AS avg_likes, CAST(NULL AS DOUBLE) AS avg_comments FROM engagement
+UNION ALL SELECT 'category_performance', category_id, category_name, NULL, NULL, NULL, NULL, NULL, video_count, total_views,
+       total_likes, total_comments, NULL, avg_views, avg_likes, avg_comments FROM performance
+UNION ALL SELECT 'category_region', category_id, category_name, region, NULL, NULL, NULL, NULL, video_count, total_views,
+       total_likes, total_comments, NULL, avg_views, NULL, NULL FROM regional
+UNION ALL SELECT 'video_rankings', category_id, category_name, region, video_rank, video_id, title, views, NULL, NULL, NULL,
+       NULL, NULL, NULL, NULL, NULL FROM rankings"""
+
 _STAMPED = "'2024-01-01T00:00:00.000000+00:00'"
 
 ORACLE: dict[str, str] = {
@@ -432,6 +444,12 @@ latest AS (
           FROM stats s LEFT JOIN batch b ON b.event_id = s.event_id
           LEFT JOIN reference r ON r.region = s.region AND r.id = CAST(s.category_id AS VARCHAR)
           GROUP BY s.region""",
+    "gold_with_state": _GOLD
+    + ", engagement AS ("
+    + _engagement("stats", "WHERE category_id IN (SELECT category_id FROM affected)")
+    + f"), performance AS ({_performance(_IN_CATEGORIES)}), regional AS ({_region(_IN_PAIRS)}), "
+    + f"rankings AS ({_rankings(_IN_CATEGORIES, 3)}) "
+    + _LONG,
     "full_run": _with(
         ITEMS.replace("silver AS (", "stats AS ("),
         """
@@ -453,9 +471,6 @@ latest AS (
         f"rankings AS ({_rankings(_IN_CATEGORIES, 3)})",
     )
     + """
-SELECT 'category_engagement' AS report, category_id, category_name, NULL AS region,
-       CAST(NULL AS BIGINT) AS video_rank, total_views AS views FROM engagement
-UNION ALL SELECT 'category_performance', category_id, category_name, NULL, NULL, total_views FROM performance
-UNION ALL SELECT 'category_region', category_id, category_name, region, NULL, total_views FROM regional
-UNION ALL SELECT 'video_rankings', category_id, category_name, region, video_rank, views FROM rankings""",
+"""
+    + _LONG,
 }

@@ -21,13 +21,14 @@ from tidemark.functions import (
     to_long,
 )
 from tidemark.functions.casts import CSV_INSTANT
+from tidemark.operators.keys import Batch
 from tidemark.plans.dimension import replace_regions
 from tidemark.schemas import (
     GOLD,
     SILVER_HISTORY,
     SILVER_STATS,
 )
-from tidemark.session import scratch
+from tidemark.session import scratch, stage
 from tidemark.sources.reference import POS
 from tidemark.streaming import stream_reference
 from workload import adapter
@@ -855,14 +856,11 @@ def guards(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counts that a Gold run returns for the newest batch."""
-    layout = plans.Layout(scratch(spark))
-    stats = ops.conform(adapter.stats(spark, sf), SILVER_STATS)
-    sinks.write_partitions(stats, layout.stats, ["region", "ingestion_date", "ingestion_hour"])
-    names = sinks.register_tables(spark, layout, _name("counts") + "_")
-    stored = spark.table(names["stats"])
+    stats = stage(ops.conform(adapter.stats(spark, sf), SILVER_STATS), scratch(spark))
+    names = sinks.register_tables(spark, plans.Layout(scratch(spark)), _name("counts") + "_")
     some = _reference(spark, sf).filter("id < '2'")
-    counts = plans.silver_to_gold(stored, some, ops.latest_batch(stored), names)
-    return stored.agg(F.count(F.lit(1)).alias("facts")).select(
+    counts = plans.silver_to_gold(stats, some, ops.latest_batch(stats), names)
+    return stats.agg(F.count(F.lit(1)).alias("facts")).select(
         "facts", *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
     )
 
@@ -889,22 +887,31 @@ def _column_or_null(df: DataFrame, name: str, kind: str):
     return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
 
 
+_LONG = {
+    "category_name": "string",
+    "region": "string",
+    "video_rank": "bigint",
+    "video_id": "string",
+    "title": "string",
+    "views": "bigint",
+    "video_count": "bigint",
+    "total_views": "bigint",
+    "total_likes": "bigint",
+    "total_comments": "bigint",
+    "engagement_rate": "double",
+    "avg_views": "double",
+    "avg_likes": "double",
+    "avg_comments": "double",
+}
+
+
 def _long_form(spark: SparkSession, layout: plans.Layout) -> DataFrame:
-    """The four Gold tables as one: table, key columns and total views (or rank and views)."""
+    """The four Gold tables as one, with all their columns."""
     frames = []
     for name, (schema, _) in GOLD.items():
         df = spark.read.schema(schema).parquet(layout.gold(name))
-        value = "views" if name == "video_rankings" else "total_views"
-        frames.append(
-            df.select(
-                F.lit(name).alias("report"),
-                "category_id",
-                "category_name",
-                _column_or_null(df, "region", "string"),
-                _column_or_null(df, "video_rank", "bigint"),
-                F.col(value).alias("views"),
-            )
-        )
+        columns = [_column_or_null(df, c, kind) for c, kind in _LONG.items()]
+        frames.append(df.select(F.lit(name).alias("report"), "category_id", *columns))
     out = frames[0]
     for frame in frames[1:]:
         out = out.unionByName(frame)
@@ -923,3 +930,26 @@ def full_run(spark: SparkSession, sf: str) -> DataFrame:
     plans.upsert_reference(spark, layout.raw_reference, layout.reference, _STAMP)
     plans.run_latest(spark, layout, prefix=_name("run") + "_")
     return _long_form(spark, layout)
+
+
+@query
+def gold_with_state(spark: SparkSession, sf: str) -> DataFrame:
+    """The two newest batches run one after the other with stored state, the last of them twice; what they
+    leave for the categories of the newest batch."""
+    layout = plans.Layout(scratch(spark))
+    stats = stage(ops.conform(adapter.stats(spark, sf), SILVER_STATS), layout.stats)
+    names = sinks.register_tables(spark, plans.Layout(f"{layout.root}/tables"), _name("state") + "_", repair=False)
+    newest = stats.select("ingestion_date", "ingestion_hour").distinct().orderBy(F.desc("ingestion_date"), F.desc("ingestion_hour"))
+    batches = [Batch(*row) for row in newest.limit(2).collect()]
+    for batch in [*reversed(batches), batches[0]]:
+        later = (F.col("ingestion_date") > F.lit(batch.date)) | (
+            (F.col("ingestion_date") == F.lit(batch.date)) & (F.col("ingestion_hour") > batch.hour)
+        )
+        plans.silver_to_gold(stats.filter(~later), _reference(spark, sf), batch, names, state=layout.gold_state)
+    affected = ops.affected_keys(ops.batch_slice(stats, batches[0]), ["region", "category_id"])
+    long = _long_form(spark, plans.Layout(f"{layout.root}/tables"))
+    pairs = affected.select("region", F.col("category_id").cast("string").alias("category_id"))
+    regional = F.col("report") == "category_region"
+    return long.filter(~regional).join(pairs.select("category_id").distinct(), "category_id", "left_semi").unionByName(
+        long.filter(regional).join(pairs, ["region", "category_id"], "left_semi"), allowMissingColumns=True
+    )
