@@ -2,6 +2,7 @@ import datetime as dt
 import random
 
 import pytest
+from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
 from tidemark import operators as ops
@@ -273,3 +274,20 @@ def test_run_latest_end_to_end_is_idempotent(spark, tmp_path):
     assert spark.table(outcome["tables"]["all_stats"]).count() == 2
     assert spark.table(outcome["tables"]["reference"]).count() == 1
     assert spark.table(outcome["tables"]["video_rankings"]).first().video_id == "a"
+
+
+def test_replacing_a_few_partitions_costs_a_few_statements(spark, tmp_path, monkeypatch):
+    """However many other partitions there are."""
+    schema, path = T.StructType().add("n", "long").add("k", "string"), str(tmp_path / "t")
+    sinks.write_partitions(spark.range(1000).selectExpr("id AS n", "cast(id AS string) AS k"), path, ["k"])
+    sinks.create_table(spark, "many_partitions", schema, path, ["k"])
+    sinks.repair_table(spark, "many_partitions")
+    said, plain = [], type(spark).sql
+    monkeypatch.setattr(type(spark), "sql", lambda self, text, *a, **b: said.append(text) or plain(self, text, *a, **b))
+    new = spark.createDataFrame([(-1, "1"), (-2, "2"), (-3, "new")], "n long, k string")
+    affected = spark.createDataFrame([(str(k),) for k in (1, 2, 3, 4, 5, "new")], "k string")
+    sinks.replace_affected(new, affected, "many_partitions", ["k"])
+    assert len(said) <= 4 and not any("REPAIR" in text for text in said)
+    stored = {r.k: r.n for r in spark.table("many_partitions").collect()}
+    assert len(stored) == 998 and stored["1"] == -1 and stored["new"] == -3 and not {"3", "4", "5"} & set(stored)
+    assert spark.read.parquet(path).count() == 998

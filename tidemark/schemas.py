@@ -1,5 +1,6 @@
 """Column contracts of every layer.
 
+These are fixed values: names, types and order of stored tables and documents, which other systems read.
 Each contract is a plain ``StructType``; readers pass it to Spark so that no layer except the
 evolving reference data depends on inference.
 """

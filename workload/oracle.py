@@ -285,7 +285,7 @@ latest AS (
     + _performance(""),
     "json_extract_cast": _with(ITEMS)
     + """ SELECT event_id, raw_id AS video_id, category_id, tags, thumbnail_link AS url, views, dislikes,
-                 CAST(NULL AS BIGINT) AS absent FROM raw""",
+                 description FROM raw""",
     "flatten_normalize": """
         SELECT p_partkey AS id, p_brand AS snippet_channelid, p_type AS snippet_inner_weird_type_name,
                p_size AS size_cm,
@@ -294,14 +294,16 @@ latest AS (
     "safe_parse_dates": _with(FLAT)
     + """ SELECT title, CAST(trending_date AS VARCHAR) AS trending_date,
                  strftime(publish_time, '%Y-%m-%d %H:%M:%S') AS publish_time,
-                 CAST(NULL AS VARCHAR) AS other_format FROM flat""",
+                 CASE WHEN likes % 2 = 0 THEN strftime(publish_time, '%Y-%m-%d %H:%M:%S') END AS other_format FROM flat""",
     "safe_cast_flags": """
         SELECT l_returnflag, CASE l_returnflag WHEN 'A' THEN true WHEN 'N' THEN false END AS flag, count(*) AS n
         FROM lineitem GROUP BY 1, 2""",
     "safe_cast_numbers": """
         SELECT l_returnflag, CAST(sum(l_orderkey) AS BIGINT) AS keys, CAST(sum(l_linenumber) AS BIGINT) AS lines,
-               count(TRY_CAST(NULL AS BIGINT)) AS exponents, count(NULL) AS fractions, count(NULL) AS blanks,
-               count(TRY_CAST('9999999' || lpad(CAST(l_linenumber AS VARCHAR), 4, '0') AS INTEGER)) AS overflows
+               CAST(sum(l_linenumber) FILTER (WHERE l_linenumber % 2 = 0) AS BIGINT) AS exponents,
+               CAST(sum(l_linenumber) FILTER (WHERE l_linenumber % 2 = 0) AS BIGINT) AS fractions,
+               count(*) FILTER (WHERE l_linenumber % 2 = 0) AS blanks,
+               CAST(sum(l_linenumber) FILTER (WHERE l_linenumber % 2 = 0) AS BIGINT) AS overflows
         FROM lineitem GROUP BY 1""",
     "nonblank_keys": _with(ITEMS)
     + " SELECT event_id, raw_id AS id, region FROM raw WHERE trim(raw_id) <> '' AND event_id % 7 <> 0",

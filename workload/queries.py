@@ -288,7 +288,7 @@ def json_extract_cast(spark: SparkSession, sf: str) -> DataFrame:
         "url": ("$.snippet.thumbnails.default.url", "string"),
         "views": ("$.statistics.viewCount", "bigint"),
         "dislikes": ("$.statistics.dislikeCount", "bigint"),
-        "absent": ("$.statistics.none", "bigint"),
+        "description": ("$.snippet.description", "string"),
     }
     return ops.extract_json(items, "_item_json", fields, "event_id")
 
@@ -313,12 +313,14 @@ def flatten_normalize(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def safe_parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     flat = adapter.flat_text(spark, sf)
+    whole = F.replace(F.col("publish_time"), F.lit(".000Z"), F.lit("Z"))
+    mixed = F.when(F.col("likes").cast("int") % 2 == 0, whole).otherwise(F.col("publish_time"))
     return plain(
         flat.select(
             "title",
             to_day(F.col("trending_date")).alias("trending_date"),
             to_instant(F.col("publish_time"), CSV_INSTANT).alias("publish_time"),
-            to_instant(F.col("publish_time")).alias("other_format"),
+            to_instant(mixed).alias("other_format"),
         )
     )
 
@@ -339,17 +341,22 @@ def safe_cast_flags(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def safe_cast_numbers(spark: SparkSession, sf: str) -> DataFrame:
-    """Padded whole numbers parse; fractions, exponents and blanks give NULL."""
+    """Padded whole numbers parse; fractions, exponents, blanks and numbers out of range give NULL."""
     lines = adapter.table(spark, sf, "lineitem")
     padded = F.concat(F.lit(" "), F.col("l_orderkey").cast("string"), F.lit(" "))
     number = F.col("l_linenumber").cast("string")
+    odd = F.col("l_linenumber") % 2 == 1
+
+    def mixed(bad):
+        return F.when(odd, bad).otherwise(number)
+
     return lines.groupBy("l_returnflag").agg(
         F.sum(to_long(padded)).alias("keys"),
         F.sum(to_int(number)).alias("lines"),
-        F.count(to_long(F.concat(number, F.lit("e3")))).alias("exponents"),
-        F.count(to_int(F.concat(number, F.lit(".5")))).alias("fractions"),
-        F.count(to_int(F.lit(""))).alias("blanks"),
-        F.count(to_int(F.concat(F.lit("9999999"), F.lpad(number, 4, "0")))).alias("overflows"),
+        F.sum(to_long(mixed(F.concat(number, F.lit("e3"))))).alias("exponents"),
+        F.sum(to_int(mixed(F.concat(number, F.lit(".5"))))).alias("fractions"),
+        F.count(to_int(mixed(F.lit("")))).alias("blanks"),
+        F.sum(to_int(mixed(F.concat(F.lit("9999999"), F.lpad(number, 4, "0"))))).alias("overflows"),
     )
 
 
