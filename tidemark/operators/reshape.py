@@ -17,7 +17,8 @@ def explode_items(
 ) -> DataFrame:
     """One row per array element with its position; an empty or NULL array gives no row."""
     kept = [c for c in df.columns if c != items]
-    return df.select(*kept, F.posexplode(items).alias(position, alias))
+    # The outer form, since Spark would check the size of the array in a filter below and compute it twice.
+    return df.select(*kept, F.posexplode_outer(items).alias(position, alias)).filter(F.col(position).isNotNull())
 
 
 _PLAIN_PATH = re.compile(r"^\$(\.[A-Za-z0-9_-]+)+$")
