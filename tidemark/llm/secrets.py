@@ -1,7 +1,7 @@
 """Secrets in texts: broad candidates, and a random forest that removes false positives.
 
-Candidates are runs of at least ten characters that keys and tokens are made of and that hold a digit,
-and whatever is assigned to a name like password or token. The forest sees a candidate's length, its
+Candidates are runs of at least ten characters that keys and tokens are made of and that hold a digit or
+begin as keys of known services do, and whatever is assigned to a name like password or token. The forest sees a candidate's length, its
 character classes and transitions (how often classes change, how likely its letter pairs are in words),
 how much of it dictionary words cover, words of the path, and the words and signs before and after it.
 It is trained on labelled findings: (before, candidate, after, path, label); :func:`labelled_findings`
@@ -29,12 +29,15 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.trees import Forest
 
+#: How keys of well-known services begin.
+_PREFIXES = r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_|sk_live_|xox[abprs]-|glpat-"
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_\- ]?key|bearer|authorization"
 _CANDIDATE = re.compile(
     rf"(?i:\b(?:{_NAMES})\b[\"']?\s*(?:[:=]|=>|is)\s*[\"']?)(?P<set>[^\s\"',;]{{6,}})"
-    r"|(?<![A-Za-z0-9+/_.@\-])(?=[A-Za-z+/_\-]*\d)(?P<run>[A-Za-z0-9+/_\-]{10,}={0,2})(?![@\w])"
+    rf"|(?<![A-Za-z0-9+/_.@\-])(?=[A-Za-z+/_\-]*\d|{_PREFIXES})(?P<run>[A-Za-z0-9+/_\-]{{10,}}={{0,2}})(?![@\w])"
 )
 _NAMED = re.compile(rf"(?i)\b(?:{_NAMES})\b[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")
+_PREFIX = re.compile(_PREFIXES)
 _PATH = re.compile(r"(?i)test|spec|example|sample|doc|fixture|mock|vendor|\.lock|\.md|\.svg|\.css")
 _CONFIG = re.compile(r"(?i)\.env|config|settings|\.ya?ml|\.properties|\.ini|\.tf|credential|secret")
 _DIGEST = re.compile(r"(?i)\b(?:sha\d*|md5|commit|rev|revision|hash|digest|checksum|etag|uuid|guid|id|ref|isbn|build|version)\b[\"']?\s*[:=#]?\s*[\"']?$")
@@ -104,6 +107,7 @@ def features(before: str, candidate: str, after: str, path: str, pairs: dict[str
         float(bool(_NAMED.search(before))),
         float(bool(_DIGEST.search(before))),
         float(bool(_HOLDER.search(candidate))),
+        float(bool(_PREFIX.match(candidate))),
         float(before[-1:] in "\"'=:"  and before != ""),
         float(after[:1] in "\"'" and after != ""),
         float(bool(re.search(r"(?i)base64,$|https?:\S*$|[/\\.]$", before))),
@@ -135,6 +139,7 @@ def labelled_findings(seed: int = 23, each: int = 24) -> list[tuple[str, str, st
         end = f" {word()} {word()}"
         true = [
             (said, "AKIA" + draw(string.ascii_uppercase + digits, 16), end),
+            (said, "AKIA" + draw(string.ascii_uppercase, 16), end),
             (f"aws_access_key_id{sign}", "AKIA" + draw(string.ascii_uppercase + "234567", 16), end),
             (f"{said}{name}{sign}{quote}", draw(hexa, 16, 24), f"{quote}{end}"),
             (f'{said}{name}{sign}{quote or chr(34)}', draw(hexa, 32, 64), f"{quote or chr(34)}{end}"),
