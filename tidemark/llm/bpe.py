@@ -40,7 +40,7 @@ ASCII_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^ \t\n\r\f\vA-
 #: Longest alternative of fixed text: a piece that starts nearer to the end than this can still change.
 CONTRACTION = 3
 WINDOW = 1 << 16
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 #: Bytes at the beginning of a piece whose tokens are remembered.
 START = 6
 
@@ -89,6 +89,8 @@ class Transducer:
     def __init__(self, vocabulary: Vocabulary):
         self.rank = vocabulary.rank
         self.ids = {t: i for i, t in vocabulary.tokens.items() if i not in vocabulary.special.values()}
+        #: One object for each token, so that what is remembered stays small.
+        self.same = {t: t for t in self.ids}
         self.lookahead = max(map(len, self.ids))
         #: Lengths of the tokens that end with given bytes (four, or three or two where the token is
         #: shorter), longest first; single bytes are always tokens.
@@ -150,9 +152,9 @@ class Transducer:
 
         ``begin`` is the token before ``data``.
         """
-        ids, lengths, fit, fits = self.ids, self.lengths, self._fit, self.fits
+        same, lengths, fit, fits = self.same, self.lengths, self._fit, self.fits
         for end in range(len(last), len(data) + 1):
-            found = data[end - 1 : end]
+            found = None
             for size in (
                 lengths.get(data[end - 4 : end] if end > 3 else data[:end])
                 or lengths.get(data[end - 3 : end] if end > 2 else data[:end])
@@ -160,14 +162,14 @@ class Transducer:
                 or ()
             ):
                 if size <= end:
-                    token = data[end - size : end]
-                    if token in ids:
+                    token = same.get(data[end - size : end])
+                    if token is not None:
                         pair = (last[end - size] or begin, token)
                         known = fits.get(pair)
                         if fit(*pair) if known is None else known:
                             found = token
                             break
-            last.append(found)
+            last.append(found or same[data[end - 1 : end]])
 
     def whole(self, data: bytes) -> list[int]:
         """Ids of a piece that is too short for anything to leave before its end."""
