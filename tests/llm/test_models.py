@@ -135,3 +135,35 @@ def test_scores_in_many_partitions(spark):
     got = score_documents(frame, partition_words=3000).collect()
     assert sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=repr) == brute_lm(rows)
     assert score_documents(frame.filter("false")).collect() == []
+
+
+def brute_backoff(rows, order):
+    """By plain counts of all n-grams, longest first."""
+    texts = [[None, *(t or "").lower().split()] for _, t in rows]
+    texts = [w if len(w) > 1 else [] for w in texts]
+    counts = Counter(tuple(w[i - n : i]) for w in texts for n in range(1, order + 1) for i in range(n, len(w) + 1))
+    total = sum(len(w) - 1 for w in texts if w)
+
+    def value(gram):
+        if len(gram) == 1:
+            return math.log(counts[gram] / total)
+        return math.log(counts[gram] / counts[gram[:-1]]) if counts[gram] >= 2 else math.log(0.4) + value(gram[1:])
+
+    return sorted(
+        ((d, max(0, len(w) - 1), round(sum(value(tuple(w[max(0, i - order) : i])) for i in range(2, len(w) + 1)), 6)) for (d, _), w in zip(rows, texts, strict=True)),
+        key=repr,
+    )
+
+
+def test_scores_by_longer_ngrams(spark):
+    random = np.random.default_rng(3)
+    words = np.array([f"w{i}" for i in range(12)])
+    rows = [(i, " ".join(random.choice(words, random.integers(0, 60)))) for i in range(60)]
+    rows += [(100, None), (101, ""), (None, "w1 w2 w3"), (102, "one"), (3, rows[3][1]), (103, "x " * 5_000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    scores = {}
+    for order in (1, 2, 3, 5):
+        got = score_documents(frame, partition_words=700, order=order).collect()
+        scores[order] = sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=repr)
+        assert scores[order] == brute_backoff(rows, order)
+    assert scores[2] != scores[3] != scores[5]

@@ -1,18 +1,19 @@
 """Language-model scores by stupid backoff, from n-gram counts of the corpus itself.
 
 A document's words (runs of bytes other than white space, A-Z lower-cased) follow a start mark. A word
-after another scores log(c(both) / c(first)) when the pair occurs at least ``min_count`` times in the
-corpus, else log(``backoff`` * c(word) / N). A document's score is the sum; counts cover all documents.
+is scored by the longest n-gram of at most ``order`` words that ends with it and lies in its document, start mark
+included: log(c(n-gram) / c(n-gram without its last word)) when it occurs at least ``min_count`` times in
+the corpus, else log(``backoff``) and the score by the n-gram without its first word, and so on; a single word has
+log(c(word) / N). A document's score is the sum; counts cover all documents.
 
-1. Words are counted: per batch in each task, then by key in Spark.
-2. Every word with its predecessor is an instance. Instances are exploded to partitions by a hash of
-   the pair, in packed arrays: per batch and partition, two indexes into a list of word hashes, compressed. A pair of
-   two words that are both very common is dealt by its batch as well, so that no partition gathers it;
-   such pairs are counted beforehand by key, like words.
-3. A partition asks for the counts of its words (a join by buckets of keys, packed like the instances),
-   counts its pairs, scores its instances and returns a partial sum for each document of each batch; partial sums meet by batch.
+1. Each task counts the distinct n-grams of all orders in batches of documents, in one sorted list of
+   keys for a batch. Ranges of keys are buckets; a batch sends a row to each bucket, with its keys and their
+   numbers, compressed. However common an n-gram is, a batch sends it once.
+2. A bucket adds the numbers up and answers each batch with the counts of its keys, in their order. The batch's
+   words (indexes into a list of word hashes, compressed) pass through one of the buckets.
+3. The answers meet the batch's words again, and its documents are scored.
 
-Word and pair identities are hashes of 64 bits. Partitions number one for ``PARTITION_WORDS`` words.
+N-gram identities are hashes of 64 bits. Buckets number one for ``PARTITION_WORDS`` words.
 
 Defined cases. Null and empty texts, and texts without words: n_words 0, log_score 0, mean_log 0. A null
 doc_id is scored like any other. Repeated rows count as often as they occur, and each is scored. Other
@@ -32,12 +33,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import Words, chunks, mix, text_bytes
-from tidemark.session import scratch, stage
 
 PARTITION_WORDS = 1_200_000
-#: Words of a packed batch, and how much of a partition a word must fill to be very common.
-BATCH_WORDS = 1_500_000
-COMMON = 1 / 16
+#: Words of a packed batch: the more, the fewer n-grams are sent again by other batches.
+BATCH_WORDS = 4_000_000
 #: The start mark's key.
 START = np.uint64(0xA0761D6478BD642F)
 
@@ -47,17 +46,22 @@ def pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
 
 
 class _Batch:
-    """Texts of a batch: ids, words of each, and each word's key and predecessor's key."""
+    """Texts of a batch: ids, words of each, and the keys of all words, a start mark before each text's."""
 
     def __init__(self, ids: list[pa.Array], words: list[tuple[np.ndarray, np.ndarray]]):
         self.ids = pa.concat_arrays(ids)
         self.counts = np.concatenate([np.diff(of) for of, _ in words])
-        self.key = np.concatenate([hashes for _, hashes in words])
-        self.before = np.empty_like(self.key)
-        self.before[1:] = self.key[:-1]
-        starts = np.cumsum(self.counts) - self.counts
-        self.before[starts[self.counts > 0]] = START
-        self.text = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
+        starts = _starts(self.counts)
+        self.key = np.full(int(self.counts.sum()) + len(starts), START)
+        inside = np.ones(len(self.key), dtype=bool)
+        inside[starts] = False
+        self.key[inside] = np.concatenate([hashes for _, hashes in words])
+
+
+def _starts(counts: np.ndarray) -> np.ndarray:
+    """Where the start marks of texts that have words stand."""
+    held = counts[counts > 0] + 1
+    return np.cumsum(held) - held
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
@@ -70,246 +74,199 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[_Batch]:
             words.append((found.of, found.hash))
             total += len(found.hash)
             if total >= BATCH_WORDS:
-                yield _Batch(ids, words)
+                made = _Batch(ids, words)
                 ids, words, total = [], [], 0
+                yield made
+                del made
         if ids:
             yield _Batch(ids, words)
 
 
-def _counted(key: np.ndarray) -> pa.RecordBatch:
-    keys, n = np.unique(key, return_counts=True)
-    return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+def _squeeze(values: np.ndarray) -> bytes:
+    """Compressed, all first bytes together, all second bytes, and so on."""
+    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
+    return zstandard.compress(planes.tobytes(), 1)
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in _batches(batches):
-        yield _counted(np.concatenate([b.key, np.full(int((b.counts > 0).sum()), START)]))
+def _spread(data: bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
-def _among(sorted_keys: np.ndarray, key: np.ndarray) -> np.ndarray:
-    if len(sorted_keys) == 0:
-        return np.zeros(len(key), dtype=bool)
-    at = np.minimum(np.searchsorted(sorted_keys, key), len(sorted_keys) - 1)
-    return sorted_keys[at] == key
+def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        raw, where = text_bytes(batch.column(0))
+        n = sum(len(Words(part, starts).hash) for _, _, part, starts in chunks(raw, where))
+        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
 
 
-def _common_pairs(b: _Batch, common: np.ndarray) -> np.ndarray:
-    return _among(common, b.before) & _among(common, b.key)
+def _grams(key: np.ndarray, counts: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For 1 to ``order`` words: the n-grams' keys, and where in ``key`` they end."""
+    held = counts[counts > 0] + 1
+    place = np.arange(len(key)) - np.repeat(_starts(counts), held)
+    ends, gram = np.arange(len(key)), key
+    for n in range(1, order + 1):
+        if n > 1:
+            inside = place[ends] >= n - 1
+            # The n-gram one word shorter that ends a word earlier is the one before, in the same text.
+            gram, ends = pair_key(gram[np.flatnonzero(inside) - 1], key[ends[inside]]), ends[inside]
+        yield gram, ends
 
 
-def _count_common(common: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _batches(batches):
-            both = _common_pairs(b, common)
-            yield _counted(pair_key(b.before[both], b.key[both]))
+def _keys(key: np.ndarray, counts: np.ndarray, order: int) -> np.ndarray:
+    """The keys of all n-grams, sorted, each as often as it occurs."""
+    held = counts[counts > 0] + 1
+    keys = np.empty(sum(int(np.maximum(0, held - n).sum()) for n in range(order)), dtype=np.uint64)
+    at = 0
+    for gram, _ in _grams(key, counts, order):
+        keys[at : at + len(gram)] = gram
+        at += len(gram)
+    keys.sort()
+    return keys
 
-    return run
 
+def _distinct(keys: np.ndarray) -> np.ndarray:
+    """Where each key of a sorted list occurs first."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
 
-def _squeeze(values: np.ndarray) -> bytes:
-    """Compressed, all first bytes together, all second bytes, and so on."""
-    planes = np.ascontiguousarray(values).view(np.uint8).reshape(-1, values.itemsize).T
-    return zstandard.compress(planes.tobytes(), 1)
 
+def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
+    """Where the sorted keys of each bucket, a range of keys, begin; and the end."""
+    least = [(b << 64) // buckets for b in range(buckets)]
+    return np.append(np.searchsorted(keys, np.array(least, dtype=np.uint64)), len(keys))
 
-def _spread(data: bytes, kind: type) -> np.ndarray:
-    planes = np.frombuffer(zstandard.decompress(data), dtype=np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
+SENT = "bucket int, batch long, keys binary, often binary, listed binary, words binary, ids array<long>, counts array<long>"
+ANSWERED = "batch long, bucket int, often binary, listed binary, words binary, ids array<long>, counts array<long>"
 
-def _pack(common: np.ndarray, parts: int):
+
+def _pack(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, b in enumerate(_batches(batches)):
             batch = (TaskContext.get().partitionId() << 24) | number
-            key = pair_key(b.before, b.key)
-            both = _common_pairs(b, common)
-            key[both] = mix(key[both] + np.uint64(batch + 1))
-            part = (key % np.uint64(parts)).astype(np.int32)
-            order = np.argsort(part, kind="stable")
-            edges = np.searchsorted(part[order], np.arange(parts + 1))
-            home = int(mix(np.array([batch + 1], dtype=np.uint64))[0] % np.uint64(parts))
-            for p in range(parts):
-                own = order[edges[p] : edges[p + 1]]
-                if not len(own) and p != home:
+            keys = _keys(b.key, b.counts, order)
+            first = _distinct(keys)
+            often = np.diff(np.append(first, len(keys))).astype(np.uint32)
+            keys = keys[first]
+            del first
+            edges = _edges(keys, buckets)
+            listed, index, times = np.unique(b.key, return_inverse=True, return_counts=True)
+            # Frequent words first, so that most indexes are small; keys as steps from one to the next.
+            rank = np.argsort(-times, kind="stable")
+            place = np.empty(len(rank), dtype=np.uint32)
+            place[rank] = np.arange(len(rank))
+            ordered, index = _squeeze(place.astype(np.uint32)), _squeeze(place[index])
+            listed = _squeeze(np.diff(listed, prepend=np.uint64(0)))
+            home = int(mix(np.array([batch + 1], dtype=np.uint64))[0] % np.uint64(buckets))
+            for p in range(buckets):
+                begin, end = edges[p], edges[p + 1]
+                if begin == end and p != home:
                     continue
-                listed, index, often = np.unique(
-                    np.concatenate([b.before[own], b.key[own]]), return_inverse=True, return_counts=True
-                )
-                # Frequent words first, so that most indexes are small; keys as steps from one to the next.
-                rank = np.lexsort((listed, -often))
-                listed, place = listed[rank], np.empty(len(rank), dtype=np.uint32)
-                place[rank] = np.arange(len(rank))
-                index = place[index]
-                steps = np.diff(listed, prepend=np.uint64(0))
-                held = np.bincount(b.text[own], minlength=len(b.counts)).astype(np.uint32)
                 yield pa.record_batch(
                     [
                         pa.array([p], pa.int32()),
                         pa.array([batch], pa.int64()),
-                        pa.array([_squeeze(steps)], pa.binary()),
-                        pa.array([_squeeze(index)], pa.binary()),
-                        pa.array([_squeeze(held)], pa.binary()),
+                        pa.array([_squeeze(np.diff(keys[begin:end], prepend=np.uint64((p << 64) // buckets)))], pa.binary()),
+                        pa.array([_squeeze(often[begin:end])], pa.binary()),
+                        pa.array([listed if p == home else None], pa.binary()),
+                        pa.array([len(ordered).to_bytes(8, "little") + ordered + index if p == home else None], pa.binary()),
                         pa.array([b.ids.to_pylist() if p == home else None], pa.list_(pa.int64())),
                         pa.array([b.counts.tolist() if p == home else None], pa.list_(pa.int64())),
                     ],
-                    names=["part", "batch", "listed", "pairs", "held", "ids", "words"],
+                    names=["bucket", "batch", "keys", "often", "listed", "words", "ids", "counts"],
                 )
 
     return run
 
 
-PACKED = "part int, batch long, listed binary, pairs binary, held binary, ids array<long>, words array<long>"
-
-
-def _unpack(table: pa.Table) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(row, words listed, first index, second index, instances of each text)."""
-    columns = [table[c].combine_chunks() for c in ("listed", "pairs", "held")]
-    for k in range(len(table)):
-        listed, index, held = (
-            _spread(c[k].as_buffer(), kind) for c, kind in zip(columns, (np.uint64, np.uint32, np.uint32), strict=True)
-        )
-        n = len(index) // 2
-        yield k, np.cumsum(listed, dtype=np.uint64), index[:n], index[n:], held
-
-
-def _needed(table: pa.Table, common: np.ndarray) -> np.ndarray:
-    """The keys, in order, whose counts a partition needs."""
-    seen = []
-    for _, listed, first, second, _ in _unpack(table):
-        seen.append(listed)
-        hot = _among(common, listed)
-        both = hot[first] & hot[second]
-        seen.append(np.unique(pair_key(listed[first[both]], listed[second[both]])))
-    return np.unique(np.concatenate(seen))
-
-
-def _asked(common: np.ndarray, buckets: int):
-    """A row for each bucket of keys that a partition needs."""
+def _answer(buckets: int):
+    """For each batch the counts of its keys over all batches, in their order."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        keys = _needed(table, common)
-        bucket = (keys & np.uint64(buckets - 1)).astype(np.int32)
-        rows = np.unique(bucket)
-        packed = [_squeeze(np.diff(keys[bucket == b], prepend=np.uint64(0))) for b in rows]
+        least = np.uint64((key[0].as_py() << 64) // buckets)
+        sent, often = ([x.as_buffer() for c in table[n].chunks for x in c] for n in ("keys", "often"))
+        steps = [_spread(x, np.uint64) for x in sent]
+        keys = np.concatenate([np.cumsum(s, dtype=np.uint64) + least for s in steps])
+        ends = np.cumsum([len(s) for s in steps])
+        del steps
+        order = np.argsort(keys, kind="stable")
+        n = np.concatenate([_spread(x, np.uint32) for x in often]).astype(np.int64)[order]
+        first = _distinct(keys[order])
+        total = np.empty(len(keys), dtype=np.int64)
+        if len(keys):
+            total[order] = np.repeat(np.add.reduceat(n, first), np.diff(np.append(first, len(keys))))
+        answers = [_squeeze(part) for part in np.split(total, ends[:-1])]
         return pa.table(
-            {
-                "bucket": rows,
-                "part": np.full(len(rows), key[0].as_py(), dtype=np.int32),
-                "keys": pa.array(packed, pa.binary()),
-            }
+            {c: table[c] for c in ("batch", "bucket")}
+            | {"often": pa.array(answers, pa.binary())}
+            | {c: table[c] for c in ("listed", "words", "ids", "counts")}
         )
 
     return run
 
 
-def _answer(asked: pa.Table, counts: pa.Table) -> pa.Table:
-    """For each request of a bucket the counts of its keys, in their order."""
-    known = counts["key"].to_numpy().view(np.uint64)
-    order = np.argsort(known)
-    known, n = known[order], counts["n"].to_numpy()[order]
-    answers = []
-    for request in asked["keys"].combine_chunks():
-        keys = np.cumsum(_spread(request.as_buffer(), np.uint64), dtype=np.uint64)
-        answers.append(_squeeze(n[np.searchsorted(known, keys)]))
-    return pa.table({"part": asked["part"], "bucket": asked["bucket"], "counts": pa.array(answers, pa.binary())})
-
-
-def _score(common: np.ndarray, buckets: int, total: int, backoff: float, min_count: int):
-    def run(packed: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = _needed(packed, common)
-        bucket, n = keys & np.uint64(buckets - 1), np.zeros(len(keys), dtype=np.int64)
-        for b, counts in zip(answers["bucket"].to_pylist(), answers["counts"].combine_chunks(), strict=True):
-            n[bucket == b] = _spread(counts.as_buffer(), np.int64)
-        hot = _among(common, keys)
-        log_n = np.log(n)
-        codes, texts = [], []
-        for _, listed, first, second, held in _unpack(packed):
-            place = np.searchsorted(keys, listed)
-            codes.append(place[first] * len(keys) + place[second])
-            texts.append(held)
-        code = np.concatenate(codes)
-        del codes
-        # Each pair's number of instances; pairs of very common words have theirs from the join.
-        order = np.argsort(code, kind="stable")
-        ordered = code[order]
-        new = np.ones(len(code), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        starts = np.flatnonzero(new)
-        size = np.diff(np.append(starts, len(code)))
-        a, b = (ordered[starts] // max(1, len(keys)), ordered[starts] % max(1, len(keys))) if len(code) else (starts, starts)
-        both = hot[a] & hot[b]
-        size[both] = n[np.searchsorted(keys, pair_key(keys[a[both]], keys[b[both]]))]
-        value = np.where(
-            size >= min_count, np.log(size) - log_n[a], math.log(backoff) + log_n[b] - math.log(max(1, total))
-        )
-        each = np.empty(len(code))
-        each[order] = np.repeat(value, np.diff(np.append(starts, len(code))))
-        del order, ordered, new
-        sums, at = [], 0
-        for held in texts:
-            ends = np.cumsum(held, dtype=np.int64)
-            part = np.concatenate([[0.0], np.cumsum(each[at : at + int(held.sum())])])
-            sums.append((part[ends] - part[ends - held]).tobytes())
-            at += int(held.sum())
-        return pa.table(
-            {
-                "batch": packed["batch"],
-                "part": packed["part"],
-                "sums": pa.array(sums, pa.binary()),
-                "ids": packed["ids"],
-                "words": packed["words"],
-            }
-        )
-
-    return run
+def _score(order: int, total: int, backoff: float, min_count: int):
+    """The scores of a batch's documents."""
 
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        home = next(k for k in range(len(table)) if table["ids"][k].is_valid)
+        counts = table["counts"][home].values.to_numpy()
+        listed = np.cumsum(_spread(table["listed"][home].as_buffer(), np.uint64), dtype=np.uint64)
+        packed = table["words"][home].as_py()
+        split = 8 + int.from_bytes(packed[:8], "little")
+        by_rank = np.empty(len(listed), dtype=np.uint64)
+        by_rank[_spread(packed[8:split], np.uint32)] = listed
+        words = by_rank[_spread(packed[split:], np.uint32)]
+        del packed, listed, by_rank
+        # Buckets are ranges of keys: their answers in order are those of the sorted keys.
+        places = np.argsort(table["bucket"].to_numpy())
+        often = table["often"].combine_chunks()
+        n = np.concatenate([_spread(often[int(k)].as_buffer(), np.int64) for k in places])
+        keys = _keys(words, counts, order)
+        keys = keys[_distinct(keys)]
+        value = np.zeros(len(words))
+        context, context_ends = None, None
+        for gram, ends in _grams(words, counts, order):
+            by_key = np.argsort(gram)
+            size = np.empty(len(gram), dtype=np.int64)
+            size[by_key] = n[np.searchsorted(keys, gram[by_key])]
+            if context is None:
+                value[ends] = np.log(size) - math.log(max(1, total))
+            else:
+                before = context[np.searchsorted(context_ends, ends - 1)]
+                value[ends] = np.where(
+                    size >= min_count, np.log(size) - np.log(before), math.log(backoff) + value[ends]
+                )
+            context, context_ends = size, ends
+        starts = _starts(counts)
+        value[starts] = 0.0
+        sums = np.zeros(len(counts))
+        if len(starts):
+            sums[counts > 0] = np.add.reduceat(value, starts)
+        return pa.table({"doc_id": table["ids"][home].values, "n_words": counts, "log_score": sums})
 
-def _add(key: tuple, table: pa.Table) -> pa.Table:
-    """The scores of a batch's documents."""
-    order = np.argsort(table["part"].to_numpy())
-    sums = table["sums"].combine_chunks()
-    total = sum(np.frombuffer(sums[int(k)].as_buffer()) for k in order)
-    home = next(k for k in range(len(table)) if table["ids"][k].is_valid)
-    words = pa.array(table["words"][home].values)
-    return pa.table({"doc_id": pa.array(table["ids"][home].values), "n_words": words, "log_score": total})
+    return run
 
 
 def score_documents(
-    documents: DataFrame, backoff: float = 0.4, min_count: int = 2, partition_words: int = PARTITION_WORDS
+    documents: DataFrame,
+    backoff: float = 0.4,
+    min_count: int = 2,
+    partition_words: int = PARTITION_WORDS,
+    order: int = 2,
 ) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log) for every row of ``documents`` (doc_id, text)."""
-    root = scratch(documents.sparkSession)
+    """(doc_id, n_words, log_score, mean_log) for every row of ``documents`` (doc_id, text), by n-grams of
+    up to ``order`` words."""
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counted = "key long, n long"
-    sums = lambda frame: frame.groupBy("key").agg(F.sum("n").alias("n"))
-    words = stage(sums(texts.mapInArrow(_count_words, counted)), f"{root}/words")
-    start = int(START.astype(np.int64))
-    seen = words.agg(F.sum("n"), F.sum(F.when(F.col("key") == start, F.col("n")))).first()
-    total = (seen[0] or 0) - (seen[1] or 0)
-    parts = max(1, math.ceil(total / partition_words))
-    # At most one word for every share of the corpus that it must fill: the list is bounded.
-    least = max(2, COMMON * partition_words)
-    rows = words.filter(F.col("n") >= least).select("key").toArrow()["key"].to_numpy()
-    common = np.sort(rows.view(np.uint64)) if len(rows) else np.zeros(0, np.uint64)
-    pairs = sums(texts.mapInArrow(_count_common(common), counted))
-    counts = stage(words.unionByName(pairs), f"{root}/counts")
-    packed = texts.mapInArrow(_pack(common, parts), PACKED)
-    buckets = 1 << max(0, math.ceil(math.log2(2 * parts)))
-    asked = packed.groupBy("part").applyInArrow(_asked(common, buckets), "bucket int, part int, keys binary")
-    answers = (
-        asked.groupBy("bucket")
-        .cogroup(counts.withColumn("bucket", F.col("key").bitwiseAND(buckets - 1).cast("int")).groupBy("bucket"))
-        .applyInArrow(_answer, "part int, bucket int, counts binary")
-    )
-    partial = (
-        packed.groupBy("part")
-        .cogroup(answers.groupBy("part"))
-        .applyInArrow(
-            _score(common, buckets, total, backoff, min_count),
-            "batch long, part int, sums binary, ids array<long>, words array<long>",
-        )
+    total = texts.select("text").mapInArrow(_total, "n long").agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, math.ceil(total / partition_words))
+    sent = texts.mapInArrow(_pack(order, buckets), SENT)
+    answered = sent.groupBy("bucket").applyInArrow(_answer(buckets), ANSWERED)
+    scored = answered.groupBy("batch").applyInArrow(
+        _score(order, total, backoff, min_count), "doc_id long, n_words long, log_score double"
     )
-    scored = partial.groupBy("batch").applyInArrow(_add, "doc_id long, n_words long, log_score double")
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
     return scored.withColumn("mean_log", mean)

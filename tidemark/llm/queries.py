@@ -68,9 +68,18 @@ def op6_mix_sources(spark: SparkSession, sf: str) -> DataFrame:
     return taken_words(mix_sources(table(spark, sf, "documents")))
 
 
+@query
+def op7_lm_scoring_trigrams(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents scored by stupid backoff on triples, pairs and words: the production order."""
+    scored = score_documents(table(spark, sf, "documents"), order=3)
+    return scored.select(
+        "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log")
+    )
+
+
 @query
 def op7_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents scored by stupid backoff on the counts of all documents."""
+    """All documents scored by stupid backoff on pairs and words, as its SQL fixes it."""
     scored = score_documents(table(spark, sf, "documents"))
     return scored.select(
         "doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log", 6).alias("mean_log")
@@ -178,3 +187,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 4) AS log_scor
   round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0.0 END, 6) AS mean_log
 FROM split LEFT JOIN summed USING (r)
 """
+
+ORACLE["op7_lm_scoring_trigrams"] = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marked AS (
+  SELECT r, unnest(range(0, len(w) + 1)) AS i, unnest(list_concat([''], w)) AS c FROM split WHERE len(w) > 0
+), words AS (
+  SELECT r, c, lag(c, 1) OVER inside AS b, lag(c, 2) OVER inside AS a FROM marked
+  WINDOW inside AS (PARTITION BY r ORDER BY i)
+), one AS (SELECT c, count(*) AS n FROM words GROUP BY c
+), two AS (SELECT b, c, count(*) AS n FROM words WHERE b IS NOT NULL GROUP BY b, c
+), three AS (SELECT a, b, c, count(*) AS n FROM words WHERE a IS NOT NULL GROUP BY a, b, c
+), valued AS (
+  SELECT r, CASE WHEN z.n >= 2 THEN ln(z.n) - ln(p.n)
+    ELSE CASE WHEN a IS NULL THEN 0 ELSE ln(0.4) END + CASE WHEN y.n >= 2 THEN ln(y.n) - ln(q.n)
+      ELSE ln(0.4) + ln(x.n) - ln((SELECT sum(n) FROM one WHERE c != '')) END END AS v
+  FROM words JOIN one x USING (c) JOIN two y USING (b, c) JOIN one q ON q.c = words.b
+  LEFT JOIN three z USING (a, b, c) LEFT JOIN two p ON p.b = words.a AND p.c = words.b
+), summed AS (SELECT r, sum(v) AS s FROM valued GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 4) AS log_score,
+  round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0.0 END, 6) AS mean_log
+FROM split LEFT JOIN summed USING (r)
+"""
