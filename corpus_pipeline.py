@@ -17,7 +17,7 @@ from tidemark.llm.mixing import mix_sources, mixed_texts
 from tidemark.llm.quality import keep_quality
 from tidemark.session import scratch, stage
 
-#: Words of a block in the mix: many times a document, so that few are cut where a drawn block ends.
+#: Words of a block in the mix; blocks hold whole documents.
 MIX_BLOCK = 1 << 14
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -49,9 +49,9 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each document and copy that the mix of sources takes, with the words taken."""
+    """A row for each document and copy that the mix of sources takes, each complete."""
     rows = docs.select(*COLUMNS)
-    return _sized(mixed_texts(rows, mix_sources(rows, block_words=MIX_BLOCK)))
+    return _sized(mixed_texts(rows, mix_sources(rows, block_words=MIX_BLOCK, whole=True)))
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

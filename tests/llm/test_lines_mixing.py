@@ -154,3 +154,34 @@ def test_main_paths_are_native(spark):
 def test_digest_of_kept_lines(spark):
     got = drop_shared_lines(spark.createDataFrame([(1, "a\nb")], "doc_id long, text string")).select(F.sha2("text", 256)).first()[0]
     assert got == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def test_whole_documents_only(spark):
+    docs = documents(spark, 150, 5)
+    long = spark.createDataFrame([(900, "w " * 3000, "b"), (901, "x " * 2500, "c"), (902, "y", "c")], docs.schema)
+    docs = docs.unionByName(long)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    mix = mix_sources(docs, block_words=500, shard_words=2000, whole=True)
+    got = mixed_texts(docs, mix).collect()
+    assert got and all(r.text == text[r.doc_id] for r in got)
+    copies = defaultdict(int)
+    for r in got:
+        copies[r.doc_id] += 1
+    assert max(copies.values()) <= 2
+    rows = taken_words(mix).collect()
+    assert {r.doc_id: r.taken for r in rows if r.taken} == {d: n * len(text[d].split()) for d, n in copies.items()}
+    total, goal = sum(r.taken for r in rows), 1.5 * sum(r.size for r in rows)
+    assert abs(total - goal) < 0.01 * goal
+    again = mixed_texts(docs, mix_sources(docs.repartition(7), block_words=500, shard_words=2000, whole=True)).collect()
+    assert sorted(map(tuple, again), key=repr) == sorted(map(tuple, got), key=repr)
+    assert not re.search("Python|Pandas|Arrow", mixed_texts(docs, mix)._jdf.queryExecution().executedPlan().toString())
+
+
+def test_the_stage_mixes_whole_documents(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"d{i} " * (20_000 if i % 7 == 0 else 900), "en", "abc"[i % 3], 0) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    text = {r[0]: r[1] for r in rows}
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    assert got and all(r.text == text[r.doc_id] for r in got)

@@ -10,6 +10,10 @@ into blocks of ``block_words``. An affine map permutes the blocks. A source take
 often as its target holds it, and for the rest the first blocks of the permutation, the last one cut, so
 that exactly the target is taken and no word more than twice.
 
+Whole documents (``whole``). A document belongs to the block in which its first word lies, and a source takes
+whole documents in the order of the permuted blocks. Where its target ends, those of the ``FITTED`` documents
+around that place are taken whose words come nearest to it; so targets are near, not exact, and nothing is cut.
+
 Tree. All draws start at the root. Every node halves its draws between two children, and the number of
 each source's draws that go left is drawn from the hypergeometric law given what the sources before it
 took; quotas are exact at each level, and a quota is a range of the source's draws, so shards never
@@ -38,6 +42,11 @@ WEIGHTS = (3, 1, 2)
 #: Multipliers of the affine map; the first that has no factor in common with the count is used.
 PRIMES = (1_000_003, 1_000_033)
 
+#: Documents of a source whose best subset ends the last pass, and ranges of blocks that are summed.
+FITTED, RANGES = 12, 4096
+#: Subsets that a source offers, nearest first.
+OFFERS = 256
+
 
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
@@ -188,11 +197,124 @@ class Mix:
         self.sizes, self.drawn = sizes, drawn
 
 
+def _whole_pieces(placed: DataFrame) -> DataFrame:
+    """A row for each copy of a document that its source takes whole."""
+    placed = placed.withColumn("range", F.expr(f"at * {RANGES} div blocks"))
+    along = Window.partitionBy("src").orderBy("range")
+    ranges = (
+        placed.groupBy("src", "range")
+        .agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
+        .withColumn("end", F.sum("words").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("begin", F.col("end") - F.col("words"))
+        .withColumn("low", F.coalesce(F.lag("range").over(along), F.col("range")))
+        .withColumn("high", F.coalesce(F.lead("range").over(along), F.col("range")))
+        .withColumn("base", F.coalesce(F.lag("begin").over(along), F.col("begin")))
+    )
+    # The range in which a target ends, with its neighbours: a row for each source whose last pass is not empty.
+    zones = ranges.filter("begin < rest AND rest <= end").select("src", "low", "high", "base")
+    inside = Window.partitionBy("src").orderBy("at", "offset")
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    every = Window.partitionBy("src")
+    near = (
+        placed.join(zones, "src")
+        .filter("range BETWEEN low AND high")
+        .select("src", "offset", "at", "size", (F.col("rest") - F.col("base")).alias("left"))
+        .withColumn("nth", F.row_number().over(inside))
+        .withColumn("end", F.sum("size").over(upto))
+        .withColumn("last", F.min(F.when(F.col("end") >= F.col("left"), F.col("nth"))).over(every))
+        .withColumn("k", F.col("nth") - F.col("last") + FITTED // 2)  # 0 to FITTED - 1: may be taken or not
+    )
+    candidate = F.col("k").between(0, FITTED - 1)
+    asked = near.groupBy("src").agg(
+        F.sort_array(
+            F.collect_list(F.when(candidate, F.struct("k", F.col("size").cast("long").alias("size"))))
+        ).alias("some"),
+        (F.first("left") - F.coalesce(F.sum(F.when(F.col("k") < 0, F.col("size"))), F.lit(0))).alias("gap"),
+    )
+    none = F.array(F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).cast("long").alias("bits")))
+    subsets = F.aggregate(
+        "some",
+        none,
+        lambda found, c: F.concat(
+            found,
+            F.transform(
+                found,
+                lambda f: F.struct(
+                    (f["sum"] + c["size"]).alias("sum"), (f["bits"] + F.pow(F.lit(2.0), c["k"]).cast("long")).alias("bits")
+                ),
+            ),
+        ),
+    )
+    near_ones = F.slice(
+        F.array_sort(
+            F.transform(
+                subsets,
+                lambda f: F.struct(
+                    F.abs(f["sum"] - F.col("gap")).alias("off"), (f["sum"] - F.col("gap")).alias("over"), f["bits"].alias("bits")
+                ),
+            )
+        ),
+        1,
+        OFFERS,
+    )
+    # What a source takes too much or too little, the next ones make up for, those that fit best last.
+    def choose(s: Column, row: Column) -> Column:
+        best = F.array_min(
+            F.transform(
+                row["offers"],
+                lambda o: F.struct(F.abs(s["over"] + o["over"]).alias("off"), o["over"].alias("over"), o["bits"].alias("bits")),
+            )
+        )
+        return _let(
+            best,
+            lambda x: F.struct(
+                (s["over"] + x["over"]).alias("over"),
+                F.concat(s["found"], F.array(F.struct(row["src"].alias("src"), x["bits"].alias("bits")))).alias("found"),
+            ),
+        )
+
+    begun = F.struct(F.lit(0).cast("long").alias("over"), F.array().cast("array<struct<src:bigint,bits:bigint>>").alias("found"))
+    fitted = (
+        asked.select("src", near_ones.alias("offers"))
+        .select(F.struct((-F.col("offers")[0]["off"] - F.col("offers")[F.size("offers") - 1]["off"]).alias("fit"), "src", "offers").alias("row"))
+        .agg(F.sort_array(F.collect_list("row")).alias("rows"))
+        .select(F.explode(F.aggregate("rows", begun, choose, lambda s: s["found"])).alias("f"))
+        .select("f.src", "f.bits")
+    )
+    picked = (
+        near.join(fitted, "src")
+        .filter((F.col("k") < 0) | (candidate & (F.expr("pmod(bits div cast(pow(2.0, greatest(k, 0)) as long), 2)") == 1)))
+        .select("src", "offset", F.lit(1).alias("picked"))
+    )
+    last = (F.col("range") < F.col("low")) | F.col("picked").isNotNull()
+    return (
+        placed.join(zones.select("src", "low"), "src", "left")
+        .join(picked, ["src", "offset"], "left")
+        .withColumn("copies", F.col("whole") + F.coalesce(last, F.lit(False)).cast("long"))
+        .filter("copies > 0")
+        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+        .select(
+            "doc_id",
+            "src",
+            "offset",
+            "copy",
+            (F.col("copy") * F.col("blocks") + F.col("at")).alias("draw"),
+            F.col("offset").alias("from"),
+            F.col("size").alias("n_words"),
+        )
+    )
+
+
 def mix_sources(
-    documents: DataFrame, share: float = 1.5, block_words: int = 1024, shard_words: int = 1 << 20, seed: int = 1
+    documents: DataFrame,
+    share: float = 1.5,
+    block_words: int = 1024,
+    shard_words: int = 1 << 20,
+    seed: int = 1,
+    whole: bool = False,
 ) -> Mix:
     """``sizes``: (doc_id, source, src, size, source_size, target, offset). ``drawn``: (doc_id, src,
-    offset, copy, first_word, n_words, shard, place): words of a document that one draw takes."""
+    offset, copy, first_word, n_words, shard, place): words of a document that one draw takes, all of them if ``whole``."""
     spark = documents.sparkSession
     root = scratch(spark)
     counted = stage(
@@ -228,42 +350,53 @@ def mix_sources(
         .withColumn("full", F.expr(f"rest div {block_words}"))
         .withColumn("draws", F.col("whole") * F.col("blocks") + F.col("full") + (F.col("rest") % b > 0).cast("long"))
     )
-    plan = stage(plan, f"{root}/plan")
-    words = plan.agg(F.sum("goal")).first()[0] or 0
-    levels = max(0, math.ceil(math.log2(max(1, words) / shard_words)))
-    shards = stage(split_quotas(plan.select("src", "draws"), levels, seed), f"{root}/shards")
-    shard_of = shards.filter("until > begin").select(
-        "src", "shard", F.explode(F.sequence("begin", F.col("until") - 1)).alias("draw")
-    )
-    # Pieces: where a document meets a block.
-    block = F.explode(
-        F.sequence(F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}"))
-    )
     multiplier = F.when((F.col("blocks") - 1) % PRIMES[0] != 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1]))
     permuted = (
         F.when(F.col("block") == F.col("blocks") - 1, F.col("block"))
         .otherwise(F.pmod(F.col("block") * multiplier + F.lit(7919) * (F.col("src") + 1), F.col("blocks") - 1))
         .cast("long")
     )
-    pieces = (
-        sizes.filter("size > 0")
-        .drop("source_size")
-        .join(plan, "src")
-        .withColumn("block", block)
-        .withColumn("at", permuted)
-        .withColumn("from", F.greatest(F.col("offset"), F.col("block") * b))
-        .withColumn("n", F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * b) - F.col("from"))
-        .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
-        .withColumn("draw", F.col("copy") * F.col("blocks") + F.col("at"))
-        .withColumn(
-            "limit",
-            F.when((F.col("copy") < F.col("whole")) | (F.col("at") < F.col("full")), b)
-            .when(F.col("at") == F.col("full"), F.col("rest") % b)
-            .otherwise(F.lit(0).cast("long")),
+    plan = stage(plan, f"{root}/plan")
+    if whole:
+        placed = (
+            sizes.filter("size > 0")
+            .drop("source_size")
+            .join(plan.drop("draws"), "src")
+            .withColumn("block", F.expr(f"offset div {block_words}"))
+            .withColumn("at", permuted)
         )
-        .withColumn("n_words", F.least(F.col("n"), F.col("limit") - (F.col("from") - F.col("block") * b)))
-        .filter("n_words > 0")
+        pieces = stage(_whole_pieces(stage(placed, f"{root}/placed")), f"{root}/pieces")
+        plan = stage(pieces.groupBy("src").agg((F.max("draw") + 1).alias("draws"), F.sum("n_words").alias("goal")), f"{root}/draws")
+    words = plan.agg(F.sum("goal")).first()[0] or 0
+    levels = max(0, math.ceil(math.log2(max(1, words) / shard_words)))
+    shards = stage(split_quotas(plan.select("src", "draws"), levels, seed), f"{root}/shards")
+    shard_of = shards.filter("until > begin").select(
+        "src", "shard", F.explode(F.sequence("begin", F.col("until") - 1)).alias("draw")
     )
+    if not whole:
+        # Pieces: where a document meets a block.
+        block = F.explode(
+            F.sequence(F.expr(f"offset div {block_words}"), F.expr(f"(offset + size - 1) div {block_words}"))
+        )
+        pieces = (
+            sizes.filter("size > 0")
+            .drop("source_size")
+            .join(plan, "src")
+            .withColumn("block", block)
+            .withColumn("at", permuted)
+            .withColumn("from", F.greatest(F.col("offset"), F.col("block") * b))
+            .withColumn("n", F.least(F.col("offset") + F.col("size"), (F.col("block") + 1) * b) - F.col("from"))
+            .withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("whole"))))
+            .withColumn("draw", F.col("copy") * F.col("blocks") + F.col("at"))
+            .withColumn(
+                "limit",
+                F.when((F.col("copy") < F.col("whole")) | (F.col("at") < F.col("full")), b)
+                .when(F.col("at") == F.col("full"), F.col("rest") % b)
+                .otherwise(F.lit(0).cast("long")),
+            )
+            .withColumn("n_words", F.least(F.col("n"), F.col("limit") - (F.col("from") - F.col("block") * b)))
+            .filter("n_words > 0")
+        )
     drawn = pieces.join(shard_of.hint("merge"), ["src", "draw"]).select(
         "doc_id",
         "src",
@@ -291,7 +424,7 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
     """A row for each document and copy in the mix, ``text`` holding the words that copy takes, in order
     and with the white space before each; other columns are those of ``documents``.
 
-    Only documents at the edges of the blocks of the last pass are cut.
+    Documents at the edges of the blocks of the last pass are cut, unless the mix takes ``whole`` ones.
     """
     key = [
         F.xxhash64("doc_id", "source", "_words").alias("_k1"),
