@@ -167,3 +167,15 @@ def test_scores_by_longer_ngrams(spark):
         scores[order] = sorted(((r.doc_id, r.n_words, round(r.log_score, 6)) for r in got), key=repr)
         assert scores[order] == brute_backoff(rows, order)
     assert scores[2] != scores[3] != scores[5]
+
+
+def test_pages_without_optional_end_tags():
+    tree = trained()
+    for page in (
+        "<html><head><title>x</title><body><article><p>The whole article.</p></article></body></html>",
+        "<html><head><title>x</title><meta charset=utf-8><article><p>The whole article.</p></article></html>",
+        "<article><datalist><option value=a><option value=b></datalist><p>The whole article.</p></article>",
+        "<article><select><option>a<option>b</select><p>The whole article.</p></article>",
+    ):
+        assert main_text(page, tree) == "The whole article."
+    assert main_text("<head><template><p>no</p></template><title>x</title></head><article>yes</article>", tree) == "yes"

@@ -11,7 +11,7 @@ decoded, also when they are cut off or unknown (then they stay as they are); whi
 becomes one space.
 
 Defined cases. Null or empty html gives the empty text. Broken markup: an element that is not closed ends
-with its nearest closed ancestor or with the page; end tags without a start are passed over; an
+with its nearest closed ancestor or with the page, a head also with the first element that cannot stand in it; end tags without a start are passed over; an
 unfinished tag or comment at the end is dropped. A page without article or main element is judged by words
 and links alone. Repeated rows give repeated results; other columns are ignored; an empty table
 gives no rows.
@@ -50,6 +50,8 @@ ASIDE_NAMES = re.compile(
 BODY_NAMES = re.compile(
     r"(?:^|[\W_])(?:article|articlebody|content|main|post|entry|story|body|text)(?:$|[\W_])"
 )
+#: Elements that can stand in a head; any other one closes it.
+IN_HEAD = set("base basefont bgsound link meta noscript script style template title".split())
 #: Elements that an opening tag of the same kind closes.
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
@@ -159,6 +161,12 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
     block: Block | None = None
     hidden, at = 0, 0
 
+    def cut(k: int) -> None:
+        """Closes the open elements from ``k`` on."""
+        nonlocal hidden
+        hidden -= sum(e[0] in UNSEEN for e in open_[k:])
+        del open_[k:]
+
     def say(text: str) -> None:
         nonlocal block
         _, article, aside, linked, heading = open_[-1]
@@ -187,14 +195,15 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         if m[1]:
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == name:
-                    hidden -= sum(e[0] in UNSEEN for e in open_[k:])
                     if any(e[0] not in INLINE for e in open_[k:]):
                         block = None
-                    del open_[k:]
+                    cut(k)
                     break
             continue
         if not m[4]:
             break  # an unfinished tag
+        if open_[-1][0] == "head" and name not in IN_HEAD:
+            cut(len(open_) - 1)
         if name in RAW:
             end = _END_RAW[name].search(page, at)
             at = end.end() if end else len(page)
@@ -204,7 +213,7 @@ def blocks(page: str) -> list[tuple[str, tuple]]:
         for other in SELF_CLOSING.get(name, ()):
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k][0] == other:
-                    del open_[k:]
+                    cut(k)
                     break
                 if open_[k][0] not in INLINE:
                     break
