@@ -123,3 +123,15 @@ def test_tree_visits_every_leaf_once():
     assert set(tree.assign(x)) == set(range(tree.leaves))
     i, j, s = best(np.array([-1]), x[:1], np.arange(2000), x, 3)
     assert list(j) == list(np.argsort(-(x @ x[0]), kind="stable")[:3]) and np.allclose(s, np.sort(x @ x[0])[::-1][:3])
+
+
+def test_tiny_leaves_do_not_cut_the_neighbours(spark):
+    """A far cluster of five rows fills a leaf of its own; its query still gets k neighbours."""
+    random = np.random.default_rng(11)
+    far = [[40.0 + 0.01 * random.normal(), *(0.01 * random.normal(size=5))] for _ in range(5)]
+    rows = list(enumerate(far)) + [(100 + i, v) for i, v in enumerate(random.normal(size=(600, 6)).tolist())]
+    rows += [(0, far[0]), (1, far[1]), (1, far[1])]
+    got = nearest(table(spark, rows), (F.col("vec_id") % 20 == 0), k=20, recall=0.5, leaf_rows=40).collect()
+    asked = {i for i, _ in rows if i % 20 == 0}
+    by = {q: sorted(r["rank"] for r in got if r.query_id == q) for q in asked}
+    assert all(ranks == list(range(1, 21)) for ranks in by.values())

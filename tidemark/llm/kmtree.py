@@ -6,17 +6,18 @@
    inner product with it (plus its radius) is opened next.
 3. How many leaves a query visits is calibrated: for ``calibration`` queries, chosen by hash, the true
    neighbours among all vectors are found block by block, and visits are widened until the share
-   ``recall`` of them lies in visited leaves.
+   ``recall`` of them lies in visited leaves. A query goes on beyond that number until the visited leaves
+   hold ``k`` rows of other ids for certain, or all leaves are visited.
 4. Queries meet leaves in a shuffle. Large leaves and large query sets are split into blocks, and each
    pair of blocks is one task's work: a matrix product finds candidates, products in double precision
    added in order rank them. Each block keeps the nearest ``k`` of each query; a window keeps the best.
 
-The tree and the calibration queries are all that is broadcast; both have fixed bounds.
+The tree, the number of ids in each leaf and the calibration queries are all that is broadcast; both have fixed bounds.
 
 Defined cases. Vectors that are null, empty, zero, hold null or non-finite components or differ in length
 from most, and rows without vec_id, take no part. Repeated rows count once; rows of one vec_id with
 different vectors are separate candidates, and the least of the vectors is the query. A query with fewer
-candidates than ``k`` gets all that the visited leaves hold. Other columns are ignored. An empty table
+candidates than ``k`` gets all of them. Other columns are ignored. An empty table
 gives no rows.
 """
 
@@ -96,16 +97,17 @@ class Tree:
                 open_ += [(child, rows[near == c]) for c, child in enumerate(children)]
         return out
 
-    def visits(self, query: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves, best bin first."""
+    def visits(self, query: np.ndarray, most: int, held: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first ``most`` leaves, best bin first, and more until they hold ``least`` of ``held`` rows."""
         score = -(self.centres @ query + self.radius * float(np.sqrt(query @ query)))
-        queue, found = [(score[0], 0)], []
-        while queue and len(found) < most:
+        queue, found, rows = [(score[0], 0)], [], 0
+        while queue and (len(found) < most or rows < least):
             _, node = heapq.heappop(queue)
             for child in self.children[node]:
                 heapq.heappush(queue, (score[child], child))
             if self.leaf[node] >= 0:
                 found.append(self.leaf[node])
+                rows += 0 if held is None else int(held[self.leaf[node]])
         return found
 
 
@@ -118,10 +120,15 @@ def _leaves(tree: Tree, width: int):
     return run
 
 
-def _routes(tree: Tree, width: int, most: int):
+def _routes(tree: Tree, width: int, most: int, held: np.ndarray, k: int):
+    """Rows are (vec_id, embedding, leaves that hold the vec_id); ``held``: distinct ids in each leaf."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            routes = [tree.visits(q, most) for q in matrix(batch.column(1), width)]
+            routes = [
+                tree.visits(q, most, held, k + own)
+                for q, own in zip(matrix(batch.column(1), width), batch.column(2).to_pylist(), strict=True)
+            ]
             yield pa.record_batch(
                 [batch.column(0), batch.column(1), pa.array(routes, pa.list_(pa.int32()))],
                 names=["vec_id", "embedding", "leaves"],
@@ -256,8 +263,13 @@ def nearest(
     if not len(ids):
         ids, q = _rows(asked, width, calibration)
     most = _calibrated(vectors, tree, width, k, recall, ids, q)
+    pairs = vectors.select("leaf", "vec_id").distinct()
+    held = np.zeros(tree.leaves, dtype=np.int64)
+    for r in pairs.groupBy("leaf").agg(F.count("*").alias("n")).collect():  # one row for each leaf
+        held[r.leaf] = r.n
+    own = pairs.groupBy("vec_id").agg(F.count("*").alias("own"))
     routed = stage(
-        asked.mapInArrow(_routes(tree, width, most), f"vec_id long, embedding {kind}, leaves array<int>"),
+        asked.join(own, "vec_id").mapInArrow(_routes(tree, width, most, held, k), f"vec_id long, embedding {kind}, leaves array<int>"),
         f"{root}/queries",
     ).select(F.col("vec_id").alias("query_id"), "embedding", F.explode("leaves").alias("leaf"))
     # One row for each leaf of a tree of bounded size.
