@@ -1,7 +1,8 @@
 """Secrets in texts: broad candidates, and a random forest that removes false positives.
 
 Candidates are runs of at least ten characters that keys and tokens are made of and that hold a digit or
-begin as keys of known services do, and whatever is assigned to a name like password or token. The forest sees a candidate's length, its
+begin as keys of known services do, whatever is assigned to a name like password or token or one that holds it
+(DB_PASSWORD), and passwords in URLs. The forest sees a candidate's length, its
 character classes and transitions (how often classes change, how likely its letter pairs are in words),
 how much of it dictionary words cover, words of the path, and the words and signs before and after it.
 It is trained on labelled findings: (before, candidate, after, path, label); :func:`labelled_findings`
@@ -32,11 +33,14 @@ from tidemark.llm.trees import Forest
 #: How keys of well-known services begin.
 _PREFIXES = r"(?:AKIA|ASIA)[A-Z0-9]{16}\b|gh[pousr]_|sk_live_|xox[abprs]-|glpat-"
 _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|auth|private|secret)[_\- ]?key|bearer|authorization"
+#: A name, also inside a longer one: DB_PASSWORD, aws_secret_access_key.
+_NAME = rf"(?<![a-z])(?:{_NAMES})(?![a-z])[a-z0-9_\-]{{0,40}}"
 _CANDIDATE = re.compile(
-    rf"(?i:\b(?:{_NAMES})\b[\"']?\s*(?:[:=]|=>|is)\s*[\"']?)(?P<set>[^\s\"',;]{{6,}})"
+    r"://[^\s:/@\"'<>]{0,64}:(?P<url>[^\s/@\"'<>]{3,200})(?=@[A-Za-z0-9\[])"
+    rf"|(?i:{_NAME}[\"']?\s*(?:[:=]|=>|is)\s*[\"']?)(?P<set>[^\s\"',;]{{6,}})"
     rf"|(?<![A-Za-z0-9+/_.@\-])(?=[A-Za-z+/_\-]*\d|{_PREFIXES})(?P<run>[A-Za-z0-9+/_\-]{{10,}}={{0,2}})(?![@\w])"
 )
-_NAMED = re.compile(rf"(?i)\b(?:{_NAMES})\b[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$")
+_NAMED = re.compile(rf"(?i){_NAME}[\"']?\s*(?:[:=]|=>|is)?\s*[\"']?$|://[^\s:/@\"'<>]*:$")
 _PREFIX = re.compile(_PREFIXES)
 _PATH = re.compile(r"(?i)test|spec|example|sample|doc|fixture|mock|vendor|\.lock|\.md|\.svg|\.css")
 _CONFIG = re.compile(r"(?i)\.env|config|settings|\.ya?ml|\.properties|\.ini|\.tf|credential|secret")
@@ -168,6 +172,29 @@ def labelled_findings(seed: int = 23, each: int = 24) -> list[tuple[str, str, st
             (said, f"+{draw(digits, 11)}", end),
         ]
         out += [(*f, pick(*paths), 1) for f in true] + [(*f, pick(*paths), 0) for f in false]
+    # Names inside longer ones, and passwords in URLs.
+    signs = alnum + "!#%&$^*?"
+    for _ in range(each):
+        said, end = f"{word()} {word()} ", f" {word()} {word()}"
+        name = pick("DB_PASSWORD", "client_secret", "MY_API_KEY", "aws_secret_access_key", "github_token", "SMTP_PASSWD", "redis-password")
+        sign, quote = pick("=", " = ", ": ", ":"), pick("", '"', "'")
+        user = f"{said}{pick('postgres', 'https', 'amqp', 'mongodb+srv', 'redis')}://{pick(word(), 'root', 'admin', '')}:"
+        host = f"@{word()}.{word()}.com/{word()}{end}"
+        true = [
+            (f"{said}{name}{sign}{quote}", draw(signs, 8, 15), f"{quote}{end}"),
+            (f"{said}{name}{sign}{quote}", draw(letters, 5) + draw(digits, 1) + draw(letters, 2) + draw("!#%&$^*?", 1) + draw(digits, 1), f"{quote}{end}"),
+            (f"{said}{name}{sign}{quote}", draw(letters, 8, 14), f"{quote}{end}"),
+            (f"{said}{name}{sign}{quote}", draw(base, 30, 44), f"{quote}{end}"),
+            (f"{said}{name}{sign}{quote}", draw(hexa, 16, 40), f"{quote}{end}"),
+            (user, draw(signs, 8, 16), host),
+            (user, draw(letters, 8, 14), host),
+        ]
+        false = [
+            (f"{said}{name}{sign}{quote}", pick("your_password", "changeme", "xxxxxxxxxx", "${DB_PASSWORD}", "<secret>", "********", "placeholder1"), f"{quote}{end}"),
+            (f"{said}{name}{sign}", word() + pick("", ".", "()", "_" + word()), end),
+            (user, pick("password", "changeme", "${DB_PASSWORD}", "xxxxxxxx", "your_password", "example"), host),
+        ]
+        out += [(*f, pick(*paths), 1) for f in true] + [(*f, pick(*paths), 0) for f in false]
     return out
 
 
@@ -180,7 +207,7 @@ class Scanner:
     def scan(self, text: str | None, path: str | None) -> Iterator[tuple[int, int, str, float]]:
         """(first code point, code points, digest, score) of each candidate."""
         for m in _CANDIDATE.finditer(text or ""):
-            group = "set" if m["set"] else "run"
+            group = m.lastgroup
             begin, end = m.span(group)
             found = m[group]
             row = features(text[max(0, begin - CONTEXT) : begin], found, text[end : end + CONTEXT], path or "", self.pairs)
