@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import automaton
 from tidemark.llm.bpe import round_trip
 from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.html import extract_text
@@ -107,6 +108,15 @@ def op10_embedding_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_vectors(table(spark, sf, "embeddings"))
 
 
+@query
+def op11_automaton_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    """All texts encoded by the byte-level BPE's ranks, and decoded."""
+    import public_tokenizers
+
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    return automaton.round_trip(table(spark, sf, "documents"), path, pattern)
+
+
 ORACLE["op9_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
