@@ -12,10 +12,12 @@ from tidemark.llm.bpe import round_trip
 from tidemark.llm.crosspolytope import near_vectors
 from tidemark.llm.html import extract_text
 from tidemark.llm.kmtree import nearest
+from tidemark.llm.lexical import rank_documents
 from tidemark.llm.lines import drop_shared_lines
 from tidemark.llm.lm import score_documents
 from tidemark.llm.minhash import near_duplicates
 from tidemark.llm.mixing import mix_sources, taken_words
+from tidemark.llm.negatives import mine_negatives
 from tidemark.llm.quality import score_quality
 from tidemark.llm.secrets import scan_secrets
 
@@ -117,6 +119,19 @@ def op11_automaton_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return automaton.round_trip(table(spark, sf, "documents"), path, pattern)
 
 
+@query
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 best documents for each benchmark item."""
+    return rank_documents(table(spark, sf, "documents"), table(spark, sf, "benchmark"), k=20)
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    """Hard negatives for each positive of each vector whose id is divisible by 100."""
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(table(spark, sf, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
 ORACLE["op9_line_dedup"] = r"""
 WITH lines AS (
   SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS l FROM documents
@@ -221,3 +236,48 @@ SELECT doc_id, len(w)::BIGINT AS n_words, round(coalesce(s, 0.0), 4) AS log_scor
   round(CASE WHEN len(w) > 0 THEN s / len(w) ELSE 0.0 END, 6) AS mean_log
 FROM split LEFT JOIN summed USING (r)
 """
+
+ORACLE["op12_lexical_search"] = r"""
+WITH split AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), docs AS (SELECT doc_id, r, w, CAST(len(w) AS BIGINT) AS n FROM split WHERE len(w) > 0
+), totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM docs
+), bags AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM docs) GROUP BY r, t
+), weights AS (
+  SELECT t, CAST(floor(1000 * ln(CAST(2 * docs + 2 AS DOUBLE) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM bags GROUP BY t), totals
+), asked AS (
+  SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark)
+  GROUP BY item_id, t
+), factors AS (SELECT doc_id, r, 75 + (25 * n * docs) // terms AS m FROM docs, totals
+), scored AS (
+  SELECT item_id, doc_id, CAST(sum(q * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+  FROM asked JOIN bags USING (t) JOIN weights USING (t) JOIN factors USING (r) GROUP BY item_id, doc_id, r
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 20
+"""
+
+ORACLE["op13_hard_negatives"] = """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(CAST(256 AS DOUBLE) * CAST(x AS DOUBLE))) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS other, a.label = b.label AS same,
+    CAST(list_dot_product(a.v, b.v) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id % 100 = 0 AND a.vec_id != b.vec_id
+), positives AS (
+  SELECT anchor_id, other, score FROM pairs WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5
+)
+SELECT p.anchor_id, p.other AS positive_id,
+  CAST(row_number() OVER (PARTITION BY p.anchor_id, p.other ORDER BY n.score DESC, n.other) AS INTEGER) AS rank,
+  n.other AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON p.anchor_id = n.anchor_id AND NOT n.same
+  AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score
+QUALIFY rank <= 10
+"""
