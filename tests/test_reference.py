@@ -190,3 +190,55 @@ def test_stream_sees_each_file_once(spark, raw, tmp_path, target):
     titles = {k: v["snippet_title"] for k, v in table(spark, target).items()}
     assert titles == {("us", "1"): "A2", ("us", "2"): "B"}
     assert spark.read.parquet(report).count() == 3
+
+
+ODD = {"id": "5", "a`b": 1, "ID": "other", "x y, <z>": 2.5, "": True, "kind": "k", "snippet": {"title": "Odd", "Title": "T", "deep": {"er": {"`": "q", "list": [{"a": 1}, "t"]}}}}
+
+
+def test_names_of_any_kind(spark, raw, target):
+    """Odd names, names that differ in case, and names that the library uses itself stop nothing."""
+    put(raw, "us", [category("1", "A"), {"Kind": "K", "id": "2", "snippet": {"Title": "Only", "title": None}}])
+    put(raw, "in", [ODD, {**ODD, "id": "6", "__file": "f", "__pos": 9, "region": "r", "source_file": "s"}])
+    put(raw, "fr", document='{"items": [{"id": "1", "id": "7", "snippet": {"title": "twice"}}]}')
+    report = plans.upsert_reference(spark, str(raw), target, STAMP).collect()
+    assert [r.error for r in report] == [None] * 3
+    rows = table(spark, target)
+    assert set(rows) == {("us", "1"), ("us", "2"), ("in", "5"), ("in", "6"), ("fr", "7")}
+    odd, more = rows["in", "5"], rows["in", "6"]
+    assert (odd["a_b"], odd["x_y_z"], odd["kind"], odd["snippet_title"]) == (1, 2.5, "k", "Odd")
+    assert odd["snippet_deep_er_list"] == ['{"a":1}', "t"] and odd["snippet_deep_er"] == "q"
+    assert (more["file"], more["pos"], more["region"]) == ("f", 9, "in") and more["source_file"].endswith("a.json")
+    assert rows["us", "2"]["snippet_title"] == "Only" and rows["us", "2"]["kind"] == "K"
+
+
+def test_colliding_names_merge_in_the_order_of_the_file(spark, raw, target):
+    put(raw, "us", [{"zz": 1, "id": "1", "ZZ": 2, "snippet": {"title": "t"}}, {"ZZ": 3, "id": "2"}, {"ZZ": 5, "id": "3", "zz": 4}])
+    put(raw, "in", [{"ZZ": 2, "id": "1", "zz": 1, "snippet": {"title": "t"}}])
+    plans.upsert_reference(spark, str(raw), target, STAMP)
+    assert {k: v["zz"] for k, v in table(spark, target).items()} == {("us", "1"): 1, ("us", "2"): 3, ("us", "3"): 4, ("in", "1"): 2}
+
+
+def test_a_failing_file_is_set_aside(spark, raw, tmp_path, target, monkeypatch):
+    """Whatever makes a file fail: the others of its micro-batch are merged, and the stream ends well."""
+    from tidemark.plans import dimension
+
+    whole, calls = dimension._upsert, []
+
+    def fragile(spark, paths, *rest):
+        calls.append(len(paths))
+        if any("poison" in p for p in paths):
+            raise RuntimeError("cannot read\nthis")
+        return whole(spark, paths, *rest)
+
+    monkeypatch.setattr(dimension, "_upsert", fragile)
+    for i in range(4):
+        put(raw, "us", [category(str(i), f"T{i}")], name=f"{i}.json")
+    put(raw, "us", [category("9", "bad")], name="2-poison.json")
+    report = str(tmp_path / "report")
+    for _ in range(2):
+        stream_reference(spark, str(raw), target, str(tmp_path / "checkpoint"), ingestion_timestamp=STAMP, report=report).awaitTermination()
+    assert set(table(spark, target)) == {("us", str(i)) for i in range(4)}
+    errors = {r.key.rsplit("/", 1)[1]: r.error for r in spark.read.parquet(report).collect()}
+    assert errors == {"0.json": None, "1.json": None, "2.json": None, "3.json": None, "2-poison.json": "RuntimeError: cannot read"}
+    with pytest.raises(RuntimeError):
+        dimension.upsert_each(spark, ["poison1", "poison2"], target)

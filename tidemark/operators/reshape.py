@@ -74,28 +74,39 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     )
 
 
-def _leaves(schema: T.StructType, path: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
-    for field in schema:
-        here = (*path, field.name)
-        if isinstance(field.dataType, T.StructType):
-            yield from _leaves(field.dataType, here)
-        else:
-            yield here
+def _leaves(kind: T.DataType, names: tuple[str, ...] = (), path: tuple[int, ...] = ()) -> Iterator[tuple[tuple[str, ...], tuple[int, ...]]]:
+    """Names and positions that lead to each leaf."""
+    if not isinstance(kind, T.StructType):
+        yield names, path
+        return
+    for i, field in enumerate(kind):
+        yield from _leaves(field.dataType, (*names, field.name), (*path, i))
+
+
+def _numbered(kind: T.DataType) -> T.DataType:
+    """The same structs with fields named by position."""
+    if not isinstance(kind, T.StructType):
+        return kind
+    return T.StructType([T.StructField(f"f{i}", _numbered(f.dataType)) for i, f in enumerate(kind)])
 
 
 def flatten_structs(df: DataFrame, sep: str = ".", keep: Sequence[str] = ()) -> DataFrame:
     """Replace nested objects by one column per leaf, named by its path; arrays stay whole.
 
-    Columns in ``keep`` come first, untouched.
+    Columns in ``keep`` come first, untouched. Fields are reached by position, so any name may occur, also
+    names that differ in case only (the result then has such columns too: see :func:`normalize_columns`).
     """
-    nested = T.StructType([f for f in df.schema if f.name not in keep])
-    return df.select(
-        *keep,
-        *[
-            F.col(".".join(f"`{part}`" for part in leaf)).alias(sep.join(leaf))
-            for leaf in _leaves(nested)
-        ],
-    )
+    positional = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    out = [F.col(f"c{df.columns.index(name)}").alias(name) for name in keep]
+    for i, field in enumerate(df.schema):
+        if field.name in keep:
+            continue
+        for names, path in _leaves(field.dataType, (field.name,)):
+            value = F.col(f"c{i}").cast(_numbered(field.dataType)) if path else F.col(f"c{i}")
+            for step in path:
+                value = value.getField(f"f{step}")
+            out.append(value.alias(sep.join(names)))
+    return positional.select(*out)
 
 
 def normal_name(name: str) -> str:
@@ -103,6 +114,12 @@ def normal_name(name: str) -> str:
     return re.sub(r"_+", "_", re.sub(r"[^0-9a-zA-Z_]", "_", name)).lower().strip("_")
 
 
+def normal_names(name: Column) -> Column:
+    """:func:`normal_name` of a text column."""
+    plain = F.lower(F.regexp_replace(F.regexp_replace(name, "[^0-9a-zA-Z_]", "_"), "_+", "_"))
+    return F.trim(plain, F.lit("_"))
+
+
 def normalize_columns(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Normalise column names; columns that meet under one name merge by first non-NULL value.
 

@@ -1,7 +1,7 @@
 """Composite jobs: layer to layer."""
 
 from tidemark.layout import Layout
-from tidemark.plans.dimension import merge_reference, upsert_reference
+from tidemark.plans.dimension import merge_reference, upsert_each, upsert_reference
 from tidemark.plans.gold import (
     category_engagement,
     category_performance,
@@ -37,6 +37,7 @@ __all__ = [
     "silver_from_csv",
     "silver_from_envelopes",
     "silver_to_gold",
+    "upsert_each",
     "upsert_reference",
     "video_rankings",
 ]

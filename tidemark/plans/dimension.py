@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.paths import region_from_path
 from tidemark.functions.text import strip, utc_iso
 from tidemark.operators.keys import restrict_to
 from tidemark.operators.merge import upsert
@@ -14,7 +15,7 @@ from tidemark.operators.quality import require_unique_columns
 from tidemark.operators.ranking import keep_last
 from tidemark.operators.reshape import normalize_columns
 from tidemark.schemas import REFERENCE, REFERENCE_KEYS, REFERENCE_PARTITIONS
-from tidemark.session import drop_scratch, scratch, stage
+from tidemark.session import drop_scratch, scratch, setting, stage
 from tidemark.sinks.partitions import replace_dataset, write_partitions
 from tidemark.sources.reference import POS, read_reference, reference_items, reference_status
 from tidemark.sources.tables import read_or_empty
@@ -71,8 +72,15 @@ def upsert_reference(
     The report, written to ``report`` (a folder of its own without it), has a row per file: key, region,
     elements found (``incoming_rows``), rows of its distinct ids (``distinct_rows``), rows of its region
     in the new dimension (``final_rows``), rows of the whole dimension (``dimension_rows``), and the error
-    of an unusable file.
+    of an unusable file. Of a name that an object repeats the last value counts.
     """
+    with setting(spark, "spark.sql.variant.allowDuplicateKeys", "true"):
+        return _upsert(spark, paths, target, ingestion_timestamp, report, pattern)
+
+
+def _upsert(
+    spark: SparkSession, paths: str | Sequence[str], target: str, ingestion_timestamp: str | None, report: str | None, pattern: str
+) -> DataFrame:
     stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
     work = scratch(spark)
     documents = stage(read_reference(spark, paths, pattern=pattern), f"{work}/documents")
@@ -101,6 +109,59 @@ def upsert_reference(
     return outcome
 
 
+def upsert_each(
+    spark: SparkSession,
+    files: Sequence[str],
+    target: str,
+    ingestion_timestamp: str | None = None,
+    report: str | None = None,
+    pattern: str = "*.json",
+) -> int:
+    """Upsert a bounded list of files; one that fails, for whatever cause, does not stop the others.
+
+    When the upsert of all fails it is halved until the bad file stands alone: that one is set aside with
+    its error in the report, and the others are merged. Files are merged in the order of their names, as
+    :data:`NEWEST` orders them, so halves give the same dimension as the whole. A failure of all files, if
+    there are several, is not theirs and is raised; so is that of a session that has ended. ``report`` is
+    appended to. Returns how many files were set aside.
+    """
+    bad: list[tuple[str, Exception]] = []
+
+    def merge(some: Sequence[str]) -> None:
+        work = scratch(spark)
+        try:
+            outcome = upsert_reference(spark, some, target, ingestion_timestamp, f"{work}/report", pattern)
+        except Exception as error:
+            if spark.sparkContext._jsc is None:
+                raise
+            if len(some) == 1:
+                bad.append((some[0], error))
+                return
+            half = len(some) // 2
+            merge(some[:half])
+            merge(some[half:])
+            return
+        if report:
+            outcome.write.mode("append").parquet(report)
+        drop_scratch(spark, work)
+
+    merge(sorted(files))
+    if bad and len(bad) == len(files) > 1:
+        raise bad[0][1]
+    if bad and report:
+        rows = [(path, f"{type(error).__name__}: {str(error).splitlines()[0] if str(error) else ''}") for path, error in bad]
+        region = F.lower(strip(region_from_path(F.col("key"), "unknown")))
+        zeros = [F.lit(0).cast("bigint").alias(c) for c in ("incoming_rows", "distinct_rows", "final_rows")]
+        size = read_or_empty(spark, target, REFERENCE).count()
+        (
+            spark.createDataFrame(rows, "key string, error string")
+            .select("key", region.alias("region"), *zeros, F.lit(size).cast("bigint").alias("dimension_rows"), "error")
+            .write.mode("append")
+            .parquet(report)
+        )
+    return len(bad)
+
+
 def replace_regions(
     df: DataFrame, target: str, key: Sequence[str] = ("id",), order: Sequence[str] = NEWEST
 ) -> None:

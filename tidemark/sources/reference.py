@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from tidemark.functions.paths import region_from_path
 from tidemark.functions.text import is_blank, strip
 from tidemark.operators.quality import require_columns
-from tidemark.operators.reshape import flatten_structs, normalize_columns
+from tidemark.operators.reshape import normal_names
 from tidemark.schemas import REFERENCE_REQUIRED
 from tidemark.sources.documents import is_object, read_texts, unreadable, with_elements
 
@@ -30,7 +29,7 @@ def _region(path: Column) -> Column:
 def _usable(element: Column) -> Column:
     """An object whose snippet, if it has one, is an object too."""
     snippet = F.get_json_object(element, "$.snippet")
-    return is_object(element) & (snippet.isNull() | is_object(snippet))
+    return is_object(element) & F.try_parse_json(element).isNotNull() & (snippet.isNull() | is_object(snippet))
 
 
 def _any_has(path: str) -> Column:
@@ -79,31 +78,104 @@ def reference_status(df: DataFrame) -> DataFrame:
     )
 
 
-def _common_type(elements: DataFrame) -> str | None:
-    """The type that holds every element, as DDL: fields of differing kinds become text."""
-    found = elements.agg(F.expr("schema_of_variant_agg(try_parse_json(element))")).first()[0]
-    if found is None or not found.startswith("OBJECT<"):
-        return None
-    kinds = {r"OBJECT<>": "STRING", r"OBJECT<": "STRUCT<", r"(?:VARIANT|VOID)\b": "STRING", r"DECIMAL\(\d+,\s*\d+\)": "DOUBLE"}
-    for variant, kind in kinds.items():
-        found = re.sub(rf"(^|: |<){variant}", rf"\g<1>{kind}", found)
-    return found
+# Levels of nested objects that become columns; what lies deeper stays JSON text.
+MAX_DEPTH = 24
+
+_SCALARS = ("STRING", "BIGINT", "DOUBLE", "BOOLEAN")
+
+
+def _column_type(found: str | None) -> str:
+    """The column type for values of a common VARIANT type; what no plain type holds becomes text."""
+    if found in _SCALARS:
+        return found
+    if found and found.startswith("DECIMAL"):
+        return "DOUBLE"
+    if found and found.startswith("ARRAY<"):
+        return f"ARRAY<{_column_type(found.removeprefix('ARRAY<').removesuffix('>'))}>"
+    return "STRING"
+
+
+def _is_nested(value: Column) -> Column:
+    """An object with fields."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    return kind.startswith("OBJECT<") & (kind != "OBJECT<>")
+
+
+def _fields(value: Column, text: Column, prefix: Column | None = None) -> Column:
+    """(path, value, text) of each field of an object, in the order of the text.
+
+    VARIANT tells what a value is, but sorts names; the text read as a map keeps them in order. Names are
+    data in both, so any may occur.
+    """
+    held = value.cast("map<string,variant>")
+    listed = F.map_entries(F.from_json(text, "map<string,string>"))
+
+    def field(e: Column) -> Column:
+        path = e["key"] if prefix is None else F.concat(prefix, F.lit("."), e["key"])
+        return F.struct(path.alias("path"), F.try_element_at(held, e["key"]).alias("value"), e["value"].alias("text"))
+
+    return F.coalesce(F.transform(listed, field), F.array().cast("array<struct<path:string,value:variant,text:string>>"))
+
+
+def _opened(leaves: Column) -> Column:
+    """The leaves with the fields of nested objects in their place."""
+    inner = lambda leaf: _fields(leaf["value"], leaf["text"], leaf["path"])
+    return F.flatten(F.transform(leaves, lambda leaf: F.when(_is_nested(leaf["value"]), inner(leaf)).otherwise(F.array(leaf))))
+
+
+def _cells(usable: DataFrame) -> DataFrame:
+    """(FILE, POS, cells): the leaves of each element as (name, value), names normalised.
+
+    Every path of the file is in each row of it, in the order in which the file shows them first, so the
+    first cell of a name with a value is the one that counts.
+    """
+    rows = F.transform(
+        "items",
+        lambda x: F.struct(x[POS].alias(POS), _fields(F.try_parse_json(x["element"]), x["element"]).alias("leaves")),
+    )
+    files = usable.select(FILE, rows.alias("rows"))
+    deeper = F.exists("rows", lambda r: F.exists(r["leaves"], lambda leaf: _is_nested(leaf["value"])))
+    for _ in range(MAX_DEPTH):
+        if files.filter(deeper).isEmpty():
+            break
+        opened = F.transform("rows", lambda r: F.struct(r[POS].alias(POS), _opened(r["leaves"]).alias("leaves")))
+        files = files.withColumn("rows", opened)
+    paths = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["leaves"], lambda leaf: leaf["path"]))))
+
+    def cell(leaves: Column, path: Column) -> Column:
+        same = F.filter(leaves, lambda leaf: (leaf["path"] == path) & ~F.is_variant_null(leaf["value"]))
+        return F.struct(normal_names(path).alias("name"), F.get(same, 0)["value"].alias("value"))
+
+    exploded = files.select(FILE, paths.alias("paths"), F.explode("rows").alias("row"))
+    cells = F.transform("paths", lambda path: cell(F.col("row.leaves"), path))
+    return exploded.select(FILE, F.col(f"row.{POS}").alias(POS), cells.alias("cells"))
 
 
 def reference_items(df: DataFrame, ingestion_timestamp: Column) -> DataFrame:
     """Flattened, normalised and tagged rows of every usable file; fails when there is none.
 
-    Source columns are normalised once and the tags keep fixed names. ``__pos`` holds the position
+    Names are values until they are normalised: columns are picked by the normalised name from (name,
+    VARIANT) cells, and typed by what all values of a name have in common. Fields that meet under one name
+    merge by the first value that is not null, in the order of the file. Objects inside arrays are JSON
+    text. Source columns are normalised once and the tags keep fixed names. ``__pos`` holds the position
     inside the file; with ``source_file`` it orders the rows of one key.
     """
-    usable = df.filter(F.col("error").isNull()).select(FILE, F.explode("items").alias("item"))
-    elements = usable.select(FILE, f"item.{POS}", "item.element")
-    kind = _common_type(elements)
-    if kind is None:
+    cells = _cells(df.filter(F.col("error").isNull()))
+    kinds = (
+        cells.select(F.explode("cells").alias("cell"))
+        .groupBy("cell.name")
+        .agg(F.expr("schema_of_variant_agg(cell.value)").alias("kind"))
+        .collect()  # a row for each column
+    )
+    if not kinds:
         raise ValueError("no readable document holds items or an id")
-    keep = (FILE, POS)
-    parsed = elements.select(*keep, F.from_json("element", kind).alias("item"))
-    rows = normalize_columns(flatten_structs(parsed.select(*keep, "item.*"), keep=keep), keep=keep)
+
+    def column(name: str, kind: str) -> Column:
+        found = F.filter("cells", lambda c: (c["name"] == name) & c["value"].isNotNull())
+        value = F.get(found, 0)["value"]
+        return (value.cast("string") if kind == "STRING" else F.try_variant_get(value, "$", kind)).alias(name)
+
+    rows = cells.select(FILE, POS, *[column(r.name, _column_type(r.kind)) for r in sorted(kinds)])
     require_columns(rows, REFERENCE_REQUIRED)
     path = F.col(FILE)
     return (

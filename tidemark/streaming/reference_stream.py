@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.dimension import upsert_reference
-from tidemark.session import drop_scratch, scratch
+from tidemark.plans.dimension import upsert_each
 from tidemark.sources.discovery import FILE_COLUMNS
 
 
@@ -25,8 +24,9 @@ def stream_reference(
 
     The stream carries only paths (at most ``files_per_batch`` per micro-batch); each micro-batch
     reads its files and infers their schema, so new fields need no restart. The upsert is
-    idempotent, so a micro-batch repeated after a failure changes nothing. With ``report`` the
-    outcome per file is appended there.
+    idempotent, so a micro-batch repeated after a failure changes nothing. A file whose upsert fails is
+    set aside, and the others of its micro-batch are merged. With ``report`` the outcome per file is
+    appended there, with the error of those set aside.
     """
     paths = (
         spark.readStream.format("binaryFile")
@@ -41,11 +41,7 @@ def stream_reference(
     def merge(batch: DataFrame, _: int) -> None:
         files = [row.path for row in batch.toLocalIterator()]
         if files:
-            work = scratch(spark)
-            outcome = upsert_reference(spark, files, target, ingestion_timestamp, f"{work}/report", pattern)
-            if report:
-                outcome.write.mode("append").parquet(report)
-            drop_scratch(spark, work)
+            upsert_each(spark, files, target, ingestion_timestamp, report, pattern)
 
     return (
         paths.writeStream.foreachBatch(merge)

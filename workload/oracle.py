@@ -213,6 +213,11 @@ UNION ALL SELECT 'video_rankings', category_id, category_name, region, video_ran
 
 _STAMPED = "'2024-01-01T00:00:00.000000+00:00'"
 
+_NAMED = f""" SELECT region, id, snippet_title, CAST(balance AS VARCHAR) AS snippet_channelid, {_STAMPED} AS ingestion_timestamp,
+         CAST(NULL AS BIGINT) AS a_b, CAST(NULL AS VARCHAR) AS file, CAST(NULL AS VARCHAR) AS listed FROM reference
+  UNION ALL SELECT 'named', 'n' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN 'second' ELSE 'low' END,
+         NULL, {_STAMPED}, s_suppkey, 'f' || s_suppkey, '[1,2]' FROM supplier"""
+
 ORACLE: dict[str, str] = {
     "category_engagement": _GOLD
     + _engagement("stats", "WHERE category_id IN (SELECT category_id FROM affected)"),
@@ -291,6 +296,11 @@ latest AS (
                p_size AS size_cm,
                CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'alt ' || p_name END AS snippet_title
         FROM part""",
+    "flatten_normalize_names": """
+        SELECT p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN p_brand ELSE CAST(p_size AS VARCHAR) END AS x_y,
+               CASE WHEN p_size % 2 = 0 THEN p_name ELSE 'alt ' || p_name END AS snippet_title,
+               p_type AS snippet_a_b_we_ird_name
+        FROM part""",
     "safe_parse_dates": _with(FLAT)
     + """ SELECT title, CAST(trending_date AS VARCHAR) AS trending_date,
                  strftime(publish_time, '%Y-%m-%d %H:%M:%S') AS publish_time,
@@ -393,6 +403,8 @@ latest AS (
                  || ',"files":' || count(*) || ',"incoming_rows":' || sum(incoming_rows) || '}' AS document
           FROM report GROUP BY region, error""",
     "reference_job": _with(REFERENCE) + _DIMENSION,
+    "reference_job_names": _with(REFERENCE) + _NAMED,
+    "stream_upsert_names": _with(REFERENCE) + _NAMED,
     "stream_upsert": _with(REFERENCE) + _DIMENSION,
     "reference_report": _with(REFERENCE)
     + """ SELECT '20240101_000000_' || lpad(CAST(pos // 250 AS VARCHAR), 12, '0') AS run_id, region,

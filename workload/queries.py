@@ -310,6 +310,23 @@ def flatten_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return ops.normalize_columns(ops.flatten_structs(nested))
 
 
+@query
+def flatten_normalize_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Names with any characters and names that differ in case only, nested and at the top."""
+    part = adapter.table(spark, sf, "part")
+    nested = part.select(
+        F.col("p_partkey").alias("ID"),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_brand")).alias("x y"),
+        F.col("p_size").alias("X Y"),
+        F.struct(
+            F.when(F.col("p_size") % 2 == 0, F.col("p_name")).alias("Title"),
+            F.concat(F.lit("alt "), "p_name").alias("title"),
+            F.struct(F.col("p_type").alias("we`ird, <name>")).alias("a.b"),
+        ).alias("Snippet"),
+    )
+    return ops.normalize_columns(ops.flatten_structs(nested))
+
+
 @query
 def safe_parse_dates(spark: SparkSession, sf: str) -> DataFrame:
     flat = adapter.flat_text(spark, sf)
@@ -715,6 +732,49 @@ def stream_upsert_damaged(spark: SparkSession, sf: str) -> DataFrame:
     return sources.read_reference_table(spark, target).select(*_DIM_COLUMNS)
 
 
+def _named_reference(spark: SparkSession, sf: str, root: str) -> None:
+    """A file per supplier with names of all kinds: signs, spaces, the library's own, and pairs that differ in case."""
+    key, kind = F.col("s_suppkey").cast("string"), F.col("s_suppkey") % 3
+    titles = (
+        F.when(kind == 0, F.concat(F.lit('{"Title": "'), "s_name", F.lit('", "title": "second"}')))
+        .when(kind == 1, F.lit('{"Title": null, "title": "second"}'))
+        .otherwise(F.lit('{"title": "low", "Title": "high"}'))
+    )
+    text = F.concat(
+        F.lit('{"items": [{"id": "n'), key, F.lit('", "a`b": '), key, F.lit(', "ID": "other", "__file": "f'), key,
+        F.lit('", "x, <y> z": [1, 2], "snippet": '), titles, F.lit("}]}"),
+    )
+    _texts(adapter.table(spark, sf, "supplier").select(F.lit("named").alias("region"), text.alias("text")), root)
+
+
+def _named_columns(spark: SparkSession, target: str) -> DataFrame:
+    dim = sources.read_reference_table(spark, target)
+    return dim.select(*_DIM_COLUMNS, "a_b", "file", F.to_json("x_y_z").alias("listed"))
+
+
+@query
+def reference_job_names(spark: SparkSession, sf: str) -> DataFrame:
+    """Files with names of all kinds beside plain ones: names are normalised, colliding ones merged."""
+    raw, target = _land_reference(spark, sf, "customer", scratch(spark)), scratch(spark)
+    _named_reference(spark, sf, raw)
+    plans.upsert_reference(spark, raw, target, _STAMP, pattern=_ANY)
+    return _named_columns(spark, target)
+
+
+@query
+def stream_upsert_names(spark: SparkSession, sf: str) -> DataFrame:
+    """The same files as a stream, in two waves, the second with damaged files beside them."""
+    target, checkpoint, raw = scratch(spark), scratch(spark), scratch(spark)
+    waves = (
+        lambda: _land_reference(spark, sf, "customer", f"{raw}/customer"),
+        lambda: (_named_reference(spark, sf, f"{raw}/named"), _damaged_reference(spark, sf, f"{raw}/damaged")),
+    )
+    for land in waves:
+        land()
+        stream_reference(spark, raw, target, checkpoint, ingestion_timestamp=_STAMP, pattern=_ANY).awaitTermination()
+    return _named_columns(spark, target).filter("region <> 'damaged'")
+
+
 @query
 def reference_region_replace(spark: SparkSession, sf: str) -> DataFrame:
     """Older load: customer rows replace the regions they cover, the others keep supplier rows."""
