@@ -28,9 +28,11 @@ broadcast.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import accumulate, chain
 from operator import getitem
 
@@ -239,33 +241,38 @@ class Run:
         return self._read(len(self.tokens))
 
 
-class Encoder:
-    """Texts to ids, a run at a time; short pieces seen before are remembered up to a bound."""
+class Pieces(dict):
+    """Tokens of short pieces seen before, up to a bound; others are encoded when they are asked for."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.transducer = Transducer(ranks)
-        self.pattern, self.ascii = regex.compile(pattern), re.compile(ASCII_PATTERN)
-        self.kinds = [regex.compile(k) for k in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
-        self.seen: dict[str, tuple[int, ...]] = {}
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def _piece(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> tuple[int, ...]:
         ids = self.older.get(piece)
         if ids is None:
             self.transducer.trim()
             ids = tuple(self.transducer.piece(piece.encode()))
         if len(piece) <= 64:
-            if len(self.seen) >= REMEMBERED:
-                self.older, self.seen = self.seen, {}
-            self.seen[piece] = ids
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[piece] = ids
         return ids
 
+
+class Encoder:
+    """Texts to ids, a run at a time."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str):
+        self.transducer = Transducer(ranks)
+        self.pattern, self.ascii = regex.compile(pattern), re.compile(ASCII_PATTERN)
+        self.kinds = [regex.compile(k) for k in (r"\s+", r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+")]
+        self.pieces = Pieces(self.transducer)
+
     def _ids(self, pieces: list[str]) -> list[int]:
-        found = list(map(self.seen.get, pieces))
-        if None in found:
-            fresh = {p: self._piece(p) for p in {p for p, f in zip(pieces, found, strict=True) if f is None}}
-            found = [fresh[p] if f is None else f for p, f in zip(pieces, found, strict=True)]
-        return list(chain.from_iterable(found))
+        return list(chain.from_iterable(map(self.pieces.__getitem__, pieces)))
 
     def runs(self, text: str) -> Iterator[list[int]]:
         """Ids of a text; each list is settled."""
@@ -328,7 +335,9 @@ class Decoder:
     """Ids to bytes or text, a run at a time, whole characters only; ``end`` gives what is left."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.bytes = [b""] * (max(ranks.values(), default=-1) + 1)
+        for token, rank in ranks.items():
+            self.bytes[rank] = token
         self.held = b""
 
     def feed(self, ids: list[int]) -> bytes:
@@ -354,7 +363,7 @@ class Decoder:
         return left
 
     def decode(self, ids: list[int | None]) -> str:
-        known = [i for i in ids if i in self.bytes]
+        known = [i for i in ids if i is not None and 0 <= i < len(self.bytes)]
         runs = [self.feed_text(known[i : i + WINDOW]) for i in range(0, len(known), WINDOW)]
         return "".join(runs) + self.end().decode("utf-8", "replace")
 
@@ -375,6 +384,19 @@ def _encoder(shared) -> Encoder:
     return held["encoder"]
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without searches for cyclic garbage, which go through all states again and again: the only cycles
+    are those of states, and these are cut when states are thrown away."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def _slices(batch: pa.RecordBatch, rows: int = 500) -> Iterator[pa.RecordBatch]:
     return (batch.slice(i, rows) for i in range(0, len(batch), rows))
 
@@ -397,7 +419,8 @@ def encode(documents: DataFrame, ranks: str, pattern: str | None = None) -> Data
         encoder = _encoder(shared)
         for batch in batches:
             for part in _slices(batch):
-                ids = [np.array(encoder.encode(t), dtype=np.int32) for t in part.column(-1).to_pylist()]
+                with _uncollected():
+                    ids = [np.array(encoder.encode(t), dtype=np.int32) for t in part.column(-1).to_pylist()]
                 ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
                 flat = pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32))
                 names = [*part.schema.names[:-1], "ids"]
@@ -431,19 +454,22 @@ def round_trip(documents: DataFrame, ranks: str, pattern: str | None = None) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, decoder = _encoder(shared), Decoder(shared.value["ranks"])
-        names = {i: str(i) for i in decoder.bytes}
+        names = list(map(str, range(len(decoder.bytes))))
+
+        def one(text: str | None) -> tuple[int, str, str]:
+            ids_sha, bytes_sha, count = hashlib.sha256(), hashlib.sha256(), 0
+            for ids in encoder.runs(text or ""):
+                if ids:
+                    ids_sha.update(((" " if count else "") + " ".join(map(names.__getitem__, ids))).encode())
+                    bytes_sha.update(decoder.feed(ids))
+                    count += len(ids)
+            bytes_sha.update(decoder.end())
+            return count, ids_sha.hexdigest(), bytes_sha.hexdigest()
+
         for batch in batches:
             for part in _slices(batch):
-                rows = []
-                for text in part.column(1).to_pylist():
-                    ids_sha, bytes_sha, count = hashlib.sha256(), hashlib.sha256(), 0
-                    for ids in encoder.runs(text or ""):
-                        if ids:
-                            ids_sha.update(((" " if count else "") + " ".join(map(names.__getitem__, ids))).encode())
-                            bytes_sha.update(decoder.feed(ids))
-                            count += len(ids)
-                    bytes_sha.update(decoder.end())
-                    rows.append((count, ids_sha.hexdigest(), bytes_sha.hexdigest()))
+                with _uncollected():
+                    rows = [one(text) for text in part.column(1).to_pylist()]
                 counts, first, second = zip(*rows, strict=True) if rows else ((), (), ())
                 yield pa.record_batch(
                     [part.column(0), pa.array(counts, pa.int64()), pa.array(first, pa.string()), pa.array(second, pa.string())],
