@@ -178,6 +178,137 @@ def test_runs_with_state_equal_a_full_recompute(spark, tmp_path):
             assert gold(spark, layout, name) == sorted(tuple(r) for r in expected.collect()), (step, name)
 
 
+def replace_batch(spark, layout, hour, data):
+    """The whole batch is what ``data`` holds."""
+    from tidemark.session import delete_folder, glob_paths
+
+    for folder in glob_paths(spark, f"{layout.stats}/region=*/ingestion_date={D1}/ingestion_hour={hour}"):
+        delete_folder(spark, folder)
+    if data:
+        write_stats(spark, layout, data)
+
+
+def with_state(spark, layout, prefix, hour):
+    names = sinks.register_tables(spark, layout, prefix)
+    reference = spark.createDataFrame(REFERENCE, "id string, region string, snippet_title string")
+    plans.silver_to_gold(
+        spark.table(names["stats"]), reference, Batch(D1, hour), names, state=f"{layout.root}/state", include_previous=True
+    )
+
+
+def assert_full(spark, layout, note):
+    """The Gold tables are those of a full recompute."""
+    stats, dim = sources.read_stats(spark, layout.stats), dim_frame(spark)
+    latest = plans.latest_snapshots(stats)
+    full = {
+        "category_engagement": plans.category_engagement(stats, dim),
+        "category_performance": plans.category_performance(latest, dim),
+        "category_region": plans.category_region(latest, dim),
+        "video_rankings": plans.video_rankings(latest, dim),
+    }
+    for name, expected in full.items():
+        assert gold(spark, layout, name) == sorted(tuple(r) for r in expected.collect()), (note, name)
+
+
+@pytest.mark.parametrize("first_run", [True, False])
+def test_a_run_that_ends_anywhere_is_made_good_by_the_next(spark, tmp_path, monkeypatch, first_run):
+    from pyspark.sql.readwriter import DataFrameWriter
+
+    from tidemark.plans import state
+
+    plain, text, left = DataFrameWriter.parquet, state.write_text, [0]
+
+    def counted(function):
+        def run(*args, **options):
+            left[0] -= 1
+            if left[0] == 0:
+                raise RuntimeError("killed")
+            return function(*args, **options)
+
+        return run
+
+    crash, done = 1, False
+    while not done:
+        layout = Layout(str(tmp_path / str(crash)))
+        prefix = f"crash_{first_run}_{crash}_"
+        write_stats(spark, layout, [("a", "us", 1, 5, 1, 1, D1, 0, "f"), ("b", "in", 2, 6, 1, 1, D1, 0, "f")])
+        if not first_run:
+            write_stats(spark, layout, [("a", "us", 2, 7, 1, 1, D1, 1, "f"), ("c", "in", 1, 8, 1, 1, D1, 1, "f")])
+            with_state(spark, layout, prefix, 1)
+            replace_batch(spark, layout, 1, [("b", "in", 1, 9, 1, 1, D1, 1, "again")])
+        monkeypatch.setattr(DataFrameWriter, "parquet", counted(plain))
+        monkeypatch.setattr(state, "write_text", counted(text))
+        left[0] = crash
+        try:
+            with_state(spark, layout, prefix, 0 if first_run else 1)
+            done = True
+        except RuntimeError:
+            pass
+        monkeypatch.undo()
+        with_state(spark, layout, prefix, 0 if first_run else 1)
+        assert_full(spark, layout, crash)
+        crash += 5
+    assert crash > 9
+
+
+def test_keys_of_a_run_that_was_not_published_are_published_by_another(spark, tmp_path, monkeypatch):
+    from tidemark.plans import gold as module
+
+    layout = Layout(str(tmp_path))
+    write_stats(spark, layout, [("a", "us", 1, 5, 1, 1, D1, 0, "f"), ("b", "in", 2, 6, 1, 1, D1, 0, "f")])
+    with_state(spark, layout, "pend_", 0)
+    write_stats(spark, layout, [("a", "us", 2, 7, 1, 1, D1, 1, "f")])
+    with_state(spark, layout, "pend_", 1)
+    replace_batch(spark, layout, 1, [("c", "in", 1, 3, 1, 1, D1, 1, "again")])
+
+    def fails(*_):
+        raise RuntimeError("killed")
+
+    monkeypatch.setattr(module, "replace_affected", fails)
+    with pytest.raises(RuntimeError):
+        with_state(spark, layout, "pend_", 1)
+    monkeypatch.undo()
+    write_stats(spark, layout, [("d", "us", 1, 4, 1, 1, D1, 2, "f")])
+    with_state(spark, layout, "pend_", 2)
+    assert_full(spark, layout, "pending")
+
+
+def test_a_batch_loaded_again_without_odd_regions_leaves_none_of_their_rows(spark, tmp_path):
+    layout = Layout(str(tmp_path))
+    write_stats(spark, layout, [("a", "a:b", 1, 5, 1, 1, D1, 0, "f"), ("a", "us", 2, 6, 1, 1, D1, 0, "f")])
+    with_state(spark, layout, "odd_", 0)
+    write_stats(spark, layout, [("b", "a:b", 2, 7, 1, 1, D1, 1, "f"), ("b", None, 1, 8, 1, 1, D1, 1, "f"), ("a", "us", 1, 9, 1, 1, D1, 1, "f")])
+    with_state(spark, layout, "odd_", 1)
+    replace_batch(spark, layout, 1, [("a", "us", 1, 9, 1, 1, D1, 1, "f")])
+    with_state(spark, layout, "odd_", 1)
+    assert_full(spark, layout, "odd")
+
+
+def test_what_a_batch_writes_does_not_grow_with_history(spark, tmp_path, monkeypatch):
+    """And segments are merged without changing a result."""
+    from tidemark.plans import state
+
+    monkeypatch.setattr(state, "FAN", 3)
+    facts = ops.conform(stats_frame(spark, [(f"v{i}", "us", i % 3, i, 1, 1, D1, 0, "f") for i in range(20_000)]), SILVER_STATS)
+    kept, written, rows = state.GoldState(spark, str(tmp_path / "state")), [], facts
+    for hour in range(6):
+        if hour:
+            some = [(f"v{i}", "us", 1, 7 * i, 1, 1, D1, hour, "f") for i in range(hour * 100, hour * 100 + 150)]
+            rows = rows.unionByName(ops.conform(stats_frame(spark, some), SILVER_STATS))
+        before = {s["path"] for s in kept.manifest()["segments"]} if hour else set()
+        kept.update(rows, Batch(D1, hour), str(tmp_path / "work" / str(hour)))
+        kept.published()
+        written.append(sum(s["bytes"] for s in kept.manifest()["segments"] if s["path"] not in before))
+    segments = kept.manifest()["segments"]
+    assert len(segments) < 6 and {s["level"] for s in segments} == {0, 1, state.BASE}
+    assert max(written[1:]) < written[0] / 10
+    assert len(list((tmp_path / "state" / "segments").iterdir())) <= len(segments) + 4
+    columns = ["video_id", "region", *plans.snapshots.MEASURES]
+    got, want = kept.latest().select(*columns), plans.latest_snapshots(rows).select(*columns)
+    assert sorted(got.collect()) == sorted(want.collect())
+    assert kept.sums().agg(F.sum("views")).first()[0] == rows.agg(F.sum("views")).first()[0]
+
+
 def test_a_new_batch_does_not_read_all_facts(spark, tmp_path, monkeypatch):
     """With state, facts are only read through the filter on the batch."""
     layout, state = Layout(str(tmp_path)), str(tmp_path / "state")

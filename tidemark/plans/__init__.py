@@ -6,7 +6,6 @@ from tidemark.plans.gold import (
     category_engagement,
     category_performance,
     category_region,
-    latest_snapshots,
     silver_to_gold,
     video_rankings,
 )
@@ -20,6 +19,7 @@ from tidemark.plans.silver import (
     silver_from_csv,
     silver_from_envelopes,
 )
+from tidemark.plans.snapshots import latest_snapshots
 
 __all__ = [
     "Layout",

@@ -13,7 +13,6 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidemark.functions.ratio import safe_pct
 from tidemark.operators.keys import (
@@ -24,42 +23,19 @@ from tidemark.operators.keys import (
     lookup_dim,
     restrict_to,
 )
-from tidemark.operators.ranking import canonical_dim, latest_by, top_k
+from tidemark.operators.ranking import canonical_dim, top_k
 from tidemark.operators.reshape import conform
+from tidemark.plans.snapshots import latest_snapshots
+from tidemark.plans.state import GoldState
 from tidemark.schemas import (
-    BATCH,
     GOLD,
     GOLD_CATEGORY_ENGAGEMENT,
     GOLD_CATEGORY_PERFORMANCE,
     GOLD_CATEGORY_REGION,
     GOLD_VIDEO_RANKINGS,
-    SILVER_STATS,
 )
-from tidemark.session import delete_folder, drop_scratch, path_exists, scratch, stage
-from tidemark.sinks.partitions import replace_affected, replace_dataset, write_partitions
-
-ENTITY = ["video_id", "region"]
-# What the reports need of a snapshot, besides its key.
-MEASURES = ["title", "category_id", "views", "likes", "comment_count"]
-
-
-def _order(stats: DataFrame) -> list[str]:
-    return [c for c in (*BATCH, "trending_date", "_source_file") if c in stats.columns]
-
-
-def latest_rows(stats: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
-    """The newest snapshot per video and region: the columns the reports need, and those that order it.
-
-    Two snapshots of one hour are ordered by source file, whose path holds the run time. Rows
-    equal in all of that are ordered by their values, so the result never depends on row order.
-    """
-    order, values = _order(stats), [c for c in MEASURES if c in stats.columns]
-    return latest_by(stats.select(*entity, *values, *order), entity, [*order, *values])
-
-
-def latest_snapshots(stats: DataFrame, entity: Sequence[str] = ENTITY) -> DataFrame:
-    """:func:`latest_rows` without the columns that order them."""
-    return latest_rows(stats, entity).drop(*_order(stats))
+from tidemark.session import drop_scratch, scratch, stage
+from tidemark.sinks.partitions import replace_affected
 
 
 def _sum(column: str, name: str) -> Column:
@@ -145,82 +121,6 @@ def video_rankings(
     return conform(lookup_dim(rows, dim), GOLD_VIDEO_RANKINGS)
 
 
-# What a Gold run keeps for the next one, besides the Gold tables.
-STATE_SUMS = T.StructType(
-    [SILVER_STATS[c] for c in ("category_id", "views", "likes", "comment_count", *BATCH)]
-)
-STATE_LATEST = T.StructType([SILVER_STATS[c] for c in ("video_id", *MEASURES, *BATCH, "trending_date", "_source_file", "region")])
-
-
-def _batch_sums(stats: DataFrame) -> DataFrame:
-    """Sums per batch and category."""
-    return conform(
-        stats.groupBy(*BATCH, "category_id").agg(*[_sum(c, c) for c in ("views", "likes", "comment_count")]), STATE_SUMS
-    )
-
-
-def _is(batch: Batch) -> Column:
-    return (F.col(BATCH[0]) == F.lit(batch.date)) & (F.col(BATCH[1]) == F.lit(batch.hour))
-
-
-class GoldState:
-    """Sums per batch and the latest snapshots, stored below ``path`` and updated batch by batch.
-
-    A batch that is new, or comes late, costs a read of the batch itself, of the sums (a row per batch and
-    category) and of the latest snapshots of the regions it touches. A batch that is loaded again first
-    takes out what its earlier load left; only then are facts of older batches read, for the videos whose
-    latest snapshot it had held. Without stored state everything is derived from all facts once. Batches
-    that reach the fact table around these runs are seen when they are run, or when the folder is dropped.
-    """
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.root = spark, path.rstrip("/")
-        self.sums_path, self.latest_path = f"{self.root}/batch_sums", f"{self.root}/latest"
-
-    def sums(self) -> DataFrame:
-        return self.spark.read.schema(STATE_SUMS).parquet(self.sums_path)
-
-    def latest(self) -> DataFrame:
-        return self.spark.read.schema(STATE_LATEST).parquet(self.latest_path)
-
-    def update(self, stats: DataFrame, batch: Batch, work: str) -> tuple[DataFrame, DataFrame]:
-        """Takes the batch in. Returns (region, category_id) of the snapshots that it replaced, and of what
-        an earlier load of the batch leaves or gives back (with NULL regions where only sums change)."""
-        facts = conform(stats, SILVER_STATS)
-        if not path_exists(self.spark, self.latest_path):
-            replace_dataset(conform(latest_rows(facts), STATE_LATEST), self.latest_path, ["region"])
-            replace_dataset(_batch_sums(facts), self.sums_path, BATCH)
-            none = self.spark.createDataFrame([], "region string, category_id int")
-            return none, none
-        new = batch_slice(facts, batch)
-        stored = self.latest()
-        held = stage(stored.filter(_is(batch)), f"{work}/held")
-        regions = new.select("region").unionByName(held.select("region")).distinct()
-        before = restrict_to(stored, regions, ["region"])
-        old = before.filter(~F.coalesce(_is(batch), F.lit(False)))
-        # Videos whose latest snapshot an earlier load of this batch had held: back to the one before it.
-        back = self.spark.createDataFrame([], facts.schema)
-        if not held.isEmpty():
-            back = restrict_to(facts.filter(~F.coalesce(_is(batch), F.lit(False))), held.select(*ENTITY), ENTITY)
-        rows = [conform(f, STATE_LATEST) for f in (old, latest_rows(back), latest_rows(new))]
-        merged = stage(latest_rows(rows[0].unionByName(rows[1]).unionByName(rows[2])), f"{work}/merged")
-        touched = new.select(*ENTITY).unionByName(held.select(*ENTITY)).distinct()
-        pair = ["region", "category_id"]
-        changed = stage(restrict_to(before, touched, ENTITY).select(*pair).distinct(), f"{work}/changed")
-        given_back = restrict_to(merged, held.select(*ENTITY), ENTITY).select(*pair)
-        summed = self.sums().filter(_is(batch)).select(F.lit(None).cast("string").alias("region"), "category_id")
-        left = stage(held.select(*pair).unionByName(given_back).unionByName(summed).distinct(), f"{work}/left")
-        write_partitions(conform(merged, STATE_LATEST), self.latest_path, ["region"])
-        for row in regions.join(merged.select("region").distinct(), "region", "left_anti").collect():
-            delete_folder(self.spark, f"{self.latest_path}/region={row.region}")
-        sums = stage(_batch_sums(new), f"{work}/sums")
-        write_partitions(sums, self.sums_path, BATCH)
-        if sums.isEmpty():
-            day, hour = f"{BATCH[0]}={batch.date.isoformat()}", f"{BATCH[1]}={batch.hour}"
-            delete_folder(self.spark, f"{self.sums_path}/{day}/{hour}")
-        return changed, left
-
-
 def silver_to_gold(
     stats: DataFrame,
     reference: DataFrame,
@@ -238,8 +138,8 @@ def silver_to_gold(
     ``tables`` maps each report to a catalog table (see ``register_tables``).
     ``include_previous`` also refreshes categories that the batch's videos have left.
 
-    With ``state``, a folder of this job's own (see :class:`GoldState`), a run reads its batch and what is
-    stored there. Without it history is scanned twice: once for the sums over all snapshots and once for
+    With ``state``, a folder of this job's own (see :class:`tidemark.plans.state.GoldState`), a run reads its
+    batch and what is stored there; one that ended early is made good by the next. Without it history is scanned twice: once for the sums over all snapshots and once for
     the latest snapshots, which three reports share through a written copy.
     """
     spark: SparkSession = stats.sparkSession
@@ -248,8 +148,8 @@ def silver_to_gold(
     own = affected_keys(batch_slice(stats, batch), ["region", "category_id"], history)
     pairs, kept = own, GoldState(spark, state) if state else None
     if kept:
-        changed, left = kept.update(stats, batch, work)
-        pairs = pairs.unionByName(left).unionByName(changed.filter(F.lit(include_previous)))
+        keys = kept.update(stats, batch, work)
+        pairs = keys.filter(~F.col("moved") | F.lit(include_previous)).drop("moved")
     pairs = stage(pairs.dropna(subset=["category_id"]).distinct(), f"{work}/pairs")
     categories = pairs.select("category_id").distinct()
     dim = stage(canonical_dim(reference), f"{work}/dim")
@@ -262,6 +162,8 @@ def silver_to_gold(
         .asDict()
     )
     if categories.isEmpty():
+        if kept:
+            kept.published()
         drop_scratch(spark, work)
         return counts
 
@@ -283,5 +185,7 @@ def silver_to_gold(
     with ThreadPoolExecutor(len(results)) as pool:
         for done in [pool.submit(inheritable_thread_target(spark)(publish), n) for n in results]:
             done.result()
+    if kept:
+        kept.published()
     drop_scratch(spark, work)
     return counts

@@ -40,7 +40,7 @@ def run_latest(
     replaces whole partitions, so a repeated run gives the same tables. The catalog learns the partitions
     that the run writes; repair tables after writing around it. Documents and items that could not be
     read are counted in ``metrics`` and kept in the quarantine folder. Over current facts Gold keeps state
-    from run to run (see :class:`tidemark.plans.gold.GoldState`).
+    from run to run (see :class:`tidemark.plans.state.GoldState`).
     """
     batch = batch or discover_latest_batch(spark, layout.raw_stats)
     metrics = bronze_json_to_silver(spark, layout.raw_stats, layout.stats, batch, layout.quarantine)

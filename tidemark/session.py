@@ -90,6 +90,25 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(target) or []]
 
 
+def folder_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files below a folder."""
+    fs, target = _filesystem(spark, path)
+    return fs.getContentSummary(target).getLength()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A new file that appears whole or not at all; fails if it exists."""
+    fs, target = _filesystem(spark, path)
+    if fs.exists(target):
+        raise FileExistsError(path)
+    _, draft = _filesystem(spark, f"{path}.{uuid.uuid4().hex}.draft")
+    out = fs.create(draft, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not fs.rename(draft, target):
+        raise FileExistsError(path)
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder and what it holds, if it exists."""
     fs, target = _filesystem(spark, path)
