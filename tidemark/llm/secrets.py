@@ -36,7 +36,7 @@ _NAMES = r"pass(?:word|wd|phrase)?|pwd|secret|token|credential|(?:api|access|aut
 #: A name, also inside a longer one: DB_PASSWORD, aws_secret_access_key.
 _NAME = rf"(?<![a-z])(?:{_NAMES})(?![a-z])[a-z0-9_\-]{{0,40}}"
 _CANDIDATE = re.compile(
-    r"://[^\s:/@\"'<>]{0,64}:(?P<url>[^\s/@\"'<>]{3,200})(?=@[A-Za-z0-9\[])"
+    r"://[^\s:/@\"'<>]*:(?P<url>[^\s/@\"'<>]{3,})(?=@[A-Za-z0-9\[])"
     rf"|(?i:{_NAME}[\"']?\s*(?:[:=]|=>|is)\s*[\"']?)(?P<set>[^\s\"',;]{{6,}})"
     rf"|(?<![A-Za-z0-9+/_.@\-])(?=[A-Za-z+/_\-]*\d|{_PREFIXES})(?P<run>[A-Za-z0-9+/_\-]{{10,}}={{0,2}})(?![@\w])"
 )
@@ -82,7 +82,8 @@ def _pair_scores() -> dict[str, float]:
 _CLASS = {c: 0 for c in string.ascii_lowercase} | {c: 1 for c in string.ascii_uppercase} | {c: 2 for c in string.digits}
 
 
-def features(before: str, candidate: str, after: str, path: str, pairs: dict[str, float]) -> tuple:
+def features(before: str, candidate: str, after: str, path: str, pairs: dict[str, float], named: bool = False) -> tuple:
+    """``named``: known to follow a name, or a user's name in a URL, however far back that begins."""
     n = max(1, len(candidate))
     kinds = [_CLASS.get(c, 3) for c in candidate]
     changes = sum(a != b for a, b in zip(kinds, kinds[1:], strict=False))
@@ -108,7 +109,7 @@ def features(before: str, candidate: str, after: str, path: str, pairs: dict[str
         sum(scores) / len(scores) if scores else -6.0,
         covered / n,
         float(bool(re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", candidate))),
-        float(bool(_NAMED.search(before))),
+        float(named or bool(_NAMED.search(before))),
         float(bool(_DIGEST.search(before))),
         float(bool(_HOLDER.search(candidate))),
         float(bool(_PREFIX.match(candidate))),
@@ -210,7 +211,8 @@ class Scanner:
             group = m.lastgroup
             begin, end = m.span(group)
             found = m[group]
-            row = features(text[max(0, begin - CONTEXT) : begin], found, text[end : end + CONTEXT], path or "", self.pairs)
+            before, after = text[max(0, begin - CONTEXT) : begin], text[end : end + CONTEXT]
+            row = features(before, found, after, path or "", self.pairs, group != "run")
             yield begin, end - begin, hashlib.sha256(found.encode()).hexdigest(), self.forest.score(row)
 
 
