@@ -109,6 +109,9 @@ def test_search_blocks_ties_and_odd_rows(spark, monkeypatch):
     by = {q: [(r["rank"], r.vec_id) for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in {r.query_id for r in got}}
     assert set(by) == {20, 40, 100}
     assert by[20] == by[100] == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5)]
+    large = table(spark, [(20, v), *[(2**53 + i, v) for i in (0, 1, 1, 2, 3)]])
+    got = nearest(large, F.col("vec_id") == 20, k=5, recall=1.0).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(i + 1, 2**53 + i) for i in range(4)]
     few = table(spark, [(20, v), (1, v)])
     assert [tuple(r) for r in nearest(few, F.col("vec_id") % 20 == 0).collect()] == [(20, 1, 1, 1.0)]
     assert nearest(table(spark, []), F.col("vec_id") % 20 == 0).collect() == []

@@ -161,8 +161,11 @@ def best(query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, v: np.ndarray, k
 
 def _once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Without repeated rows."""
-    _, first = np.unique(np.column_stack([ids.astype(np.float64), x]), axis=0, return_index=True)
-    return ids[np.sort(first)], x[np.sort(first)]
+    order = np.lexsort((*x.T, ids))  # ids stay integers: doubles would not tell large ones apart
+    a, z = order[:-1], order[1:]
+    again = (ids[a] == ids[z]) & (x[a] == x[z]).all(axis=1)
+    kept = np.sort(order[np.concatenate([[True], ~again])])
+    return ids[kept], x[kept]
 
 
 def _meet(width: int, k: int):
