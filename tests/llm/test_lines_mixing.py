@@ -37,8 +37,10 @@ def test_lines(spark):
         (13, "\n".join(f"only line number {i} of a very long text" for i in range(20_000)) + f"\n{a}"), (14, a),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "1 AS _docs", "'n' AS n_lines")
-    got = drop_shared_lines(frame.drop("_docs").withColumn("keeper", F.lit(0)))
-    assert got.columns == ["doc_id", "text", "keeper", "n_lines", "n_dropped"]
+    clashing = frame.selectExpr("*", "2 AS _batch", "3 AS _lines", "4 AS keeper", "5 AS N_Dropped", "6 AS `a``b`")
+    got = drop_shared_lines(clashing)
+    assert got.columns == ["doc_id", "text", "_docs", "_batch", "_lines", "keeper", "a`b", "n_lines", "n_dropped"]
+    assert {tuple(r)[2:7] for r in got.collect()} == {(1, 2, 3, 4, 6)}
     assert sorted((tuple(r) for r in got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr) == brute_lines(rows)
     assert drop_shared_lines(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
@@ -82,6 +84,9 @@ def test_mixed_texts_hold_the_words_taken(spark):
     taken = {r.doc_id: r.taken for r in taken_words(mix).collect()}
     source = {r.doc_id: r.text for r in docs.collect()}
     words, whole = defaultdict(int), 0
+    clashing = mixed_texts(docs.selectExpr("1 AS _words", "*", "2 AS _copies", "3 AS _k1"), mix)
+    assert clashing.columns == ["_words", "doc_id", "text", "source", "_copies", "_k1"]
+    assert clashing.select("doc_id", "text").exceptAll(mixed_texts(docs, mix).select("doc_id", "text")).isEmpty()
     for r in mixed_texts(docs, mix).collect():
         got, own = r.text.split(), source[r.doc_id].split()
         assert set(got) <= set(own) and len(set(got)) == len(got)

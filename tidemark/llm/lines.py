@@ -10,12 +10,14 @@ shuffled once, to meet them, and put together from the positions that are left.
 
 Defined cases. A null or empty text is one empty line. Rows that share a doc_id count as one document;
 each keeps its own lines. A null doc_id counts as no document and is never the one that keeps a line.
-A text whose lines all go is empty. Columns of the input stay as they are, but for ``text`` and for
-columns called ``n_lines`` or ``n_dropped``, which are replaced. An empty table gives no rows.
+A text whose lines all go is empty. Columns of the input stay as they are, whatever their names, but for
+``text`` and for columns called ``n_lines`` or ``n_dropped`` in any case, which are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,8 +31,17 @@ def lower_ascii(text: Column) -> Column:
     return F.when(plain, F.lower(text)).otherwise(F.translate(text, _UPPER, _LOWER))
 
 
+def numbered(documents: DataFrame, own: Sequence[str], drop: Sequence[str] = ()) -> tuple[DataFrame, list[str]]:
+    """``documents`` without columns called as in ``drop``, in any case; all but those in ``own`` named by
+    number, so that no name of theirs meets one used inside. And the names they had."""
+    kept = [i for i, name in enumerate(documents.columns) if name.lower() not in drop]
+    renamed = documents.toDF(*[name if name in own else f"c{i}" for i, name in enumerate(documents.columns)])
+    return renamed.select(*[renamed.columns[i] for i in kept]), [documents.columns[i] for i in kept]
+
+
 def drop_shared_lines(documents: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
     """The input's rows with shared lines dropped, and ``n_lines`` (before) and ``n_dropped``."""
+    documents, names = numbered(documents, ("doc_id", "text"), ("n_lines", "n_dropped"))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     keys = F.transform(F.split(lower_ascii(F.col("_text")), "\n", -1), lambda x: F.trim(x, F.lit(_EDGES)))
     lines = (
@@ -53,7 +64,7 @@ def drop_shared_lines(documents: DataFrame, min_chars: int = 20, min_docs: int =
         .withColumnsRenamed({"_doc": "_doc2", "_row": "_row2"})
     )
     rows = documents.select(
-        *[F.col(c) for c in documents.columns if c not in ("text", "n_lines", "n_dropped")],
+        *[F.col(c) for c in documents.columns if c != "text"],
         F.col("doc_id").alias("_doc"),
         text.alias("_text"),
         F.xxhash64(text).alias("_row"),
@@ -65,9 +76,8 @@ def drop_shared_lines(documents: DataFrame, min_chars: int = 20, min_docs: int =
     kept = F.array_join(F.transform(left, lambda p: F.get(F.col("_lines"), p)), "\n")
     columns = {c: F.col(c) for c in rows.columns if not c.startswith("_")}
     columns["text"] = F.when(F.col("_drops").isNull(), F.col("_text")).otherwise(kept).alias("text")
-    order = [c for c in documents.columns if c not in ("n_lines", "n_dropped")]
     return met.select(
-        *[columns[c] for c in order],
+        *[columns[c] for c in documents.columns],
         F.size("_lines").cast("long").alias("n_lines"),
         F.coalesce(F.size("_drops"), F.lit(0)).cast("long").alias("n_dropped"),
-    )
+    ).toDF(*names, "n_lines", "n_dropped")

@@ -36,6 +36,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.lines import numbered
 from tidemark.session import scratch, stage
 
 WEIGHTS = (3, 1, 2)
@@ -426,6 +427,7 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
 
     Documents at the edges of the blocks of the last pass are cut, unless the mix takes ``whole`` ones.
     """
+    documents, names = numbered(documents, ("doc_id", "text", "source"))
     key = [
         F.xxhash64("doc_id", "source", "_words").alias("_k1"),
         F.xxhash64(F.lit(5), "doc_id", "source", "_words").alias("_k2"),
@@ -459,4 +461,4 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
     cut = met.withColumn("_whole", whole).withColumn("_tokens", F.when(~whole, tokens))
     return cut.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(slices, ""))).select(
         *documents.columns
-    )
+    ).toDF(*names)
