@@ -99,6 +99,26 @@ def test_good_items_of_damaged_files_stay_and_the_rest_is_kept_apart(spark, raw,
     assert sum(r.final_rows for r in report) == 3 and sum(r.incoming_rows for r in report) == 4
 
 
+def test_a_repaired_batch_leaves_the_quarantine(spark, raw, tmp_path):
+    aside, load_ = str(tmp_path / "aside"), lambda batch: plans.bronze_json_to_silver(spark, str(raw), str(tmp_path / "silver"), batch, aside)
+    put(raw, None, name="1.json", text='{"items": [{"id"')
+    put(raw, [item("a"), "text"], name="2.json", region="in")
+    put(raw, None, name="3.json", text="nothing", hour="04")
+    load_(BATCH)
+    load_(Batch(BATCH.date, 4))
+    reasons = lambda: sorted((r.ingestion_hour, r.content) for r in spark.read.parquet(aside).collect())
+    assert reasons() == [(4, "nothing"), (5, "text"), (5, '{"items": [{"id"')]
+    put(raw, [item("b")], name="1.json")
+    load_(BATCH)
+    assert reasons() == [(4, "nothing"), (5, "text")]
+    put(raw, [item("a")], name="2.json", region="in")
+    load_(BATCH)
+    assert reasons() == [(4, "nothing")]
+    put(raw, [item("c")], name="3.json", hour="04")
+    load_(None)
+    assert spark.read.schema("content string").parquet(aside).isEmpty()
+
+
 def test_duplicates_go_without_a_second_shuffle(spark, raw):
     put(raw, [item("a"), item("a")])
     rows = plans.envelopes_to_rows(plans.silver.first_per_video(sources.read_envelopes(spark, str(raw), BATCH)), BATCH)

@@ -31,6 +31,12 @@ HISTORY = [
 # --- one row per key ----------------------------------------------------------------------
 
 
+def test_a_stage_is_described_in_one_pass(spark):
+    df = spark.createDataFrame([(1, None, [1]), (2, "x", None)], "id long, `a``b` string, l array<int>").withColumn("s", F.struct("id"))
+    got = [tuple(r) for r in ops.describe_stage(df).orderBy("position").collect()]
+    assert got == [(0, "id", "bigint", 2, 2), (1, "a`b", "string", 1, 2), (2, "l", "array<int>", 1, 2), (3, "s", "struct<id:bigint>", 2, 2)]
+
+
 def test_latest_by_takes_the_newest_batch_and_nulls_lose(spark, rows):
     df = facts(spark, [*HISTORY, ("c", "us", 9, None, None, 7)])
     latest = ops.latest_by(df, ["video_id", "region"], ["ingestion_date", "ingestion_hour"])

@@ -25,6 +25,18 @@ def stored(spark, tmp_path_factory):
     return sources.read_stats(spark, path)
 
 
+def test_a_large_k_is_limited_on_the_map_side_too(spark):
+    """Whatever k: a task sends at most k rows of a key, and the result is that of a full sort."""
+    rows = spark.range(0, 20_000, numPartitions=4).selectExpr("id", "id % 2 AS key", "id * 7919 % 20011 AS v")
+    got = ops.top_k(rows, ["key"], [F.desc("v"), F.asc("id")], k=1500, rank="place")
+    got.collect()
+    tree = got._jdf.queryExecution().executedPlan().toString()
+    assert tree.count("WindowGroupLimit") >= 2
+    best = sorted((r.key, -r.v, r.id) for r in rows.collect())
+    want = [x for k in (0, 1) for x in [b for b in best if b[0] == k][:1500]]
+    assert sorted((r.key, -r.v, r.id) for r in got.collect()) == want
+
+
 def test_a_batch_is_pruned_by_partition(stored):
     text = plan(ops.batch_slice(stored, as_batch("2024-01-02", 5)))
     filters = text[text.index("PartitionFilters"):]

@@ -83,6 +83,36 @@ def test_a_changed_type_is_widened_in_every_region(spark, raw, tmp_path, target)
     assert rows["us", "1"]["snippet_level"] == "high" and rows["in", "1"]["snippet_level"] == "2"
 
 
+def test_a_rewrite_of_everything_is_swapped_in(spark, raw, tmp_path, target, monkeypatch):
+    """A reader sees the old or the new dimension at any time, and a rerun finishes what was left."""
+    from tidemark.sinks import partitions
+
+    put(raw, "us", [category("1", "A", level=1)])
+    put(raw, "in", [category("1", "I", level=2)])
+    plans.upsert_reference(spark, str(raw), target, STAMP)
+    begun = sources.read_reference_table(spark, target)
+    later = tmp_path / "later"
+    put(later, "us", [category("1", "A2", level="high")])
+    plain, moves = partitions.move_folder, []
+
+    def second_fails(spark, path, to):
+        moves.append(to)
+        if len(moves) == 2:
+            raise OSError("killed")
+        plain(spark, path, to)
+
+    monkeypatch.setattr(partitions, "move_folder", second_fails)
+    with pytest.raises(OSError):
+        plans.upsert_reference(spark, str(later), target, STAMP)
+    monkeypatch.undo()
+    assert not path_exists(spark, target)
+    assert {k: v["snippet_title"] for k, v in table(spark, target).items()} == {("us", "1"): "A", ("in", "1"): "I"}
+    plans.upsert_reference(spark, str(later), target, STAMP)
+    rows = table(spark, target)
+    assert {k: (v["snippet_title"], v["snippet_level"]) for k, v in rows.items()} == {("us", "1"): ("A2", "high"), ("in", "1"): ("I", "2")}
+    assert begun.schema["snippet_level"].dataType.simpleString() == "bigint"
+
+
 def test_stored_regions_of_another_form_are_merged(spark, raw, target):
     old = spark.createDataFrame([("1", "Old", "US"), ("2", "Kept", "US")], "id string, snippet_title string, region string")
     old.write.partitionBy("region").parquet(target)

@@ -12,6 +12,7 @@ from tidemark.operators.keys import (
 )
 from tidemark.operators.merge import concat_evolving, union_history, upsert
 from tidemark.operators.quality import (
+    describe_stage,
     preview,
     quality_counts,
     require_columns,
@@ -35,6 +36,7 @@ __all__ = [
     "concat_evolving",
     "conform",
     "dedupe",
+    "describe_stage",
     "explode_items",
     "extract_json",
     "flatten_structs",

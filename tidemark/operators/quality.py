@@ -61,6 +61,22 @@ def quality_counts(df: DataFrame, nonblank: Sequence[str], keys: Sequence[str])
     )
 
 
+def describe_stage(df: DataFrame) -> DataFrame:
+    """One row per column: its position, name and type as text, the rows of the frame, and how many of them
+    have a value there. One pass; top-level columns only, a nested one is described by its type."""
+    numbered = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    filled = [F.count(f"c{i}").alias(f"c{i}") for i in range(len(df.columns))]
+    counts = numbered.agg(F.count(F.lit(1)).alias("rows"), *filled)
+    columns = [
+        F.struct(
+            F.lit(i).alias("position"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("type"),
+            F.col(f"c{i}").alias("filled"),
+        )
+        for i, f in enumerate(df.schema)
+    ]
+    return counts.select("rows", F.explode(F.array(*columns)).alias("x")).select("x.*", "rows")
+
+
 def preview(df: DataFrame, rows: int = 10) -> DataFrame:
     """A few rows for the eye. Spark stops reading once it has them."""
     return df.limit(rows)

@@ -1,9 +1,9 @@
 """Top-k per group, and the one-row-per-key operators built on it.
 
-Every operator here is ``row_number`` plus a filter on it. Spark turns that shape into a group
-limit on both sides of the shuffle (up to the k that ``spark.sql.optimizer.windowGroupLimitThreshold``
-allows): each map task forwards at most k rows per key, so a key that holds a third of the input still
-sends only a few rows to its reducer.
+Every operator here is ``row_number`` plus a filter on it. Spark turns that shape into a group limit on
+both sides of the shuffle: each map task forwards at most k rows per key, so a key that holds a third of
+the input still sends only a few rows to its reducer. Spark does so up to a threshold for k, which
+:func:`top_k` raises for the session where k is above it.
 """
 
 from __future__ import annotations
@@ -14,11 +14,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _RANK = "__rank"
+_LIMITED = "spark.sql.optimizer.windowGroupLimitThreshold"
 
 
 def _rank_at_most(
     df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str
 ) -> DataFrame:
+    conf = df.sparkSession.conf
+    if 0 <= int(conf.get(_LIMITED)) < k:  # a negative threshold switches the limit off on purpose
+        conf.set(_LIMITED, str(k))
     window = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).filter(F.col(rank) <= k)
 

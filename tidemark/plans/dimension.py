@@ -16,7 +16,7 @@ from tidemark.operators.ranking import keep_last
 from tidemark.operators.reshape import normalize_columns
 from tidemark.schemas import REFERENCE, REFERENCE_KEYS, REFERENCE_PARTITIONS
 from tidemark.session import drop_scratch, scratch, setting, stage
-from tidemark.sinks.partitions import replace_dataset, write_partitions
+from tidemark.sinks.partitions import finish_swap, swap_dataset, write_partitions
 from tidemark.sources.reference import POS, read_reference, reference_items, reference_status
 from tidemark.sources.tables import read_or_empty
 
@@ -65,7 +65,8 @@ def upsert_reference(
 
     Files are read and judged once, each by itself. All usable ones are merged in one job. Only the
     regions they touch are rewritten. The whole dataset is when stored names or regions are not in
-    normal form, or when a column changes its type (files of untouched regions would keep the old one).
+    normal form, or when a column changes its type (files of untouched regions would keep the old one): a
+    new version is then written beside the target and swapped in, so readers see the old or the new one.
     Merged rows are written to the shared folder before the target is replaced, since a job must not
     overwrite what it is reading; after a failure they are still there.
 
@@ -83,6 +84,7 @@ def _upsert(
 ) -> DataFrame:
     stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
     work = scratch(spark)
+    finish_swap(spark, target)
     documents = stage(read_reference(spark, paths, pattern=pattern), f"{work}/documents")
     status = reference_status(documents)
     usable = status.filter(F.col("error").isNull())
@@ -94,7 +96,7 @@ def _upsert(
         if by_region:
             existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
         merged = stage(merge_reference(existing, incoming), f"{work}/merged")
-        (write_partitions if by_region else replace_dataset)(merged, target, REFERENCE_PARTITIONS)
+        (write_partitions if by_region else swap_dataset)(merged, target, REFERENCE_PARTITIONS)
     sizes = read_or_empty(spark, target, REFERENCE).groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
     total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("dimension_rows"))
     final = F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))).otherwise(0).cast("bigint")

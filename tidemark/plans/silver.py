@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -12,17 +13,19 @@ from pyspark.sql import functions as F
 from tidemark.functions.casts import CSV_INSTANT, to_bool, to_day, to_instant, to_int, to_long
 from tidemark.functions.paths import batch_date_from_path, batch_hour_from_path, region_from_path
 from tidemark.functions.text import is_blank
-from tidemark.operators.keys import Batch
+from tidemark.operators.keys import Batch, batch_slice
 from tidemark.operators.quality import quality_counts, require_nonblank
 from tidemark.operators.ranking import dedupe
 from tidemark.operators.reshape import conform, explode_items, extract_json
 from tidemark.schemas import (
     CORRUPT,
+    QUARANTINE,
     SILVER_HISTORY,
     SILVER_HISTORY_PARTITIONS,
     SILVER_STATS,
     SILVER_STATS_PARTITIONS,
 )
+from tidemark.session import delete_folder, drop_scratch, path_exists, scratch, stage
 from tidemark.sinks.partitions import replace_dataset, write_partitions
 from tidemark.sources.envelopes import REJECTED, read_envelopes
 from tidemark.sources.flat_csv import read_flat_csv
@@ -211,6 +214,26 @@ def quarantined(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
     return _tag(rows.select("_source_file", "x.reason", "x.content"), batch)
 
 
+def _set_aside(rows: DataFrame, path: str, batch: Batch | None) -> None:
+    """Makes ``rows`` all that the quarantine holds of a batch (of every batch for None)."""
+    spark, work = rows.sparkSession, scratch(rows.sparkSession)
+    bad = stage(rows, work)
+    if batch is None:
+        replace_dataset(bad, path, SILVER_STATS_PARTITIONS)
+    else:
+        emptied = []
+        if path_exists(spark, path):
+            folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "").alias("folder")
+            held = batch_slice(spark.read.schema(QUARANTINE).parquet(path), batch).select("region", folder).distinct()
+            still = bad.select(F.col("region").alias("bad_region")).distinct()
+            same = F.coalesce("region", F.lit("")) == F.coalesce("bad_region", F.lit(""))
+            emptied = held.join(still, same, "left_anti").collect()  # folders of one batch
+        write_partitions(bad, path, SILVER_STATS_PARTITIONS)
+        for row in emptied:
+            delete_folder(spark, unquote(row.folder))
+    drop_scratch(spark, work)
+
+
 def bronze_json_to_silver(
     spark: SparkSession, raw: str, target: str, batch: Batch | None, quarantine: str | None = None,
     pattern: str = "*.json",
@@ -220,7 +243,8 @@ def bronze_json_to_silver(
     The sources are read once: the counts are taken while the write runs. They describe the run;
     after a lost executor they may include documents of repeated tasks. For exact counts use
     :func:`tidemark.operators.quality_counts`. What could not be read is counted, and with
-    ``quarantine`` written there, replacing what an earlier run of the batch left.
+    ``quarantine`` written there, replacing what an earlier run of the batch left: a batch that has been
+    repaired leaves nothing there.
     """
     envelopes = read_envelopes(spark, raw, batch, keep_corrupt=True, pattern=pattern)
     seen, counted = Observation("documents"), _document_counts(envelopes)
@@ -228,8 +252,10 @@ def bronze_json_to_silver(
     silver = conform(require_nonblank(rows, "video_id", "region"), SILVER_STATS)
     write_partitions(silver, target, SILVER_STATS_PARTITIONS)
     counts = _observed([seen], lambda: envelopes.agg(*counted))
-    if quarantine and counts["unreadable_files"] + counts["rejected_items"]:
-        write_partitions(quarantined(envelopes, batch), quarantine, SILVER_STATS_PARTITIONS)
+    if quarantine:
+        bad = counts["unreadable_files"] + counts["rejected_items"]
+        rows = quarantined(envelopes, batch) if bad else spark.createDataFrame([], QUARANTINE)
+        _set_aside(conform(rows, QUARANTINE), quarantine, batch)
     return counts
 
 

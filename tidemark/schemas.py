@@ -62,6 +62,13 @@ ENVELOPE = (
 
 CORRUPT = "_corrupt_record"
 
+# What could not be read, by the batch it came with.
+QUARANTINE = (
+    _columns(_source_file="string", reason="string", content="string", region="string")
+    .add("ingestion_date", "date")
+    .add("ingestion_hour", "integer")
+)
+
 BRONZE_CSV = _columns(
     video_id="string",
     trending_date="string",

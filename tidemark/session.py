@@ -84,6 +84,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(target)
 
 
+def current_folder(spark: SparkSession, path: str) -> str:
+    """The folder that holds a dataset now: its path, or the version before it while it is being swapped."""
+    return f"{path}.old" if not path_exists(spark, path) and path_exists(spark, f"{path}.old") else path
+
+
+def move_folder(spark: SparkSession, path: str, to: str) -> None:
+    """Give a folder another path, which must be free."""
+    fs, source = _filesystem(spark, path)
+    _, target = _filesystem(spark, to)
+    if fs.exists(target) or not fs.rename(source, target):
+        raise OSError(f"cannot move {path} to {to}")
+
+
 def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     """Files and folders that match a path pattern."""
     fs, target = _filesystem(spark, pattern)

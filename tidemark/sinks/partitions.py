@@ -6,11 +6,11 @@ from collections.abc import Sequence
 
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import restrict_to
-from tidemark.session import delete_folder
+from tidemark.session import delete_folder, move_folder, path_exists
 
 PARTITIONS_PER_STATEMENT = 500
 
@@ -40,6 +40,28 @@ def replace_dataset(df: DataFrame, path: str, by: Sequence[str]) -> None:
     _write(df, path, by, "static")
 
 
+def swap_dataset(df: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Replace the whole dataset by a version that is complete before it takes the path.
+
+    The new version is written beside the path, and the old one stays beside it until the next swap, so a
+    query that has begun keeps its files. Between the two moves :func:`tidemark.session.current_folder`
+    names the old version; a run that ends there is finished by the next swap.
+    """
+    spark, new, old = df.sparkSession, f"{path}.new", f"{path}.old"
+    finish_swap(spark, path)
+    _write(df, new, by, "static")
+    delete_folder(spark, old)
+    if path_exists(spark, path):
+        move_folder(spark, path, old)
+    move_folder(spark, new, path)
+
+
+def finish_swap(spark: SparkSession, path: str) -> None:
+    """Completes a swap that ended between its two moves; the new version was whole by then."""
+    if not path_exists(spark, path) and path_exists(spark, f"{path}.old"):
+        move_folder(spark, f"{path}.new", path)
+
+
 def add_partitions(spark: SparkSession, table: str, by: Sequence[str], values: Sequence[Sequence]) -> None:
     """Make partitions known to the catalog, so many to a statement; known ones are left alone."""
     for first in range(0, len(values), PARTITIONS_PER_STATEMENT):

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from tidemark.schemas import SILVER_STATS
-from tidemark.session import path_exists
+from tidemark.session import current_folder, path_exists
 
 
 def read_stats(spark: SparkSession, path: str, schema: T.StructType = SILVER_STATS) -> DataFrame:
@@ -16,7 +16,7 @@ def read_stats(spark: SparkSession, path: str, schema: T.StructType = SILVER_STA
 
 def read_reference_table(spark: SparkSession, path: str) -> DataFrame:
     """The dimension, with the columns of all its files (they evolve)."""
-    return spark.read.option("mergeSchema", True).parquet(path)
+    return spark.read.option("mergeSchema", True).parquet(current_folder(spark, path))
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -24,6 +24,6 @@ def read_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 
     Only a missing path means empty; every other failure is raised.
     """
-    if path_exists(spark, path):
+    if path_exists(spark, current_folder(spark, path)):
         return read_reference_table(spark, path)
     return spark.createDataFrame([], schema)

@@ -218,6 +218,25 @@ _NAMED = f""" SELECT region, id, snippet_title, CAST(balance AS VARCHAR) AS snip
   UNION ALL SELECT 'named', 'n' || s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN 'second' ELSE 'low' END,
          NULL, {_STAMPED}, s_suppkey, 'f' || s_suppkey, '[1,2]' FROM supplier"""
 
+# The four reports of a run for the newest batch.
+_RUN = (
+    _GOLD
+    + ", engagement AS ("
+    + _engagement("stats", "WHERE category_id IN (SELECT category_id FROM affected)")
+    + f"), performance AS ({_performance(_IN_CATEGORIES)}), regional AS ({_region(_IN_PAIRS)}), "
+    + f"rankings AS ({_rankings(_IN_CATEGORIES, 3)}) "
+)
+
+
+def _described(table: str, columns: str) -> str:
+    """A row per column: position, name, type, values and rows."""
+    named = [c.split() for c in columns.split(", ")]
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{name}' AS "column", '{kind}' AS type, count({name}) AS filled, count(*) AS rows FROM {table}"""
+        for i, (name, kind) in enumerate(named)
+    )
+
+
 ORACLE: dict[str, str] = {
     "category_engagement": _GOLD
     + _engagement("stats", "WHERE category_id IN (SELECT category_id FROM affected)"),
@@ -347,6 +366,11 @@ latest AS (
     "silver_quarantine": _with(ITEMS)
     + """ SELECT region, CASE WHEN chunk % 7 = 6 THEN 'unreadable document' ELSE 'item is no object' END AS reason,
                  count(DISTINCT chunk) AS n FROM raw WHERE chunk % 7 = 6 OR chunk % 3 = 1 GROUP BY 1, 2""",
+    "quarantine_repaired": _with(ITEMS)
+    + """ , bad AS (SELECT * FROM raw WHERE chunk % 7 = 6 OR chunk % 3 = 1)
+          SELECT region, CASE WHEN chunk % 7 = 6 THEN 'unreadable document' ELSE 'item is no object' END AS reason,
+                 count(DISTINCT chunk) AS n FROM bad
+          WHERE (bad.ingestion_date, ingestion_hour) <> (SELECT max((ingestion_date, ingestion_hour)) FROM bad) GROUP BY 1, 2""",
     "silver_run_counts": _with(ITEMS)
     + """ , good AS (SELECT * FROM raw WHERE chunk % 7 <> 6),
           kept AS (SELECT DISTINCT trim(raw_id), region, run_id FROM good WHERE trim(raw_id) <> '')
@@ -368,6 +392,47 @@ latest AS (
         FROM (VALUES ('columns', 'missing required columns: [''absent'']'), ('columns_present', 'ok'),
                      ('rows', 'orders is empty'), ('rows_present', 'ok'),
                      ('unique_columns', 'duplicate columns: [''o_orderkey'']'), ('unique_columns_present', 'ok')) t(guard, says)""",
+    "sampled_rows": """
+        SELECT least(10, count(*)) AS found, least(10, count(*)) AS orders FROM orders""",
+    "describe_stats": _GOLD
+    + _described(
+        "stats",
+        "video_id string, title string, category_id int, views bigint, likes bigint, comment_count bigint, "
+        "region string, ingestion_date date, ingestion_hour int",
+    ),
+    "describe_gold": _RUN
+    + " UNION ALL ".join(
+        f"SELECT '{report}' AS report, * FROM ({_described(table, columns)})"
+        for report, table, columns in (
+            (
+                "category_engagement",
+                "engagement",
+                "category_name string, total_views bigint, total_likes bigint, total_comments bigint, engagement_rate double, "
+                "category_id string",
+            ),
+            (
+                "category_performance",
+                "performance",
+                "category_name string, video_count bigint, total_views bigint, avg_views double, total_likes bigint, "
+                "avg_likes double, total_comments bigint, avg_comments double, category_id string",
+            ),
+            (
+                "category_region",
+                "regional",
+                "category_name string, video_count bigint, total_views bigint, avg_views double, total_likes bigint, "
+                "total_comments bigint, region string, category_id string",
+            ),
+            (
+                "video_rankings",
+                "rankings",
+                "video_id string, title string, category_name string, region string, views bigint, video_rank bigint, "
+                "category_id string",
+            ),
+        )
+    ),
+    "gold_untouched": _RUN
+    + f"""SELECT report, count(*) AS rows, 0::BIGINT AS new_rows, 0::BIGINT AS affected_categories,
+                  0::BIGINT AS affected_pairs, 0::BIGINT AS facts_without_name FROM ({_LONG}) GROUP BY report""",
     "gold_counts": _GOLD
     + """ SELECT (SELECT count(*) FROM stats) AS facts, count(*) AS new_rows,
                  (SELECT count(*) FROM affected) AS affected_categories, (SELECT count(*) FROM pairs) AS affected_pairs,

@@ -25,6 +25,7 @@ from tidemark.operators.keys import Batch
 from tidemark.plans.dimension import replace_regions
 from tidemark.schemas import (
     GOLD,
+    QUARANTINE,
     SILVER_HISTORY,
     SILVER_STATS,
 )
@@ -516,6 +517,17 @@ def silver_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(aside).groupBy("region", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def quarantine_repaired(spark: SparkSession, sf: str) -> DataFrame:
+    """Every batch is loaded with damaged files; then the newest batch that had any comes again, repaired:
+    nothing of it stays aside, and what other batches left stays."""
+    target, aside = scratch(spark), scratch(spark)
+    plans.bronze_json_to_silver(spark, _half_good(spark, sf), target, None, aside, _ANY)
+    newest = ops.latest_batch(sources.read_stats(spark, aside, QUARANTINE))
+    plans.bronze_json_to_silver(spark, _land(spark, sf), target, newest, aside, _ANY)
+    return spark.read.parquet(aside).groupBy("region", "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def silver_run_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counts that the Silver job returns for damaged files."""
@@ -920,6 +932,51 @@ def guards(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def sampled_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of a preview are rows of the table, each once."""
+    orders = adapter.table(spark, sf, "orders")
+    seen = ops.preview(orders, 10)
+    found = seen.join(orders, orders.columns, "left_semi")
+    return found.agg(F.count(F.lit(1)).alias("found"), F.countDistinct("o_orderkey").alias("orders"))
+
+
+@query
+def describe_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Columns of the facts as a stage shows them: names, types, rows, and rows with a value."""
+    return ops.describe_stage(adapter.stats(spark, sf).drop("event_id", "_source_file"))
+
+
+@query
+def describe_gold(spark: SparkSession, sf: str) -> DataFrame:
+    """The same of the Gold tables after a run: every report's columns and row counts."""
+    layout = plans.Layout(scratch(spark))
+    stats = stage(ops.conform(adapter.stats(spark, sf), SILVER_STATS), layout.stats)
+    names = sinks.register_tables(spark, plans.Layout(f"{layout.root}/tables"), _name("shown") + "_", repair=False)
+    plans.silver_to_gold(stats, _reference(spark, sf), ops.latest_batch(stats), names)
+    shown = [ops.describe_stage(spark.table(names[report])).withColumn("report", F.lit(report)) for report in GOLD]
+    out = shown[0]
+    for frame in shown[1:]:
+        out = out.unionByName(frame)
+    return out.select("report", "position", "column", "type", "filled", "rows")
+
+
+@query
+def gold_untouched(spark: SparkSession, sf: str) -> DataFrame:
+    """After a run, one whose batch holds no facts: it stops, counts nothing and leaves the tables alone."""
+    layout = plans.Layout(scratch(spark))
+    stats = stage(ops.conform(adapter.stats(spark, sf), SILVER_STATS), layout.stats)
+    tables = plans.Layout(f"{layout.root}/tables")
+    names = sinks.register_tables(spark, tables, _name("untouched") + "_", repair=False)
+    newest = ops.latest_batch(stats)
+    for state in (None, layout.gold_state):
+        plans.silver_to_gold(stats, _reference(spark, sf), newest, names, state=state)
+        counts = plans.silver_to_gold(stats, _reference(spark, sf), Batch(newest.date, 99), names, state=state)
+    return _long_form(spark, tables).groupBy("report").agg(
+        F.count(F.lit(1)).alias("rows"), *[F.lit(n).cast("bigint").alias(name) for name, n in counts.items()]
+    )
+
+
 @query
 def gold_counts(spark: SparkSession, sf: str) -> DataFrame:
     """The counts that a Gold run returns for the newest batch."""
