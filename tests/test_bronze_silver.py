@@ -99,6 +99,22 @@ def test_good_items_of_damaged_files_stay_and_the_rest_is_kept_apart(spark, raw,
     assert sum(r.final_rows for r in report) == 3 and sum(r.incoming_rows for r in report) == 4
 
 
+def test_counts_are_taken_where_each_task_counts_once(spark, raw, tmp_path):
+    """Above the shuffle, in the tasks that write: repeated tasks below it change nothing."""
+    from tidemark.plans import silver
+
+    put(raw, [item("a"), item("a"), item(""), "text"], name="1.json")
+    put(raw, [], name="2.json")
+    envelopes = sources.read_envelopes(spark, str(raw), BATCH, keep_corrupt=True)
+    counted = envelopes.withColumn(silver._COUNTS, silver._document_counts(envelopes))
+    rows = silver._counted_rows(counted, BATCH).hint("rebalance", F.col("region")).observe("seen", *silver._totals(counted))
+    lines = rows._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = next(i for i, line in enumerate(lines) if "CollectMetrics" in line)
+    assert above < next(i for i, line in enumerate(lines) if "RebalancePartitions" in line)
+    _, metrics = load(spark, raw, tmp_path)
+    assert metrics == {"files": 2, "unreadable_files": 0, "rejected_items": 1, "input_rows": 3, "blank_video_id": 1, "blank_region": 0, "duplicate_rows": 1, "output_rows": 1}
+
+
 def test_a_repaired_batch_leaves_the_quarantine(spark, raw, tmp_path):
     aside, load_ = str(tmp_path / "aside"), lambda batch: plans.bronze_json_to_silver(spark, str(raw), str(tmp_path / "silver"), batch, aside)
     put(raw, None, name="1.json", text='{"items": [{"id"')

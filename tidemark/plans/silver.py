@@ -9,6 +9,7 @@ from urllib.parse import unquote
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.casts import CSV_INSTANT, to_bool, to_day, to_instant, to_int, to_long
 from tidemark.functions.paths import batch_date_from_path, batch_hour_from_path, region_from_path
@@ -80,9 +81,10 @@ def first_per_video(envelopes: DataFrame) -> DataFrame:
     return listed.withColumn("items", F.transform(kept, lambda x: x["item"])).drop("__listed")
 
 
-def envelopes_to_rows(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
-    """Explode and shape envelopes: one typed row per item, nothing dropped yet."""
-    item = explode_items(envelopes.select("items", "_source_file"), position=POSITION)
+def envelopes_to_rows(envelopes: DataFrame, batch: Batch | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Explode and shape envelopes: one typed row per item, nothing dropped yet; ``keep`` names columns of
+    the document that its rows keep."""
+    item = explode_items(envelopes.select("items", "_source_file", *keep), position=POSITION)
     snippet, statistics = F.col("item.snippet"), F.col("item.statistics")
     rows = item.select(
         F.trim("item.id").alias("video_id"),
@@ -99,6 +101,7 @@ def envelopes_to_rows(envelopes: DataFrame, batch: Batch | None = None) -> DataF
         snippet["description"].alias("description"),
         "_source_file",
         POSITION,
+        *keep,
     )
     return _tag(rows, batch)
 
@@ -181,26 +184,42 @@ def _counted(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
     return df.observe(seen, F.count(F.lit(1)).alias("output_rows")), seen
 
 
-def _document_counts(envelopes: DataFrame) -> list[Column]:
-    """Aggregates over documents that count a run."""
+def _document_counts(envelopes: DataFrame) -> Column:
+    """What a document adds to the counts of a run, as a struct."""
     ids = F.transform(F.coalesce("items", F.array().cast(envelopes.schema["items"].dataType)), lambda i: F.trim(i["id"]))
     named = F.filter(ids, lambda i: ~is_blank(i))
     region = ~is_blank(region_from_path(F.col("_source_file")))
     distinct = F.when(region, F.size(F.array_distinct(named))).otherwise(0)
+    return F.struct(
+        F.lit(1).alias("files"),
+        F.col(CORRUPT).isNotNull().cast("int").alias("unreadable_files"),
+        F.size(REJECTED).alias("rejected_items"),
+        F.size(ids).alias("input_rows"),
+        (F.size(ids) - F.size(named)).alias("blank_video_id"),
+        F.when(region, 0).otherwise(F.size(named)).alias("blank_region"),
+        F.when(region, F.size(named) - distinct).otherwise(0).alias("duplicate_rows"),
+        distinct.alias("output_rows"),
+    )
+
+
+_COUNTS = "__counts"
+
 
-    def total(value: Column) -> Column:
-        return F.coalesce(F.sum(value), F.lit(0)).cast("bigint")
+def _totals(df: DataFrame) -> list[Column]:
+    """The counts of a run, over rows of which one per document holds its own."""
+    names = df.schema[_COUNTS].dataType.names
+    return [F.coalesce(F.sum(f"{_COUNTS}.{name}"), F.lit(0)).cast("bigint").alias(name) for name in names]
 
-    return [
-        F.count(F.lit(1)).alias("files"),
-        F.count_if(F.col(CORRUPT).isNotNull()).alias("unreadable_files"),
-        total(F.size(REJECTED)).alias("rejected_items"),
-        total(F.size(ids)).alias("input_rows"),
-        total(F.size(ids) - F.size(named)).alias("blank_video_id"),
-        total(F.when(region, 0).otherwise(F.size(named))).alias("blank_region"),
-        total(F.when(region, F.size(named) - distinct).otherwise(0)).alias("duplicate_rows"),
-        total(distinct).alias("output_rows"),
-    ]
+
+def _counted_rows(envelopes: DataFrame, batch: Batch | None) -> DataFrame:
+    """Silver rows of counted documents, and before those of each document a row that holds its counts."""
+    none = F.array(F.lit(None).cast(envelopes.schema["items"].dataType.elementType))
+    firsts = first_per_video(envelopes)
+    listed = firsts.withColumn("items", F.concat(none, F.coalesce("items", F.slice(none, 1, 0))))
+    rows = envelopes_to_rows(listed, batch, [_COUNTS])
+    rows = rows.withColumn(_COUNTS, F.when(F.col(POSITION) == 0, F.col(_COUNTS)))
+    good = ~is_blank(F.col("video_id")) & ~is_blank(F.col("region"))
+    return conform(rows.filter(F.col(_COUNTS).isNotNull() | good), T.StructType([*SILVER_STATS, rows.schema[_COUNTS]]))
 
 
 def quarantined(envelopes: DataFrame, batch: Batch | None = None) -> DataFrame:
@@ -240,18 +259,21 @@ def bronze_json_to_silver(
 ) -> dict[str, int]:
     """Load one batch of envelopes (every batch for None) into the partitioned fact table.
 
-    The sources are read once: the counts are taken while the write runs. They describe the run;
-    after a lost executor they may include documents of repeated tasks. For exact counts use
-    :func:`tidemark.operators.quality_counts`. What could not be read is counted, and with
+    The sources are read once: a row with the counts of a document travels with its rows to the tasks that
+    write, and is added up there. Spark takes each of those tasks into account once, so the counts are
+    exact also when tasks are repeated after a lost executor. What could not be read is counted, and with
     ``quarantine`` written there, replacing what an earlier run of the batch left: a batch that has been
     repaired leaves nothing there.
     """
     envelopes = read_envelopes(spark, raw, batch, keep_corrupt=True, pattern=pattern)
-    seen, counted = Observation("documents"), _document_counts(envelopes)
-    rows = envelopes_to_rows(first_per_video(envelopes.observe(seen, *counted)), batch)
-    silver = conform(require_nonblank(rows, "video_id", "region"), SILVER_STATS)
-    write_partitions(silver, target, SILVER_STATS_PARTITIONS)
-    counts = _observed([seen], lambda: envelopes.agg(*counted))
+    counted = envelopes.withColumn(_COUNTS, _document_counts(envelopes))
+    seen, totals = Observation("documents"), _totals(counted)
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.observe(seen, *totals).filter(F.col(_COUNTS).isNull()).drop(_COUNTS)
+
+    write_partitions(_counted_rows(counted, batch), target, SILVER_STATS_PARTITIONS, dealt)
+    counts = _observed([seen], lambda: counted.agg(*totals))
     if quarantine:
         bad = counts["unreadable_files"] + counts["rejected_items"]
         rows = quarantined(envelopes, batch) if bad else spark.createDataFrame([], QUARANTINE)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from urllib.parse import unquote
 
@@ -15,11 +15,14 @@ from tidemark.session import delete_folder, move_folder, path_exists
 PARTITIONS_PER_STATEMENT = 500
 
 
-def _write(df: DataFrame, path: str, by: Sequence[str], mode: str) -> None:
+Dealt = Callable[[DataFrame], DataFrame]
+
+
+def _write(df: DataFrame, path: str, by: Sequence[str], mode: str, dealt: Dealt = lambda df: df) -> None:
     # Rebalancing gathers the rows of a partition into few files. Unlike a plain repartition it
     # splits a partition value that holds much of the data over several tasks.
     (
-        df.hint("rebalance", *[F.col(c) for c in by])
+        dealt(df.hint("rebalance", *[F.col(c) for c in by]))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", mode)
         .partitionBy(*by)
@@ -27,12 +30,13 @@ def _write(df: DataFrame, path: str, by: Sequence[str], mode: str) -> None:
     )
 
 
-def write_partitions(df: DataFrame, path: str, by: Sequence[str]) -> None:
+def write_partitions(df: DataFrame, path: str, by: Sequence[str], dealt: Dealt = lambda df: df) -> None:
     """Replace exactly the partitions that ``df`` has rows for; others stay untouched.
 
-    Writing the same rows again gives the same table, so a failed or repeated run is harmless.
+    Writing the same rows again gives the same table, so a failed or repeated run is harmless. ``dealt`` is
+    applied to the rows after they have been dealt to the tasks that write them.
     """
-    _write(df, path, by, "dynamic")
+    _write(df, path, by, "dynamic", dealt)
 
 
 def replace_dataset(df: DataFrame, path: str, by: Sequence[str]) -> None:
