@@ -50,6 +50,10 @@ _TERM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 _BETWEEN = re.compile(rb"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 2_000) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(i, rows) for batch in batches for i in range(0, len(batch), rows))
+
+
 def terms(data: bytes) -> Iterator[list[bytes]]:
     """The terms of a text in UTF-8, slice by slice; no term is cut."""
     begin = 0
@@ -90,7 +94,7 @@ def _bags(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = shared.value
         known = number.keys()
-        for batch in batches:
+        for batch in slices(batches):
             ns, bags = [], []
             for text in batch.column(1).to_pylist():
                 n, counts = counted(text)
@@ -173,11 +177,12 @@ def _best(shared, k: int):
     """Rows (h, m, bag, first) to the ``k`` best classes of each item: (item, score, first, h, m, bag)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: Items = shared.value
-        least = np.zeros(len(items_of(items)), dtype=np.int64)
+        # Plain values are broadcast and the rest is made here: tasks need no copy of this package.
+        listed, weight = shared.value
+        items, least = Items(listed, weight), np.zeros(len(listed), dtype=np.int64)
         item, score, first = (np.zeros(0, dtype=np.int64) for _ in range(3))
         classes = np.zeros(0, dtype=object)
-        for batch in batches:
+        for batch in slices(batches):
             m = batch.column(1).to_numpy()
             ids = batch.column(3).fill_null(np.iinfo(np.int64).max).to_numpy()
             keys = batch.column(0).to_numpy()
@@ -217,10 +222,6 @@ def _best(shared, k: int):
     return run
 
 
-def items_of(items: Items) -> np.ndarray:
-    return np.concatenate([members for _, members, _ in items.parts])
-
-
 def _ranked(documents: DataFrame, items: pa.Table, k: int) -> DataFrame | None:
     """Results for the items of one block."""
     spark, root = documents.sparkSession, scratch(documents.sparkSession)
@@ -247,9 +248,9 @@ def _ranked(documents: DataFrame, items: pa.Table, k: int) -> DataFrame | None:
     found = met.groupBy("term").agg(F.sum("df").alias("df")).toArrow()  # a row for each term of the block
     frequency[found["term"].to_numpy()] = found["df"].to_numpy()
     weight = np.array([math.floor(1000 * math.log((2 * documents_n + 2) / (2 * df + 1))) for df in frequency.tolist()], dtype=np.int64)
-    block = Items([[(number[t], q) for t, q in zip(ts, qs, strict=True)] for ts, qs in zip(listed, repeats, strict=True)], weight)
+    block = [[(number[t], q) for t, q in zip(ts, qs, strict=True)] for ts, qs in zip(listed, repeats, strict=True)]
     best = classes.select("h", "m", "bag", "first").mapInArrow(
-        _best(spark.sparkContext.broadcast(block), k), "item int, score long, first long, h long, m long, bag binary"
+        _best(spark.sparkContext.broadcast((block, weight)), k), "item int, score long, first long, h long, m long, bag binary"
     )
     order = [F.desc("score"), F.asc_nulls_last("first"), "h"]
     winners = stage(
