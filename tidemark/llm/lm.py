@@ -36,7 +36,7 @@ from tidemark.llm.words import Words, chunks, mix, text_bytes
 
 PARTITION_WORDS = 1_200_000
 #: Words of a packed batch: the more, the fewer n-grams are sent again by other batches.
-BATCH_WORDS = 4_000_000
+BATCH_WORDS = 3_000_000
 #: The start mark's key.
 START = np.uint64(0xA0761D6478BD642F)
 
