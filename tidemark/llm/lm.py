@@ -94,6 +94,29 @@ def _spread(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(size, -1).T).view(kind).ravel()
 
 
+def _bits(values: np.ndarray) -> np.ndarray:
+    """How many bits each value needs."""
+    return np.frexp(values)[1].astype(np.uint8)
+
+
+def _squeeze_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
+    """The number of bits of each rank, and the ranks with those of equal size together."""
+    size = _bits(ranks)
+    return _squeeze(size), _squeeze(ranks[np.argsort(size, kind="stable")])
+
+
+def _spread_ranks(sizes: bytes, grouped: bytes) -> np.ndarray:
+    size = _spread(sizes, np.uint8)
+    ranks = np.empty(len(size), dtype=np.uint32)
+    ranks[np.argsort(size, kind="stable")] = _spread(grouped, np.uint32)
+    return ranks
+
+
+def _by_frequency(size: np.ndarray) -> np.ndarray:
+    """Frequent words first, by the bits of their numbers; those of equal size stay in order."""
+    return np.argsort(np.uint8(64) - size, kind="stable")
+
+
 def _total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         raw, where = text_bytes(batch.column(0))
@@ -139,8 +162,8 @@ def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(least, dtype=np.uint64)), len(keys))
 
 
-SENT = "bucket int, batch long, keys binary, often binary, listed binary, words binary, ids array<long>, counts array<long>"
-ANSWERED = "batch long, bucket int, often binary, listed binary, words binary, ids array<long>, counts array<long>"
+SENT = "bucket int, batch long, keys binary, often binary, listed binary, words array<binary>, ids array<long>, counts array<long>"
+ANSWERED = "batch long, bucket int, often binary, listed binary, words array<binary>, ids array<long>, counts array<long>"
 
 
 def _pack(order: int, buckets: int):
@@ -155,10 +178,10 @@ def _pack(order: int, buckets: int):
             edges = _edges(keys, buckets)
             listed, index, times = np.unique(b.key, return_inverse=True, return_counts=True)
             # Frequent words first, so that most indexes are small; keys as steps from one to the next.
-            rank = np.argsort(-times, kind="stable")
-            place = np.empty(len(rank), dtype=np.uint32)
-            place[rank] = np.arange(len(rank))
-            ordered, index = _squeeze(place.astype(np.uint32)), _squeeze(place[index])
+            size = _bits(times)
+            place = np.empty(len(listed), dtype=np.uint32)
+            place[_by_frequency(size)] = np.arange(len(listed))
+            words = [_squeeze(size), *_squeeze_ranks(place[index])]
             listed = _squeeze(np.diff(listed, prepend=np.uint64(0)))
             home = int(mix(np.array([batch + 1], dtype=np.uint64))[0] % np.uint64(buckets))
             for p in range(buckets):
@@ -172,7 +195,7 @@ def _pack(order: int, buckets: int):
                         pa.array([_squeeze(np.diff(keys[begin:end], prepend=np.uint64((p << 64) // buckets)))], pa.binary()),
                         pa.array([_squeeze(often[begin:end])], pa.binary()),
                         pa.array([listed if p == home else None], pa.binary()),
-                        pa.array([len(ordered).to_bytes(8, "little") + ordered + index if p == home else None], pa.binary()),
+                        pa.array([words if p == home else None], pa.list_(pa.binary())),
                         pa.array([b.ids.to_pylist() if p == home else None], pa.list_(pa.int64())),
                         pa.array([b.counts.tolist() if p == home else None], pa.list_(pa.int64())),
                     ],
@@ -215,12 +238,9 @@ def _score(order: int, total: int, backoff: float, min_count: int):
         home = next(k for k in range(len(table)) if table["ids"][k].is_valid)
         counts = table["counts"][home].values.to_numpy()
         listed = np.cumsum(_spread(table["listed"][home].as_buffer(), np.uint64), dtype=np.uint64)
-        packed = table["words"][home].as_py()
-        split = 8 + int.from_bytes(packed[:8], "little")
-        by_rank = np.empty(len(listed), dtype=np.uint64)
-        by_rank[_spread(packed[8:split], np.uint32)] = listed
-        words = by_rank[_spread(packed[split:], np.uint32)]
-        del packed, listed, by_rank
+        sizes, *ranks = (part.as_buffer() for part in table["words"][home].values)
+        words = listed[_by_frequency(_spread(sizes, np.uint8))][_spread_ranks(*ranks)]
+        del sizes, ranks, listed
         # Buckets are ranges of keys: their answers in order are those of the sorted keys.
         places = np.argsort(table["bucket"].to_numpy())
         often = table["often"].combine_chunks()
