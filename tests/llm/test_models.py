@@ -74,6 +74,29 @@ def test_pages_of_the_table(spark, sf):
     assert {r.page_id: r.text for r in got} == want and all(r.n_chars == len(r.text) for r in got)
 
 
+def test_words_and_links_decide_without_names(spark, sf):
+    """Pages whose elements and attributes say nothing: the same text comes out."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bare = F.regexp_replace("html", r"<(/?)(?:article|main|nav|header|footer|aside|form)\b", "<$1div")
+    bare = F.regexp_replace(bare, r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "")
+    unnamed = pages.withColumn("html", bare)
+    assert unnamed.filter(F.col("html").rlike("<article|class=")).isEmpty()
+    want = {r.page_id: r.text for r in extract_text(pages).collect()}
+    got = {r.page_id: r.text for r in extract_text(unnamed).collect()}
+    assert sum(got[k] == want[k] for k in want) > 0.98 * len(want)
+
+
+def test_lists_of_links_are_no_text():
+    tree = trained()
+    links = "<ul><li><a href=x>one thing</a><li><a href=y>two</a><li><a href=z>three more things</a></ul>"
+    assert main_text(f'<div id="content">{links}</div>', tree) == ""
+    text = "<p>" + "word " * 30 + "</p>"
+    for begin, end in (("<article>", "</article>"), ('<div id="content">', "</div>"), ("<div>", "</div>")):
+        assert main_text(f"{begin}{text}{links}{text}{end}", tree) == ("word " * 60).strip()
+    lone = '<article><p>See <b>this</b> first.</p><p><a href="x">the linked paper</a></p><p>It is short.</p></article>'
+    assert main_text(lone, tree) == "See this first. the linked paper It is short."
+
+
 def test_odd_pages(spark):
     rows = [(1, None, None), (2, "u", ""), (None, "u", "<article>x</article>"), (3, "u", PAGE), (3, "u", PAGE), (4, "u", "<div>" * 3000 + "x"), (5, "u", "<article>" + "<p>long text</p>" * 20_000)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS text", "2 AS n_chars")

@@ -4,7 +4,8 @@ A page is cut at tags that start or end a block. Each block knows its words, the
 links, the same of the blocks before and after it, and whether it stands in an article, in a region that
 pages use for navigation, notices and the like, or under a name that says so. A small decision tree is
 grown on a labelled table of blocks (:data:`LABELLED`) and says which blocks are main text; these are
-joined in page order.
+joined in page order. Half of the table's rows come from pages without article elements and telling names, where
+words and links of the block and its neighbours decide; in an article they tell lists of links from text.
 
 Scripts, styles and other unseen elements, comments and markup are never text. Character references are
 decoded, also when they are cut off or unknown (then they stay as they are); white space inside a block
@@ -13,7 +14,8 @@ becomes one space.
 Defined cases. Null or empty html gives the empty text. Broken markup: an element that is not closed ends
 with its nearest closed ancestor or with the page, a head also with the first element that cannot stand in it; end tags without a start are passed over; an
 unfinished tag or comment at the end is dropped. A page without article or main element is judged by words
-and links alone. Repeated rows give repeated results; other columns are ignored; an empty table
+and links alone; a short last block of such a page counts as a footer, a list of nothing but links as a menu. Very long
+pages are parsed whole, in memory in proportion to the page. Repeated rows give repeated results; other columns are ignored; an empty table
 gives no rows.
 """
 
@@ -76,7 +78,6 @@ LABELLED = [
     (2, 0.00, 14, 1.00, 120, 0.00, 1, 0, 1, 1),
     (10, 0.40, 50, 0.00, 50, 0.00, 1, 0, 0, 1),
     (6, 1.00, 70, 0.00, 30, 0.00, 1, 0, 0, 1),
-    (2, 1.00, 1, 0.00, 2, 1.00, 1, 0, 0, 1),
     (200, 0.01, 3, 1.00, 3, 1.00, 1, 0, 0, 1),
     (2, 0.00, 1, 0.00, 30, 0.00, 1, 0, 1, 1),
     (5, 0.00, 0, 0.00, 0, 0.00, 1, 0, 0, 1),
@@ -87,11 +88,38 @@ LABELLED = [
     (1, 1.00, 3, 0.00, 3, 0.00, 1, 0, 0, 1),
     (5, 0.80, 40, 0.10, 7, 0.00, 1, 0, 0, 1),
     (9, 0.90, 2, 0.00, 90, 0.00, 1, 0, 0, 1),
-    (30, 0.70, 30, 0.00, 8, 1.00, 1, 0, 0, 1),
     (3, 0.00, 70, 0.00, 12, 0.00, 1, 0, 0, 1),
     (4, 0.00, 10, 0.00, 1, 1.00, 1, 0, 0, 1),
     (2, 0.00, 0, 0.00, 2, 1.00, 1, 0, 0, 1),
     (20, 0.00, 1, 1.00, 0, 0.00, 1, 0, 0, 1),
+    # paragraphs of an article after or before one with links, and links that stand alone
+    (10, 0.00, 12, 0.20, 9, 0.00, 1, 0, 0, 1),
+    (4, 0.00, 6, 1.00, 30, 0.00, 1, 0, 0, 1),
+    (8, 0.00, 10, 0.40, 40, 0.00, 1, 0, 0, 1),
+    (5, 0.00, 3, 0.60, 20, 0.00, 1, 0, 0, 1),
+    (12, 0.00, 1, 1.00, 20, 0.00, 1, 0, 0, 1),
+    (2, 0.00, 1, 1.00, 2, 0.00, 1, 0, 0, 1),
+    (15, 0.00, 9, 1.00, 4, 0.00, 1, 0, 0, 1),
+    (2, 0.00, 100, 0.00, 1, 0.00, 1, 0, 0, 1),
+    (3, 0.00, 12, 0.00, 1, 1.00, 1, 0, 0, 1),
+    (4, 1.00, 30, 0.00, 2, 0.00, 1, 0, 0, 1),
+    (5, 1.00, 20, 0.00, 0, 0.00, 1, 0, 0, 1),
+    (5, 1.00, 30, 0.00, 5, 0.00, 1, 0, 0, 1),
+    (8, 1.00, 20, 0.00, 6, 0.00, 1, 0, 0, 1),
+    (3, 1.00, 8, 0.20, 12, 0.00, 1, 0, 0, 1),
+    # lists of links inside an article or content division
+    (2, 1.00, 1, 0.00, 2, 1.00, 1, 0, 0, 0),
+    (2, 1.00, 2, 1.00, 2, 1.00, 1, 0, 0, 0),
+    (3, 1.00, 60, 0.00, 3, 1.00, 1, 0, 0, 0),
+    (4, 1.00, 3, 1.00, 30, 0.00, 1, 0, 0, 0),
+    (3, 1.00, 3, 1.00, 0, 0.00, 1, 0, 0, 0),
+    (1, 1.00, 0, 0.00, 1, 1.00, 1, 0, 0, 0),
+    (5, 0.90, 4, 1.00, 6, 0.90, 1, 0, 0, 0),
+    (12, 1.00, 9, 1.00, 14, 1.00, 1, 0, 0, 0),
+    (7, 0.90, 35, 0.00, 5, 1.00, 1, 0, 0, 0),
+    (9, 1.00, 11, 1.00, 90, 0.00, 1, 0, 0, 0),
+    (31, 1.00, 30, 1.00, 29, 1.00, 1, 0, 0, 0),
+    (40, 1.00, 50, 1.00, 2, 0.00, 1, 0, 0, 0),
     # regions aside, in an article or not
     (1, 1.00, 1, 1.00, 1, 1.00, 0, 1, 0, 0),
     (2, 1.00, 0, 0.00, 2, 1.00, 0, 1, 0, 0),
@@ -103,6 +131,46 @@ LABELLED = [
     (50, 0.00, 80, 0.00, 80, 0.00, 1, 1, 0, 0),
     (3, 0.00, 90, 0.00, 25, 0.00, 1, 1, 1, 0),
     (5, 0.90, 60, 0.00, 0, 0.00, 1, 1, 0, 0),
+    # pages without telling names: title and short paragraphs between others
+    (6, 0.00, 8, 0.00, 13, 0.00, 0, 0, 1, 1),
+    (7, 0.00, 8, 0.00, 7, 0.00, 0, 0, 1, 1),
+    (2, 0.00, 12, 0.00, 2, 0.00, 0, 0, 1, 1),
+    (8, 0.00, 1, 1.00, 8, 0.00, 0, 0, 1, 1),
+    (5, 0.00, 4, 1.00, 12, 0.00, 0, 0, 1, 1),
+    (7, 0.00, 3, 1.00, 20, 0.00, 0, 0, 1, 1),
+    (2, 0.00, 2, 0.00, 32, 0.00, 0, 0, 0, 1),
+    (1, 0.00, 61, 0.00, 1, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 64, 0.00, 5, 0.00, 0, 0, 0, 1),
+    (5, 0.00, 2, 0.00, 48, 0.00, 0, 0, 0, 1),
+    (4, 0.00, 5, 0.00, 12, 0.00, 0, 0, 0, 1),
+    (5, 0.00, 74, 0.00, 4, 0.00, 0, 0, 0, 1),
+    (6, 0.00, 13, 0.00, 9, 0.00, 0, 0, 0, 1),
+    (8, 0.00, 26, 0.00, 11, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 12, 0.00, 19, 0.00, 0, 0, 0, 1),
+    (1, 0.00, 1, 0.00, 2, 0.00, 0, 0, 0, 1),
+    (3, 0.00, 4, 0.00, 11, 0.00, 0, 0, 0, 1),
+    (14, 0.00, 1, 0.00, 14, 0.00, 0, 0, 0, 1),
+    (2, 0.00, 2, 0.00, 1, 0.00, 0, 0, 0, 1),
+    (3, 0.00, 26, 0.00, 1, 0.00, 0, 0, 0, 1),
+    (12, 0.00, 50, 0.30, 10, 0.00, 0, 0, 0, 1),
+    (8, 0.00, 40, 0.20, 30, 0.00, 0, 0, 0, 1),
+    (40, 0.00, 50, 0.00, 0, 0.00, 0, 0, 0, 1),
+    (30, 0.00, 3, 1.00, 0, 0.00, 0, 0, 0, 1),
+    (24, 0.00, 2, 1.00, 40, 0.00, 0, 0, 0, 1),
+    (90, 0.00, 10, 0.00, 0, 0.00, 0, 0, 0, 1),
+    (30, 0.00, 5, 0.00, 0, 0.00, 0, 0, 0, 1),
+    # the same pages: an advert after the menu, a line of rights at the end
+    (11, 0.00, 1, 1.00, 2, 0.00, 0, 0, 0, 0),
+    (9, 0.00, 1, 1.00, 10, 0.00, 0, 0, 0, 0),
+    (12, 0.00, 1, 1.00, 8, 0.00, 0, 0, 0, 0),
+    (4, 0.00, 1, 1.00, 7, 0.00, 0, 0, 0, 0),
+    (15, 0.00, 1, 1.00, 13, 0.00, 0, 0, 0, 0),
+    (11, 0.00, 5, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (11, 0.00, 143, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (14, 0.00, 17, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (15, 0.00, 58, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (8, 0.00, 1, 0.00, 0, 0.00, 0, 0, 0, 0),
+    (2, 0.00, 30, 0.00, 1, 1.00, 0, 0, 0, 0),
     # pages without an article element: words and links decide
     (60, 0.00, 50, 0.00, 70, 0.00, 0, 0, 0, 1),
     (90, 0.10, 2, 1.00, 60, 0.00, 0, 0, 0, 1),
@@ -135,7 +203,6 @@ LABELLED = [
     (6, 0.00, 3, 1.00, 4, 0.00, 0, 0, 0, 0),
     (4, 0.00, 5, 0.20, 0, 0.00, 0, 0, 0, 0),
     (8, 0.00, 4, 0.90, 2, 1.00, 0, 0, 1, 0),
-    (5, 0.00, 6, 0.00, 3, 0.00, 0, 0, 0, 0),
 ]
 
 
