@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from tidemark.llm.lines import drop_shared_lines
@@ -182,6 +183,47 @@ def test_whole_documents_only(spark):
     assert not re.search("Python|Pandas|Arrow", mixed_texts(docs, mix)._jdf.queryExecution().executedPlan().toString())
 
 
+def test_texts_come_by_shard_in_the_order_of_place(spark, tmp_path):
+    docs = documents(spark, 150, 5)
+    mix = mix_sources(docs, block_words=100, shard_words=500, whole=True)
+    drawn = mix.drawn.collect()
+    spots = defaultdict(list)
+    for r in drawn:
+        spots[r.doc_id].append((r.shard, r.place))
+    mixed_texts(docs, mix).select(F.spark_partition_id().alias("task"), "doc_id", "source").write.parquet(f"{tmp_path}/mix")
+    order = defaultdict(list)
+    for file in sorted((tmp_path / "mix").glob("*.parquet")):
+        for doc_id in pq.read_table(file).column("doc_id").to_pylist():
+            order[file.name].append(doc_id)
+    assert sum(map(len, order.values())) == len(drawn)
+    once = {d: s[0] for d, s in spots.items() if len(s) == 1}
+    homes = defaultdict(set)
+    for file, ids in order.items():
+        seen = [once[d] for d in ids if d in once]
+        assert seen == sorted(seen)
+        for shard, _ in seen:
+            homes[shard].add(file)
+    assert len(homes) > 4 and all(len(files) == 1 for files in homes.values())
+    sources = {r.doc_id: r.source for r in docs.collect()}
+    longest = [str(sources[d]) for d in max(order.values(), key=len)]
+    assert longest != sorted(longest)
+
+
+def test_every_block_can_move(spark):
+    """The end of a source's stream is drawn in the last pass as often as other places."""
+    docs = documents(spark, 300, 5)
+    sizes = mix_sources(docs, block_words=60, shard_words=100_000, whole=True)
+    copies = {(r.src, r.offset): r.n for r in sizes.drawn.groupBy("src", "offset").agg(F.count("*").alias("n")).collect()}
+    rows = sizes.sizes.filter("size > 0").collect()
+    last = {}
+    for r in rows:
+        last[r.src] = max(last.get(r.src, 0), r.offset)
+    least = {s: min(copies.get((r.src, r.offset), 0) for r in rows if r.src == s) for s in last}
+    most = {s: max(copies.get((r.src, r.offset), 0) for r in rows if r.src == s) for s in last}
+    mixed = [s for s in last if least[s] != most[s]]
+    assert mixed and any(copies.get((s, last[s]), 0) == most[s] for s in mixed)
+
+
 def test_the_stage_mixes_whole_documents(spark):
     import corpus_pipeline
 

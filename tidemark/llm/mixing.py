@@ -11,13 +11,14 @@ often as its target holds it, and for the rest the first blocks of the permutati
 that exactly the target is taken and no word more than twice.
 
 Whole documents (``whole``). A document belongs to the block in which its first word lies, and a source takes
-whole documents in the order of the permuted blocks. Where its target ends, those of the ``FITTED`` documents
+whole documents in the order of the permuted blocks, of which here the last one moves too. Where its target ends, those of the ``FITTED`` documents
 around that place are taken whose words come nearest to it; so targets are near, not exact, and nothing is cut.
 
 Tree. All draws start at the root. Every node halves its draws between two children, and the number of
 each source's draws that go left is drawn from the hypergeometric law given what the sources before it
 took; quotas are exact at each level, and a quota is a range of the source's draws, so shards never
-overlap. A shard is read in the order of ``place``, a hash, which is its local shuffle.
+overlap. ``mixed_texts`` brings the rows of a shard together and puts them in the order of ``place``, a hash,
+which is the shard's local shuffle; a written mix holds its shards one after the other.
 
 Scale. Word offsets come from two levels of sums (4,096 hash ranges for each source), so a source with a
 third of all documents is never gathered. Sources are a dimension: the table with one row for each of
@@ -359,12 +360,14 @@ def mix_sources(
     )
     plan = stage(plan, f"{root}/plan")
     if whole:
+        multiplier = F.when(F.col("blocks") % PRIMES[0] != 0, F.lit(PRIMES[0])).otherwise(F.lit(PRIMES[1]))
+        anywhere = F.pmod(F.col("block") * multiplier + F.lit(7919) * (F.col("src") + 1), F.col("blocks")).cast("long")
         placed = (
             sizes.filter("size > 0")
             .drop("source_size")
             .join(plan.drop("draws"), "src")
             .withColumn("block", F.expr(f"offset div {block_words}"))
-            .withColumn("at", permuted)
+            .withColumn("at", anywhere)
         )
         pieces = stage(_whole_pieces(stage(placed, f"{root}/placed")), f"{root}/pieces")
         plan = stage(pieces.groupBy("src").agg((F.max("draw") + 1).alias("draws"), F.sum("n_words").alias("goal")), f"{root}/draws")
@@ -423,7 +426,8 @@ def taken_words(mix: Mix) -> DataFrame:
 
 def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
     """A row for each document and copy in the mix, ``text`` holding the words that copy takes, in order
-    and with the white space before each; other columns are those of ``documents``.
+    and with the white space before each; other columns are those of ``documents``. Rows come shard by shard,
+    each shard in one task and shuffled locally; a cut copy stands where its first piece does.
 
     Documents at the edges of the blocks of the last pass are cut, unless the mix takes ``whole`` ones.
     """
@@ -434,9 +438,9 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
     ]
     copies = (
         mix.drawn.groupBy("src", "offset", "copy")
-        .agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_ranges"), F.sum("n_words").alias("_n"))
+        .agg(F.array_sort(F.collect_list(F.struct("first_word", "n_words"))).alias("_ranges"), F.sum("n_words").alias("_n"), F.min(F.struct("first_word", "shard", "place")).alias("_at"))
         .join(mix.sizes.filter("size > 0").withColumnRenamed("size", "_words"), ["src", "offset"])
-        .select(*key, "offset", F.struct("_ranges", "_n").alias("_copy"))
+        .select(*key, "offset", F.struct("_ranges", "_n", "_at").alias("_copy"))
     )
     # Rows that share doc_id, source and size can take each other's place.
     row = F.dense_rank().over(Window.partitionBy("_k1", "_k2").orderBy("offset"))
@@ -459,6 +463,12 @@ def mixed_texts(documents: DataFrame, mix: Mix) -> DataFrame:
     )
     whole = F.col("_mine")["_copy"]["_n"] == F.col("_words")
     cut = met.withColumn("_whole", whole).withColumn("_tokens", F.when(~whole, tokens))
-    return cut.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(slices, ""))).select(
-        *documents.columns
-    ).toDF(*names)
+    at = F.col("_mine")["_copy"]["_at"]
+    return (
+        cut.withColumn("text", F.when(F.col("_whole"), F.col("text")).otherwise(F.array_join(slices, "")))
+        .select(*documents.columns, at["shard"].alias("_shard"), at["place"].alias("_place"))
+        .repartition("_shard")
+        .sortWithinPartitions("_shard", "_place", F.xxhash64("doc_id"))
+        .select(*documents.columns)
+        .toDF(*names)
+    )
