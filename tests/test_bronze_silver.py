@@ -184,6 +184,42 @@ def test_newest_batch_by_folder(spark, raw):
     assert sources.discover_latest_batch(spark, str(raw)) == BATCH
 
 
+def jobs_of(spark, group, action):
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        action()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_hours_of_many_runs_are_listed_by_one_job(spark, raw):
+    for hour in ("05", "06", "07"):
+        for run in range(40):
+            put(raw, [item()], hour=f"{hour}/run={run}", name="part-0.json")
+    seen = []
+    jobs = jobs_of(spark, "listing", lambda: seen.append(sources.list_files(spark, str(raw))))
+    assert jobs == 1
+    assert seen[0].count() == 120
+    assert jobs_of(spark, "reading", lambda: seen.append(sources.read_envelopes(spark, str(raw)))) == 1
+    assert seen[1].count() == 120
+
+
+def test_files_are_listed_at_any_depth_and_hidden_ones_are_not(spark, raw, rows):
+    put(raw, [item()], region="a{b", hour="05/run=1")
+    put(raw, [item()], region="us")
+    put(raw, [item()], region="us", hour="05/run=1")
+    for name in ("_SUCCESS", ".hidden.json", "_aside/x.json", "top.json"):
+        (raw / name).parent.mkdir(exist_ok=True)
+        (raw / name).write_text("{}")
+    paths = [r.path.split("/raw/")[1] for r in sources.list_files(spark, str(raw)).collect()]
+    inner = "date=2026-08-15/hour=05"
+    name = "20260815_050000.json"
+    assert sorted(paths) == [f"region=a{{b/{inner}/run=1/{name}", f"region=us/{inner}/{name}", f"region=us/{inner}/run=1/{name}", "top.json"]
+    (raw / "top.json").unlink()
+    assert sources.list_files(spark, str(raw)).count() == 3
+
+
 def test_no_batch_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError, match="no valid batch"):
         sources.discover_latest_batch(spark, str(tmp_path))

@@ -103,6 +103,28 @@ def glob_paths(spark: SparkSession, pattern: str) -> list[str]:
     return [status.getPath().toString() for status in fs.globStatus(target) or []]
 
 
+def inner_folders(spark: SparkSession, folders: list[str], most: int) -> list[str] | None:
+    """The folders in ``folders``; None when there are more than ``most`` entries, or files beside them.
+
+    Hidden entries are left out, as Spark's readers do.
+    """
+    listed = []
+    for folder in folders:
+        fs, target = _filesystem(spark, folder)
+        listed.append(fs.listStatus(target))
+        if sum(map(len, listed)) > most:
+            return None
+    inner = []
+    for status in (status for statuses in listed for status in statuses):
+        name = status.getPath().getName()
+        if name.startswith(".") or (name.startswith("_") and "=" not in name):
+            continue
+        if not status.isDirectory():
+            return None
+        inner.append(status.getPath().toString())
+    return inner
+
+
 def folder_size(spark: SparkSession, path: str) -> int:
     """Bytes of all files below a folder."""
     fs, target = _filesystem(spark, path)

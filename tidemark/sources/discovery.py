@@ -3,29 +3,59 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.keys import Batch, as_batch
-from tidemark.session import glob_paths
+from tidemark.session import glob_paths, inner_folders, setting
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
+# Folders that a listing is spread over: the first level of so many, and never more than that.
+FOLDERS, MOST_FOLDERS = 64, 4096
+LISTING_TASKS = 256
+_GLOB_SIGNS = re.compile(r"[{}\[\]*?\\]")
+
 # Fixed layout of the snapshot folders.
 _DATE_FOLDER = re.compile(r"/region=[^/]+/date=(\d{4}-\d{2}-\d{2})$")
 _HOUR_FOLDER = re.compile(r"/hour=(\d{2})$")
 
 
-def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
-    """Path, time and size of every file below ``root``. Content is pruned, so nothing is read."""
-    return (
+def _listing_folders(spark: SparkSession, root: str) -> list[str]:
+    """Folders that hold all files below ``root``: of the first level that has enough of them."""
+    folders = [root]
+    inner = glob_paths(spark, root)
+    while inner and not any(map(_GLOB_SIGNS.search, inner)):
+        folders = inner
+        if len(folders) >= FOLDERS:
+            break
+        inner = inner_folders(spark, folders, MOST_FOLDERS)
+    return folders
+
+
+def scan_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
+    """Every file below a folder, or a list of files, as Spark's ``binaryFile`` rows.
+
+    A folder is listed by one job: left to itself, Spark starts a job for each folder that holds many
+    others, with a task for each of these.
+    """
+    reader = (
         spark.read.format("binaryFile")
         .schema(FILE_COLUMNS)
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
-        .load(root)
-        .select("path", "modificationTime", "length")
     )
+    if not isinstance(paths, str):
+        return reader.load(list(paths))
+    discovery = "spark.sql.sources.parallelPartitionDiscovery"
+    with setting(spark, f"{discovery}.threshold", "0"), setting(spark, f"{discovery}.parallelism", str(LISTING_TASKS)):
+        return reader.load(_listing_folders(spark, paths))
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:
+    """Path, time and size of every file below ``root``. Content is pruned, so nothing is read."""
+    return scan_files(spark, root, pattern).select("path", "modificationTime", "length")
 
 
 def batch_glob(root: str, batch: Batch | None) -> str:

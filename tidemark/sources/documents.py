@@ -10,19 +10,15 @@ from pyspark.sql import types as T
 
 from tidemark.functions.paths import scanned_file
 from tidemark.schemas import CORRUPT
+from tidemark.sources.discovery import scan_files
 
 
 def read_texts(
     spark: SparkSession, paths: str | Sequence[str], path: str, *, pattern: str = "*.json"
 ) -> DataFrame:
     """(``path``, ``text``): one row per file, whole. Spark lists no files of zero length."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", pattern)
-        .load(paths if isinstance(paths, str) else list(paths))
-        .select(scanned_file().alias(path), F.col("content").cast("string").alias("text"))
-    )
+    files = scan_files(spark, paths, pattern)
+    return files.select(scanned_file().alias(path), F.col("content").cast("string").alias("text"))
 
 
 def is_object(text: Column) -> Column:
