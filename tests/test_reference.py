@@ -6,6 +6,7 @@ from tidemark import plans, sources
 from tidemark.plans.dimension import replace_regions
 from tidemark.session import path_exists
 from tidemark.streaming import stream_reference
+from workload.queries import _texts
 
 STAMP = "2026-08-15T00:00:00+00:00"
 
@@ -272,3 +273,11 @@ def test_a_failing_file_is_set_aside(spark, raw, tmp_path, target, monkeypatch):
     assert errors == {"0.json": None, "1.json": None, "2.json": None, "3.json": None, "2-poison.json": "RuntimeError: cannot read"}
     with pytest.raises(RuntimeError):
         dimension.upsert_each(spark, ["poison1", "poison2"], target)
+
+
+def test_files_of_a_small_table_are_written_by_several_tasks(spark, tmp_path):
+    rows = spark.range(40).coalesce(1).selectExpr("'us' AS region", "concat('{\"items\": ', id, '}') AS text")
+    _texts(rows, str(tmp_path / "raw"))
+    files = [f.name for f in (tmp_path / "raw" / "region=us").iterdir() if f.name.startswith("part-")]
+    assert len(files) == 40
+    assert len({name.split("-")[1] for name in files}) > 1
