@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import utc_iso
+from tidemark.session import delete_folder, move_folder, path_exists, small_files
 
 
 def _instant(run: Column | dt.datetime) -> Column:
@@ -51,6 +53,24 @@ def _allowed(df: DataFrame, regions: Sequence[str] | None) -> DataFrame:
     return df.filter(F.col("region").isin([r.strip().lower() for r in regions]))
 
 
+def document_writer(rows: DataFrame, levels: Sequence[str]) -> DataFrameWriter:
+    """A writer of one file per row below folders of ``levels``.
+
+    Rows are dealt by ranges of folders, so a task holds whole folders and its output is moved as such when
+    the job ends; a hash of the row cuts a folder that has most of the documents. Their number follows the
+    files to create, not their bytes.
+    """
+    spark = rows.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    content = F.xxhash64(*[F.col(c) for c in rows.columns if c not in levels])
+    return (
+        rows.repartitionByRange(tasks, *levels, content)
+        .write.options(**small_files(spark))
+        .option("maxRecordsPerFile", 1)
+        .partitionBy(*levels)
+    )
+
+
 def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str]) -> None:
     parts = {
         "date": _utc(run, "yyyy-MM-dd"),
@@ -59,15 +79,20 @@ def _land(rows: DataFrame, root: str, run: Column, levels: Sequence[str]) -> Non
     }
     for level in levels:
         rows = rows.withColumn(level, parts[level])
-    # One file per row. The hash of the content spreads a region or run that has most of the documents.
-    (
-        rows.repartition("region", *levels, F.xxhash64("items"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .option("maxRecordsPerFile", 1)
-        .partitionBy("region", *levels)
-        .json(root)
-    )
+    spark, root = rows.sparkSession, root.rstrip("/")
+    writer = document_writer(rows, ["region", *levels])
+    if not path_exists(spark, root):
+        # Nothing to replace: written beside the path, hidden, and moved there whole instead of run by run.
+        parent, slash, name = root.rpartition("/")
+        draft = f"{parent}{slash}.{name}.{uuid.uuid4().hex}"
+        try:
+            writer.json(draft)
+            if not path_exists(spark, root):
+                move_folder(spark, draft, root)
+                return
+        finally:
+            delete_folder(spark, draft)
+    writer.mode("overwrite").option("partitionOverwriteMode", "dynamic").json(root)
 
 
 def land_envelopes(

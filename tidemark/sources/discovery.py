@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.operators.keys import Batch, as_batch
-from tidemark.session import glob_paths, inner_folders, setting
+from tidemark.session import glob_paths, inner_folders, setting, small_files
 
 FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content binary"
 
@@ -43,13 +43,19 @@ def scan_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "
     reader = (
         spark.read.format("binaryFile")
         .schema(FILE_COLUMNS)
+        .options(**small_files(spark))
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
     )
     if not isinstance(paths, str):
         return reader.load(list(paths))
     discovery = "spark.sql.sources.parallelPartitionDiscovery"
-    with setting(spark, f"{discovery}.threshold", "0"), setting(spark, f"{discovery}.parallelism", str(LISTING_TASKS)):
+    # Where blocks lie matters little for small documents, and would be half of what listing sends to the driver.
+    with (
+        setting(spark, f"{discovery}.threshold", "0"),
+        setting(spark, f"{discovery}.parallelism", str(LISTING_TASKS)),
+        setting(spark, "spark.sql.sources.ignoreDataLocality", "true"),
+    ):
         return reader.load(_listing_folders(spark, paths))
 
 

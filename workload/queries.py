@@ -474,6 +474,9 @@ def silver_json(spark: SparkSession, sf: str) -> DataFrame:
     return plain(sources.read_stats(spark, target).drop("_source_file"))
 
 
+_RUN_FOLDERS = ["region", "date", "hour", "run"]
+
+
 def _half_good(spark: SparkSession, sf: str) -> str:
     """Landed envelopes, one in three with a text element before its items and one in seven cut off."""
     root = scratch(spark)
@@ -484,7 +487,7 @@ def _half_good(spark: SparkSession, sf: str) -> str:
         .when(chunk % 3 == 1, F.regexp_replace("envelope", r'"items":\[', '"items":["text",'))
         .otherwise(F.col("envelope"))
     )
-    (
+    damaged = (
         adapter.fetched(spark, sf)
         .withColumn("envelope", envelope)
         .select(
@@ -494,10 +497,8 @@ def _half_good(spark: SparkSession, sf: str) -> str:
             F.col("run_id").alias("run"),
             text.alias("text"),
         )
-        .write.option("maxRecordsPerFile", 1)
-        .partitionBy("region", "date", "hour", "run")
-        .text(root)
     )
+    sinks.document_writer(damaged, _RUN_FOLDERS).text(root)
     return root
 
 
@@ -617,20 +618,14 @@ def _damaged(spark: SparkSession, sf: str) -> str:
     sinks.land_envelopes(
         emptied.filter(kind != 3), root, F.col("run"), adapter.SOURCE, run_id=F.col("run_id")
     )
-    (
-        good.filter(kind == 3)
-        .select(
-            "region",
-            F.date_format("run", "yyyy-MM-dd").alias("date"),
-            F.date_format("run", "HH").alias("hour"),
-            F.col("run_id").alias("run"),
-            F.lit("oops").alias("items"),
-        )
-        .write.mode("append")
-        .option("maxRecordsPerFile", 1)
-        .partitionBy("region", "date", "hour", "run")
-        .json(root)
+    oops = good.filter(kind == 3).select(
+        "region",
+        F.date_format("run", "yyyy-MM-dd").alias("date"),
+        F.date_format("run", "HH").alias("hour"),
+        F.col("run_id").alias("run"),
+        F.lit("oops").alias("items"),
     )
+    sinks.document_writer(oops, _RUN_FOLDERS).mode("append").json(root)
     return root
 
 
