@@ -10,7 +10,8 @@ log(c(word) / N). A document's score is the sum; counts cover all documents.
    keys for a batch. Ranges of keys are buckets; a batch sends a row to each bucket, with its keys and their
    numbers, compressed. However common an n-gram is, a batch sends it once.
 2. A bucket adds the numbers up and answers each batch with the counts of its keys, in their order. The batch's
-   words (indexes into a list of word hashes, compressed) pass through one of the buckets.
+   words (indexes into a list of word hashes, compressed) pass through one of the buckets. The hashes are keys
+   of single words, so a mark on each key names them, and the bucket sends them on.
 3. The answers meet the batch's words again, and its documents are scored.
 
 N-gram identities are hashes of 64 bits. Buckets number one for ``PARTITION_WORDS`` words.
@@ -37,6 +38,7 @@ from tidemark.llm.words import Words, chunks, mix, text_bytes
 PARTITION_WORDS = 1_200_000
 #: Words of a packed batch: the more, the fewer n-grams are sent again by other batches.
 BATCH_WORDS = 3_000_000
+PIECE = 1 << 18
 #: The start mark's key.
 START = np.uint64(0xA0761D6478BD642F)
 
@@ -156,13 +158,18 @@ def _distinct(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _least(bucket: int, buckets: int) -> np.uint64:
+    """The least key of a bucket's range."""
+    return np.uint64((bucket << 64) // buckets)
+
+
 def _edges(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Where the sorted keys of each bucket, a range of keys, begin; and the end."""
-    least = [(b << 64) // buckets for b in range(buckets)]
+    least = [_least(b, buckets) for b in range(buckets)]
     return np.append(np.searchsorted(keys, np.array(least, dtype=np.uint64)), len(keys))
 
 
-SENT = "bucket int, batch long, keys binary, often binary, listed binary, words array<binary>, ids array<long>, counts array<long>"
+SENT = "bucket int, batch long, keys binary, often binary, single binary, words array<binary>, ids array<long>, counts array<long>"
 ANSWERED = "batch long, bucket int, often binary, listed binary, words array<binary>, ids array<long>, counts array<long>"
 
 
@@ -177,12 +184,14 @@ def _pack(order: int, buckets: int):
             del first
             edges = _edges(keys, buckets)
             listed, index, times = np.unique(b.key, return_inverse=True, return_counts=True)
+            single = np.zeros(len(keys), dtype=bool)
+            single[np.searchsorted(keys, listed)] = True
             # Frequent words first, so that most indexes are small; keys as steps from one to the next.
             size = _bits(times)
             place = np.empty(len(listed), dtype=np.uint32)
             place[_by_frequency(size)] = np.arange(len(listed))
             words = [_squeeze(size), *_squeeze_ranks(place[index])]
-            listed = _squeeze(np.diff(listed, prepend=np.uint64(0)))
+            del b.key, listed, index, times, place
             home = int(mix(np.array([batch + 1], dtype=np.uint64))[0] % np.uint64(buckets))
             for p in range(buckets):
                 begin, end = edges[p], edges[p + 1]
@@ -192,29 +201,33 @@ def _pack(order: int, buckets: int):
                     [
                         pa.array([p], pa.int32()),
                         pa.array([batch], pa.int64()),
-                        pa.array([_squeeze(np.diff(keys[begin:end], prepend=np.uint64((p << 64) // buckets)))], pa.binary()),
+                        pa.array([_squeeze(np.diff(keys[begin:end], prepend=_least(p, buckets)))], pa.binary()),
                         pa.array([_squeeze(often[begin:end])], pa.binary()),
-                        pa.array([listed if p == home else None], pa.binary()),
+                        pa.array([_squeeze(np.packbits(single[begin:end]))], pa.binary()),
                         pa.array([words if p == home else None], pa.list_(pa.binary())),
                         pa.array([b.ids.to_pylist() if p == home else None], pa.list_(pa.int64())),
                         pa.array([b.counts.tolist() if p == home else None], pa.list_(pa.int64())),
                     ],
-                    names=["bucket", "batch", "keys", "often", "listed", "words", "ids", "counts"],
+                    names=["bucket", "batch", "keys", "often", "single", "words", "ids", "counts"],
                 )
 
     return run
 
 
 def _answer(buckets: int):
-    """For each batch the counts of its keys over all batches, in their order."""
+    """For each batch the counts of its keys over all batches, in their order, and its keys of single words."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
-        least = np.uint64((key[0].as_py() << 64) // buckets)
-        sent, often = ([x.as_buffer() for c in table[n].chunks for x in c] for n in ("keys", "often"))
+        least = _least(key[0].as_py(), buckets)
+        sent, often, single = ([x.as_buffer() for c in table[n].chunks for x in c] for n in ("keys", "often", "single"))
         steps = [_spread(x, np.uint64) for x in sent]
         keys = np.concatenate([np.cumsum(s, dtype=np.uint64) + least for s in steps])
         ends = np.cumsum([len(s) for s in steps])
         del steps
+        listed = []
+        for part, marks in zip(np.split(keys, ends[:-1]), single, strict=True):
+            words = part[np.unpackbits(_spread(marks, np.uint8), count=len(part)).astype(bool)]
+            listed.append(_squeeze(np.diff(words, prepend=least)))
         order = np.argsort(keys, kind="stable")
         n = np.concatenate([_spread(x, np.uint32) for x in often]).astype(np.int64)[order]
         first = _distinct(keys[order])
@@ -224,25 +237,37 @@ def _answer(buckets: int):
         answers = [_squeeze(part) for part in np.split(total, ends[:-1])]
         return pa.table(
             {c: table[c] for c in ("batch", "bucket")}
-            | {"often": pa.array(answers, pa.binary())}
-            | {c: table[c] for c in ("listed", "words", "ids", "counts")}
+            | {"often": pa.array(answers, pa.binary()), "listed": pa.array(listed, pa.binary())}
+            | {c: table[c] for c in ("words", "ids", "counts")}
         )
 
     return run
 
 
-def _score(order: int, total: int, backoff: float, min_count: int):
+def _pieces(size: int) -> Iterator[slice]:
+    """Slices of a long array, so that steps over it need little memory."""
+    return (slice(at, at + PIECE) for at in range(0, size, PIECE))
+
+
+def _score(order: int, total: int, buckets: int, backoff: float, min_count: int):
     """The scores of a batch's documents."""
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         home = next(k for k in range(len(table)) if table["ids"][k].is_valid)
         counts = table["counts"][home].values.to_numpy()
-        listed = np.cumsum(_spread(table["listed"][home].as_buffer(), np.uint64), dtype=np.uint64)
+        # Buckets are ranges of keys: what they sent, in order, is that of the sorted keys.
+        numbers = table["bucket"].to_numpy()
+        places = np.argsort(numbers)
+        parts = table["listed"].combine_chunks()
+        listed = np.concatenate(
+            [
+                np.cumsum(_spread(parts[int(k)].as_buffer(), np.uint64), dtype=np.uint64) + _least(int(numbers[k]), buckets)
+                for k in places
+            ]
+        )
         sizes, *ranks = (part.as_buffer() for part in table["words"][home].values)
         words = listed[_by_frequency(_spread(sizes, np.uint8))][_spread_ranks(*ranks)]
-        del sizes, ranks, listed
-        # Buckets are ranges of keys: their answers in order are those of the sorted keys.
-        places = np.argsort(table["bucket"].to_numpy())
+        del sizes, ranks, listed, parts
         often = table["often"].combine_chunks()
         n = np.concatenate([_spread(often[int(k)].as_buffer(), np.int64) for k in places])
         keys = _keys(words, counts, order)
@@ -252,14 +277,18 @@ def _score(order: int, total: int, backoff: float, min_count: int):
         for gram, ends in _grams(words, counts, order):
             by_key = np.argsort(gram)
             size = np.empty(len(gram), dtype=np.int64)
-            size[by_key] = n[np.searchsorted(keys, gram[by_key])]
-            if context is None:
-                value[ends] = np.log(size) - math.log(max(1, total))
-            else:
-                before = context[np.searchsorted(context_ends, ends - 1)]
-                value[ends] = np.where(
-                    size >= min_count, np.log(size) - np.log(before), math.log(backoff) + value[ends]
-                )
+            for part in _pieces(len(gram)):
+                size[by_key[part]] = n[np.searchsorted(keys, gram[by_key[part]])]
+            del by_key
+            for part in _pieces(len(gram)):
+                at, found = ends[part], size[part]
+                if context is None:
+                    value[at] = np.log(found) - math.log(max(1, total))
+                else:
+                    before = context[np.searchsorted(context_ends, at - 1)]
+                    value[at] = np.where(
+                        found >= min_count, np.log(found) - np.log(before), math.log(backoff) + value[at]
+                    )
             context, context_ends = size, ends
         starts = _starts(counts)
         value[starts] = 0.0
@@ -286,7 +315,7 @@ def score_documents(
     sent = texts.mapInArrow(_pack(order, buckets), SENT)
     answered = sent.groupBy("bucket").applyInArrow(_answer(buckets), ANSWERED)
     scored = answered.groupBy("batch").applyInArrow(
-        _score(order, total, backoff, min_count), "doc_id long, n_words long, log_score double"
+        _score(order, total, buckets, backoff, min_count), "doc_id long, n_words long, log_score double"
     )
     mean = F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")).otherwise(F.lit(0.0))
     return scored.withColumn("mean_log", mean)
