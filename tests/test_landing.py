@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark import sinks
 from tidemark.session import small_files
+from tidemark.sinks import landing
 from tidemark.sources import discovery
 
 
@@ -66,3 +67,47 @@ def test_options_of_small_files_keep_the_session_s_file_system(spark):
         assert small_files(spark)["fs.file.impl"].endswith("RawLocalFileSystem")
     finally:
         conf.set("fs.file.impl", own)
+
+
+ODD = [("a/b=c %", "r:1", "x", [1]), ("é'", "r 2", None, None), (None, "", "y\nz", []), ("", "r1", "y", [2]), ("é'", "r 2", None, None)]
+
+
+@pytest.mark.parametrize("form", ["json", "text"])
+def test_tasks_create_what_spark_s_writer_creates(spark, tmp_path, monkeypatch, form):
+    df = spark.createDataFrame(ODD, "region string, run string, text string, n array<int>")
+    df = df if form == "json" else df.drop("n")
+    landing.document_writer(df, ["region", "run"]).format(form).save(str(tmp_path / "spark"))
+    monkeypatch.setattr(landing, "document_writer", None)  # not needed on a local disk, where it starts processes
+    sinks.write_documents(df, ["region", "run"], str(tmp_path / "raw"), form)
+
+    def found(root):
+        files = [p for p in root.rglob("*") if p.is_file()]
+        return sorted((str(p.parent.relative_to(root)), p.suffix, p.read_bytes()) for p in files if p.suffix != ".crc")
+
+    assert found(tmp_path / "raw") == found(tmp_path / "spark") and len(found(tmp_path / "raw")) == 6
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["raw", "spark"]
+
+
+@pytest.mark.parametrize("local", [True, False])
+@pytest.mark.parametrize("replace", [True, False])
+def test_documents_below_a_root_that_exists(spark, tmp_path, monkeypatch, local, replace):
+    if not local:
+        monkeypatch.setattr(landing, "local_path", lambda *_: None)
+    root = tmp_path / "raw"
+    for docs in ([("us", "1"), ("us", "2"), ("de", "3")], [("us", "4"), ("fr", "5")], []):
+        df = spark.createDataFrame(docs, "region string, text string")
+        sinks.write_documents(df, ["region"], f"{root}/", "text", replace=replace)
+    texts = {region: sorted(p.read_text() for p in root.glob(f"region={region}/*.txt")) for region in ("us", "de", "fr")}
+    assert texts == {"us": ["4\n"] if replace else ["1\n", "2\n", "4\n"], "de": ["3\n"], "fr": ["5\n"]}
+    assert [p.name for p in tmp_path.iterdir()] == ["raw"]
+
+
+def test_attempts_that_did_not_end_add_nothing(tmp_path):
+    """What a lost attempt wrote stays in its own folder; moved together are those named by their results."""
+    for attempt, name in (("00000-a", "1"), ("00000-b", "1"), ("00001-c", "2")):
+        folder = tmp_path / "attempts" / attempt / "region=us" / "run=1"
+        folder.mkdir(parents=True)
+        (folder / f"{attempt}-{name}.json").touch()
+    for attempt in ("00000-b", "00001-c"):
+        landing._merge(str(tmp_path / "attempts" / attempt), str(tmp_path / "whole"))
+    assert sorted(p.name for p in tmp_path.glob("whole/*/*/*")) == ["00000-b-1.json", "00001-c-2.json"]

@@ -9,6 +9,12 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+LOCAL_FILE_SYSTEMS = (
+    "org.apache.hadoop.fs.LocalFileSystem",
+    "org.apache.hadoop.fs.RawLocalFileSystem",
+    "org.apache.hadoop.hive.ql.io.ProxyLocalFileSystem",  # the one for file: where Spark has its Hive classes
+)
+
 
 def local_session(cores: int | str = "*", app: str = "tidemark", **conf: str) -> SparkSession:
     """A single-machine session. On a cluster the deployment provides the session."""
@@ -100,6 +106,14 @@ def current_folder(spark: SparkSession, path: str) -> str:
     return f"{path}.old" if not path_exists(spark, path) and path_exists(spark, f"{path}.old") else path
 
 
+def local_path(spark: SparkSession, path: str) -> str | None:
+    """The path on a disk that driver and tasks share, if one of the usual file systems for ``file:`` is in
+    charge of it."""
+    fs, target = _filesystem(spark, path)
+    usual = fs.getClass().getName() in LOCAL_FILE_SYSTEMS
+    return fs.makeQualified(target).toUri().getPath() if usual else None
+
+
 def move_folder(spark: SparkSession, path: str, to: str) -> None:
     """Give a folder another path, which must be free."""
     fs, source = _filesystem(spark, path)

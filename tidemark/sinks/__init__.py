@@ -9,7 +9,7 @@ from tidemark.sinks.catalog import (
     register_views,
     repair_table,
 )
-from tidemark.sinks.landing import document_writer, land_envelopes, land_reference, with_metadata
+from tidemark.sinks.landing import document_writer, land_envelopes, land_reference, with_metadata, write_documents
 from tidemark.sinks.partitions import replace_affected, replace_dataset, write_partitions
 from tidemark.sinks.report import envelope_report, report_json, run_summary
 
@@ -30,5 +30,6 @@ __all__ = [
     "report_json",
     "run_summary",
     "with_metadata",
+    "write_documents",
     "write_partitions",
 ]

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.keys import restrict_to
-from tidemark.session import delete_folder, move_folder, path_exists
+from tidemark.session import delete_folder, move_folder, path_exists, small_files
 
 PARTITIONS_PER_STATEMENT = 500
 
@@ -24,6 +24,7 @@ def _write(df: DataFrame, path: str, by: Sequence[str], mode: str, dealt: Dealt
     (
         dealt(df.hint("rebalance", *[F.col(c) for c in by]))
         .write.mode("overwrite")
+        .options(**small_files(df.sparkSession))
         .option("partitionOverwriteMode", mode)
         .partitionBy(*by)
         .parquet(path)

@@ -498,7 +498,7 @@ def _half_good(spark: SparkSession, sf: str) -> str:
             text.alias("text"),
         )
     )
-    sinks.document_writer(damaged, _RUN_FOLDERS).text(root)
+    sinks.write_documents(damaged, _RUN_FOLDERS, root, "text")
     return root
 
 
@@ -625,7 +625,7 @@ def _damaged(spark: SparkSession, sf: str) -> str:
         F.col("run_id").alias("run"),
         F.lit("oops").alias("items"),
     )
-    sinks.document_writer(oops, _RUN_FOLDERS).mode("append").json(root)
+    sinks.write_documents(oops, _RUN_FOLDERS, root)
     return root
 
 
