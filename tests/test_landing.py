@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import sinks
+from tidemark.plans import silver
 from tidemark.session import small_files
 from tidemark.sinks import landing
 from tidemark.sources import discovery
@@ -111,3 +112,14 @@ def test_attempts_that_did_not_end_add_nothing(tmp_path):
     for attempt in ("00000-b", "00001-c"):
         landing._merge(str(tmp_path / "attempts" / attempt), str(tmp_path / "whole"))
     assert sorted(p.name for p in tmp_path.glob("whole/*/*/*")) == ["00000-b-1.json", "00001-c-2.json"]
+
+
+def test_a_task_of_the_silver_job_reads_many_small_documents(spark, tmp_path, monkeypatch):
+    key = "spark.sql.files.openCostInBytes"
+    before, seen = spark.conf.get(key), []
+    _landed(spark, tmp_path / "raw", [("us", f"r{n}", [(f"{n}",)]) for n in range(240)])
+    write = silver.write_partitions
+    monkeypatch.setattr(silver, "write_partitions", lambda df, *a: seen.append(df.rdd.getNumPartitions()) or write(df, *a))
+    counts = silver.bronze_json_to_silver(spark, str(tmp_path / "raw"), str(tmp_path / "silver"), None)
+    assert counts["files"] == counts["output_rows"] == 240
+    assert seen[0] <= 5 and spark.conf.get(key) == before
