@@ -2,6 +2,7 @@ import hashlib
 from collections import Counter
 
 import public_tokenizers
+import pyarrow as pa
 import tokenizers
 
 import corpus_pipeline
@@ -51,3 +52,18 @@ def test_odd_tables(spark, tmp_path):
         got = corpus_pipeline.run(spark, f"{tmp_path}/{k}")
         assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert {r.doc_id for r in got.collect()} <= {None, 3, 4}
+
+
+def test_tokens_are_made_of_few_texts_at_a_time(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([len(batch)])], names=["n"])
+
+    monkeypatch.setattr(corpus_pipeline, "round_trip", lambda docs, _: docs.mapInArrow(sizes, "n long"))
+    docs = spark.range(3000).selectExpr("id AS doc_id", "'a b' AS text").coalesce(1)
+    got = [r.n for r in corpus_pipeline.bpe(spark, docs, "").collect()]
+    assert sum(got) == 3000 and max(got) <= corpus_pipeline.TEXTS_PER_BATCH < 1000
+    assert spark.conf.get(key) == before

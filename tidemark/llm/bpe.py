@@ -374,6 +374,7 @@ def round_trip(documents: DataFrame, tokenizer: str) -> DataFrame:
     shared = _loaded(documents, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # of earlier tasks of this process
         encoder, decoder = _encoder(shared), _decoder(shared)
         names = [str(i) for i in range(len(decoder.bytes))]
         for batch in batches:
