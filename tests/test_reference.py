@@ -1,10 +1,12 @@
 import json
+import os
 
 import pytest
 
 from tidemark import plans, sources
 from tidemark.plans.dimension import replace_regions
 from tidemark.session import path_exists
+from tidemark.sources.discovery import scan_files
 from tidemark.streaming import stream_reference
 from workload.queries import _texts
 
@@ -281,3 +283,37 @@ def test_files_of_a_small_table_are_written_by_several_tasks(spark, tmp_path):
     files = [f.name for f in (tmp_path / "raw" / "region=us").iterdir() if f.name.startswith("part-")]
     assert len(files) == 40
     assert len({name.split("-")[1] for name in files}) > 1
+
+
+def test_files_of_one_stream_run_merge_by_name_wherever_it_is_cut(spark, raw, tmp_path, target):
+    run = lambda: stream_reference(spark, str(raw), target, str(tmp_path / "checkpoint"), ingestion_timestamp=STAMP, files_per_batch=1).awaitTermination()
+    for i in range(4):
+        put(raw, "us", [category("1", f"T{i}"), category(f"own{i}", "x")], name=f"{i}.json")
+        os.utime(raw / "region=us" / "date=2026-08-15" / f"{i}.json", (1000 - i, 1000 - i))
+    run()
+    assert {k[1]: v["snippet_title"] for k, v in table(spark, target).items()} == {"1": "T3"} | {f"own{i}": "x" for i in range(4)}
+    put(raw, "us", [category("1", "later")], name="0-later.json")
+    run()
+    assert table(spark, target)["us", "1"]["snippet_title"] == "later"
+
+
+def test_few_tasks_look_up_a_list_of_files(spark, raw):
+    for i in range(60):
+        put(raw, "us", [category(str(i), "T")], name=f"{i}.json")
+    files = [str(p) for p in raw.rglob("*.json")]
+    spark.sparkContext.setJobGroup("lookup", "")
+    try:
+        assert len(scan_files(spark, files).inputFiles()) == 60
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for job in tracker.getJobIdsForGroup("lookup") for s in tracker.getJobInfo(job).stageIds]
+    assert stages and max(tracker.getStageInfo(s).numTasks for s in stages) < 60
+
+
+def test_depth_is_found_at_every_level(spark, raw, target):
+    put(raw, "us", [category("1", "A", deep={"a": {"b": {"c": {"d": 5}}}}), category("2", "B")])
+    put(raw, "in", [{"id": "1", "snippet.title": "flat"}, category("3", "C", x={"y": "z"})])
+    plans.upsert_reference(spark, str(raw), target, STAMP)
+    rows = table(spark, target)
+    assert rows["us", "1"]["snippet_deep_a_b_c_d"] == 5 and rows["in", "3"]["snippet_x_y"] == "z"

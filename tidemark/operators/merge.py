@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.ranking import keep_last
@@ -40,15 +40,17 @@ def upsert(
     incoming: DataFrame,
     keys: Sequence[str],
     order: Sequence[str] = (),
+    rival: Column | None = None,
 ) -> DataFrame:
     """Keyed upsert: an incoming row replaces the existing row of its key entirely, new keys are
     added, other existing rows stay.
 
-    ``order`` names columns that order rows of one key within one side, most significant first.
-    One shuffle serves both the de-duplication of each side and the merge.
+    ``order`` names columns that order rows of one key within one side, most significant first. Existing
+    rows for which ``rival`` holds are ordered as if they were incoming. One shuffle serves both the
+    de-duplication of each side and the merge.
     """
     both = concat_evolving(
-        existing.withColumn(_NEWER, F.lit(0)),
+        existing.withColumn(_NEWER, F.lit(0) if rival is None else F.when(rival, 1).otherwise(0)),
         incoming.withColumn(_NEWER, F.lit(1)),
     )
     return keep_last(both, keys, [_NEWER, *order]).drop(_NEWER)

@@ -14,8 +14,9 @@ from tidemark.operators.merge import upsert
 from tidemark.operators.quality import require_unique_columns
 from tidemark.operators.ranking import keep_last
 from tidemark.operators.reshape import normalize_columns
+from tidemark.plans.silver import OPEN_COST
 from tidemark.schemas import REFERENCE, REFERENCE_KEYS, REFERENCE_PARTITIONS
-from tidemark.session import drop_scratch, scratch, setting, stage
+from tidemark.session import drop_scratch, path_exists, scratch, setting, small_files, stage
 from tidemark.sinks.partitions import finish_swap, swap_dataset, write_partitions
 from tidemark.sources.reference import POS, read_reference, reference_items, reference_status
 from tidemark.sources.tables import read_or_empty
@@ -31,13 +32,22 @@ def _standard_keys(df: DataFrame) -> DataFrame:
 NEWEST = ("ingestion_timestamp", "source_file", POS)
 
 
+_RIVAL = "__rival"
+
+
 def merge_reference(
-    existing: DataFrame, incoming: DataFrame, order: Sequence[str] = NEWEST
+    existing: DataFrame, incoming: DataFrame, order: Sequence[str] = NEWEST, rivals: DataFrame | None = None
 ) -> DataFrame:
-    """The dimension after an upsert of tagged incoming rows on ``(region, id)``."""
-    stored = _standard_keys(normalize_columns(existing))
+    """The dimension after an upsert of tagged incoming rows on ``(region, id)``.
+
+    ``rivals`` names files (``key``) whose stored rows give way by ``order`` only, as if they came along.
+    """
+    stored, rival = _standard_keys(normalize_columns(existing)), None
+    if rivals is not None and "source_file" in stored.columns:
+        marked = rivals.select(F.col("key").alias("source_file"), F.lit(True).alias(_RIVAL))
+        stored, rival = stored.join(marked, "source_file", "left").select(*stored.columns, _RIVAL), F.col(_RIVAL)
     known = [c for c in order if c in incoming.columns]
-    return require_unique_columns(upsert(stored, incoming, REFERENCE_KEYS, known).drop(POS))
+    return require_unique_columns(upsert(stored, incoming, REFERENCE_KEYS, known, rival).drop(POS, _RIVAL))
 
 
 def _files_can_stay(existing: DataFrame, incoming: DataFrame) -> bool:
@@ -60,6 +70,7 @@ def upsert_reference(
     ingestion_timestamp: str | None = None,
     report: str | None = None,
     pattern: str = "*.json",
+    rivals: DataFrame | None = None,
 ) -> DataFrame:
     """Upsert a set of reference files into the dimension at ``target``; returns the report.
 
@@ -73,15 +84,18 @@ def upsert_reference(
     The report, written to ``report`` (a folder of its own without it), has a row per file: key, region,
     elements found (``incoming_rows``), rows of its distinct ids (``distinct_rows``), rows of its region
     in the new dimension (``final_rows``), rows of the whole dimension (``dimension_rows``), and the error
-    of an unusable file. Of a name that an object repeats the last value counts.
+    of an unusable file. Of a name that an object repeats the last value counts. ``rivals`` as in
+    :func:`merge_reference`.
     """
-    with setting(spark, "spark.sql.variant.allowDuplicateKeys", "true"):
-        return _upsert(spark, paths, target, ingestion_timestamp, report, pattern)
+    # Documents are small: at the usual cost of opening a file a task would read some 30, and write as little.
+    with setting(spark, "spark.sql.variant.allowDuplicateKeys", "true"), setting(spark, "spark.sql.files.openCostInBytes", OPEN_COST):
+        return _upsert(spark, paths, target, ingestion_timestamp, report, pattern, rivals)
 
 
 def _upsert(
-    spark: SparkSession, paths: str | Sequence[str], target: str, ingestion_timestamp: str | None, report: str | None, pattern: str
-) -> DataFrame:
+    spark: SparkSession, paths: str | Sequence[str], target: str, ingestion_timestamp: str | None, report: str | None,
+    pattern: str, rivals: DataFrame | None = None,
+) -> DataFrame:
     stamp = F.lit(ingestion_timestamp) if ingestion_timestamp else utc_iso(F.current_timestamp())
     work = scratch(spark)
     finish_swap(spark, target)
@@ -95,9 +109,11 @@ def _upsert(
         by_region = _files_can_stay(existing, incoming)
         if by_region:
             existing = restrict_to(existing, usable.select("region").distinct(), ["region"])
-        merged = stage(merge_reference(existing, incoming), f"{work}/merged")
+        merged = stage(merge_reference(existing, incoming, rivals=rivals), f"{work}/merged")
         (write_partitions if by_region else swap_dataset)(merged, target, REFERENCE_PARTITIONS)
-    sizes = read_or_empty(spark, target, REFERENCE).groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
+    # What was just written is in normal form, so its columns need not be looked up in its files once more.
+    stored = spark.read.schema("region string").parquet(target) if changed else read_or_empty(spark, target, REFERENCE)
+    sizes = stored.groupBy("region").agg(F.count(F.lit(1)).alias("rows"))
     total = sizes.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("dimension_rows"))
     final = F.when(F.col("error").isNull(), F.coalesce("rows", F.lit(0))).otherwise(0).cast("bigint")
     outcome = stage(
@@ -118,6 +134,7 @@ def upsert_each(
     ingestion_timestamp: str | None = None,
     report: str | None = None,
     pattern: str = "*.json",
+    merged: str | None = None,
 ) -> int:
     """Upsert a bounded list of files; one that fails, for whatever cause, does not stop the others.
 
@@ -125,14 +142,17 @@ def upsert_each(
     its error in the report, and the others are merged. Files are merged in the order of their names, as
     :data:`NEWEST` orders them, so halves give the same dimension as the whole. A failure of all files, if
     there are several, is not theirs and is raised; so is that of a session that has ended. ``report`` is
-    appended to. Returns how many files were set aside.
+    appended to. Calls that share a folder ``merged``, which keeps the names of the files, also give the same
+    dimension as one call with the files of all, if they share the timestamp. Returns how many files were
+    set aside.
     """
     bad: list[tuple[str, Exception]] = []
 
     def merge(some: Sequence[str]) -> None:
         work = scratch(spark)
         try:
-            outcome = upsert_reference(spark, some, target, ingestion_timestamp, f"{work}/report", pattern)
+            earlier = spark.read.schema("key string").parquet(merged) if merged and path_exists(spark, merged) else None
+            outcome = upsert_reference(spark, some, target, ingestion_timestamp, f"{work}/report", pattern, earlier)
         except Exception as error:
             if spark.sparkContext._jsc is None:
                 raise
@@ -145,6 +165,9 @@ def upsert_each(
             return
         if report:
             outcome.write.mode("append").parquet(report)
+        if merged:
+            usable = outcome.filter(F.col("error").isNull()).select("key")
+            usable.coalesce(1).write.mode("append").options(**small_files(spark)).parquet(merged)
         drop_scratch(spark, work)
 
     merge(sorted(files))

@@ -65,7 +65,7 @@ def stage(df: DataFrame, path: str) -> DataFrame:
     Consumers read only the columns they need, the optimizer sees true file sizes, and a lost
     executor costs a re-read instead of a recomputation from the sources.
     """
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").options(**small_files(df.sparkSession)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

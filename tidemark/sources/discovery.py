@@ -15,6 +15,7 @@ FILE_COLUMNS = "path string, modificationTime timestamp, length bigint, content
 # Folders that a listing is spread over: the first level of so many, and never more than that.
 FOLDERS, MOST_FOLDERS = 64, 4096
 LISTING_TASKS = 256
+_DISCOVERY = "spark.sql.sources.parallelPartitionDiscovery"
 _GLOB_SIGNS = re.compile(r"[{}\[\]*?\\]")
 
 # Fixed layout of the snapshot folders.
@@ -34,11 +35,16 @@ def _listing_folders(spark: SparkSession, root: str) -> list[str]:
     return folders
 
 
+def lookup_tasks(spark: SparkSession) -> int:
+    """Tasks that look up a list of files: Spark would start one for each."""
+    return min(LISTING_TASKS, 2 * spark.sparkContext.defaultParallelism)
+
+
 def scan_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "*.json") -> DataFrame:
     """Every file below a folder, or a list of files, as Spark's ``binaryFile`` rows.
 
     A folder is listed by one job: left to itself, Spark starts a job for each folder that holds many
-    others, with a task for each of these.
+    others, with a task for each of these. The files of a list are looked up by a few tasks, not by one each.
     """
     reader = (
         spark.read.format("binaryFile")
@@ -47,16 +53,13 @@ def scan_files(spark: SparkSession, paths: str | Sequence[str], pattern: str = "
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", pattern)
     )
-    if not isinstance(paths, str):
-        return reader.load(list(paths))
-    discovery = "spark.sql.sources.parallelPartitionDiscovery"
     # Where blocks lie matters little for small documents, and would be half of what listing sends to the driver.
-    with (
-        setting(spark, f"{discovery}.threshold", "0"),
-        setting(spark, f"{discovery}.parallelism", str(LISTING_TASKS)),
-        setting(spark, "spark.sql.sources.ignoreDataLocality", "true"),
-    ):
-        return reader.load(_listing_folders(spark, paths))
+    with setting(spark, "spark.sql.sources.ignoreDataLocality", "true"):
+        if not isinstance(paths, str):
+            with setting(spark, f"{_DISCOVERY}.parallelism", str(lookup_tasks(spark))):
+                return reader.load(list(paths))
+        with setting(spark, f"{_DISCOVERY}.threshold", "0"), setting(spark, f"{_DISCOVERY}.parallelism", str(LISTING_TASKS)):
+            return reader.load(_listing_folders(spark, paths))
 
 
 def list_files(spark: SparkSession, root: str, pattern: str = "*.json") -> DataFrame:

@@ -134,11 +134,19 @@ def _cells(usable: DataFrame) -> DataFrame:
         lambda x: F.struct(x[POS].alias(POS), _fields(F.try_parse_json(x["element"]), x["element"]).alias("leaves")),
     )
     files = usable.select(FILE, rows.alias("rows"))
+    opened = F.transform("rows", lambda r: F.struct(r[POS].alias(POS), _opened(r["leaves"]).alias("leaves")))
     deeper = F.exists("rows", lambda r: F.exists(r["leaves"], lambda leaf: _is_nested(leaf["value"])))
-    for _ in range(MAX_DEPTH):
-        if files.filter(deeper).isEmpty():
+    for _ in range(0, MAX_DEPTH, 2):
+        # Two levels are looked at in one job: an element with a snippet has objects on the first alone.
+        below = files.withColumn("rows", opened)
+        first, second = files.select(deeper.alias("first"), opened.alias("rows")).agg(
+            F.max("first"), F.max(F.when(F.col("first"), deeper))
+        ).first()
+        if not first:
+            break
+        files = below
+        if not second:
             break
-        opened = F.transform("rows", lambda r: F.struct(r[POS].alias(POS), _opened(r["leaves"]).alias("leaves")))
         files = files.withColumn("rows", opened)
     paths = F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["leaves"], lambda leaf: leaf["path"]))))
 

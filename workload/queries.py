@@ -687,10 +687,7 @@ def reference_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _texts(rows: DataFrame, root: str) -> None:
     """One file per row of (region, text), whatever the text is."""
-    # Dealt by a number of tasks: a table of few bytes is one task, which would write all files in turn.
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "region", "text")
-    dealt.write.mode("append").option("maxRecordsPerFile", 1).partitionBy("region").text(root)
+    sinks.write_documents(rows, ["region"], root, form="text")
 
 
 _ANY = "part-*"
