@@ -317,3 +317,14 @@ def test_depth_is_found_at_every_level(spark, raw, target):
     plans.upsert_reference(spark, str(raw), target, STAMP)
     rows = table(spark, target)
     assert rows["us", "1"]["snippet_deep_a_b_c_d"] == 5 and rows["in", "3"]["snippet_x_y"] == "z"
+
+
+def test_a_narrower_type_than_the_stored_text_rewrites_its_region_only(spark, raw, tmp_path, target):
+    put(raw, "us", [category("1", "A", level="high"), category("2", "B", level="low")])
+    put(raw, "in", [category("1", "I", level="mid")])
+    plans.upsert_reference(spark, str(raw), target, STAMP)
+    later = tmp_path / "later"
+    put(later, "us", [category("1", "A", level=5)])
+    plans.upsert_reference(spark, str(later), target, STAMP)
+    assert {k: v["snippet_level"] for k, v in table(spark, target).items()} == {("us", "1"): "5", ("us", "2"): "low", ("in", "1"): "mid"}
+    assert not path_exists(spark, f"{target}.old")

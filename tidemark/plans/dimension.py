@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions.paths import region_from_path
 from tidemark.functions.text import strip, utc_iso
@@ -51,12 +52,12 @@ def merge_reference(
 
 
 def _files_can_stay(existing: DataFrame, incoming: DataFrame) -> bool:
-    """Whether files of untouched regions agree with the merged rows: same column names and types,
-    and regions in normal form."""
+    """Whether files of untouched regions agree with the merged rows: same column names and types (of a stored
+    text, whatever comes becomes text), and regions in normal form."""
     stored = {f.name: f.dataType for f in existing.schema}
     if normalize_columns(existing).columns != existing.columns:
         return False
-    if any(stored.get(f.name, f.dataType) != f.dataType for f in incoming.schema):
+    if any(stored.get(f.name, f.dataType) not in (f.dataType, T.StringType()) for f in incoming.schema):
         return False
     region = F.col("region")
     odd = region.isNull() | (region != F.lower(strip(region.cast("string"))))
